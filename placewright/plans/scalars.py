@@ -386,7 +386,7 @@ def p19(spark, sf):
 
 SQL_DISTANCE = (
     "6371.0088*2*asin(least(1.0, sqrt(pow(sin((radians({b})-radians({a}))/2),2)"
-    " + cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-{c})/2),2))))"
+    " + cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-({c}))/2),2))))"
 )
 
 
@@ -461,7 +461,7 @@ SQL_RING = "case k%5 when 0 then 'AK' when 1 then 'HI' else 'ZZ' end"
             "con": "select (sin(radians(29.5))+sin(radians(45.5)))/2 as n",
             "con2": "select n, pow(cos(radians(29.5)),2)+2*n*sin(radians(29.5)) as c from con",
             "con3": "select n, c, sqrt(c-2*n*sin(radians(38)))/n as rho0 from con2",
-            "at": """select shape, ring, case shape when 'AK' then 72-(y-435)/6 when 'HI' then 23-(y-490)/19
+            "ats": """select shape, ring, case shape when 'AK' then 72-(y-435)/6 when 'HI' then 23-(y-490)/19
  else degrees(asin((c-pow(sqrt(pow((x-510)/1100,2)+pow(rho0+(y-270)/1100,2))*n,2))/(2*n))) end as lat,
  case shape when 'AK' then (x-25)/4.5-180 when 'HI' then (x-250)/19-161 else degrees(atan2((x-510)/1100, rho0+(y-270)/1100)/n)-96 end as lon
  from pts, con3""",
