@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["scalars", "reads"]
+SECTIONS = ["scalars", "reads", "checks"]
 
 
 def load():

@@ -281,7 +281,7 @@ def j09(spark, sf):
     return good.select("id", "scope", "latitude", "longitude")
 
 
-ORIGINS = [("a", 10.0, 20.0), ("b", -35.5, 150.25), ("c", 60.0, -179.9)]
+ORIGINS = [("a", -10.8, 147.3), ("b", 68.3, 114.5), ("c", -32.0, 81.8), ("d", 25.0, -16.5), ("e", 60.0, -179.9)]
 
 
 @query(
