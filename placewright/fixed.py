@@ -35,7 +35,8 @@ CONTACT_REMOVED = "[contact removed]"
 ENTITY_ID = r"(?U)\bQ[1-9][0-9]*\b"
 
 # Source URL and host patterns.
-HOST_IN_TEXT = r"(?iU)(?<![\w.-])((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,63})(?![\w.-])"
+HOST_NAME = r"(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,63}"
+HOST_IN_TEXT = rf"(?iU)(?<![\w.-])({HOST_NAME})(?![\w.-])"
 URL_IN_TEXT = r"""(?U)https?://[^\s<>"']+"""
 HOST_LABEL = r"\A[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\z"
 DEFAULT_PORTS = {"http": 80, "https": 443}
@@ -79,7 +80,7 @@ CREDIT_FIELDS = [
 
 # Privacy scan.
 SCAN_SPACE = (
-    r"[\u0009-\u000d\u001c- \u0085   -     　﻿]"
+    r"[\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
 URL_START = r"(^|[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f“”‘’«»])"
 HTTP_TOKEN = URL_START + r"""(https?://[^ <>"'`“”‘’«»]+)"""
@@ -94,7 +95,7 @@ PRIVATE_KEYS = [
     "retained_evidence", "retained_pointer", "secret",
 ]
 POSIX_PATH = r"""(?:^|[ "'`(\[={:;,<>|!?“”‘’«»])/+[^ /]"""
-EXPLICIT_PATH = r"file://|[a-zİıſK]:[\\/]|\\{2}"
+EXPLICIT_PATH = r"file://|[a-z\u0130\u0131\u017f\u212a]:[\\/]|\\{2}"
 PATH_END = r"""[ /\\?&#;=,:'"`()<>\[\]{}|!?“”‘’«»]"""
 LOCAL_ROOTS = [
     "home", "users", "root", "tmp", "var", "private", "mnt", "media", "volumes", "workspace",

@@ -1,9 +1,10 @@
 """The public boundary: what may leave the catalog, and what must not."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.text import ascii_lower
 
 
 def license_fields(license_map: Column):
@@ -11,3 +12,137 @@ def license_fields(license_map: Column):
     public = F.map_filter(license_map, lambda key, _: key.isin(fixed.LICENSE_FIELDS))
     known = F.array(*[F.lit(k) for k in fixed.LICENSE_FIELDS + fixed.LICENSE_PRIVATE_FIELDS])
     return public, F.array_except(F.map_keys(license_map), known)
+
+
+def scan_text(text: Column) -> Column:
+    """One kind of space, and A-Z folded; nothing depends on locale."""
+    return ascii_lower(F.regexp_replace(text, fixed.SCAN_SPACE, " "))
+
+
+def decode_plain(text: Column) -> Column:
+    """Decode escapes of letters, digits and "._~-" in a scanned text."""
+
+    def piece(item: Column, at: Column) -> Column:
+        letter = F.char(F.conv(F.substring(item, 1, 2), 16, 10).cast("int"))
+        plain = item.rlike(r"\A[2-7][0-9a-f]") & letter.rlike(r"\A[A-Za-z0-9._~-]\z")
+        decoded = F.concat(letter, F.substring(item, 3, 2**31 - 1))
+        return F.when(at == 0, item).when(plain, decoded).otherwise(F.concat(F.lit("%"), item))
+
+    pieces = F.array_join(F.transform(F.split(text, "%", -1), piece), "")
+    return F.when(text.contains("%"), pieces).otherwise(text)
+
+
+def credential_syntax(text: Column) -> Column:
+    """A URL with user information, or `key=` of a credential name, however broken by line ends."""
+    keys = r"(?:^|[^a-z0-9_])(?:" + "|".join(fixed.CREDENTIAL_KEYS) + r") *="
+
+    def found(view: Column) -> Column:
+        scan = scan_text(decode_plain(scan_text(view)))
+        return scan.rlike(fixed.USERINFO_URL) | scan.rlike(keys)
+
+    return found(text) | found(F.regexp_replace(text, r"[\t\n\r]", ""))
+
+
+def private_path(text: Column, operational: Column) -> Column:
+    """Credentials or a local path in a text; public text fields may use plain slashes."""
+    scan = F.regexp_replace(scan_text(text), fixed.HTTP_TOKEN, "$1")
+    slashed = scan.rlike(fixed.POSIX_PATH)
+    named = scan.rlike(fixed.PRIVATE_COMPONENT) | scan.rlike(fixed.PRIVATE_DECLARATION)
+    lenient = scan.rlike(fixed.LOCAL_ROOT) | (slashed & named)
+    return (
+        credential_syntax(text) | scan.rlike(fixed.EXPLICIT_PATH) | F.when(operational, lenient).otherwise(slashed)
+    )
+
+
+def _any(names):
+    return "(?:" + "|".join(names) + ")"
+
+
+# Paths of public text, written as .key for a field and # for a list position.
+_TEXT_PATHS = [
+    rf"\.relationships\.{_any(fixed.RELATION_TEXT_TABLES)}#\.{_any(fixed.CORE_TEXT)}",
+    rf"\.{_any(['facilities', 'courses'])}#(?:\.{_any(fixed.CHILD_ROWS)}#)*(?:"
+    + "|".join(
+        [
+            rf"\.{_any(fixed.CORE_TEXT)}",
+            rf"\.address\.{_any(fixed.ADDRESS_TEXT)}",
+            r"\.arrival\.reference",
+            *[rf"\.optional\.{domain}#\.{_any(names.split())}" for domain, names in fixed.DOMAIN_TEXT.items()],
+            r"\.optional\.architecture_event#\.credits#\.name",
+        ]
+    )
+    + ")",
+]
+PUBLIC_TEXT = r"\A(?:" + "|".join(_TEXT_PATHS) + r")\z"
+
+
+def public_text_path(path: Column) -> Column:
+    return path.rlike(PUBLIC_TEXT)
+
+
+def _children(node: Column) -> Column:
+    """Nodes one level below a node: list items, or fields with their keys."""
+    items = F.try_variant_get(node["value"], "$", "array<variant>")
+    fields = F.map_entries(F.try_variant_get(node["value"], "$", "map<string,variant>"))
+    # A key that looks like path syntax must not pass for one.
+    from_list = F.transform(
+        items, lambda v: F.struct(F.concat(node["path"], F.lit("#")).alias("path"), F.lit(None).cast("string").alias("key"), v.alias("value"))
+    )
+    from_object = F.transform(
+        fields,
+        lambda e: F.struct(
+            F.concat(node["path"], F.lit("."), F.regexp_replace(e["key"], "[.#]", "?")).alias("path"),
+            e["key"].alias("key"),
+            e["value"].alias("value"),
+        ),
+    )
+    return F.coalesce(from_list, from_object, F.slice(F.array(node), 1, 0))
+
+
+def nodes(records: DataFrame, key: str, value: str, root: str, depth=12) -> DataFrame:
+    """Every node of a nested record: (id, path, key, shape, value). One pass over each record.
+
+    A record nested deeper than `depth` still shows its deepest containers, which
+    `violations` then rejects, so nothing goes unchecked.
+    """
+    first = F.struct(F.lit(root).alias("path"), F.lit(None).cast("string").alias("key"), F.col(value).alias("value"))
+    rows = records.select(F.col(key).alias("id"), F.array(first).alias("l0"))
+    for level in range(depth):
+        rows = rows.withColumn(f"l{level + 1}", F.flatten(F.transform(f"l{level}", _children)))
+    everything = F.concat(*[F.col(f"l{level}") for level in range(depth + 1)])
+    deepest = F.transform(
+        f"l{depth}",
+        lambda n: F.schema_of_variant(n["value"]).rlike("^(OBJECT|ARRAY)<[^>]"),
+    )
+    flat = rows.select("id", F.exists(deepest, lambda d: d).alias("too_deep"), F.explode(everything).alias("n"))
+    return flat.select("id", "too_deep", "n.path", "n.key", F.schema_of_variant("n.value").alias("shape"), "n.value")
+
+
+def violations(records: DataFrame, key: str, value: str, root: str) -> DataFrame:
+    """Nodes that may not be published: (id, path, rule). The record passes if there are none."""
+    flat = nodes(records, key, value, root).withColumn("text", F.when(F.col("shape") == "STRING", F.try_variant_get("value", "$", "string")))
+    license_path = F.col("path").rlike(r"\A\.source_licenses#\z")
+    license_field = F.col("path").rlike(r"\A\.source_licenses#\.[^.#]*\z")
+    note_path = F.col("path").rlike(r"\A\.provenance\.notes#\z")
+    note_field = F.col("path").rlike(r"\A\.provenance\.notes#\.[^.#]*\z")
+    is_object = F.col("shape").startswith("OBJECT")
+    note_id = F.coalesce(F.try_variant_get("value", "$.id", "string"), F.lit(""))
+    shaped = (
+        (license_path & ~is_object)
+        | (license_field & ~(F.col("key").isin(fixed.LICENSE_FIELDS) & F.col("shape").isin("STRING", "VOID")))
+        | (note_path & (~is_object | (note_id == "")))
+        | (note_field & ~((F.col("key") == "id") & (F.col("shape") == "STRING")))
+    )
+    key_scan = scan_text(F.col("key"))
+    bad_key = key_scan.isin(fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS)
+    bad_key_text = private_path(F.col("key"), F.lit(False))
+    bad_text = F.col("text").contains("\x00") | private_path(F.col("text"), public_text_path(F.col("path")))
+    rule = (
+        F.when(F.col("too_deep"), "nested too deep")
+        .when(F.coalesce(shaped, F.lit(False)), "license or note shape")
+        .when(bad_key, "private key")
+        .when(bad_key_text, "private text in key")
+        .when(bad_text, "private text")
+    )
+    judged = flat.select("id", "path", rule.alias("rule"))
+    return judged.where(F.col("rule").isNotNull())

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["scalars", "reads", "checks"]
+SECTIONS = ["scalars", "reads", "checks", "guards"]
 
 
 def load():
