@@ -32,26 +32,50 @@ def decode_plain(text: Column) -> Column:
     return F.when(text.contains("%"), pieces).otherwise(text)
 
 
-def credential_syntax(text: Column) -> Column:
-    """A URL with user information, or `key=` of a credential name, however broken by line ends."""
-    keys = r"(?:^|[^a-z0-9_])(?:" + "|".join(fixed.CREDENTIAL_KEYS) + r") *="
+_KEYS = r"(?:^|[^a-z0-9_])(?:" + "|".join(fixed.CREDENTIAL_KEYS) + r") *="
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it in several places of `body`."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _credential(view: Column) -> Column:
+    user = view.contains("http") & (view.contains("@") | view.contains("%40")) & view.rlike(fixed.USERINFO_URL)
+    return user | (view.contains("=") & view.rlike(_KEYS))
+
+
+def _credential_in(scan: Column) -> Column:
+    decoded = F.when(scan.contains("%"), scan_text(decode_plain(scan))).otherwise(scan)
+    return _let(decoded, _credential)
 
-    def found(view: Column) -> Column:
-        scan = scan_text(decode_plain(scan_text(view)))
-        return scan.rlike(fixed.USERINFO_URL) | scan.rlike(keys)
 
-    return found(text) | found(F.regexp_replace(text, r"[\t\n\r]", ""))
+def _joined_credential(text: Column) -> Column:
+    """The same rule on the text without tabs and line ends, where it has any."""
+    flat = scan_text(F.regexp_replace(text, r"[\t\n\r]", ""))
+    return F.when(text.rlike(r"[\t\n\r]"), _let(flat, _credential_in)).otherwise(False)
+
+
+def credential_syntax(text: Column) -> Column:
+    """A URL with user information, or `key=` of a credential name, however broken by line ends."""
+    return _let(scan_text(text), _credential_in) | _joined_credential(text)
 
 
 def private_path(text: Column, operational: Column) -> Column:
     """Credentials or a local path in a text; public text fields may use plain slashes."""
-    scan = F.regexp_replace(scan_text(text), fixed.HTTP_TOKEN, "$1")
-    slashed = scan.rlike(fixed.POSIX_PATH)
-    named = scan.rlike(fixed.PRIVATE_COMPONENT) | scan.rlike(fixed.PRIVATE_DECLARATION)
-    lenient = scan.rlike(fixed.LOCAL_ROOT) | (slashed & named)
-    return (
-        credential_syntax(text) | scan.rlike(fixed.EXPLICIT_PATH) | F.when(operational, lenient).otherwise(slashed)
-    )
+
+    def path_in(scan: Column) -> Column:
+        slash = scan.contains("/")
+        slashed = slash & scan.rlike(fixed.POSIX_PATH)
+        named = scan.rlike(fixed.PRIVATE_COMPONENT) | scan.rlike(fixed.PRIVATE_DECLARATION)
+        lenient = (slash & scan.rlike(fixed.LOCAL_ROOT)) | (slashed & named)
+        return scan.rlike(fixed.EXPLICIT_PATH) | F.when(operational, lenient).otherwise(slashed)
+
+    def in_scan(scan: Column) -> Column:
+        unlinked = F.when(scan.contains("http"), F.regexp_replace(scan, fixed.HTTP_TOKEN, "$1")).otherwise(scan)
+        return _credential_in(scan) | _let(unlinked, path_in)
+
+    return _let(scan_text(text), in_scan) | _joined_credential(text)
 
 
 def _any(names):
@@ -133,8 +157,7 @@ def violations(records: DataFrame, key: str, value: str, root: str) -> DataFrame
         | (note_path & (~is_object | (note_id == "")))
         | (note_field & ~((F.col("key") == "id") & (F.col("shape") == "STRING")))
     )
-    key_scan = scan_text(F.col("key"))
-    bad_key = key_scan.isin(fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS)
+    bad_key = scan_text(F.col("key")).isin(fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS)
     bad_key_text = private_path(F.col("key"), F.lit(False))
     bad_text = F.col("text").contains("\x00") | private_path(F.col("text"), public_text_path(F.col("path")))
     rule = (

@@ -79,7 +79,9 @@ def q10(spark, sf):
 )
 def q11(spark, sf):
     return texts(spark, sf).select(
-        "origin", "id", "turn",
+        "origin",
+        "id",
+        "turn",
         boundary.private_path(F.col("text"), F.lit(False)).alias("strict"),
         boundary.private_path(F.col("text"), F.lit(True)).alias("lenient"),
     )
