@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["scalars", "reads", "checks", "guards"]
+SECTIONS = ["scalars", "reads", "checks", "guards", "outputs"]
 
 
 def load():
