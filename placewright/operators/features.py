@@ -227,7 +227,7 @@ def refresh_tags(snapshot: DataFrame, newer: DataFrame):
     )
     violations = both.select("feature_id", rule.alias("rule")).where("rule is not null")
     added = F.map_filter("new_tags", lambda key, _: ~F.map_contains_key("tags", key))
-    refreshed = both.select(
-        "feature_id", "osm_version", F.map_concat("tags", added).alias("tags"), F.map_keys(added).alias("added")
+    refreshed = both.withColumn("additions", added).select(
+        "feature_id", "osm_version", F.map_concat("tags", "additions").alias("tags"), F.map_keys("additions").alias("added")
     )
     return refreshed, violations

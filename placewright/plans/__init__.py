@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["scalars", "reads", "checks", "guards", "outputs"]
+SECTIONS = ["scalars", "reads", "checks", "guards", "outputs", "rebuilds"]
 
 
 def load():
