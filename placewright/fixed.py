@@ -151,7 +151,7 @@ WITHHOLDABLE_COURSE_FIELDS = [
 ]
 
 # Change intake.
-BATCH_ID = r"\A[A-Za-z0-9][A-Za-z0-9._-]{0,127}\z"
+BATCH_ID = r"[A-Za-z0-9][A-Za-z0-9._-]{0,127}"
 ENTITY_UUID = r"\A[a-z][a-z0-9_]{0,31}-[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 ID_PREFIXES = {
     "facility": "f", "course": "c", "component": "p", "round_option": "r",

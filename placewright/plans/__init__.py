@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-SECTIONS = ["scalars", "reads", "checks", "guards", "outputs", "rebuilds", "reconciles"]
+SECTIONS = ["scalars", "reads", "checks", "guards", "outputs", "rebuilds", "reconciles", "intakes"]
 
 
 def load():
