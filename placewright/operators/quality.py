@@ -61,6 +61,8 @@ def row_rules(table: str, columns) -> dict:
             text = _window(window[1])
         if "{address}" in text:
             present = [c for c in schemas.ADDRESS_COLUMNS if c in columns]
+            if not present:
+                continue
             text = text.replace("{address}", ", ".join(present))
         words = set(re.findall(r"\b[a-z][a-z_]*\b", re.sub(r"'[^']*'", "", text)))
         stated = {w for w in words if w in fields or w.endswith("_id")}

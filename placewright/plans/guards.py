@@ -144,7 +144,7 @@ def q09_shape(spark, sf):
 
 # --- holds -------------------------------------------------------------------------------------
 
-HOLDS = """select case k%3 when 0 then 'publisher' when 1 then 'host' else 'resource' end as kind, case k%3 when 0 then regexp_replace({host}, '^[a-z]+\\.', '')
+HOLDS = """select case k%3 when 0 then 'publisher' when 1 then 'host' else 'resource' end as kind, case k%3 when 0 then regexp_replace({host}, '^[a-z]+\\.([a-z]+\\.example\\.)', '\\1')
  when 1 then regexp_replace({host}, '^www\\.', '') else {identity} end as scope_key from src where k%10=3 or k%10=5 or k%10=7"""
 SQL_IDENTITY = f"""'[null,"' || regexp_replace(lower({SQL_HOST}), '^www\\.', '') || '",null,"' || coalesce(nullif({SQL_PATH},''),'/') || '","' || {SQL_QUERY} || '"]'"""
 
@@ -155,7 +155,7 @@ def hold_list(spark, sf):
     in_force = rows.where((F.col("k") % 10).isin(3, 5, 7))
     return in_force.select(
         F.expr("case k%3 when 0 then 'publisher' when 1 then 'host' else 'resource' end").alias("kind"),
-        F.when(F.col("k") % 3 == 0, F.regexp_replace("host", r"^[a-z]+\.", ""))
+        F.when(F.col("k") % 3 == 0, F.regexp_replace("host", r"^[a-z]+\.([a-z]+\.example\.)", "$1"))
         .when(F.col("k") % 3 == 1, F.regexp_replace("host", r"^www\.", ""))
         .otherwise(holds.canon.resource_identity(F.col("url"), hold=True))
         .alias("scope_key"),

@@ -135,7 +135,7 @@ def applied(spark, sf, again=False):
 )
 def c01_state(spark, sf):
     root, _, _ = applied(spark, sf)
-    return catalog.load(spark, root)["facility"].select("facility_id", "name", "access", F.col("county").cast("int").alias("county"), "physical_holes", "website", "latitude")
+    return catalog.load(spark, root)["facility"].select("facility_id", "name", "access", "county", "physical_holes", "website", "latitude")
 
 
 REPORT_CTE = """select k, (access is distinct from 'public')::int + (county is not null)::int + (physical_holes is distinct from cast(9*(1+k%3) as int))::int as n from f"""
