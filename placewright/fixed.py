@@ -78,9 +78,9 @@ CREDIT_FIELDS = [
     "copyright_notice", "disclaimer_notice",
 ]
 
-# Privacy scan.
+# Privacy scan: the kinds of space that count as a plain one.
 SCAN_SPACE = (
-    r"[\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    r"[\u0009-\u000d\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
 )
 URL_START = r"(^|[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f“”‘’«»])"
 HTTP_TOKEN = URL_START + r"""(https?://[^ <>"'`“”‘’«»]+)"""

@@ -14,17 +14,22 @@ def license_fields(license_map: Column):
     return public, F.array_except(F.map_keys(license_map), known)
 
 
+def one_space(text: Column) -> Column:
+    """Every kind of space as a plain one. Ordinary spaces already are, so they cost nothing."""
+    return F.regexp_replace(text, fixed.SCAN_SPACE, " ")
+
+
 def scan_text(text: Column) -> Column:
     """One kind of space, and A-Z folded; nothing depends on locale."""
-    return ascii_lower(F.regexp_replace(text, fixed.SCAN_SPACE, " "))
+    return ascii_lower(one_space(text))
 
 
 def decode_plain(text: Column) -> Column:
-    """Decode escapes of letters, digits and "._~-" in a scanned text."""
+    """Decode escapes of letters, digits and "._~-"."""
 
     def piece(item: Column, at: Column) -> Column:
         letter = F.char(F.conv(F.substring(item, 1, 2), 16, 10).cast("int"))
-        plain = item.rlike(r"\A[2-7][0-9a-f]") & letter.rlike(r"\A[A-Za-z0-9._~-]\z")
+        plain = item.rlike(r"\A[2-7][0-9a-fA-F]") & letter.rlike(r"\A[A-Za-z0-9._~-]\z")
         decoded = F.concat(letter, F.substring(item, 3, 2**31 - 1))
         return F.when(at == 0, item).when(plain, decoded).otherwise(F.concat(F.lit("%"), item))
 
@@ -40,25 +45,33 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _finds(text: Column, pattern: str) -> Column:
+    """Search folding A-Z only, which is what this flag means without the Unicode one; so the
+    texts themselves need no folding."""
+    return text.rlike("(?i)" + pattern)
+
+
+# Each search below first asks for a character that every match must contain.
+
+
 def _credential(view: Column) -> Column:
-    user = view.contains("http") & (view.contains("@") | view.contains("%40")) & view.rlike(fixed.USERINFO_URL)
-    return user | (view.contains("=") & view.rlike(_KEYS))
+    user = (view.contains("@") | view.contains("%40")) & _finds(view, fixed.USERINFO_URL)
+    return user | (view.contains("=") & _finds(view, _KEYS))
 
 
-def _credential_in(scan: Column) -> Column:
-    decoded = F.when(scan.contains("%"), scan_text(decode_plain(scan))).otherwise(scan)
-    return _let(decoded, _credential)
+def _credential_in(spaced: Column) -> Column:
+    return _let(decode_plain(spaced), _credential)
 
 
 def _joined_credential(text: Column) -> Column:
     """The same rule on the text without tabs and line ends, where it has any."""
-    flat = scan_text(F.regexp_replace(text, r"[\t\n\r]", ""))
+    flat = one_space(F.regexp_replace(text, r"[\t\n\r]", ""))
     return F.when(text.rlike(r"[\t\n\r]"), _let(flat, _credential_in)).otherwise(False)
 
 
 def credential_syntax(text: Column) -> Column:
     """A URL with user information, or `key=` of a credential name, however broken by line ends."""
-    return _let(scan_text(text), _credential_in) | _joined_credential(text)
+    return _let(one_space(text), _credential_in) | _joined_credential(text)
 
 
 def private_path(text: Column, operational: Column) -> Column:
@@ -66,16 +79,18 @@ def private_path(text: Column, operational: Column) -> Column:
 
     def path_in(scan: Column) -> Column:
         slash = scan.contains("/")
-        slashed = slash & scan.rlike(fixed.POSIX_PATH)
-        named = scan.rlike(fixed.PRIVATE_COMPONENT) | scan.rlike(fixed.PRIVATE_DECLARATION)
-        lenient = (slash & scan.rlike(fixed.LOCAL_ROOT)) | (slashed & named)
-        return scan.rlike(fixed.EXPLICIT_PATH) | F.when(operational, lenient).otherwise(slashed)
-
-    def in_scan(scan: Column) -> Column:
-        unlinked = F.when(scan.contains("http"), F.regexp_replace(scan, fixed.HTTP_TOKEN, "$1")).otherwise(scan)
-        return _credential_in(scan) | _let(unlinked, path_in)
-
-    return _let(scan_text(text), in_scan) | _joined_credential(text)
+        slashed = slash & _finds(scan, fixed.POSIX_PATH)
+        named = _finds(scan, fixed.PRIVATE_COMPONENT) | _finds(scan, fixed.PRIVATE_DECLARATION)
+        lenient = (slash & _finds(scan, fixed.LOCAL_ROOT)) | (slashed & named)
+        drive = (scan.contains(":") | scan.contains("\\")) & _finds(scan, fixed.EXPLICIT_PATH)
+        return drive | F.when(operational, lenient).otherwise(slashed)
+
+    def in_scan(spaced: Column) -> Column:
+        linked = F.regexp_replace(spaced, "(?i)" + fixed.HTTP_TOKEN, "$1")
+        unlinked = F.when(spaced.contains("://"), linked).otherwise(spaced)
+        return _credential_in(spaced) | _let(unlinked, path_in)
+
+    return _let(one_space(text), in_scan) | _joined_credential(text)
 
 
 def _any(names):
