@@ -333,6 +333,23 @@ def course_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
     )
 
 
+def cards_of(bundle: dict, course_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
+    """Cards of some courses only, as after a change: every table is cut down before nesting."""
+    part = dict(bundle)
+    for name in ("course", "component", "alias"):
+        part[name] = bundle[name].join(course_ids, "course_id", "left_semi")
+    part["tee_set"] = bundle["tee_set"].join(course_ids, "course_id", "left_semi")
+    belongs = membership(bundle["round_option"], bundle["round_component"], bundle["component"])
+    rounds = belongs.join(course_ids, "course_id", "left_semi").select("round_id").distinct()
+    part["round_option"] = bundle["round_option"].join(rounds, "round_id", "left_semi")
+    part["round_component"] = bundle["round_component"].join(rounds, "round_id", "left_semi")
+    # A member component may belong to a course that is not asked for, so all of these stay.
+    played = part["round_component"].select("component_id").distinct()
+    kept = bundle["component"].join(played, "component_id", "left_semi").unionByName(part["component"])
+    part["component"] = kept.dropDuplicates(["component_id"])
+    return course_cards(part, limit).join(course_ids, "course_id", "left_semi")
+
+
 def round_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
     """Rounds with their members in playing order and their tees."""
     rounds = bundle["round_option"].withColumn(

@@ -113,10 +113,10 @@ def counts(released: dict, features: DataFrame, result: dict) -> DataFrame:
 
     kept = feature_ops.publishable(features, mapping).agg(F.count("*").alias("published_features"))
     every = features.agg(F.count("*").alias("input_features"))
-    parts = [split("facilities"), split("courses"), size("facilities"), size("courses"), kept, every]
-    # Each part is a single row.
-    joined = reduce(lambda a, b: a.crossJoin(b), parts)
-    return joined.withColumn("excluded_features", F.col("input_features") - F.col("published_features")).withColumn(
+    parts = [split("facilities"), split("courses"), size("facilities"), size("courses"), kept]
+    # Each part is a single row, so each of its values is a scalar of the result.
+    values = [part.select(name).scalar().alias(name) for part in parts for name in part.columns]
+    return every.select("*", *values).withColumn("excluded_features", F.col("input_features") - F.col("published_features")).withColumn(
         "new_features", F.col("new_facilities") + F.col("new_courses")
     )
 

@@ -145,8 +145,15 @@ def merge_scalars(facilities: DataFrame, sources: DataFrame, fields) -> DataFram
     # The location is taken whole, from the first source that has one.
     place = F.struct("latitude", "longitude", "location_kind")
     collected.append(F.min_by(place, F.when(F.col("latitude").isNotNull(), F.col("ordinal"))).alias("_place"))
+    # So is the observed feature, where the target has none; later ones stay citations.
+    observed = "osm_identity" in facilities.columns and "source_url" in facilities.columns
+    if observed:
+        first = F.when(F.col("source_url").isNotNull(), F.col("ordinal"))
+        collected.append(F.min_by(F.coalesce("osm_identity", "facility_id"), first).alias("_feature"))
     merged = sources.groupBy(F.col("target_id").alias("facility_id")).agg(*collected)
     joined = facilities.join(merged, "facility_id", "left")
+    if observed:
+        joined = joined.withColumn("osm_identity", F.coalesce("osm_identity", "_feature"))
     adopt = F.col("latitude").isNull()
     columns = {name: F.coalesce("_win_" + name, F.col(name), F.col("_fill_" + name)) for name in fields}
     columns |= {
@@ -214,24 +221,35 @@ def merge_aliases(steps: DataFrame, existing: DataFrame) -> DataFrame:
     )
 
 
-def merge_citations(facilities: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations of each target in order: its own, then each source's, then the merged feature's.
-
-    One row per citation: (facility_id, position, citation); repeats are dropped.
-    """
+def listed_items(facilities: DataFrame, sources: DataFrame, column: str, name: str) -> DataFrame:
+    """Items of a list column of each target and then of its sources, one row per item."""
     targets = sources.select(F.col("target_id").alias("facility_id")).distinct()
     own = facilities.join(targets, "facility_id", "left_semi").select(
-        "facility_id", F.lit(-1).cast("long").alias("step"), F.posexplode("fact_sources").alias("at", "citation")
+        "facility_id", F.lit(-1).cast("long").alias("step"), F.posexplode(column).alias("at", name)
     )
     theirs = sources.select(
-        F.col("target_id").alias("facility_id"), F.col("ordinal").cast("long").alias("step"), F.posexplode("fact_sources").alias("at", "citation")
+        F.col("target_id").alias("facility_id"), F.col("ordinal").cast("long").alias("step"), F.posexplode(column).alias("at", name)
     )
+    return own.unionByName(theirs)
+
+
+def merge_entities(facilities: DataFrame, sources: DataFrame) -> DataFrame:
+    """Linked entities of each target and its sources, in order and without repeats."""
+    rows = listed_items(facilities, sources, "wikidata", "entity").withColumn("position", F.struct("step", "at"))
+    return append_unique(rows, "facility_id", "position", "entity")
+
+
+def merge_citations(facilities: DataFrame, sources: DataFrame) -> DataFrame:
+    """Citations of each target in order: its own, then each source's, then the merged feature's.
+
+    One row per citation: (facility_id, position, citation); repeats are dropped.
+    """
     observed = feature_ops.citation(F.array(F.lit("osm")), "reconciled_osm_observation", F.col("facility_id"))
     attached = sources.where(F.col("source_url").isNotNull()).select(
         F.col("target_id").alias("facility_id"), F.col("ordinal").cast("long").alias("step"), F.lit(1_000_000_000).alias("at"), observed.alias("citation")
     )
-    rows = own.unionByName(theirs).unionByName(attached).withColumn("position", F.struct("step", "at"))
-    return append_unique(rows, "facility_id", "position", "citation")
+    rows = listed_items(facilities, sources, "fact_sources", "citation").unionByName(attached)
+    return append_unique(rows.withColumn("position", F.struct("step", "at")), "facility_id", "position", "citation")
 
 
 # --- archiving, courses, destinations ----------------------------------------------------------
@@ -336,12 +354,24 @@ PARENT_FIELDS = ["name", "access", "operating_status", "physical_holes", "websit
 
 
 def refresh_children(courses: DataFrame, facilities: DataFrame, affected: DataFrame) -> DataFrame:
-    """Recompute the parent columns of courses of affected facilities only."""
+    """Recompute the parent columns of courses of affected facilities only.
+
+    State and country come from the facility; where it has none, from the course's own address.
+    """
     shown = [n for n in PARENT_FIELDS if n in facilities.columns and "facility_" + n in courses.columns]
+    plain = [n for n in ("county", "inventory_complete") if n in facilities.columns and n in courses.columns]
+    placed = {n: a for n, a in (("state", "address_region"), ("country", "address_country")) if n in facilities.columns and n in courses.columns}
     part = courses.join(affected, "facility_id", "left_semi")
     rest = courses.join(affected, "facility_id", "left_anti")
-    parents = facilities.join(affected, "facility_id", "left_semi").select("facility_id", *[F.col(n).alias("_p_" + n) for n in shown])
-    fresh = part.join(parents, "facility_id", "left").withColumns({"facility_" + n: F.col("_p_" + n) for n in shown})
+    taken = [F.col(n).alias("_p_" + n) for n in dict.fromkeys([*shown, *plain, *placed])]
+    parents = facilities.join(affected, "facility_id", "left_semi").select("facility_id", *taken)
+    new = {"facility_" + n: F.col("_p_" + n) for n in shown} | {n: F.col("_p_" + n) for n in plain}
+    for name, address in placed.items():
+        own = F.lit(None).cast("string")
+        if address in courses.columns and "address_mode" in courses.columns:
+            own = F.when(F.col("address_mode").isin("own", "override"), F.col(address))
+        new[name] = F.coalesce("_p_" + name, own)
+    fresh = part.join(parents, "facility_id", "left").withColumns(new)
     return fresh.select(*courses.columns).unionByName(rest)
 
 

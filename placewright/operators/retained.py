@@ -16,13 +16,15 @@ def _map_differences(proposals: DataFrame, column: str, actual: DataFrame, name:
 
 
 def course_evidence_violations(
-    proposals: DataFrame, facilities: DataFrame, courses: DataFrame, evidence: DataFrame, notes: DataFrame, sources: DataFrame, held_ids: DataFrame
+    proposals: DataFrame, seen: DataFrame, facilities: DataFrame, courses: DataFrame, evidence: DataFrame, notes: DataFrame, sources: DataFrame,
+    held_ids: DataFrame,
 ) -> DataFrame:
     """(ordinal, rule): the first rule each proposed course breaks.
 
     `proposals`: ordinal, facility_id, facility_digest, retained_evidence_digest, note_digests,
-    support_indexes, source_digests, review_reference, course_inventory_digests (NULL for the
-    single-course form) and values, a struct of WRITABLE plus other_fields.
+    support_indexes, source_digests, review_reference, extended (false for the single-course
+    form) and values, a struct of WRITABLE plus other_fields. `seen`: ordinal, course_id, wanted,
+    the inventory an extended proposal was made on, one row per course.
     `facilities`: facility_id, name, physical_holes, digest. `courses`: course_id, facility_id,
     digest. `evidence`: facility_id, digest, notes, support(fields, source, note), listed_sources.
     `notes`: id, digest. `sources`: source_id, digest, intake_policy.
@@ -39,8 +41,7 @@ def course_evidence_violations(
 
     # The whole inventory before the batch must be what the proposal saw: compare both ways,
     # row against row, so that a facility with very many courses is never gathered.
-    extended = proposals.where(F.col("course_inventory_digests").isNotNull())
-    seen = extended.select("ordinal", F.explode("course_inventory_digests").alias("course_id", "wanted"))
+    extended = proposals.where("extended")
     actual = extended.select("ordinal", "facility_id").join(owned, "facility_id").select("ordinal", "course_id", "digest")
     both = seen.join(actual, ["ordinal", "course_id"], "full_outer")
     inventory = both.where(~F.col("wanted").eqNullSafe(F.col("digest"))).select("ordinal", F.lit(True).alias("inventory_changed")).distinct()
@@ -76,7 +77,7 @@ def course_evidence_violations(
     same_sources = (F.size(F.array_except(wanted_sources, given_sources)) == 0) & (F.size(F.array_except(given_sources, wanted_sources)) == 0)
     unrelated = F.size(F.array_except(given_sources, "listed_sources")) > 0
     values = F.col("values")
-    single = F.col("course_inventory_digests").isNull()
+    single = ~F.col("extended")
     holes = values["physical_holes"]
     single_values = (
         (values["name"].isNull() | values["name"].eqNullSafe(F.col("f_name"))) & holes.eqNullSafe(F.col("f_holes")) & F.coalesce(holes > 0, F.lit(False))

@@ -61,7 +61,7 @@ def judged_batch(spark, sf):
     good = good_source(tables["source"], holds.held(tables["source"], in_force))
     own = T(spark, sf, "f").selectExpr("k as ordinal", "'facility' as entity", f"{F_ID} as id", f"{FAC_VALUES} as values", "k")
     kids = T(spark, sf, "c").selectExpr("k+1000000000 as ordinal", "'course' as entity", f"{C_ID} as id", f"{CRS_VALUES} as values", "k")
-    rows = with_digest(own.unionByName(kids), tables).crossJoin(F.broadcast(good))
+    rows = with_digest(own.unionByName(kids), tables).select("*", good.scalar().alias("good_source"))
     batch = rows.withColumns({
         "id": F.expr("case when k%20=6 then 'f-1' else id end"),
         "expected": F.expr("case when k%20=7 then 'stale' when k%20=6 then null else digest end"),
@@ -117,7 +117,7 @@ def applied(spark, sf, again=False):
         "s_suppkey+2000000000 as ordinal", "'facility' as entity", UUID.format(p="f", k="s_suppkey+500000000000") + " as id",
         """'{"name":"' || s_name || '","country":"US","latitude":1.5,"longitude":2.5,"location_kind":"property_point"}' as values""",
     )
-    rows = with_digest(own.unionByName(new), stored).crossJoin(F.broadcast(good))
+    rows = with_digest(own.unionByName(new), stored).select("*", good.scalar().alias("good_source"))
     batch = rows.selectExpr(
         "ordinal", "entity", "id", "digest as expected", "values", "good_source as source_id", "'2026-02-03' as collected_on", "'confirmed' as status", *EMPTY
     )
@@ -256,15 +256,13 @@ def retained_inputs(spark, sf):
     sources = own.select(
         source.alias("source_id"), F.sha1(source).alias("digest"), F.when(m == 11, "blocked").otherwise("permitted").alias("intake_policy")
     )
-    # The inventory each extended proposal saw; one facility's list here, as proposals carry it.
-    seen = courses.where(F.col("facility_id").isNotNull()).groupBy("facility_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("course_id", "digest"))).alias("inventory")
-    )
     empty = F.expr("cast(map() as map<string,string>)")
-    joined = own.join(seen, "facility_id", "left").withColumn("inventory", F.coalesce("inventory", empty))
-    changed = F.transform_values("inventory", lambda key, value: F.concat(value, F.lit("!")))
     extended = F.col("k") % 2 == 0
-    proposals = joined.select(
+    # The inventory each extended proposal saw; some saw an older one.
+    wanted = F.when(m == 2, F.concat("c_digest", F.lit("!"))).otherwise(F.col("c_digest"))
+    kids = courses.select("course_id", "facility_id", F.col("digest").alias("c_digest"))
+    seen = own.where(extended).join(kids, "facility_id").select(F.col("k").alias("ordinal"), "course_id", wanted.alias("wanted"))
+    proposals = own.select(
         F.col("k").alias("ordinal"),
         "facility_id",
         F.when(m == 1, "0").otherwise(F.col("digest")).alias("facility_digest"),
@@ -273,14 +271,14 @@ def retained_inputs(spark, sf):
         F.when(m == 7, F.array(F.lit(0), F.lit(9))).when(m == 8, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(2))).alias("support_indexes"),
         F.when(m == 9, empty).when(m == 10, F.create_map(source, F.lit("0"))).otherwise(F.create_map(source, F.sha1(source))).alias("source_digests"),
         F.when(m == 12, " ").otherwise("review/1").alias("review_reference"),
-        F.when(extended, F.when(m == 2, changed).otherwise(F.col("inventory"))).alias("course_inventory_digests"),
+        extended.alias("extended"),
         F.struct(
             "facility_id", "name", "physical_holes", F.lit("operator_defined").alias("identity_status"), F.lit("golf").alias("game_kind"),
             F.lit("inherit").alias("address_mode"), F.when(m == 3, F.array(F.lit("access"))).alias("other_fields"),
         ).alias("values"),
     )
     held = sources.where("false").select("source_id")
-    return proposals, (own.drop("k"), courses, evidence, notes, sources, held)
+    return proposals, (seen, own.drop("k"), courses, evidence, notes, sources, held)
 
 
 @query(

@@ -472,10 +472,8 @@ def a14(spark, sf):
 )
 def o01(spark, sf):
     total, page = browse.query_facilities(bundle(spark, sf), limit=50, offset=10, country="EUROPE", access="public")
-    # The total is one row.
-    return page.crossJoin(F.broadcast(total)).select(
-        "facility_id", "name", "total", (F.col("total") > 60).alias("has_more")
-    )
+    counted = page.select("facility_id", "name", total.scalar().alias("total"))
+    return counted.withColumn("has_more", F.col("total") > 60)
 
 
 SQL_ENTRIES = """select c.course_id as record_id, c.course_id, c.facility_id, coalesce(c.facility_id, c.course_id) as group_id,
@@ -527,7 +525,7 @@ def o04(spark, sf):
         rows, browse.course_matches(access="public", holes="18"), limit=20, active_course="c-25", active_facility="f-3",
         focused_group="f-1111",
     )
-    return window.crossJoin(F.broadcast(more)).select("record_id", "group_rank", "more")
+    return window.select("record_id", "group_rank", more.scalar().alias("more"))
 
 
 @query(
@@ -542,7 +540,7 @@ def o04(spark, sf):
 def o04_holes(spark, sf):
     rows = browse.entries(T(spark, sf, "f"), T(spark, sf, "c"))
     window, more = ordering.browse_window(rows, browse.course_matches(access="unknown"), sort="holes", limit=60)
-    return window.crossJoin(F.broadcast(more)).select("record_id", "group_rank", "more")
+    return window.select("record_id", "group_rank", more.scalar().alias("more"))
 
 
 @query(

@@ -128,12 +128,21 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
     return guarded, bad, conflicts, after
 
 
-def apply_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame, hold_list: DataFrame, apply=False) -> dict:
-    """Preview or commit one batch, all or nothing; the same batch again returns its report."""
+def apply_batch(
+    spark: SparkSession, root: str, batch_id: str, batch: DataFrame, hold_list: DataFrame, apply=False, declared: DataFrame | None = None
+) -> dict:
+    """Preview or commit one batch, all or nothing; the same batch again returns its report.
+
+    `declared` are sources the batch brings along: ordinal, source_id, url, license, attribution,
+    controls_reference. They are registered as permitted before the changes are judged.
+    """
     if not re.fullmatch(fixed.BATCH_ID, batch_id):
         raise ValueError("invalid batch id")
     batch = settle(batch, "batch")
     digest = canon.table_digest(batch).first()["table_sha256"]
+    if declared is not None:
+        declared = settle(declared, "declared")
+        digest += canon.table_digest(declared).first()["table_sha256"]
     stored = _stored_batch(spark, root, batch_id)
     if stored:
         if stored["digest"] != digest:
@@ -141,8 +150,19 @@ def apply_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame,
         return json.loads(stored["report"]) | {"state": "already_applied"}
     version = current_version(spark, root)
     tables = load(spark, root, version)
-    guarded, bad, conflicts, after = judge_batch(tables, batch, hold_list)
     report = {"batch_id": batch_id, "digest": digest, "state": "preview", "committed": False, "revision_before": version}
+    registered = {}
+    if declared is not None:
+        judged = holds.register_sources(declared, tables["source"], hold_list)
+        refused = judged.where(F.col("rule").isNotNull()).orderBy("ordinal").first()
+        if refused:
+            return report | {"state": "rejected", "reason": refused["rule"], "source_id": refused["source_id"]}
+        columns = tables["source"].columns
+        new = declared.withColumn("intake_policy", F.lit("permitted")).select(*columns)
+        registered = {"source": settle(tables["source"].unionByName(new), "sources")}
+        report["sources_added"] = declared.count()
+        tables = tables | registered
+    guarded, bad, conflicts, after = judge_batch(tables, batch, hold_list)
     first = bad.orderBy("ordinal", "rule").first()
     if first:
         return report | {"state": "rejected", "reason": first["rule"], "ordinal": first["ordinal"]}
@@ -165,6 +185,7 @@ def apply_batch(spark: SparkSession, root: str, batch_id: str, batch: DataFrame,
         return report | {"state": "conflicted"}
     if apply:
         report |= {"state": "applied", "committed": True, "revision_after": version + 1}
+        after = registered | after
         kept = {n: p for n, p in _table_paths(spark, root, version).items() if n not in after}
         _publish(spark, root, version + 1, after, kept, (batch_id, digest, json.dumps(report)))
     return report

@@ -29,7 +29,8 @@ def write_rows(rows: DataFrame, path: str) -> dict:
         return F.coalesce(value, F.lit(fixed.CSV_NULL)).alias(field.name)
 
     cells = rows.select(*[cell(f) for f in rows.schema])
-    cells.write.options(header=True, emptyValue="", lineSep="\n", **_DIALECT).csv(path)
+    # Files stay small, since a file is later read by one task.
+    cells.write.options(header=True, emptyValue="", lineSep="\n", maxRecordsPerFile=1_000_000, **_DIALECT).csv(path)
     return kinds
 
 

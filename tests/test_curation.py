@@ -387,3 +387,15 @@ def test_duplicates_are_flagged_without_pairs(spark):
     flagged, members = changes.possible_duplicates(rows, rows.select("id"), "id", ["country"])
     assert flagged.count() == 1500 and members.count() == 1500
     assert flagged.select("others").distinct().collect()[0]["others"] == 1499
+
+
+def test_a_batch_may_bring_its_source(spark, stored, no_holds):
+    rows = batch(spark, ("facility", uid("f", 8), None, {"name": "Eight", "country": "US"}), source="s-9")
+    schema = "ordinal int, source_id string, url string, license string, attribution string, controls_reference string"
+    good = spark.createDataFrame([(0, "s-9", "https://new.example.com/a", None, None, "review/9")], schema)
+    again = spark.createDataFrame([(0, "s-9", "https://ok.example.com:443", None, None, "review/9")], schema)
+    held = spark.createDataFrame([(0, "s-9", "https://x.example.org/", None, None, "review/9")], schema)
+    run = lambda declared, apply=False: catalog.apply_batch(spark, stored, "b-9", rows, no_holds, apply=apply, declared=declared)
+    assert run(again)["reason"] == "already registered" and run(held)["reason"] == "source is held"
+    assert run(good, True)["state"] == "applied"
+    assert "s-9" in ids(catalog.load(spark, stored)["source"], "source_id")
