@@ -221,6 +221,11 @@ def entries(facilities: DataFrame, courses: DataFrame) -> DataFrame:
     return shown.unionByName(childless)
 
 
+def in_groups(browse_entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries of the given groups; `groups` has group_id."""
+    return browse_entries.join(groups.select("group_id").distinct(), "group_id", "left_semi")
+
+
 def sibling_groups(courses: DataFrame) -> DataFrame:
     """Facilities with two or more courses. Courses without a facility have no siblings."""
     return (

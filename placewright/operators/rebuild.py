@@ -77,7 +77,9 @@ def rebuild(released: dict, features: DataFrame, entities: DataFrame, pairs: Dat
         )
         none = F.array().cast(rows.schema["fact_sources"].dataType)
         cited = F.concat("fact_sources", F.coalesce(own, none), F.coalesce("entity_citations", none))
-        result[kind] = filled.withColumn("fact_sources", cited).drop("entity_citations", "source_url", "checked_on", "credit")
+        rebuilt = filled.withColumn("fact_sources", cited).drop("entity_citations", "source_url", "checked_on", "credit")
+        # Read again by the receipt, the counts and the proof, so each kind is written once.
+        result[kind] = settle(rebuilt, "rebuilt")
         columns = sorted(rows.columns)
         receipts.append(
             rows.select(

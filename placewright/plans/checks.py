@@ -317,7 +317,7 @@ def j15(spark, sf):
 @query(
     "a03_inventory_rule",
     cte("f", "c")
-    + """select f.facility_id as id, sum(c.physical_holes) as holes from f join c on c.facility_id=f.facility_id
+    + """select f.facility_id as id, cast(sum(c.physical_holes) as bigint) as holes from f join c on c.facility_id=f.facility_id
  where f.inventory_complete and f.physical_holes is not null and c.identity_status<>'component' group by f.facility_id, f.physical_holes
  having count(c.physical_holes)=count(*) and sum(c.physical_holes)<>f.physical_holes""",
 )

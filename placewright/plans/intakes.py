@@ -130,7 +130,7 @@ def applied(spark, sf, again=False):
 @query(
     "c01_applied_state",
     cte("f")
-    + """select 'f-00000000-0000-4000-8000-' || lpad(cast(k as varchar),12,'0') as facility_id, name, 'public' as access, null as county, cast(9*(1+k%3) as int) as physical_holes, website, latitude from f
+    + """select 'f-00000000-0000-4000-8000-' || lpad(cast(k as varchar),12,'0') as facility_id, name, 'public' as access, cast(null as varchar) as county, cast(9*(1+k%3) as int) as physical_holes, website, latitude from f
  union all select 'f-00000000-0000-4000-8000-' || lpad(cast(s_suppkey+500000000000 as varchar),12,'0'), s_name, null, null, null, null, 1.5 from supplier""",
 )
 def c01_state(spark, sf):
@@ -144,7 +144,7 @@ REPORT_CTE = """select k, (access is distinct from 'public')::int + (county is n
 @query(
     "c01_repeated_batch",
     cte("f", extra={"d": REPORT_CTE})
-    + """select state, true as committed, (select count(*) from supplier) as added, (select count(*) from d where n>0) as updated, (select sum(n) from d) as changed_fields, (select count(*) from supplier) + (select count(*) from d where n>0) as distinct_facilities, 2 as version
+    + """select state, true as committed, (select count(*) from supplier) as added, (select count(*) from d where n>0) as updated, (select cast(sum(n) as bigint) from d) as changed_fields, (select count(*) from supplier) + (select count(*) from d where n>0) as distinct_facilities, cast(2 as bigint) as version
  from (select unnest(['applied','already_applied']) as state)""",
 )
 def c01_repeat(spark, sf):
@@ -179,7 +179,7 @@ def c18(spark, sf):
 @query(
     "a09_batch_report",
     cte("f", extra={"d": REPORT_CTE})
-    + "select (select count(*) from d where k%30=0) as added, (select count(*) from d where n>0) as updated, (select sum(n) from d) as changed_fields, (select count(distinct state) from f) as distinct_facilities",
+    + "select (select count(*) from d where k%30=0) as added, (select count(*) from d where n>0) as updated, (select cast(sum(n) as bigint) from d) as changed_fields, (select count(distinct state) from f) as distinct_facilities",
 )
 def a09(spark, sf):
     # Grouped by state here, so that several changed rows share an owner.

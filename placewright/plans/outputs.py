@@ -177,7 +177,7 @@ def release_tables(spark, sf):
 @query(
     "s08_release_manifest",
     sql_release()
-    + "select 'facilities' as name, row_count, sha256 from f_t union all select 'courses', row_count, sha256 from c_t union all select 'release', (select sum(row_count) from (select row_count from f_t union all select row_count from c_t)), (select sha256('courses:' || c_t.sha256 || ',facilities:' || f_t.sha256) from c_t, f_t)",
+    + "select 'facilities' as name, row_count, sha256 from f_t union all select 'courses', row_count, sha256 from c_t union all select 'release', (select cast(sum(row_count) as bigint) from (select row_count from f_t union all select row_count from c_t)), (select sha256('courses:' || c_t.sha256 || ',facilities:' || f_t.sha256) from c_t, f_t)",
 )
 def s08(spark, sf):
     manifest = releases.write_release(spark, release_tables(spark, sf), new_folder(spark, "release"))
@@ -219,7 +219,7 @@ def s10(spark, sf):
 @query(
     "s11_snapshot_and_restore",
     sql_release()
-    + "select 'facilities' as name, row_count, sha256, 0 as violations from f_t union all select 'courses', row_count, sha256, 0 from c_t",
+    + "select 'facilities' as name, row_count, sha256, cast(0 as bigint) as violations from f_t union all select 'courses', row_count, sha256, 0 from c_t",
 )
 def s11(spark, sf):
     path = new_folder(spark, "snapshot")

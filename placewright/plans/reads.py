@@ -160,6 +160,16 @@ def f09(spark, sf):
     return features.publishable(features.records(tagged(spark, sf)), matched).select("feature_id")
 
 
+@query(
+    "f07_browse_groups",
+    cte("f", "c", "al")
+    + "select c.course_id as record_id from c where c.facility_id in (select facility_id from al where facility_id is not null) union all select facility_id from f where facility_id in (select facility_id from al where facility_id is not null) and facility_id not in (select facility_id from c where facility_id is not null)",
+)
+def f07_groups(spark, sf):
+    wanted = T(spark, sf, "al").where(F.col("facility_id").isNotNull()).select(F.col("facility_id").alias("group_id"))
+    return browse.in_groups(browse.entries(T(spark, sf, "f"), T(spark, sf, "c")), wanted).select("record_id")
+
+
 @query(
     "f11_search_choice_scope",
     cte("f")
@@ -517,7 +527,7 @@ def o03(spark, sf):
         "n": "select group_id, row_number() over (order by promo, first) as group_rank from g",
         "shown": "select group_id, case when group_rank<=20 then group_rank else 1000000 end as group_rank from n where group_rank<=20 or group_id='f-1111'",
     })
-    + "select k.record_id, shown.group_rank, (select count(*) from n where group_rank>20 and group_id<>'f-1111')>0 as more from k join shown on shown.group_id=k.group_id",
+    + "select k.record_id, cast(shown.group_rank as int) as group_rank, (select count(*) from n where group_rank>20 and group_id<>'f-1111')>0 as more from k join shown on shown.group_id=k.group_id",
 )
 def o04(spark, sf):
     rows = browse.entries(T(spark, sf, "f"), T(spark, sf, "c"))
@@ -535,7 +545,7 @@ def o04(spark, sf):
         "g": "select group_id, min(row(physical_holes is null, coalesce(physical_holes,0), label, record_id)) as first, max(case when facility_id is null then 1 else 0 end) as orphan from e where access is null group by 1",
         "n": "select group_id, row_number() over (order by orphan desc, first) as group_rank from g",
     })
-    + "select e.record_id, n.group_rank, (select count(*) from n where group_rank>60)>0 as more from e join n on n.group_id=e.group_id where e.access is null and n.group_rank<=60",
+    + "select e.record_id, cast(n.group_rank as int) as group_rank, (select count(*) from n where group_rank>60)>0 as more from e join n on n.group_id=e.group_id where e.access is null and n.group_rank<=60",
 )
 def o04_holes(spark, sf):
     rows = browse.entries(T(spark, sf, "f"), T(spark, sf, "c"))
