@@ -22,13 +22,13 @@ def row_digest(*columns) -> Column:
     return F.sha2(canonical_json(*columns), 256)
 
 
-def table_digest(rows: DataFrame, *columns) -> DataFrame:
+def table_digest(rows: DataFrame, *columns, row_count: int | None = None) -> DataFrame:
     """One order-free digest of a whole table, as a tree of bounded groups.
 
     Equal rows are counted first, so copies of one row cannot fill a group. The leaves are
     groups of digests sharing a prefix; the prefix grows with the table, so that a leaf holds
     a few thousand digests at most in expectation, and each level above folds at most 4096
-    children.
+    children. The row count is taken here unless the caller already knows it.
     """
     columns = columns or rows.columns
     counted = (
@@ -36,7 +36,7 @@ def table_digest(rows: DataFrame, *columns) -> DataFrame:
         .groupBy("digest")
         .agg(F.count("*").alias("copies"))
     )
-    width = leaf_width(rows.count())
+    width = leaf_width(rows.count() if row_count is None else row_count)
     node = counted.select(
         F.substring("digest", 1, width).alias("prefix"),
         F.concat_ws(":", "digest", F.col("copies").cast("string")).alias("part"),
@@ -49,7 +49,7 @@ def table_digest(rows: DataFrame, *columns) -> DataFrame:
         )
         if width == 0:
             break
-        width -= 3
+        width = max(width - 3, 0)
         node = node.select(
             F.substring("prefix", 1, width).alias("prefix"),
             F.concat_ws(":", "prefix", "hash").alias("part"),
@@ -62,10 +62,10 @@ def table_digest(rows: DataFrame, *columns) -> DataFrame:
 
 
 def leaf_width(row_count: int) -> int:
-    """Hex digits of the leaf prefix: 3 more for every factor of 4096 above 4096 x 4096 rows."""
+    """Hex digits of the leaf prefix: 3, and one more for every factor of 16 above 4096 x 4096 rows."""
     width = 3
     while row_count > 4096 * 16**width:
-        width += 3
+        width += 1
     return width
 
 

@@ -26,6 +26,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = folder or spark.conf.get("spark.checkpoint.dir", None)
     folder = folder or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="placewright-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
