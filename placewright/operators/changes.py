@@ -48,12 +48,16 @@ def envelope_violations(changes: DataFrame) -> DataFrame:
 
 
 def guarded(changes: DataFrame, current: dict) -> DataFrame:
-    """Changes with the digest of the row they meet and whether that is what they expected."""
-    digests = [
-        row_digests(current[entity], schemas.KEYS[entity]).withColumn("entity", F.lit(entity))
-        for entity in schemas.KEYS
-        if entity in current
-    ]
+    """Changes with the digest of the row they meet and whether that is what they expected.
+
+    Only rows a change names are digested; a small batch is broadcast to each table's scan.
+    """
+    digests = []
+    for entity, key in schemas.KEYS.items():
+        if entity in current:
+            named = changes.where(F.col("entity") == entity).select(F.col("id").alias(key)).distinct()
+            met = current[entity].join(named, key, "left_semi")
+            digests.append(row_digests(met, key).withColumn("entity", F.lit(entity)))
     known = reduce(DataFrame.unionByName, digests).withColumnRenamed("digest", "current_digest")
     joined = changes.join(known, ["entity", "id"], "left")
     return joined.withColumn("stale", ~F.col("expected").eqNullSafe(F.col("current_digest")))
@@ -175,7 +179,7 @@ def report_counts(report_rows: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
-def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same, limit=10_000):
+def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same):
     """New rows that share a folded name and `same` columns with others.
 
     Returns (flagged, members): one row per flagged new id with the key of its group and the
@@ -185,10 +189,12 @@ def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same, limit
     folded = ascii_lower(F.trim("name"))
     group = F.sha2(F.to_json(F.array(folded, *[F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("~")) for n in same])), 256)
     named = rows.where(F.coalesce("name", F.lit("")) != "").select(key, group.alias("group_key"))
-    counted = named.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     fresh = named.join(added.select(F.col("id").alias(key)), key, "left_semi")
+    # Only groups of new rows matter, so the table is cut down to those before it is counted.
+    near = named.join(fresh.select("group_key").distinct(), "group_key", "left_semi")
+    counted = near.groupBy("group_key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     flagged = fresh.join(counted, "group_key").select(key, "group_key", (F.col("n") - 1).alias("others"))
-    members = named.join(flagged.select("group_key").distinct(), "group_key", "left_semi")
+    members = near.join(counted, "group_key", "left_semi")
     return flagged, members
 
 

@@ -93,13 +93,18 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
     """
     guarded = settle(changes.guarded(batch, tables), "guarded")
     live = guarded.where(~F.col("stale"))
-    held = holds.held(tables["source"], hold_list)
+    # Only the observations and sources that the batch cites are read closely.
+    used = live.select("source_id")
     observations = tables.get("source_observation")
     if observations is None:
         none = "observation_id string, source_id string, collected_on string, status string, origin string, digest string"
         observations = batch.sparkSession.createDataFrame([], none)
     else:
+        observations = observations.join(live.select("observation_id").distinct(), "observation_id", "left_semi")
         observations = observations.withColumn("digest", canon.row_digest(*sorted(observations.columns)))
+        used = used.unionByName(observations.select("source_id"))
+    sources = settle(tables["source"].join(used.distinct(), "source_id", "left_semi"), "used")
+    held = holds.held(sources, hold_list)
     fact = live.withColumn("fact_observation_id", F.get_json_object("values", "$.observation_id")).withColumn(
         "before_observation_id", F.lit(None).cast("string")
     )
@@ -108,7 +113,7 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
         changes.envelope_violations(guarded)
         .unionByName(changes.value_violations(live, entities))
         .unionByName(changes.moved_subjects(live, {e: tables[e] for e in entities}))
-        .unionByName(changes.evidence_violations(fact, tables["source"], observations, held))
+        .unionByName(changes.evidence_violations(fact, sources, observations, held))
         .unionByName(changes.late_parents(live))
     )
     after, flags = {}, []
