@@ -201,16 +201,15 @@ def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same):
 def late_parents(changes: DataFrame) -> DataFrame:
     """(ordinal, rule) of additions whose parent is added later in the same batch."""
     additions = changes.where(F.col("expected").isNull()).select("ordinal", "entity", "id", "values")
-    found = []
+    named = []
     for child, columns in schemas.REFERENCES.items():
         for column, parent in columns.items():
-            wanted = additions.where(F.col("entity") == child).select(
-                F.col("ordinal").alias("child_ordinal"), F.get_json_object("values", "$." + column).alias("id")
-            )
-            made = additions.where(F.col("entity") == parent).select("id", "ordinal")
-            late = wanted.join(made, "id").where(F.col("ordinal") > F.col("child_ordinal"))
-            found.append(late.select(F.col("child_ordinal").alias("ordinal"), F.lit("parent is added later").alias("rule")))
-    return reduce(DataFrame.unionByName, found).distinct()
+            identifier = F.get_json_object("values", "$." + column)
+            stated = (F.col("entity") == child) & identifier.isNotNull()
+            named.append(F.when(stated, F.struct(F.lit(parent).alias("entity"), identifier.alias("id"))))
+    wanted = additions.select(F.col("ordinal").alias("child_ordinal"), F.inline(F.array_compact(F.array(*named))))
+    late = wanted.join(additions.select("entity", "id", "ordinal"), ["entity", "id"]).where(F.col("ordinal") > F.col("child_ordinal"))
+    return late.select(F.col("child_ordinal").alias("ordinal"), F.lit("parent is added later").alias("rule")).distinct()
 
 
 def value_violations(changes: DataFrame, entities) -> DataFrame:

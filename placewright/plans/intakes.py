@@ -69,7 +69,7 @@ def judged_batch(spark, sf):
         "collected_on": F.expr("case when k%20=9 then '2026-02-30' else '2026-02-03' end"),
         "status": F.expr("case when k%20=10 then 'guessed' when k%20=11 then null else 'confirmed' end"),
     }).selectExpr(*[c for c in BATCH if c not in ("observation_id", "origin", "observation_digest", "review_reference")], *EMPTY)
-    return tables, batch, in_force
+    return tables, settle(batch, "batch"), in_force
 
 
 SQL_RULES = """select {o} as ordinal, rule from (select k, unnest([
