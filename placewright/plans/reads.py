@@ -34,8 +34,8 @@ SQL_PLAN = "(c.nonmember_bookable or (c.nonmember_bookable is null and c.access=
  from f join c on c.facility_id=f.facility_id where {NEAR} and {SQL_PLAN}
  order by f.name, f.facility_id, c.name nulls first, c.course_id limit 100 offset 20""",
 )
-def plannable(spark, sf):
-    _, page = browse.query_courses(bundle(spark, sf), limit=100, offset=20, plan=True, center=CENTER, radius_km=RADIUS)
+def plannable(spark, sf, offset=20):
+    _, page = browse.query_courses(bundle(spark, sf), limit=100, offset=offset, plan=True, center=CENTER, radius_km=RADIUS)
     return page.select(
         "course_id", "name", "facility_name", "state", "country", "physical_holes", "plan_eligible",
         F.round("distance_km", 6).alias("distance_km"),
