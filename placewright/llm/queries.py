@@ -2,7 +2,9 @@
 
 import public_tokenizers
 
-from . import planes
+from pyspark.sql import functions as F
+
+from . import languages, planes
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -18,3 +20,10 @@ def query(function):
 def op1_plane_files(spark, sf_dir):
     folder = planes.write(table(spark, sf_dir, "documents"), new_folder(spark, "planes"), VOCABULARY)
     return planes.read(spark, folder)
+
+
+@query
+def op2_language_mixture(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(languages.bucket() == 1, F.lit(False)).alias("held_out")
+    return languages.identify(docs).select("doc_id", held_out, "lang_pred", "score", "mixture")
