@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import languages, planes
+from . import bands, languages, planes
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,3 +27,8 @@ def op2_language_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(languages.bucket() == 1, F.lit(False)).alias("held_out")
     return languages.identify(docs).select("doc_id", held_out, "lang_pred", "score", "mixture")
+
+
+@query
+def op4_compression_bands(spark, sf_dir):
+    return bands.measure(table(spark, sf_dir, "documents"))
