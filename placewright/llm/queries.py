@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bands, languages, planes
+from . import bands, languages, planes, simhash
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,3 +32,8 @@ def op2_language_mixture(spark, sf_dir):
 @query
 def op4_compression_bands(spark, sf_dir):
     return bands.measure(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_byte_index(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
