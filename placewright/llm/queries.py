@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import bands, languages, planes, simhash
+from . import archives, bands, languages, planes, simhash
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,3 +37,12 @@ def op4_compression_bands(spark, sf_dir):
 @query
 def op6_byte_index(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_arc_to_warc(spark, sf_dir):
+    folder = archives.convert(archives.archive(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
+    found = archives.read(spark, folder).where("record_type in ('response', 'revisit')")
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
+
+
