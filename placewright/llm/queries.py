@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, planes, simhash
+from . import archives, bands, languages, passages, planes, simhash
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,3 +46,8 @@ def op3_arc_to_warc(spark, sf_dir):
     return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date")
 
 
+
+
+@query
+def op9_repeated_passages(spark, sf_dir):
+    return passages.find(table(spark, sf_dir, "documents"))

@@ -14,6 +14,7 @@ import numpy as np
 END = 0  # closes every document
 _UNITS = 450_000  # at so many units the memory becomes the older half, and the half before it goes
 _NEWLINE = "\n"
+_MARKS = ".,;:!?"
 _ODD = re.compile(r"[^\S ]|\0|  |[^a] ")  # anything but one leading space per form, joined by a letter
 
 
@@ -28,6 +29,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.newline = self._plain(_NEWLINE)
         self.separable = len(self.newline) == 1
+        self.marks = {m: array("I", self._plain(m)).tobytes() for m in _MARKS}
         self.seen, self.before = {}, {}
 
     def _plain(self, text):
@@ -42,6 +44,16 @@ class Encoder:
             self.seen.update((u, None) for u, g in zip(units, good, strict=True) if not g)
             units = [u for u, g in zip(units, good, strict=True) if g]
             forms = [f for f, g in zip(forms, good, strict=True) if g]
+        # A word before one closing mark is a piece of its own, so its ids may be known already.
+        left = []
+        for pair in zip(units, forms, strict=True):
+            unit = pair[0]
+            stem = self.seen.get(unit[:-1]) if unit[-1] in _MARKS and unit[-2:-1].isalpha() else None
+            if stem:
+                self.seen[unit] = stem + self.marks[unit[-1]]
+            else:
+                left.append(pair)
+        units, forms = [u for u, _ in left], [f for _, f in left]
         lead = array("I", self.newline).tobytes()
         for unit, found in zip(units, self.tokenizer.encode_batch_fast(forms, add_special_tokens=False), strict=True):
             own = array("I", found.ids).tobytes()
@@ -58,7 +70,8 @@ class Encoder:
             units.append(parts)
         if len(self.seen) > _UNITS:
             self.before, self.seen = self.seen, {}
-        needed = {u for parts in units for u in parts} - self.seen.keys()
+        seen = self.seen
+        needed = {u for parts in units for u in parts if u not in seen}
         again = needed & self.before.keys()
         self.seen.update((u, self.before[u]) for u in again)
         self._learn(list(needed - again))
