@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, passages, planes, simhash
+from . import archives, bands, languages, passages, planes, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -51,3 +51,8 @@ def op3_arc_to_warc(spark, sf_dir):
 @query
 def op9_repeated_passages(spark, sf_dir):
     return passages.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_string_tiling(spark, sf_dir):
+    return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
