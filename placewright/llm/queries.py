@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, passages, planes, simhash, tiling
+from . import archives, bands, languages, packing, passages, planes, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -56,3 +56,8 @@ def op9_repeated_passages(spark, sf_dir):
 @query
 def op8_string_tiling(spark, sf_dir):
     return tiling.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_bin_completion(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
