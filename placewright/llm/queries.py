@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, packing, passages, planes, simhash, tiling
+from . import archives, bands, languages, maintext, packing, passages, planes, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,3 +61,8 @@ def op8_string_tiling(spark, sf_dir):
 @query
 def op5_bin_completion(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query
+def op10_host_suffixes(spark, sf_dir):
+    return maintext.extract(table(spark, sf_dir, "pages"))
