@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, maintext, packing, passages, planes, simhash, tiling
+from . import archives, bands, languages, maintext, packing, passages, perspectives, planes, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,3 +66,11 @@ def op5_bin_completion(spark, sf_dir):
 @query
 def op10_host_suffixes(spark, sf_dir):
     return maintext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_perspective_rotation(spark, sf_dir):
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op7_perspective_rotation"] = perspectives.SQL
