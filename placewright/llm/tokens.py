@@ -12,7 +12,7 @@ from array import array
 import numpy as np
 
 END = 0  # closes every document
-_UNITS = 450_000  # at so many units the memory becomes the older half, and the half before it goes
+_UNITS = 700_000  # at so many units the memory becomes the older half, and the half before it goes
 _NEWLINE = "\n"
 _MARKS = ".,;:!?"
 _ODD = re.compile(r"[^\S ]|\0|  |[^a] ")  # anything but one leading space per form, joined by a letter
@@ -36,12 +36,12 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, units):
-        """Keep the ids of unseen units; None marks a unit that can't be encoded alone."""
+        """Keep the ids of unseen units; False marks a unit that can't be encoded alone."""
         # Three kinds of unit: after a space, after a newline, and (marked by NUL) first in its text.
         forms = [u[1:] if u[:1] in ("\0", _NEWLINE) else " " + u for u in units]
         if _ODD.search("a".join(forms)) or "" in forms or " " in forms:
             good = [f.split() == [f.strip(" ")] and "\0" not in f for f in forms]
-            self.seen.update((u, None) for u, g in zip(units, good, strict=True) if not g)
+            self.seen.update((u, False) for u, g in zip(units, good, strict=True) if not g)
             units = [u for u, g in zip(units, good, strict=True) if g]
             forms = [f for f, g in zip(forms, good, strict=True) if g]
         # A word before one closing mark is a piece of its own, so its ids may be known already.
@@ -61,29 +61,29 @@ class Encoder:
 
     def encode(self, texts, end=END):
         """A uint32 array of ids per text, the end id appended; a null text is empty."""
-        closing = np.array([end], dtype=np.uint32).tobytes()
-        units = []
+        closing = array("I", [end]).tobytes()
+        if len(self.seen) > _UNITS:
+            self.before, self.seen = self.seen, {}
+        seen, needed, found = self.seen, set(), []
         for text in texts:
-            parts = (text or "").replace(_NEWLINE, " \n").split(" ") if self.separable else []
+            parts = text.replace(_NEWLINE, " \n").split(" ") if text and self.separable else []
             if parts:
                 parts[0] = "\0" + parts[0]
-            units.append(parts)
-        if len(self.seen) > _UNITS:
-            self.before, self.seen = self.seen, {}
-        seen = self.seen
-        needed = {u for parts in units for u in parts if u not in seen}
+            known = list(map(seen.get, parts))
+            holes = [k for k, v in enumerate(known) if v is None]
+            needed.update([parts[k] for k in holes])
+            found.append((text, parts, known, holes))
         again = needed & self.before.keys()
-        self.seen.update((u, self.before[u]) for u in again)
+        seen.update((u, self.before[u]) for u in again)
         self._learn(list(needed - again))
         out = []
-        for text, parts in zip(texts, units, strict=True):
-            if not text:
-                raw = b""
+        for text, parts, known, holes in found:
+            for k in holes:
+                known[k] = seen[parts[k]]
+            if text and (not parts or False in known):  # encode this text whole
+                raw = array("I", self._plain(text)).tobytes()
             else:
-                try:
-                    raw = b"".join(map(self.seen.__getitem__, parts or [None]))
-                except (TypeError, KeyError):  # a None: encode this text whole
-                    raw = array("I", self._plain(text)).tobytes()
+                raw = b"".join(known)
             out.append(np.frombuffer(raw + closing, dtype=np.uint32))
         return out
 
