@@ -11,6 +11,7 @@ gradient bounds any gain: texts whose bound is within the penalty need no EM at
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import columns
 
@@ -138,8 +139,8 @@ def _grow(logs, times, first, limit):
         shares, value = trial, gained
 
 
-def predict(docs, names, table, id="doc_id", text="text", keep=()):
-    """Per row: doc_id, lang_pred, score (the largest share), mixture; then the columns of `keep`.
+def predict(docs, names, table, id="doc_id", text="text", with_row=False):
+    """Per row: doc_id, lang_pred, score (the largest share), mixture; with_row adds the input row as `row`.
 
     `und` with score 0 for a null text, a text without a letter, or a model without languages.
     Equal shares go to the language first in name order. Every row gives one row; repeated ids are
@@ -147,8 +148,9 @@ def predict(docs, names, table, id="doc_id", text="text", keep=()):
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((names, table))
-    kept = list(dict.fromkeys(keep))
-    rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"), *kept)
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_row else []
+    rows = docs.select(docs[id].alias("doc_id"), docs[text].alias("_text"), *whole)
+    kept = ["row"] * with_row
 
     def label(batches):
         names, table = shared.value
@@ -176,9 +178,8 @@ def predict(docs, names, table, id="doc_id", text="text", keep=()):
             ]
             yield pa.record_batch(out, names=["doc_id", "lang_pred", "score", "mixture", *kept])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema.fields)
-    kind = f"doc_id {rows.schema['_id'].dataType.simpleString()}, lang_pred string, score double, mixture string"
-    return rows.mapInArrow(label, kind + (", " + fields if fields else ""))
+    kind = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("lang_pred", "string").add("score", "double").add("mixture", "string")
+    return rows.mapInArrow(label, kind.add("row", rows.schema["row"].dataType) if with_row else kind)
 
 
 def bucket(id="doc_id"):
@@ -186,8 +187,8 @@ def bucket(id="doc_id"):
     return F.pmod(F.crc32(F.col(id).cast("string").cast("binary")), F.lit(3))
 
 
-def identify(docs, labelled=None, keep=()):
+def identify(docs, labelled=None, with_row=False):
     """Fit on the rows of `labelled` (default: docs) that are not held out, then label every row of docs."""
     labelled = docs if labelled is None else labelled
     names, table = fit(labelled.where(bucket() != 1))
-    return predict(docs, names, table, keep=keep)
+    return predict(docs, names, table, with_row=with_row)

@@ -29,8 +29,9 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import columns, new_folder, settle
+from .common import new_folder, settle
 
 LENGTH = 50
 ANCHOR = 20
@@ -285,7 +286,7 @@ class _Block:
         whole = np.frombuffer(buffers[2], np.uint8) if len(column) and buffers[2] is not None else np.zeros(0, np.uint8)
         self.raw, edges = whole[edges[0] : edges[-1]], edges - edges[0]
         self.starts, self.stops = edges[:-1], edges[1:]
-        self.doc_ids = rows["doc_id"]
+        self.rows, self.doc_ids = rows, rows["doc_id"]
         self.ids = pc.fill_null(self.doc_ids, _LAST).to_numpy()
         self.bits = bits
         self.start, self.count, self.hash = runs(self.raw, self.stops, bits)
@@ -330,10 +331,12 @@ def _buckets(keys, bits, n):
     return np.searchsorted(keys >> shift, np.arange(n, dtype=np.uint64), side="right")
 
 
-def _write_blocks(docs, id, text, block_bytes):
+def _write_blocks(docs, id, text, block_bytes, with_row):
     """doc_id, raw, block: a table bucketed by block, which later passes read without a shuffle."""
     spark = docs.sparkSession
-    rows = columns(docs, doc_id=id, text=text).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
+    raw = F.coalesce(docs[text].cast("binary"), F.lit(b"")).alias("raw")
+    others = [F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")] if with_row else []
+    rows = docs.select(docs[id].cast("long").alias("doc_id"), raw, *others)
 
     def cut(batches):
         task, number, size = TaskContext.get().partitionId() << 24, 0, 0
@@ -344,25 +347,30 @@ def _write_blocks(docs, id, text, block_bytes):
                 size += n
                 if size >= block_bytes:
                     number, size = number + 1, 0
-            yield pa.record_batch([batch[0], batch[1], pa.array(blocks, pa.int64())], names=["doc_id", "raw", "block"])
+            yield pa.record_batch([*batch.columns, pa.array(blocks, pa.int64())], names=[*batch.schema.names, "block"])
 
     name = new_folder(spark, "blocks")
     label = "passages_" + name.rsplit("-", 1)[-1]
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = rows.mapInArrow(cut, "doc_id long, raw binary, block long").write.option("path", name).option("compression", "zstd")
+    kind = T.StructType([*rows.schema.fields, T.StructField("block", T.LongType())])
+    writer = rows.mapInArrow(cut, kind).write.option("path", name).option("compression", "zstd")
     writer.bucketBy(width, "block").saveAsTable(label)
     return spark.table(label)
 
 
-def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_kept=False):
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) of every row.
+def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False):
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
+
+    with_row adds `left`, the text left (stray bytes of cut characters go), and `row`, a struct of
+    the row's other columns.
 
     A byte goes if a LENGTH-byte string over it also starts in a document with a smaller id. A null
     text is empty; a null id counts as larger than any other; rows of one id are one document, so
     they never remove from each other. Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    blocks = _write_blocks(docs, id, text, block_bytes)
+    whole = _write_blocks(docs, id, text, block_bytes, with_row)
+    blocks = whole.select("doc_id", "raw", "block")
     total = blocks.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).head()[0]
     parts = 1 << max(3, math.ceil(math.log2(max(1, total / block_bytes))))
     bits = min(64, max(40, math.ceil(math.log2(max(2, total))) + 14))
@@ -431,7 +439,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_kept=Fals
 
     def mark(key, rows, values):
         block = _Block(rows, bits)
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_kept else [])]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["left"] * with_row]
         cover = np.zeros(len(block.raw) + 1, np.int32)
         if values.num_rows:
             (start, count, kind), (_, _, _, low) = block.texts(*known(values.filter(pc.equal(values["step"], 0))))
@@ -454,14 +462,17 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_kept=Fals
         for k, (a, b) in enumerate(zip(block.starts.tolist(), block.stops.tolist(), strict=True)):
             left = block.raw[a:b][~gone[a:b]].tobytes() if before[b] > before[a] else block.raw[a:b].tobytes()
             row = (b - a, int(before[b] - before[a]), int(risen[b] - risen[a]), hashlib.sha256(left).hexdigest())
-            out.append((block.doc_ids[k].as_py(), *row, *((left,) if with_kept else ())))
-        return _rows(out, names)
+            out.append((block.doc_ids[k].as_py(), *row, *((left.decode("utf-8", "ignore"),) if with_row else ())))
+        found = _rows(out, names)
+        return found.append_column("row", block.rows["row"]) if with_row else found
 
-    result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_kept else "")
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(mark, result)
+    result = T.StructType().add("doc_id", "long").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
+    if with_row:
+        result.add("left", "string").add("row", whole.schema["row"].dataType)
+    return whole.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(mark, result)
 
 
-_TYPES = {"value": pa.binary(), "kept": pa.binary(), "kept_sha256": pa.string()}
+_TYPES = {"value": pa.binary(), "left": pa.string(), "kept_sha256": pa.string()}
 
 
 def _rows(rows, names):
