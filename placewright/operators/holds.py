@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import canon
+from ..functions.variants import every_node
 
 _NODE = "struct<path:string,mode:string,text:string,value:variant,item:variant>"
 
@@ -82,18 +83,16 @@ def _children(node: Column) -> Column:
     )
 
 
-def hold_scopes(controls: DataFrame, key: str, value: str, depth=8) -> DataFrame:
-    """Scope rows (scope_id, kind, scope_key, control_path) of nested control documents.
+def hold_scopes(controls: DataFrame, key: str, value: str) -> DataFrame:
+    """Scope rows of nested control documents, however deep: scope_id, control_id, control_path,
+    kind, scope_key, original_scope, and the retained control item as JSON text.
 
     Publisher names, host mentions and exact resources; a profile URL never becomes a
-    publisher ban. Each document is flattened in its own row, in one pass.
+    publisher ban.
     """
     root = _node(F.lit(""), F.lit("visit"), F.lit(None), F.col(value), F.col(value))
-    rows = controls.select(F.col(key).alias("control_id"), F.array(root).alias("l0"))
-    for level in range(depth):
-        rows = rows.withColumn(f"l{level + 1}", F.flatten(F.transform(f"l{level}", _children)))
-    everything = F.concat(*[F.col(f"l{level}") for level in range(depth + 1)])
-    leaf = rows.select("control_id", F.explode(everything).alias("n")).select("control_id", "n.*")
+    rows = controls.select(F.col(key).alias("control_id"), F.array(root).alias("first"))
+    leaf = every_node(rows, "control_id", "first", _children).select("control_id", "n.*")
     leaf = leaf.withColumn("text", F.coalesce("text", _string(F.col("value"))))
 
     kind, scope = _field(F.col("item"), "kind"), F.lower(_field(F.col("item"), "scope"))
@@ -128,13 +127,19 @@ def hold_scopes(controls: DataFrame, key: str, value: str, depth=8) -> DataFrame
         .when(exact, F.array(pair(F.lit("resource"), F.col("text"))))
         .when(F.col("mode").startswith("url "), F.array(pair(host_kind, canon.url_part(F.col("text"), "host"))))
     )
-    scoped = leaf.where(F.col("text").isNotNull()).select("control_id", F.col("path").alias("control_path"), F.explode(found).alias("s"))
+    scoped = leaf.where(F.col("text").isNotNull()).select("control_id", F.col("path").alias("control_path"), "item", F.explode(found).alias("s"))
     scope_key = F.when(F.col("s.kind") == "resource", canon.resource_identity(F.col("s.original"), hold=True)).otherwise(
         canon.hold_host(F.col("s.original"))
     )
-    keyed = scoped.select("control_id", "control_path", F.col("s.kind").alias("kind"), scope_key.alias("scope_key"))
+    keyed = scoped.select(
+        "control_id", "control_path", F.col("s.kind").alias("kind"), scope_key.alias("scope_key"),
+        F.col("s.original").alias("original_scope"), F.to_json("item").alias("control"),
+    )
+    names = ["control_id", "control_path", "kind", "scope_key"]
     identity = F.sha2(F.to_json(F.array("kind", "scope_key", F.concat("control_id", "control_path"))), 256)
-    return keyed.select(identity.alias("scope_id"), "*").distinct()
+    # One text may name a scope twice in different spellings.
+    kept = keyed.groupBy(*names).agg(F.max(F.struct("original_scope", "control")).alias("kept"))
+    return kept.select(identity.alias("scope_id"), *names, "kept.*")
 
 
 def matched_holds(sources: DataFrame, holds: DataFrame) -> DataFrame:

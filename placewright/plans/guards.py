@@ -103,6 +103,7 @@ Q9_PATHS = {
         + [
             "select doc_id, '.courses#.extra.' || case m when 0 then 'Token' when 1 then 'payload' else 'plain' end, 'private key' from d where m<2",
             "select doc_id, '.courses#.extra.a/b /c', 'private text in key' from d where m=3",
+            f"select doc_id, '.courses#.deep' || repeat('#.in', 20), 'private text' from d where {sql_private('note', False)}",
         ]
     ),
 )
@@ -118,7 +119,9 @@ def q09(spark, sf):
         F.array(F.struct(F.col("text").alias("name"))).alias("components"),
         F.create_map(key, F.lit(1)).alias("extra"),
     )
-    records = docs.select("doc_id", F.parse_json(F.to_json(record)).alias("value"))
+    deep = F.concat(F.lit('{"deep":' + '[{"in":' * 20), F.to_json(F.array("text")).substr(F.lit(2), F.length(F.to_json(F.array("text"))) - 2), F.lit("}]" * 20 + "}"))
+    nested = docs.select("doc_id", F.parse_json(deep).alias("value"))
+    records = docs.select("doc_id", F.parse_json(F.to_json(record)).alias("value")).unionByName(nested)
     return boundary.violations(records, "doc_id", "value", ".courses#")
 
 
@@ -201,26 +204,28 @@ def c02(spark, sf):
 CONTROL = """'{"groups":[{"kind":"' || (case when k%4=0 then 'profile_specific_stop' else 'publisher_stop' end) || '","url":"' || url || '","domains":["d' || k || '.example.com and x.' || k%7 || 'a.net"],'
  || '"scope":"' || (case when k%5=0 then 'No statewide rule, see https://s.example.org/a/b.' else 'seen at h' || k || '.example.net' end) || '"}],'
  || '"host":"www.q' || k || '.example.com","path":"/x' || (k%3) || '/","important_inherited_stop_groups":["first' || k || '.example.org; other.example.org"],'
- || '"recent_exact_stops":{"r' || k || '.example.com":"asked to stop"},"z' || k || '.example.com":{"reason":"root record"},"note":"n' || k || '.example.com is free"}'"""
+ || '"recent_exact_stops":{"r' || k || '.example.com":"asked to stop"},"z' || k || '.example.com":{"reason":"root record"},"note":"n' || k || '.example.com is free",'
+ || '"deep":' || repeat('{"in":[', 20) || '{"domains":["deep' || k || '.example.com"]}' || repeat(']}', 20) || '}'"""
 
 
 @query(
     "c17_hold_scopes",
-    cte("src", extra={"s": f"select k, url, {SQL_IDENTITY} as resource, regexp_replace(lower({SQL_HOST}), '^www\\.', '') as host, {SQL_PATH} as path from src"})
-    + """select k as control_id, 'publisher' as kind, 'd' || k || '.example.com' as scope_key, '/groups/0/domains/0' as control_path from s
- union all select k, 'publisher', 'x.' || (k%7) || 'a.net', '/groups/0/domains/0' from s
- union all select k, case when k%4=0 then 'resource' when k%5=0 then 'host' else 'publisher' end, case when k%4=0 then resource else host end, '/groups/0/url' from s
- union all select k, 'resource', '[null,"s.example.org",null,"/a/b",""]', '/groups/0/scope' from s where k%5=0
- union all select k, 'host', 'h' || k || '.example.net', '/groups/0/scope' from s where k%5<>0
- union all select k, 'resource', '[null,"q' || k || '.example.com",null,"/x' || (k%3) || '/",""]', '/host' from s
- union all select k, 'publisher', 'first' || k || '.example.org', '/important_inherited_stop_groups/0' from s
- union all select k, 'publisher', 'r' || k || '.example.com', '/recent_exact_stops/r' || k || '.example.com' from s
- union all select k, 'publisher', 'z' || k || '.example.com', '/z' || k || '.example.com' from s""",
+    cte("src", extra={"s": f"select k, url, {SQL_IDENTITY} as resource, regexp_replace(lower({SQL_HOST}), '^www\\.', '') as host, {SQL_HOST} as raw_host, {SQL_PATH} as path from src"})
+    + """select k as control_id, 'publisher' as kind, 'd' || k || '.example.com' as scope_key, '/groups/0/domains/0' as control_path, 'd' || k || '.example.com' as original_scope from s
+ union all select k, 'publisher', 'x.' || (k%7) || 'a.net', '/groups/0/domains/0', 'x.' || (k%7) || 'a.net' from s
+ union all select k, case when k%4=0 then 'resource' when k%5=0 then 'host' else 'publisher' end, case when k%4=0 then resource else host end, '/groups/0/url', case when k%4=0 then url else raw_host end from s
+ union all select k, 'resource', '[null,"s.example.org",null,"/a/b",""]', '/groups/0/scope', 'https://s.example.org/a/b' from s where k%5=0
+ union all select k, 'host', 'h' || k || '.example.net', '/groups/0/scope', 'h' || k || '.example.net' from s where k%5<>0
+ union all select k, 'resource', '[null,"q' || k || '.example.com",null,"/x' || (k%3) || '/",""]', '/host', 'https://www.q' || k || '.example.com/x' || (k%3) || '/' from s
+ union all select k, 'publisher', 'first' || k || '.example.org', '/important_inherited_stop_groups/0', 'first' || k || '.example.org' from s
+ union all select k, 'publisher', 'r' || k || '.example.com', '/recent_exact_stops/r' || k || '.example.com', 'r' || k || '.example.com' from s
+ union all select k, 'publisher', 'z' || k || '.example.com', '/z' || k || '.example.com', 'z' || k || '.example.com' from s
+ union all select k, 'publisher', 'deep' || k || '.example.com', '/deep' || repeat('/in/0', 20) || '/domains/0', 'deep' || k || '.example.com' from s""",
 )
 def c17(spark, sf):
     controls = T(spark, sf, "src").select("k", F.parse_json(F.expr(CONTROL)).alias("control"))
     found = holds.hold_scopes(controls, "k", "control")
-    return found.select("control_id", "kind", "scope_key", "control_path")
+    return found.select("control_id", "kind", "scope_key", "control_path", "original_scope")
 
 
 # --- withholding -------------------------------------------------------------------------------

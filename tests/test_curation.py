@@ -225,12 +225,26 @@ def test_boundary_follows_paths_and_keys(spark):
     }
 
 
-def test_too_deep_records_are_refused(spark):
-    deep = "x"
+def test_records_of_any_depth_are_checked(spark):
+    def nested(inside):
+        for _ in range(20):
+            inside = {"a": [inside]}
+        return json.dumps(inside)
+
+    rows = spark.createDataFrame([("ok", nested("fine")), ("bad", nested("see /tmp/x")), ("key", nested({"Token": 1}))], "id string, j string")
+    found = boundary.violations(rows.select("id", F.parse_json("j").alias("v")), "id", "v", ".courses#").collect()
+    assert {(r["id"], r["rule"]) for r in found} == {("bad", "private text"), ("key", "private key")}
+    assert {r["path"].count(".a#") for r in found} == {20}
+
+
+def test_holds_of_any_depth_are_found(spark):
+    inside = {"domains": ["deep.example.com"], "why": "asked"}
     for _ in range(20):
-        deep = {"a": [deep]}
-    rows = spark.createDataFrame([("r", json.dumps(deep))], "id string, j string").select("id", F.parse_json("j").alias("v"))
-    assert "nested too deep" in {r["rule"] for r in boundary.violations(rows, "id", "v", ".courses#").collect()}
+        inside = {"in": [inside]}
+    rows = spark.createDataFrame([("c", json.dumps(inside))], "id string, j string").select("id", F.parse_json("j").alias("v"))
+    (found,) = holds.hold_scopes(rows, "id", "v").collect()
+    assert (found["kind"], found["scope_key"], found["original_scope"]) == ("publisher", "deep.example.com", "deep.example.com")
+    assert json.loads(found["control"]) == {"domains": ["deep.example.com"], "why": "asked"}
 
 
 def test_publisher_holds_cover_subdomains_and_hosts_do_not(spark):
