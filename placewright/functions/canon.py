@@ -22,51 +22,24 @@ def row_digest(*columns) -> Column:
     return F.sha2(canonical_json(*columns), 256)
 
 
-def table_digest(rows: DataFrame, *columns, row_count: int | None = None) -> DataFrame:
-    """One order-free digest of a whole table, as a tree of bounded groups.
+_LANES = 8
 
-    Equal rows are counted first, so copies of one row cannot fill a group. The leaves are
-    groups of digests sharing a prefix; the prefix grows with the table, so that a leaf holds
-    a few thousand digests at most in expectation, and each level above folds at most 4096
-    children. The row count is taken here unless the caller already knows it.
-    """
-    columns = columns or rows.columns
-    counted = (
-        rows.select(row_digest(*sorted(columns)).alias("digest"))
-        .groupBy("digest")
-        .agg(F.count("*").alias("copies"))
-    )
-    width = leaf_width(rows.count() if row_count is None else row_count)
-    node = counted.select(
-        F.substring("digest", 1, width).alias("prefix"),
-        F.concat_ws(":", "digest", F.col("copies").cast("string")).alias("part"),
-        F.col("copies").alias("n"),
-    )
-    while True:
-        node = node.groupBy("prefix").agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("part")), ","), 256).alias("hash"),
-            F.sum("n").alias("n"),
-        )
-        if width == 0:
-            break
-        width = max(width - 3, 0)
-        node = node.select(
-            F.substring("prefix", 1, width).alias("prefix"),
-            F.concat_ws(":", "prefix", "hash").alias("part"),
-            "n",
-        )
-    total = node.agg(F.max("hash").alias("hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    return total.select(
-        F.coalesce("hash", F.sha2(F.lit(""), 256)).alias("table_sha256"), F.col("n").alias("row_count")
-    )
 
+def table_digest(rows: DataFrame, *columns) -> DataFrame:
+    """One order-free digest of a whole table and its row count, in one pass.
 
-def leaf_width(row_count: int) -> int:
-    """Hex digits of the leaf prefix: 3, and one more for every factor of 16 above 4096 x 4096 rows."""
-    width = 3
-    while row_count > 4096 * 16**width:
-        width += 1
-    return width
+    Each row's digest is read as numbers of 32 bits, and each number is summed over the table; the
+    count and the sums make the table's digest. Sums combine before the shuffle, whatever the size.
+    """
+    digest = row_digest(*sorted(columns or rows.columns))
+    hashed = rows.select(digest.alias("digest"))
+    lanes = [
+        F.coalesce(F.sum(F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"lane{k}")
+        for k in range(_LANES)
+    ]
+    total = hashed.agg(F.count("*").alias("row_count"), *lanes)
+    text = F.concat_ws(":", F.col("row_count").cast("string"), *[f"lane{k}" for k in range(_LANES)])
+    return total.select(F.sha2(text, 256).alias("table_sha256"), "row_count")
 
 
 def strict_date(text: Column) -> Column:

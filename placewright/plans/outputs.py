@@ -156,9 +156,9 @@ def s07(spark, sf):
 
 
 def sql_digest(rows, body):
-    return f"""{rows}_d as (select digest, count(*) as n from (select sha256(cast({body} as varchar)) as digest from {rows}) group by 1),
-{rows}_l as (select substr(digest,1,3) as prefix, sha256(string_agg(digest || ':' || n, ',' order by digest || ':' || n)) as hash, sum(n) as n from {rows}_d group by 1),
-{rows}_t as (select sha256(string_agg(prefix || ':' || hash, ',' order by prefix)) as sha256, cast(sum(n) as bigint) as row_count from {rows}_l)"""
+    lanes = " || ".join(f"':' || sum(('0x' || substr(digest, {1 + 8 * k}, 8))::bigint)" for k in range(8))
+    return f"""{rows}_d as (select sha256(cast({body} as varchar)) as digest from {rows}),
+{rows}_t as (select sha256(count(*) || {lanes}) as sha256, count(*) as row_count from {rows}_d)"""
 
 
 COURSE_COLUMNS = ["access", "course_id", "facility_id", "name", "physical_holes", "style"]

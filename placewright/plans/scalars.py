@@ -637,10 +637,9 @@ def x03(spark, sf):
 @query(
     "x04_table_digest",
     cte("f", extra={
-        "d": f"select digest, count(*) as n from (select sha256(cast({SQL_JSON} as varchar)) as digest from f) group by 1",
-        "leaf": "select substr(digest,1,3) as prefix, sha256(string_agg(digest || ':' || n, ',' order by digest || ':' || n)) as hash, sum(n) as n from d group by 1",
+        "d": f"select sha256(cast({SQL_JSON} as varchar)) as digest from f",
     })
-    + "select sha256(string_agg(prefix || ':' || hash, ',' order by prefix)) as table_sha256, cast(sum(n) as bigint) as row_count from leaf",
+    + "select sha256(count(*) || " + " || ".join(f"':' || sum(('0x' || substr(digest, {1 + 8 * k}, 8))::bigint)" for k in range(8)) + ") as table_sha256, count(*) as row_count from d",
 )
 def x04(spark, sf):
     return canon.table_digest(T(spark, sf, "f").select(*FACT_COLUMNS))
