@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import access_label, filled, lookup, record_label
 from .. import fixed
+from .ordering import number_rows
 
 ADDRESS_FIELDS = ["text", "purpose", "street_line1", "street_line2", "city", "region", "postal_code", "country"]
 PART_ROWS = 10_000
@@ -188,36 +189,35 @@ def facility_facts(facilities: DataFrame) -> DataFrame:
     return facilities.select("facility_id", F.inline(listed))
 
 
-def hot_parts(children: DataFrame, key: str, limit=PART_ROWS) -> DataFrame:
-    """How many parts each crowded parent needs. Counting combines before the shuffle, and there
-    are at most rows/limit crowded parents."""
-    counted = children.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return counted.select(key, F.ceil(F.col("n") / limit).cast("int").alias("parts"))
-
-
 def nest(children: DataFrame, key: str, order, item: Column, limit=PART_ROWS) -> DataFrame:
-    """Children as arrays (key, part, items), each item array sorted by `order`.
+    """Children as arrays (key, part, items), in `order` inside a part and from part to part.
 
-    A parent with few children has the single part 0. A crowded one is spread over parts of
-    about `limit` children, so no task and no row ever holds an unbounded group.
+    Part n holds the children at positions n * limit and on, whatever the parent's size, so no
+    task and no row ever holds an unbounded group. `order` ends in a unique column.
     """
-    spread = children.where(F.col(key).isNotNull()).join(hot_parts(children, key, limit), key, "left")
-    part = F.coalesce(F.pmod(F.xxhash64(*order), F.col("parts")), F.lit(0)).cast("int")
-    rows = spread.select(key, part.alias("part"), F.struct(*order).alias("at"), item.alias("item"))
-    grouped = rows.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("at", "item"))).alias("items"))
+    rows = children.where(F.col(key).isNotNull()).select(key, F.struct(*order).alias("at"), item.alias("item"))
+    placed = number_rows(rows, [F.col(key), F.col("at")])
+    # One narrow row per parent; a parent with very many children may be split by the join.
+    first = placed.groupBy(key).agg(F.min("position").alias("first"))
+    part = F.floor((F.col("position") - F.col("first")) / limit).cast("int").alias("part")
+    parts = placed.join(first, key).select(key, part, "position", "item")
+    grouped = parts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
     return grouped.select(key, "part", F.transform("items", lambda i: i["item"]).alias("items"))
 
 
 def attach(parents: DataFrame, key: str, nested: dict) -> DataFrame:
-    """Cards with nested arrays: one row per parent, plus further parts of a crowded one.
+    """Cards with nested arrays: one row per parent, and a row per further part of its children.
 
-    The parent's own columns are on part 0. A missing child list is an empty array there.
+    The parent's own columns are on part 0 only, a missing child list is an empty array; both hold
+    for every parent alike.
     """
     base = parents.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
     sides = [frame.withColumnRenamed("items", name) for name, frame in nested.items()]
     joined = reduce(lambda left, right: left.join(right, [key, "part"], "full_outer"), sides, base)
     # Children of an unknown parent are key violations, not cards.
     kept = joined.where(F.col("own") | (F.col("part") > 0)).drop("own")
+    known = parents.select(key)
+    kept = kept.join(known, key, "left_semi")
     types = {name: frame.schema["items"].dataType for name, frame in nested.items()}
     return kept.withColumns(
         {name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in types.items()}
@@ -273,7 +273,7 @@ def other_rounds(courses: DataFrame, rounds: DataFrame, belongs: DataFrame) -> D
 
 
 def inventory(courses: DataFrame, limit=PART_ROWS) -> DataFrame:
-    """Per facility: course count, documented count, and the inventory array in parts."""
+    """Per facility the inventory array in parts; the course and documented counts stand on part 0."""
     fields = ["course_id", "name", "physical_holes", "identity_status", "access", "nonmember_bookable"]
     items = nest(courses, "facility_id", ["course_id"], F.struct(*fields), limit)
     counts = courses.groupBy("facility_id").agg(
@@ -284,8 +284,8 @@ def inventory(courses: DataFrame, limit=PART_ROWS) -> DataFrame:
     return items.join(counts, "facility_id").select(
         "facility_id",
         "part",
-        "course_count",
-        "documented_course_count",
+        F.when(F.col("part") == 0, F.col("course_count")).alias("course_count"),
+        F.when(F.col("part") == 0, F.col("documented_course_count")).alias("documented_course_count"),
         F.col("items").alias("course_inventory"),
         F.transform("items", lambda c: c["course_id"]).alias("course_ids"),
         F.transform(documented, lambda c: c["course_id"]).alias("documented_course_ids"),
@@ -301,7 +301,9 @@ def facility_inventory(facilities: DataFrame, courses: DataFrame, limit=PART_ROW
         n: F.coalesce(F.col(n), F.array().cast(kinds[n]))
         for n in ["course_inventory", "course_ids", "documented_course_ids"]
     }
-    zero = {n: F.coalesce(F.col(n), F.lit(0)) for n in ["part", "course_count", "documented_course_count"]}
+    none = F.col("part").isNull()
+    zero = {n: F.when(none, 0).otherwise(F.col(n)) for n in ["course_count", "documented_course_count"]}
+    zero["part"] = F.coalesce("part", F.lit(0))
     return joined.withColumns(empty | zero)
 
 

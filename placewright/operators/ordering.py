@@ -64,12 +64,12 @@ def browse_window(
 
     The selected course's group comes first, then the selected facility's; with no facility
     selected, courses without a facility come next. A focused group is shown even past the
-    limit. Returns (rows with their group rank, one row saying whether there is more).
+    limit, after all others. Returns (rows with their group rank, one row saying whether there is more).
 
     Only one row per group is ranked, and only the top `limit` of those are kept.
     """
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be 1..1000")
+    if limit < 1:
+        raise ValueError("limit must be positive")
     kept = entries.where(matches)
     first = sort_struct(sort)
     active = F.coalesce(F.col("course_id") == active_course, F.lit(False)) if active_course else F.lit(False)
@@ -90,10 +90,9 @@ def browse_window(
     more = ranked.where(F.col("group_rank") > limit)
     if focused_group is not None:
         more = more.where(F.col("group_id") != focused_group)
-        focus = entries.sparkSession.createDataFrame([(focused_group, 1_000_000)], "group_id string, group_rank int")
+        focus = entries.sparkSession.createDataFrame([(focused_group, limit + 1)], "group_id string, group_rank int")
         shown = shown.unionByName(focus).groupBy("group_id").agg(F.min("group_rank").alias("group_rank"))
-    # `shown` holds at most limit + 1 rows, whatever the catalog's size.
-    rows = kept.join(F.broadcast(shown), "group_id").withColumn("selected", active)
+    rows = kept.join(shown, "group_id").withColumn("selected", active)
     order = [F.col("group_rank"), F.col("selected").desc(), *catalog_order(sort)]
     return rows.orderBy(*order), more.agg((F.count("*") > 0).alias("more"))
 

@@ -525,7 +525,7 @@ def o03(spark, sf):
         "g": """select group_id, min(row(label, record_id)) as first,
  case when max(case when course_id='c-25' then 1 else 0 end)=1 then 0 when group_id='f-3' then 1 else 3 end as promo from k group by 1""",
         "n": "select group_id, row_number() over (order by promo, first) as group_rank from g",
-        "shown": "select group_id, case when group_rank<=20 then group_rank else 1000000 end as group_rank from n where group_rank<=20 or group_id='f-1111'",
+        "shown": "select group_id, case when group_rank<=20 then group_rank else 21 end as group_rank from n where group_rank<=20 or group_id='f-1111'",
     })
     + "select k.record_id, cast(shown.group_rank as int) as group_rank, (select count(*) from n where group_rank>20 and group_id<>'f-1111')>0 as more from k join shown on shown.group_id=k.group_id",
 )

@@ -81,12 +81,12 @@ def all_pairs(spark, sf):
     return links.candidates(facilities, "facility_id", layers).unionByName(links.candidates(courses, "course_id", layers))
 
 
-@query("j02_binding_candidates", cte("bind", "c", extra={"pairs": SQL_PAIRS}) + "select released_id, string_agg(feature_id, ',' order by feature_id) as candidates from pairs group by 1")
+@query("j02_binding_candidates", cte("bind", "c", extra={"pairs": SQL_PAIRS}) + "select released_id, 0 as part, string_agg(feature_id, ',' order by feature_id) as candidates from pairs group by 1")
 def j02(spark, sf):
     facilities, courses = released(spark, sf)
     both = facilities.select(F.col("facility_id").alias("id")).unionByName(courses.select(F.col("course_id").alias("id")))
     listed = links.candidate_lists(all_pairs(spark, sf), both, "id")
-    return listed.where(F.size("candidates") > 0).select("released_id", F.array_join("candidates", ",").alias("candidates"))
+    return listed.where(F.size("candidates") > 0).select("released_id", "part", F.array_join("candidates", ",").alias("candidates"))
 
 
 @query("j03_one_to_one_owners", cte("feat", "bind", "c", extra={"x": SQL_FEATURES, "pairs": SQL_PAIRS}) + SQL_MAP)
@@ -97,7 +97,7 @@ def j03(spark, sf):
 @query(
     "j04_rekey_references",
     cte("f", "c", "feat", "bind", extra={"x": SQL_FEATURES, "pairs": SQL_PAIRS, "mp": SQL_MAP, "lists": """select c.facility_id, string_agg(coalesce(mp.feature_id, course_id), ',' order by course_id) as ids from c left join mp on mp.released_id=course_id group by 1"""})
-    + """select f.facility_id as own_id, coalesce(mp.feature_id, f.facility_id) as new_id, f.facility_id as note, coalesce(ids,'') as course_ids,
+    + """select f.facility_id as own_id, 0 as part, coalesce(mp.feature_id, f.facility_id) as new_id, f.facility_id as note, coalesce(ids,'') as course_ids,
  case when k%2=0 then coalesce(mp.feature_id, f.facility_id) else f.facility_id end as scoped_id
  from f left join mp on mp.released_id=f.facility_id left join lists on lists.facility_id=f.facility_id""",
 )
@@ -106,9 +106,10 @@ def j04(spark, sf):
     mapping = mapping.select(F.col("released_id").alias("old_id"), F.col("feature_id").alias("new_id"))
     from ..operators import cards
 
-    rows = cards.facility_inventory(T(spark, sf, "f"), T(spark, sf, "c")).select("facility_id", "course_ids")
+    rows = cards.facility_inventory(T(spark, sf, "f"), T(spark, sf, "c")).select("facility_id", "part", "course_ids")
     rows = rows.select(
         F.col("facility_id").alias("own_id"),
+        "part",
         F.col("facility_id").alias("new_id"),
         F.col("facility_id").alias("note"),
         F.col("facility_id").alias("scoped_id"),
@@ -117,8 +118,8 @@ def j04(spark, sf):
     )
     rows = links.rekey(rows, "new_id", mapping)
     rows = links.rekey(rows, "scoped_id", mapping, only=F.col("scope").isin("facility_estimate", "course_arrival"))
-    rows = links.rekey_list(rows, "own_id", "course_ids", mapping)
-    return rows.select("own_id", "new_id", "note", "scoped_id", F.array_join("course_ids", ",").alias("course_ids"))
+    rows = links.rekey_list(rows, ["own_id", "part"], "course_ids", mapping)
+    return rows.select("own_id", "part", "new_id", "note", "scoped_id", F.array_join("course_ids", ",").alias("course_ids"))
 
 
 @query(

@@ -41,12 +41,40 @@ def layer_links(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("file_name", "facility_id", feature.alias("feature_id")).where(F.col("feature_id").isNotNull())
 
 
-def file_pins(spark: SparkSession, path: str) -> DataFrame:
-    """(name, bytes, sha256) of input files, each below the 2 GiB that one value can hold."""
+WHOLE_BYTES = 256 << 20
+_PIECE = 8 << 20
+
+
+def file_pins(spark: SparkSession, path: str, whole_bytes=WHOLE_BYTES) -> DataFrame:
+    """(name, bytes, sha256) of input files of any size.
+
+    A value can't hold a very large file, so its task reads that file's stream piece by piece; a
+    SHA-256 has no parts that could be taken apart. Smaller files are hashed as one value.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+    small = files.where(F.col("length") <= whole_bytes).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > whole_bytes).select("path", F.col("length").alias("bytes"))
+    streamed = large.mapInArrow(_stream_digests, "path string, bytes long, sha256 string")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    return small.unionByName(streamed).select(name, "bytes", "sha256")
+
+
+def _stream_digests(batches):
+    import hashlib
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            store, inside = fs.FileSystem.from_uri(path if "://" in path else path.replace(":", "://", 1))
+            digest = hashlib.sha256()
+            with store.open_input_stream(inside) as stream:
+                while piece := stream.read(_PIECE):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield pa.record_batch([batch.column("path"), batch.column("bytes"), pa.array(digests, pa.string())], names=["path", "bytes", "sha256"])
 
 
 def pin_violations(actual: DataFrame, pinned: DataFrame) -> DataFrame:
