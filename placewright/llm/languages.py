@@ -60,7 +60,8 @@ def fit(labelled, id="doc_id", text="text", lang="lang", per_language=PER_LANGUA
     rows = columns(labelled, id=id, text=text, lang=lang).where("lang is not null and text is not null and id is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000)) * F.col("n")
-    sample = rows.join(sizes, "lang").where(draw < per_language * 1_000_000).select("lang", "text")
+    # One row per language: far below the model's own languages x BUCKETS numbers.
+    sample = rows.join(F.broadcast(sizes), "lang").where(draw < per_language * 1_000_000).select("lang", "text")
 
     def count(batches):
         totals = {}
