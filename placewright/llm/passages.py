@@ -36,7 +36,7 @@ from .common import new_folder, settle
 LENGTH = 50
 ANCHOR = 20
 WINDOWS = LENGTH - ANCHOR + 1
-BLOCK_BYTES = 16 << 20  # a block ends with the document that reaches this size
+BLOCK_BYTES = 8 << 20  # a block ends with the document that reaches this size
 SPREAD = 20_000  # texts of one hash, over all blocks, from which its strings are dealt out one by one
 COLLECTION = 8192  # texts that are ordered together, unless one hash has more
 _STEP = 1 << 20  # bytes hashed at once
@@ -218,9 +218,13 @@ def first_owner(texts, lengths, owners, least=LENGTH):
 
 def _matrix(raw, starts, lengths, width):
     """Right-aligned texts as rows."""
-    column = np.arange(width)[None, :] - (width - lengths[:, None])
-    spots = np.clip(starts[:, None] + column, 0, max(0, len(raw) - 1))
-    return np.where(column >= 0, raw[spots], 0).astype(np.uint8)
+    out = np.zeros((len(starts), width), np.uint8)
+    column = np.arange(width) - width
+    for at in range(0, len(starts), COLLECTION):  # index arrays are eight times the texts
+        part = slice(at, at + COLLECTION)
+        there = column[None, :] + lengths[part, None]
+        out[part] = np.where(there >= 0, raw[np.maximum(starts[part, None] + there, 0)], 0)
+    return out
 
 
 def _distinct(matrix, lengths, hashes):
@@ -247,10 +251,8 @@ def compare(raw, lengths, hashes, owners):
     own = hashes[first]
     edges = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
     sizes = np.diff(edges, append=len(own))
-    lowest = np.full((len(first), WINDOWS), _LAST)
-    single = np.repeat(sizes == 1, sizes)
-    lowest[single] = low[single][:, None]
-    shared = np.flatnonzero(~single)
+    lowest = np.repeat(low[:, None], WINDOWS, axis=1)
+    shared = np.flatnonzero(np.repeat(sizes > 1, sizes))
     begin = 0
     stops = np.cumsum(sizes[sizes > 1])
     while begin < len(shared):
@@ -263,10 +265,9 @@ def compare(raw, lengths, hashes, owners):
         found = first_owner(np.ascontiguousarray(matrix[take][:, width - most :]), lengths[take], low[rows])
         lowest[rows, : found.shape[1]] = found
         begin = stop
-    smaller = lowest[kind] < owners[:, None]
-    smaller &= np.arange(WINDOWS)[None, :] < (lengths - LENGTH + 1)[:, None]
     for k in range(WINDOWS):
-        bits |= smaller[:, k].astype(np.uint32) << np.uint32(k)
+        smaller = (lowest[kind, k] < owners) & (lengths - LENGTH >= k)
+        bits |= smaller.astype(np.uint32) << np.uint32(k)
     return bits
 
 
@@ -372,7 +373,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
     whole = _write_blocks(docs, id, text, block_bytes, with_row)
     blocks = whole.select("doc_id", "raw", "block")
     total = blocks.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0))).head()[0]
-    parts = 1 << max(3, math.ceil(math.log2(max(1, total / block_bytes))))
+    parts = 1 << max(3, math.ceil(math.log2(max(1, 2 * total / block_bytes))))
     bits = min(64, max(40, math.ceil(math.log2(max(2, total))) + 14))
 
     def tell(rows):
@@ -440,7 +441,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
     def mark(key, rows, values):
         block = _Block(rows, bits)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["left"] * with_row]
-        cover = np.zeros(len(block.raw) + 1, np.int32)
+        cover = np.zeros(len(block.raw) + 1, np.int8)
         if values.num_rows:
             (start, count, kind), (_, _, _, low) = block.texts(*known(values.filter(pc.equal(values["step"], 0))))
             answers = values.filter(pc.equal(values["step"], 1))
@@ -449,19 +450,18 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
             # A smaller document has the string: one elsewhere, or this text's lowest in the block.
             own, later = found[kind], low[kind] < block.ids[block.owner(start)]
             for k in range(WINDOWS):
+                # Every string of the block starts at a place of its own, so no index comes twice.
                 gone = start[(k < count) & (later | (own >> np.uint32(k) & np.uint32(1)).astype(bool))] + k
-                np.add.at(cover, gone, 1)
-                np.add.at(cover, gone + LENGTH, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        before = np.concatenate([[0], np.cumsum(gone)])
-        rises = gone & ~np.concatenate([[False], gone[:-1]])
-        some = block.starts < block.stops
-        rises[block.starts[some]] = gone[block.starts[some]]  # a run ends with its document
-        risen = np.concatenate([[0], np.cumsum(rises)])
+                cover[gone] += 1
+                cover[gone + LENGTH] -= 1
+        gone = np.cumsum(cover, dtype=np.int8)[:-1] > 0  # at most LENGTH strings cover a byte
         out = []
         for k, (a, b) in enumerate(zip(block.starts.tolist(), block.stops.tolist(), strict=True)):
-            left = block.raw[a:b][~gone[a:b]].tobytes() if before[b] > before[a] else block.raw[a:b].tobytes()
-            row = (b - a, int(before[b] - before[a]), int(risen[b] - risen[a]), hashlib.sha256(left).hexdigest())
+            own = gone[a:b]
+            n = int(np.count_nonzero(own))
+            left = block.raw[a:b][~own].tobytes() if n else block.raw[a:b].tobytes()
+            spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1])) if n else 0
+            row = (b - a, n, spans, hashlib.sha256(left).hexdigest())
             out.append((block.doc_ids[k].as_py(), *row, *((left.decode("utf-8", "ignore"),) if with_row else ())))
         found = _rows(out, names)
         return found.append_column("row", block.rows["row"]) if with_row else found
