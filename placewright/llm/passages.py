@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_folder, settle
+from .common import enter, new_folder, settle
 
 LENGTH = 50
 ANCHOR = 20
@@ -97,7 +97,8 @@ def runs(raw, stops, bits):
         near = np.searchsorted(stops, [at, at + n + LENGTH], side="right")
         for stop in stops[near[0] : near[1]].tolist():  # no string crosses a document's end
             inside[max(0, stop - LENGTH + 1 - at) : max(0, stop - at)] = False
-        hashes = _sliding_min(_rolling(part, ANCHOR), WINDOWS) >> np.uint64(64 - bits)
+        # The smallest of many hashes is small; mixed again, all buckets get alike.
+        hashes = _mix(_sliding_min(_rolling(part, ANCHOR), WINDOWS)) >> np.uint64(64 - bits)
         new = np.ones(n, dtype=bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (inside[1:] != inside[:-1])
         start = np.flatnonzero(new)
@@ -377,6 +378,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
     bits = min(64, max(40, math.ceil(math.log2(max(2, total))) + 14))
 
     def tell(rows):
+        enter("passages")
         block, number = _Block(rows, bits), rows["block"][0].as_py()
         hashes, times = np.unique(block.hash, return_counts=True)
         stops, at, out = _buckets(hashes, bits, parts), 0, []
@@ -439,6 +441,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
     back = shared.select("block", F.lit(0).alias("step"), "bucket", "value").unionByName(met.select("block", F.lit(1).alias("step"), "bucket", "value"))
 
     def mark(key, rows, values):
+        enter("passages")
         block = _Block(rows, bits)
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["left"] * with_row]
         cover = np.zeros(len(block.raw) + 1, np.int8)
