@@ -1,10 +1,32 @@
 """Small helpers that the operators share."""
 
+import contextlib
+import ctypes
+import gc
+
 from pyspark.sql import functions as F
 
 from ..session import new_folder, settle
 
-__all__ = ["columns", "new_folder", "read_blobs", "settle", "table", "write_blobs"]
+__all__ = ["columns", "enter", "new_folder", "read_blobs", "settle", "table", "write_blobs"]
+
+_kept = {}
+
+
+def enter(owner, clear=None):
+    """Begin a task of `owner` in this worker, which Spark may have used for other operators.
+
+    What those keep between tasks (`clear` empties it) is given back to the machine first.
+    """
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if clear is not None:
+        _kept[owner] = clear
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark, folder, name):

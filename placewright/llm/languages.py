@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns
+from .common import columns, enter
 
 BUCKETS = 1 << 15
 SMOOTHING = 0.05  # added to every count
@@ -141,7 +141,8 @@ def _grow(logs, times, first, limit):
 
 
 def predict(docs, names, table, id="doc_id", text="text", with_row=False):
-    """Per row: doc_id, lang_pred, score (the largest share), mixture; with_row adds the input row as `row`.
+    """Per row: doc_id, lang_pred, score (the largest share), mixture; with_row adds the text as `text` and
+    the row's other columns as struct `row`.
 
     `und` with score 0 for a null text, a text without a letter, or a model without languages.
     Equal shares go to the language first in name order. Every row gives one row; repeated ids are
@@ -149,11 +150,13 @@ def predict(docs, names, table, id="doc_id", text="text", with_row=False):
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((names, table))
-    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_row else []
+    whole = [F.struct(*[docs[c] for c in docs.columns if c != text]).alias("row")] if with_row else []
+    # Batches of the rows' texts go through Python once each way.
     rows = docs.select(docs[id].alias("doc_id"), docs[text].alias("_text"), *whole)
-    kept = ["row"] * with_row
+    kept = ["text", "row"] if with_row else []
 
     def label(batches):
+        enter("languages")
         names, table = shared.value
         for batch in batches:
             texts = [t or "" for t in batch[1].to_pylist()]
@@ -175,12 +178,12 @@ def predict(docs, names, table, id="doc_id", text="text", with_row=False):
                 pa.array([names[b] if s > 0 else "und" for b, s in zip(best.tolist(), score.tolist(), strict=True)], pa.string()),
                 pa.array(np.clip(score, 0, 1), pa.float64()),
                 pa.array(mixed, pa.string()),
-                *[batch[2 + k] for k in range(len(kept))],
+                *[batch[1 + k] for k in range(len(kept))],  # the texts go back as they came
             ]
             yield pa.record_batch(out, names=["doc_id", "lang_pred", "score", "mixture", *kept])
 
     kind = T.StructType().add("doc_id", rows.schema["doc_id"].dataType).add("lang_pred", "string").add("score", "double").add("mixture", "string")
-    return rows.mapInArrow(label, kind.add("row", rows.schema["row"].dataType) if with_row else kind)
+    return rows.mapInArrow(label, kind.add("text", "string").add("row", rows.schema["row"].dataType) if with_row else kind)
 
 
 def bucket(id="doc_id"):

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from .common import columns, settle
+from .common import columns, enter, settle
 from .components import components
 
 SHINGLE = 3
@@ -49,6 +49,7 @@ def fingerprints(docs, id="doc_id", text="text", shingle=SHINGLE):
     rows = columns(docs, doc_id=id, text=text)
 
     def hashed(batches):
+        enter("simhash")
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), shingle) for t in batch[1]], dtype=np.uint64)
             yield pa.record_batch([batch[0], pa.array(found.view(np.int64))], names=["doc_id", "fp"])

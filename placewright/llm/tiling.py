@@ -22,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import columns, settle
+from .common import columns, enter, settle
 
 LEAST = 5
 COVERAGE = 0.5
@@ -176,6 +176,7 @@ def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", ite
     rows = columns(docs, doc_id=id, text=text)
 
     def search(batches):
+        enter("tiling", _hashes.clear)
         task, number, filter_ = TaskContext.get().partitionId() << 33, 0, shared.value
         known = lambda s: filter_[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8) & np.uint8(1)
         for batch in batches:

@@ -11,8 +11,10 @@ from array import array
 
 import numpy as np
 
+from .common import enter
+
 END = 0  # closes every document
-_UNITS = 700_000  # at so many units the memory becomes the older half, and the half before it goes
+_UNITS = 450_000  # at so many units the memory becomes the older half, and the half before it goes
 _NEWLINE = "\n"
 _MARKS = ".,;:!?"
 _ODD = re.compile(r"[^\S ]|\0|  |[^a] ")  # anything but one leading space per form, joined by a letter
@@ -92,7 +94,8 @@ _encoders = {}
 
 
 def encoder(path):
-    """The worker's encoder for this vocabulary file."""
+    """The worker's encoder for this vocabulary file; its memory goes when another operator's task begins."""
+    enter("tokens", _encoders.clear)
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
