@@ -129,7 +129,7 @@ DOMAIN_TEXT = {
     "amenity_observation": "qualification",
     "architecture_event": "event_kind project_state qualification target_area",
     "operating_period": "aerification_method affected_area maintenance_kind period_kind qualification",
-    "physical_characteristics": "elevation_unit fairway_grass_name greens_grass_name landscape playing_surface qualification rough_grass_name tee_grass_name terrain",
+    "physical_characteristics": "elevation_unit mown_grass_name greens_grass_name landscape playing_surface qualification rough_grass_name tee_grass_name terrain",
     "policy_observation": "arrival_access_condition audience cancellation_charge_basis cancellation_charge_currency qualification season",
     "practice_observation": "driving_range_details driving_range_length_unit putting_green_details qualification range_technology_name",
     "price_observation": "amount_kind audience billing_basis conditions currency fee_kind product_name qualification residency residency_area_name season",

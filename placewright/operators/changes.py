@@ -34,14 +34,16 @@ def envelope_violations(changes: DataFrame) -> DataFrame:
     first = changes.groupBy("entity", "id").agg(F.min("ordinal").alias("first_ordinal"))
     joined = changes.join(first, ["entity", "id"])
     keys = F.json_object_keys("values")
+    # A stale change is a conflict; its values are not looked at.
+    live = ~F.coalesce(F.col("stale"), F.lit(False)) if "stale" in changes.columns else F.lit(True)
     rule = (
         F.when(~F.col("entity").isin(entities), "unknown entity")
         .when(F.col("entity") == "quality_rating", "quality ratings are deferred")
         .when(~F.coalesce(F.col("id").rlike(fixed.ENTITY_UUID), F.lit(False)), "stable id required")
         .when(prefix.isNotNull() & ~F.col("id").startswith(F.concat(prefix, F.lit("-"))), "incorrect id prefix")
         .when(F.col("ordinal") > F.col("first_ordinal"), "duplicate entity in batch")
-        .when(keys.isNull(), "values must be an object")
-        .when(F.array_contains(keys, "id"), "identity cannot be changed")
+        .when(live & keys.isNull(), "values must be an object")
+        .when(live & F.array_contains(keys, "id"), "identity cannot be changed")
     )
     judged = joined.select("ordinal", rule.alias("rule"))
     return judged.where(F.col("rule").isNotNull())
@@ -67,6 +69,81 @@ def _typed(entity: Column) -> Column:
     return entity.isin([d for d in schemas.DOMAINS if d not in ("source_observation", "design_party")])
 
 
+def _stated(name: str, otherwise) -> Column:
+    """A field of the merged row: the change's value where it states one, else the former one."""
+    given = F.array_contains(F.json_object_keys("values"), name)
+    return F.when(given, F.get_json_object("values", "$." + name)).otherwise(otherwise)
+
+
+def with_observations(live: DataFrame, tables: dict) -> DataFrame:
+    """Changes with fact_observation_id, the observation of the merged row, and before_observation_id.
+
+    A credit takes its event's observation; the event may be stored or come in the same batch.
+    """
+    former = []
+    for entity in [*schemas.TYPED, "architecture_credit"]:
+        if entity not in tables:
+            continue
+        key = schemas.KEYS[entity]
+        named = live.where(F.col("entity") == entity).select(F.col("id").alias(key)).distinct()
+        met = tables[entity].join(named, key, "left_semi")
+        column = "event_id" if entity == "architecture_credit" else "observation_id"
+        former.append(met.select(F.lit(entity).alias("entity"), F.col(key).alias("id"), F.col(column).alias("_former")))
+    none = F.lit(None).cast("string")
+    if not former:
+        return live.withColumns({"fact_observation_id": none, "before_observation_id": none})
+    met = live.join(reduce(DataFrame.unionByName, former), ["entity", "id"], "left")
+    is_credit = F.col("entity") == "architecture_credit"
+    merged = met.withColumns({
+        "_own": _stated("observation_id", F.when(~is_credit, F.col("_former"))),
+        "_event": F.when(is_credit, _stated("event_id", F.col("_former"))),
+    })
+    events = merged.where("entity = 'architecture_event'").select(F.col("id").alias("_event"), F.col("_own").alias("_of_event"))
+    if "architecture_event" in tables:
+        wanted = merged.where(is_credit).select(F.col("_event").alias("event_id")).distinct()
+        stored = tables["architecture_event"].join(wanted, "event_id", "left_semi")
+        stored = stored.select(F.col("event_id").alias("_event"), F.col("observation_id").alias("_of_event"))
+        events = events.unionByName(stored.join(events, "_event", "left_anti"))
+    joined = merged.join(events, "_event", "left")
+    return joined.withColumns({
+        "fact_observation_id": F.when(is_credit, F.col("_of_event")).otherwise(F.col("_own")),
+        "before_observation_id": F.when(~is_credit, F.col("_former")),
+    }).drop("_former", "_own", "_event", "_of_event")
+
+
+def cited_observations(live: DataFrame, observations: DataFrame) -> DataFrame:
+    """The observations that changes cite, stored or added by the batch: observation_id, source_id,
+    collected_on, status, origin, digest (NULL for an added one)."""
+    named = live.select("observation_id").where("observation_id is not null").distinct()
+    fields = ["source_id", "collected_on", "status", "origin"]
+    stored = observations.join(named, "observation_id", "left_semi").select(
+        "observation_id", *[F.col(f).cast("string").alias(f) for f in fields], canon.row_digest(*sorted(observations.columns)).alias("digest")
+    )
+    new = live.where("entity = 'source_observation' and expected is null").select(
+        F.col("id").alias("observation_id"), *[F.get_json_object("values", "$." + f).alias(f) for f in fields], F.lit(None).cast("string").alias("digest")
+    )
+    return stored.unionByName(new)
+
+
+def ledger(live: DataFrame, observations: DataFrame, batch_id: str) -> DataFrame:
+    """The evidence of every applied change: batch, row, source, date, origin, status, and a correction's review."""
+    cited = observations.select(
+        "observation_id", F.col("source_id").alias("o_source_id"), F.col("collected_on").alias("o_collected_on"), F.col("status").alias("o_status")
+    )
+    joined = live.join(cited, "observation_id", "left")
+    typed, fixing = _typed(F.col("entity")), F.coalesce(F.col("origin") == "retained_normalization", F.lit(False))
+    known = F.when(F.col("o_status").isin("extracted", "confirmed"), F.col("o_status")).otherwise("extracted")
+    review = F.struct("origin", "observation_id", "observation_digest", "review_reference", F.col("o_status").alias("original_status"))
+    return joined.select(
+        F.lit(batch_id).alias("batch_id"), F.col("entity").alias("entity_type"), F.col("id").alias("entity_id"),
+        F.when(typed, F.col("o_source_id")).otherwise(F.col("source_id")).alias("source_id"),
+        F.when(typed, F.col("o_collected_on")).otherwise(F.col("collected_on")).alias("collected_on"),
+        F.when(fixing, "retained_normalization").otherwise("new_extraction").alias("origin"),
+        F.when(fixing, canon.canonical_value(review)).alias("payload"),
+        F.when(typed, known).otherwise(F.col("status")).alias("status"),
+    )
+
+
 def evidence_violations(changes: DataFrame, sources: DataFrame, observations: DataFrame, held_ids: DataFrame) -> DataFrame:
     """(ordinal, rule) of the evidence envelope.
 
@@ -98,6 +175,12 @@ def evidence_violations(changes: DataFrame, sources: DataFrame, observations: Da
     date = canon.strict_date(F.when(typed, F.col("o_collected_on")).otherwise(F.col("collected_on")))
     status = F.when(typed, F.col("o_status")).otherwise(F.col("status"))
     permitted = F.coalesce(F.col("intake_policy") == "permitted", F.lit(False)) & F.col("held").isNull()
+    envelope = (F.col("entity") == "source_observation") & ~typed
+    stated = F.get_json_object("values", "$.origin") if "values" in changes.columns else F.lit(None).cast("string")
+    differs = F.lit(False)
+    if "values" in changes.columns:
+        for name in ("source_id", "collected_on", "status"):
+            differs = differs | ~F.get_json_object("values", "$." + name).eqNullSafe(F.col(name))
     same_observation = F.col("fact_observation_id").eqNullSafe(F.col("observation_id"))
     fixing = typed & correction
     rule = (
@@ -115,6 +198,8 @@ def evidence_violations(changes: DataFrame, sources: DataFrame, observations: Da
         .when(date.isNull(), "date must be YYYY-MM-DD")
         .when(~F.coalesce(status.isin("extracted", "confirmed"), F.lit(False)), "invalid extraction status")
         .when(~permitted, "source is not permitted")
+        .when(envelope & ~F.coalesce(stated == "new_extraction", F.lit(False)), "new observations are new extractions")
+        .when(envelope & differs, "observation differs from its evidence")
     )
     judged = effective.select("ordinal", rule.alias("rule"))
     return judged.where(F.col("rule").isNotNull())
@@ -180,7 +265,8 @@ def report_counts(report_rows: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same):
-    """New rows that share a folded name and `same` columns with others.
+    """New rows that share a folded name and `same` columns with others. Rows of an unknown parent
+    (NULL in a `same` column ending in _id) have no others.
 
     Returns (flagged, members): one row per flagged new id with the key of its group and the
     number of others in it, and the groups' members listed once each. Pairs are never formed,
@@ -188,7 +274,10 @@ def possible_duplicates(rows: DataFrame, added: DataFrame, key: str, same):
     """
     folded = ascii_lower(F.trim("name"))
     group = F.sha2(F.to_json(F.array(folded, *[F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("~")) for n in same])), 256)
-    named = rows.where(F.coalesce("name", F.lit("")) != "").select(key, group.alias("group_key"))
+    placed = rows
+    for name in same:
+        placed = placed.where(F.col(name).isNotNull()) if name.endswith("_id") else placed
+    named = placed.where(F.coalesce("name", F.lit("")) != "").select(key, group.alias("group_key"))
     fresh = named.join(added.select(F.col("id").alias(key)), key, "left_semi")
     # Only groups of new rows matter, so the table is cut down to those before it is counted.
     near = named.join(fresh.select("group_key").distinct(), "group_key", "left_semi")

@@ -112,19 +112,19 @@ def check_present(rows: DataFrame, table: str, key: str) -> DataFrame:
     )
 
 
-def check_references(bundle: dict) -> DataFrame:
-    """Every reference of the layout that points nowhere."""
-    result = None
+def check_references(bundle: dict, only: dict | None = None) -> DataFrame | None:
+    """Every reference of the layout that points nowhere; `only` limits the rows that refer."""
+    result, rows = None, bundle if only is None else only
     for child, columns in schemas.REFERENCES.items():
-        if child not in bundle:
+        if child not in rows:
             continue
         for column, parent in columns.items():
-            if parent not in bundle or column not in bundle[child].columns:
+            if parent not in bundle or column not in rows[child].columns:
                 continue
             key = schemas.KEYS[parent]
             known = bundle[parent].select(F.col(key).alias(column))
             lost = (
-                bundle[child]
+                rows[child]
                 .where(F.col(column).isNotNull())
                 .select(F.col(schemas.KEYS[child]).alias("id"), column)
                 .join(known, column, "left_anti")
@@ -258,8 +258,8 @@ def check_immutable(old: DataFrame, new: DataFrame, key: str, fields, used: Data
 
 
 def value_kinds(table: str) -> dict:
-    """Declared kind of each writable field: flag, whole, real, date or text."""
-    kinds = {}
+    """Declared kind of each writable field: flag, whole, real, date or text. References are texts."""
+    kinds = dict.fromkeys(schemas.REFERENCES.get(table, {}), "text")
     for name, kind in (schemas.CORE | schemas.DOMAINS)[table].items():
         shape = kind if isinstance(kind, str) else kind[0]
         kinds[name] = {"flag": "flag", "whole": "whole", "real": "real", "above": "real", "date": "date"}.get(shape, "text")

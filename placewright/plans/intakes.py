@@ -307,7 +307,7 @@ SQL_NAMED = "select c.*, lower(trim(name)) as folded, coalesce(facility_id, '~')
 @query(
     "j12_possible_duplicates",
     cte("c", extra={"x": SQL_NAMED, "g": "select folded, fid, count(*) as n from x group by 1, 2 having count(*)>1"})
-    + "select course_id, n-1 as others from x join g on g.folded=x.folded and g.fid=x.fid",
+    + "select course_id, n-1 as others from x join g on g.folded=x.folded and g.fid=x.fid where g.fid<>'~'",
 )
 def j12(spark, sf):
     named = T(spark, sf, "c").select("course_id", "facility_id", "k", F.expr("case when name is null then null when k%3=0 then upper(name) else name || ' ' end").alias("name"))

@@ -102,13 +102,15 @@ DOMAINS = {
         "acreage": ("real", 1e-06, 1e12), **_flags("acreage_approximate water_features wooded"),
         "landscape": ("one of", LANDSCAPE), "terrain": ("one of", ["flat", "rolling", "hilly", "mixed"]),
         "playing_surface": ("one of", ["natural_grass", "synthetic", "mixed"]),
-        **{f"{part}_grass_name": ("text", 512) for part in ["greens", "fairway", "tee", "rough"]},
+        "greens_grass_name": ("text", 512), "mown_grass_name": ("text", 512), "tee_grass_name": ("text", 512), "rough_grass_name": ("text", 512),
         "elevation": ("real", -500, 10000), "elevation_unit": ("one of", ["metres", "feet"]),
     },
     "amenity_observation": {
-        f"{thing}_available": "flag"
-        for thing in "clubhouse restaurant bar snack_bar lodging casino spa pool locker_rooms showers restrooms"
-        " drinking_water tennis pickleball banquet_space parking".split()
+        "clubhouse_available": "flag", "restaurant_available": "flag", "bar_available": "flag", "snack_bar_available": "flag",
+        "lodging_available": "flag", "casino_available": "flag", "spa_available": "flag", "pool_available": "flag",
+        "locker_rooms_available": "flag", "showers_available": "flag", "restrooms_available": "flag",
+        "drinking_water_available": "flag", "tennis_available": "flag", "pickleball_available": "flag",
+        "banquet_space_available": "flag", "parking_available": "flag",
     },
     "practice_observation": {
         **_flags(
@@ -185,7 +187,7 @@ DOMAINS = {
     "architecture_event": {
         "event_kind": ("one of", ["design", "opening", "redesign", "renovation", "restoration", "expansion", "founding", "construction"]),
         "project_state": ("one of", ["planned", "in_progress", "completed", "cancelled"]),
-        "target_area": ("one of", ["whole_facility", "whole_course", "nine_hole_component", "greens", "tees", "fairways", "clubhouse", "practice_area"]),
+        "target_area": ("one of", ["whole_facility", "whole_course", "nine_hole_component", "greens", "tees", "mown_areas", "clubhouse", "practice_area"]),
         "event_year": ("whole", 1, 9999), "event_month": ("whole", 1, 12), "event_day": ("whole", 1, 31), "year_end": ("whole", 1, 9999),
         "physical_holes_before": ("whole", 1, 1000), "physical_holes_after": ("whole", 1, 1000),
     },
@@ -289,17 +291,35 @@ REFERENCES = {
     "round_option": {"facility_id": "facility", "course_id": "course"},
     "round_component": {"round_id": "round_option", "component_id": "component", "course_id": "course"},
     "tee_set": {"course_id": "course", "round_id": "round_option"},
-    "source_observation": {"source_id": "source", "retained_facility_id": "facility"},
-    "price_observation": {
-        "observation_id": "source_observation", "facility_id": "facility", "course_id": "course",
-        "round_id": "round_option", "qualifying_prior_round_id": "round_option",
-    },
+    "source_observation": {"source_id": "source", "retained_facility_id": "facility", "retained_group_id": "fact_group"},
+    "fact_group": {"facility_id": "facility", "course_id": "course"},
+    "architecture_credit": {"event_id": "architecture_event", "party_id": "design_party"},
 }
 
+# The typed domains: each row has one observation and one of the domain's subjects.
+TYPED = [
+    "physical_characteristics", "amenity_observation", "practice_observation", "service_observation", "policy_observation",
+    "operating_period", "accessibility_observation", "price_observation", "architecture_event", "quality_rating",
+]
+SUBJECT_PARENTS = {"facility_id": "facility", "course_id": "course", "component_id": "component", "round_id": "round_option"}
+for _domain in TYPED:
+    REFERENCES[_domain] = {"observation_id": "source_observation", **{s: SUBJECT_PARENTS[s] for s in SUBJECTS[_domain]}}
+REFERENCES["price_observation"]["qualifying_prior_round_id"] = "round_option"
+
 KEYS = {
     "facility": "facility_id", "course": "course_id", "component": "component_id", "round_option": "round_id",
     "round_component": "member_id", "tee_set": "tee_id", "alias": "alias_id", "source": "source_id",
-    "source_observation": "observation_id", "price_observation": "price_id",
+    "source_observation": "observation_id", "fact_group": "group_id", "physical_characteristics": "physical_id",
+    "amenity_observation": "amenity_id", "practice_observation": "practice_id", "service_observation": "service_id",
+    "policy_observation": "policy_id", "operating_period": "period_id", "accessibility_observation": "accessibility_id",
+    "price_observation": "price_id", "design_party": "party_id", "architecture_event": "event_id",
+    "architecture_credit": "credit_id", "quality_rating": "rating_id",
+}
+
+# Composite keys: columns, and the condition under which they must be unique.
+UNIQUE = {
+    "round_component": [(["round_id", "ordinal"], None)],
+    "architecture_credit": [(["event_id", "party_id", "role"], None), (["event_id", "party_id"], "role is null")],
 }
 
 # Columns whose values are catalog ids; rekeying touches these and nothing else.

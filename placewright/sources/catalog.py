@@ -8,6 +8,7 @@ unchanged table keeps its earlier path. One writer at a time is a rule of deploy
 import json
 import re
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed, schemas
 from ..functions import canon
-from ..operators import changes, holds, quality
+from ..operators import cards, changes, holds, quality
 from ..session import settle
 
 _MANIFEST = "table string, path string, version long, batch_id string, digest string, report string"
@@ -36,18 +37,21 @@ def current_version(spark: SparkSession, root: str) -> int:
 
 
 def _table_paths(spark: SparkSession, root: str, version: int) -> dict:
-    rows = _manifests(spark, root).where(F.col("version") == version).select("table", "path").collect()
-    return {r["table"]: r["path"] for r in rows}
+    """The paths of every table of a version; a table that batches append to has several."""
+    paths = {}
+    for r in _manifests(spark, root).where(F.col("version") == version).select("table", "path").collect():
+        paths.setdefault(r["table"], []).append(r["path"])
+    return paths
 
 
 def load(spark: SparkSession, root: str, version: int | None = None) -> dict:
     version = current_version(spark, root) if version is None else version
-    return {table: spark.read.parquet(path) for table, path in _table_paths(spark, root, version).items()}
+    return {table: spark.read.parquet(*paths) for table, paths in _table_paths(spark, root, version).items()}
 
 
 def _publish(spark: SparkSession, root: str, version: int, changed: dict, kept: dict, batch=(None, None, None)) -> None:
-    """Write the changed tables under new names, then the manifest that makes them a version."""
-    entries = [(name, path, version, *batch) for name, path in kept.items()]
+    """Write the changed tables and appended parts under new names, then the manifest that makes them a version."""
+    entries = [(name, path, version, *batch) for name, paths in kept.items() for path in paths]
     for name, rows in changed.items():
         path = f"{root}/tables/{name}-{uuid.uuid4().hex}"
         rows.write.parquet(path)
@@ -57,6 +61,20 @@ def _publish(spark: SparkSession, root: str, version: int, changed: dict, kept:
     manifest.write.mode("overwrite").json(f"{root}/versions/{version}/manifest")
 
 
+def empty_table(spark: SparkSession, name: str) -> DataFrame:
+    """A table of the layout without rows."""
+    kinds = {"flag": "boolean", "whole": "int", "real": "double"}
+    fields = {schemas.KEYS[name]: "string"}
+    known = quality.value_kinds(name) if name in schemas.CORE or name in schemas.DOMAINS else dict.fromkeys(schemas.REFERENCES.get(name, {}), "text")
+    fields |= {field: kinds.get(kind, "string") for field, kind in known.items()}
+    return spark.range(1).where("false").select(*[F.lit(None).cast(kind).alias(field) for field, kind in fields.items()])
+
+
+def complete(spark: SparkSession, tables: dict) -> dict:
+    """All tables of the layout; those that the catalog has no row of yet are empty."""
+    return {name: empty_table(spark, name) for name in schemas.KEYS if name not in tables and name != "source"} | tables
+
+
 def create(spark: SparkSession, root: str, tables: dict) -> None:
     """Write the first version; an existing catalog is never overwritten."""
     if current_version(spark, root):
@@ -68,22 +86,60 @@ def _stored_batch(spark: SparkSession, root: str, batch_id: str):
     return _manifests(spark, root).where(F.col("batch_id") == batch_id).select("digest", "report").first()
 
 
-def violations(spark: SparkSession, tables: dict) -> DataFrame:
-    """All integrity rules over a whole catalog, as one table."""
-    found = [quality.check_references(tables)]
-    for name, rows in tables.items():
-        key = schemas.KEYS.get(name)
-        if key is None or name == "source":
-            continue
-        found += [quality.check_rows(rows, name, key), quality.check_finite(rows, name, key), quality.check_unique(rows, name, [key])]
-    if {"facility", "course"} <= tables.keys():
-        found.append(quality.check_inventory(tables["facility"], tables["course"]))
-    if {"course", "round_option", "round_component", "component"} <= tables.keys():
+def _padded(rows: DataFrame, columns) -> DataFrame:
+    """The rows with these text columns, NULL where the table was stored without them."""
+    return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
+
+
+def violations(spark: SparkSession, tables: dict, changed: dict | None = None) -> DataFrame:
+    """All integrity rules over a catalog, as one table.
+
+    `changed` (entity -> ids) limits the check to those rows and to what they can break: their own
+    rules, their references, the keys they share, the facilities whose inventory they touch, and
+    the scope of their facts. Rows are never deleted by a batch, so others stay as they were.
+    """
+    names = [n for n in tables if n in schemas.KEYS and n != "source" and (changed is None or n in changed)]
+    rows = {}
+    for name in names:
+        key = schemas.KEYS[name]
+        rows[name] = tables[name] if changed is None else tables[name].join(changed[name].select(F.col("id").alias(key)).distinct(), key, "left_semi")
+    found = [quality.check_references(tables, rows)]
+    for name in names:
+        key = schemas.KEYS[name]
+        found += [quality.check_rows(rows[name], name, key), quality.check_finite(rows[name], name, key), quality.check_unique(rows[name], name, [key])]
+        for keys, where in schemas.UNIQUE.get(name, []):
+            if {*keys, *(["role"] if where else [])} <= set(tables[name].columns):
+                near = tables[name] if changed is None else tables[name].join(rows[name].select(*keys).distinct(), keys, "left_semi")
+                found.append(quality.check_unique(near, name, keys, where))
+    if {"facility", "course"} & set(names) and {"facility", "course"} <= tables.keys():
+        facilities, courses = tables["facility"], tables["course"]
+        if changed is not None:
+            near = [rows[n].select("facility_id") for n in ("facility", "course") if n in rows]
+            near = reduce(DataFrame.unionByName, near).distinct()
+            facilities, courses = facilities.join(near, "facility_id", "left_semi"), courses.join(near, "facility_id", "left_semi")
+        found.append(quality.check_inventory(facilities, courses))
+    scope = {"course", "round_option", "round_component", "component"}
+    if scope & set(names) and scope <= tables.keys() and (changed is None or {"round_option", "round_component", "component"} & set(names)):
         found.append(quality.check_round_scope(tables))
-    result = found[0]
-    for part in found[1:]:
-        result = result.unionByName(part)
-    return result
+    typed = [n for n in schemas.TYPED if n in rows]
+    if "source_observation" in tables:
+        tables = tables | {"source_observation": _padded(tables["source_observation"], schemas.REFERENCES["source_observation"])}
+    if typed and scope | {"source_observation", "fact_group"} <= tables.keys():
+        subjects = []
+        for name in typed:
+            columns = rows[name].columns
+            pick = [F.col(c) if c in columns else F.lit(None).cast("string").alias(c) for c in ("observation_id", "facility_id", "course_id", "round_id")]
+            subjects.append(rows[name].select(F.col(schemas.KEYS[name]).alias("id"), *pick))
+        belongs = cards.membership(tables["round_option"], tables["round_component"], tables["component"])
+        found.append(quality.check_observation_scope(reduce(DataFrame.unionByName, subjects), tables, belongs))
+        if "price_observation" in rows and "qualifying_prior_round_id" in rows["price_observation"].columns:
+            found.append(quality.check_price_bundle(rows["price_observation"], tables))
+    if "source_observation" in rows and {"fact_group", "course"} <= tables.keys():
+        seen = _padded(rows["source_observation"], schemas.REFERENCES["source_observation"])
+        found.append(quality.check_observation_references(tables | {"source_observation": seen}))
+    columns = ["rule", "table", "id", "detail"]
+    none = spark.range(1).where("false").select(*[F.lit(None).cast("string").alias(c) for c in columns])
+    return reduce(DataFrame.unionByName, [f.select(*columns) for f in found if f is not None], none)
 
 
 def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
@@ -91,23 +147,15 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
 
     All set-based: a stale change is a conflict and is skipped; any violation rejects the batch.
     """
+    tables = complete(batch.sparkSession, tables)
     guarded = settle(changes.guarded(batch, tables), "guarded")
     live = guarded.where(~F.col("stale"))
     # Only the observations and sources that the batch cites are read closely.
-    used = live.select("source_id")
-    observations = tables.get("source_observation")
-    if observations is None:
-        none = "observation_id string, source_id string, collected_on string, status string, origin string, digest string"
-        observations = batch.sparkSession.createDataFrame([], none)
-    else:
-        observations = observations.join(live.select("observation_id").distinct(), "observation_id", "left_semi")
-        observations = observations.withColumn("digest", canon.row_digest(*sorted(observations.columns)))
-        used = used.unionByName(observations.select("source_id"))
+    observations = changes.cited_observations(live, tables["source_observation"])
+    used = live.select("source_id").unionByName(observations.select("source_id"))
     sources = settle(tables["source"].join(used.distinct(), "source_id", "left_semi"), "used")
     held = holds.held(sources, hold_list)
-    fact = live.withColumn("fact_observation_id", F.get_json_object("values", "$.observation_id")).withColumn(
-        "before_observation_id", F.lit(None).cast("string")
-    )
+    fact = changes.with_observations(live, tables)
     entities = [e for e in tables if e in schemas.CORE or e in schemas.DOMAINS]
     bad = (
         changes.envelope_violations(guarded)
@@ -172,8 +220,11 @@ def apply_batch(
     if first:
         return report | {"state": "rejected", "reason": first["rule"], "ordinal": first["ordinal"]}
     after = {name: settle(rows, "after") for name, rows in after.items()}
+    tables = complete(spark, tables)
     post = tables | after
-    broken = violations(spark, post).orderBy("rule", "table", "id").first()
+    live = guarded.where(~F.col("stale"))
+    named = {entity: live.where(F.col("entity") == entity).select("id") for entity in after}
+    broken = violations(spark, post, named).orderBy("rule", "table", "id").first()
     if broken:
         return report | {"state": "rejected", "reason": f"{broken['table']}: {broken['rule']}"}
     report["conflicts"] = conflicts.count()
@@ -182,6 +233,7 @@ def apply_batch(
         part = changes.change_rows(tables[entity], new, guarded.where(F.col("entity") == entity), entity, schemas.KEYS[entity])
         rows = part if rows is None else rows.unionByName(part)
     if rows is not None:
+        rows = settle(rows, "changes")
         own = post["facility"].select(F.lit("facility").alias("entity"), F.col("facility_id").alias("id"), "facility_id")
         if "course" in post:
             own = own.unionByName(post["course"].select(F.lit("course").alias("entity"), F.col("course_id").alias("id"), "facility_id"))
@@ -190,8 +242,14 @@ def apply_batch(
         return report | {"state": "conflicted"}
     if apply:
         report |= {"state": "applied", "committed": True, "revision_after": version + 1}
+        # The ledger and the list of changes grow by a part per batch.
+        seen = changes.cited_observations(live, tables["source_observation"])
+        appended = {"intake_evidence": changes.ledger(live, seen, batch_id)}
+        if rows is not None:
+            appended["batch_change"] = rows.select(F.lit(batch_id).alias("batch_id"), "*")
         after = registered | after
         kept = {n: p for n, p in _table_paths(spark, root, version).items() if n not in after}
+        after |= appended
         _publish(spark, root, version + 1, after, kept, (batch_id, digest, json.dumps(report)))
     return report
 

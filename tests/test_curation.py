@@ -42,7 +42,7 @@ def test_stored_identity_settles_a_record(spark):
 def test_rekey_leaves_equal_text_alone(spark):
     rows = spark.createDataFrame([("f-1", "f-1", ["c-1", "f-1"])], "facility_id string, name string, course_ids array<string>")
     mapping = spark.createDataFrame([("f-1", "osm/way/1"), ("c-1", "osm/way/2")], "old_id string, new_id string")
-    got = links.rekey_list(rows.withColumn("key", F.lit(1)), "key", "course_ids", mapping)
+    got = links.rekey_list(rows.withColumn("key", F.lit(1)), ["key"], "course_ids", mapping)
     got = links.rekey(got, "facility_id", mapping).first()
     assert (got["facility_id"], got["name"], got["course_ids"]) == ("osm/way/1", "f-1", ["osm/way/2", "osm/way/1"])
 
@@ -365,6 +365,79 @@ def test_refused_batches_change_nothing(spark, stored, no_holds, change, source,
     assert catalog.current_version(spark, stored) == 1
 
 
+def facts(spark, *rows):
+    """Changes with any evidence: (entity, id, expected, values, evidence)."""
+    names = ["source_id", "collected_on", "status", "observation_id", "origin", "observation_digest", "review_reference"]
+    full = [(n, e, i, x, json.dumps(v), *[ev.get(k) for k in names]) for n, (e, i, x, v, ev) in enumerate(rows)]
+    return spark.createDataFrame(full, intake.CHANGE.replace("batch_id string, ", ""))
+
+
+CORE = {"source_id": "s-1", "collected_on": "2026-02-03", "status": "confirmed"}
+OBSERVED = {**CORE, "origin": "new_extraction", "conflict": False}
+
+
+def test_batches_take_observations_and_typed_facts(spark, stored, no_holds):
+    seen = {"observation_id": uid("o", 1)}
+    rows = facts(
+        spark,
+        ("source_observation", uid("o", 1), None, OBSERVED, CORE),
+        ("amenity_observation", uid("am", 1), None, {**seen, "facility_id": uid("f", 1), "spa_available": True}, seen),
+        ("price_observation", uid("pr", 1), None, {**seen, "course_id": uid("c", 1), "amount_min": 20.5, "currency": "USD"}, seen),
+        ("design_party", uid("dp", 1), None, {"name": "A. Designer", "party_kind": "person"}, CORE),
+        ("architecture_event", uid("ev", 1), None, {**seen, "course_id": uid("c", 1), "event_kind": "design", "event_year": 1999}, seen),
+        ("architecture_credit", uid("cr", 1), None, {"event_id": uid("ev", 1), "party_id": uid("dp", 1), "role": "redesign"}, seen),
+    )
+    report = catalog.apply_batch(spark, stored, "t-1", rows, no_holds, apply=True)
+    assert (report["state"], report["added"], report.get("reason")) == ("applied", 6, None)
+    now = catalog.load(spark, stored)
+    assert now["price_observation"].first()["amount_min"] == 20.5 and now["amenity_observation"].first()["spa_available"] is True
+    ledger = {r["entity_id"]: r for r in now["intake_evidence"].collect()}
+    assert len(ledger) == 6 and {(r["source_id"], r["collected_on"], r["status"], r["origin"]) for r in ledger.values()} == {("s-1", "2026-02-03", "confirmed", "new_extraction")}
+    assert {r["kind"] for r in now["batch_change"].collect()} == {"added"}
+    old = digest_of(spark, stored, "price_observation", "price_id", uid("pr", 1))
+    second = facts(spark, ("price_observation", uid("pr", 1), old, {"amount_min": 30.0}, seen))
+    assert catalog.apply_batch(spark, stored, "t-2", second, no_holds, apply=True)["updated"] == 1
+    assert catalog.load(spark, stored)["intake_evidence"].count() == 7
+    assert catalog.load(spark, stored)["price_observation"].first()["amount_min"] == 30.0
+
+
+@pytest.mark.parametrize(
+    "change, reason",
+    [
+        (("amenity_observation", uid("am", 2), None, {"observation_id": uid("o", 9), "facility_id": uid("f", 1)}, {"observation_id": uid("o", 8)}), "evidence observation differs from fact"),
+        (("amenity_observation", uid("am", 2), None, {"observation_id": uid("o", 9), "facility_id": uid("f", 1)}, CORE), "typed facts need one observation"),
+        (("amenity_observation", uid("am", 2), None, {"observation_id": uid("o", 9), "facility_id": uid("f", 1)}, {"observation_id": uid("o", 9)}), "ordinary intake cannot promote retained evidence"),
+        (("source_observation", uid("o", 2), None, {**OBSERVED, "collected_on": "2026-02-04"}, CORE), "observation differs from its evidence"),
+        (("source_observation", uid("o", 2), None, {**OBSERVED, "origin": "retained_input"}, CORE), "new observations are new extractions"),
+        (("amenity_observation", uid("am", 3), None, {"observation_id": uid("o", 7), "facility_id": uid("f", 1), "course_id": uid("c", 1)}, {"observation_id": uid("o", 7)}), "amenity_observation: exactly one subject"),
+        (("amenity_observation", uid("am", 3), None, {"observation_id": uid("o", 7), "facility_id": uid("f", 99)}, {"observation_id": uid("o", 7)}), "amenity_observation: facility_id in facility"),
+    ],
+)
+def test_refused_facts(spark, stored, no_holds, change, reason):
+    first = ("source_observation", uid("o", 7), None, OBSERVED, CORE)
+    report = catalog.apply_batch(spark, stored, "t-3", facts(spark, first, change), no_holds, apply=True)
+    assert (report["state"], report.get("reason")) == ("rejected", reason)
+
+
+def test_a_correction_keeps_its_retained_observation(spark, tmp_path, no_holds):
+    root = str(tmp_path / "retained")
+    one = spark.createDataFrame([(uid("f", 1), "One", "US")], "facility_id string, name string, country string")
+    source = spark.createDataFrame([("s-1", "https://ok.example.com/", "retained_only")], "source_id string, url string, intake_policy string")
+    seen = spark.createDataFrame([(uid("o", 1), "s-1", "2020-01-01", "retained", "retained_input", False, uid("f", 1))], "observation_id string, source_id string, collected_on string, status string, origin string, conflict boolean, retained_facility_id string")
+    fact = spark.createDataFrame([(uid("am", 1), uid("o", 1), uid("f", 1), True)], "amenity_id string, observation_id string, facility_id string, spa_available boolean")
+    catalog.create(spark, root, {"facility": one, "source": source, "source_observation": seen, "amenity_observation": fact})
+    guard = digest_of(spark, root, "source_observation", "observation_id", uid("o", 1))
+    old = digest_of(spark, root, "amenity_observation", "amenity_id", uid("am", 1))
+    review = {"origin": "retained_normalization", "observation_id": uid("o", 1), "observation_digest": guard, "review_reference": "review/7"}
+    run = lambda name, evidence: catalog.apply_batch(spark, root, name, facts(spark, ("amenity_observation", uid("am", 1), old, {"spa_available": None}, evidence)), no_holds, apply=True)
+    assert run("r-1", {**review, "observation_digest": "0"})["reason"] == "stale observation guard"
+    assert run("r-2", review)["state"] == "applied"
+    now = catalog.load(spark, root)
+    assert now["amenity_observation"].first()["spa_available"] is None
+    kept = now["intake_evidence"].first()
+    assert (kept["origin"], kept["status"], json.loads(kept["payload"])["original_status"]) == ("retained_normalization", "extracted", "retained")
+
+
 def test_a_parent_must_come_first(spark, stored, no_holds):
     course = ("course", uid("c", 6), None, {"facility_id": uid("f", 6), "name": "X", "identity_status": "needs_review", "address_mode": "inherit"})
     facility = ("facility", uid("f", 6), None, {"name": "Six", "country": "US"})
