@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .. import standin
+from .. import schemas, standin
 from ..functions import canon
 from ..operators import changes, holds, retained
 from ..session import new_folder, read, settle
@@ -155,6 +155,54 @@ def c01_repeat(spark, sf):
     return spark.createDataFrame(rows, "state string, committed boolean, added long, updated long, changed_fields long, distinct_facilities long, version long")
 
 
+# A fact of another domain for every facility, under an observation that the same batch adds.
+TYPED_FACTS = {
+    "amenity_observation": '"spa_available":true', "practice_observation": '"putting_green_count":2',
+    "service_observation": '"caddie_available":false', "policy_observation": '"minimum_player_age":12',
+    "operating_period": '"period_kind":"season","annual_start_month":4', "accessibility_observation": '"accessible_parking_available":true',
+    "price_observation": '"amount_min":10.5,"amount_max":20,"currency":"USD"', "physical_characteristics": '"acreage":120.5',
+    "architecture_event": '"event_kind":"opening","event_year":1990',
+}
+FACT_ID, SEEN_ID = UUID.format(p="x", k="k"), UUID.format(p="o", k="k")
+_CASES = " ".join(f"when {n} then '{name}'" for n, name in enumerate(TYPED_FACTS))
+_SQL_ID = "'{p}-00000000-0000-4000-8000-' || lpad(cast(k as varchar),12,'0')"
+
+
+@query(
+    "c01_typed_facts",
+    cte("f")
+    + f"""select case k%9 {_CASES} end as entity, {_SQL_ID.format(p='x')} as id, {_SQL_ID.format(p='f')} as facility_id, {_SQL_ID.format(p='o')} as observation_id,
+ 'confirmed' as status, '2026-02-03' as collected_on, 'new_extraction' as origin, 'added' as kind from f""",
+)
+def c01_typed(spark, sf):
+    root = new_folder(spark, "catalog")
+    catalog.create(spark, root, stored_tables(spark, sf))
+    stored = catalog.load(spark, root)
+    in_force = settle(hold_list(spark, sf), "holds")
+    good = good_source(stored["source"], holds.held(stored["source"], in_force))
+    rows = T(spark, sf, "f").select("k", good.scalar().alias("good"))
+    none = [f"{NONE} as {c}" for c in ("expected", "origin", "observation_digest", "review_reference")]
+    seen = rows.selectExpr(
+        "k as ordinal", "'source_observation' as entity", f"{SEEN_ID} as id",
+        """'{"source_id":"' || good || '","collected_on":"2026-02-03","status":"confirmed","origin":"new_extraction","conflict":false}' as values""",
+        "good as source_id", "'2026-02-03' as collected_on", "'confirmed' as status", f"{NONE} as observation_id", *none,
+    )
+    values = " ".join(f"when {n} then '{text}'" for n, text in enumerate(TYPED_FACTS.values()))
+    facts = rows.selectExpr(
+        "k+1000000000 as ordinal", f"case k%9 {_CASES} end as entity", f"{FACT_ID} as id",
+        f"""'{{"observation_id":"' || {SEEN_ID} || '","facility_id":"' || {F_ID} || '",' || (case k%9 {values} end) || '}}' as values""",
+        f"{NONE} as source_id", f"{NONE} as collected_on", f"{NONE} as status", f"{SEEN_ID} as observation_id", *none,
+    )
+    batch = seen.unionByName(facts).select(*BATCH)
+    catalog.apply_batch(spark, root, "typed", batch, in_force, apply=True)
+    now = catalog.load(spark, root)
+    found = standin.union_all([
+        now[name].select(F.lit(name).alias("entity"), F.col(schemas.KEYS[name]).alias("id"), "facility_id", "observation_id") for name in TYPED_FACTS
+    ])
+    ledger = now["intake_evidence"].select(F.col("entity_type").alias("entity"), F.col("entity_id").alias("id"), "status", "collected_on", "origin")
+    return found.join(ledger, ["entity", "id"]).join(now["batch_change"].select("entity", "id", "kind"), ["entity", "id"])
+
+
 def version_changes(spark, sf):
     old = T(spark, sf, "f")
     ids = old.selectExpr("facility_id as id")
