@@ -6,7 +6,8 @@ from pyspark.sql import types as T
 
 from .. import fixed
 
-# A value that no cell holds, so that the reader itself never makes a NULL.
+# A value that no cell holds, so that the reader itself never makes a NULL: a text that begins with
+# this character, or that equals the mark for NULL, is written with one more of it in front.
 _NO_NULL = "\u0001"
 _DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -26,7 +27,8 @@ def write_rows(rows: DataFrame, path: str) -> dict:
             # One-field JSON, unwrapped, so that scalars and nested values are written alike.
             wrapped = F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
             value = F.when(value.isNotNull(), F.regexp_replace(wrapped, r'(?s)\A\{"v":(.*)\}\z', "$1"))
-        return F.coalesce(value, F.lit(fixed.CSV_NULL)).alias(field.name)
+        guarded = F.when(value.startswith(_NO_NULL) | (value == fixed.CSV_NULL), F.concat(F.lit(_NO_NULL), value)).otherwise(value)
+        return F.coalesce(guarded, F.lit(fixed.CSV_NULL)).alias(field.name)
 
     cells = rows.select(*[cell(f) for f in rows.schema])
     # Files stay small, since a file is later read by one task.
@@ -49,7 +51,8 @@ def read_rows(spark: SparkSession, path: str, kinds: dict, schemas: dict | None
 
     def value(name):
         text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
-        known = F.when(text != fixed.CSV_NULL, text)
+        plain = F.when(text.startswith(_NO_NULL), F.substring(text, 2, 2**31 - 1)).otherwise(text)
+        known = F.when(text != fixed.CSV_NULL, plain)
         if kinds[name] == "json":
             if name in schemas:
                 wrapped = F.concat(F.lit('{"v":'), known, F.lit("}"))
