@@ -25,6 +25,19 @@ def row_digest(*columns) -> Column:
 _LANES = 8
 
 
+def _lane_sums():
+    """Sums of the eight numbers of 32 bits in column digest; order-free, combined before a shuffle."""
+    return [F.sum(F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).alias(f"lane{k}") for k in range(_LANES)]
+
+
+def group_digest(rows: DataFrame, key: str, *columns) -> DataFrame:
+    """(key, group_digest): one order-free digest of each group's rows, in one pass."""
+    hashed = rows.select(key, row_digest(*columns).alias("digest"))
+    total = hashed.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums())
+    text = F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"lane{k}").cast("string") for k in range(_LANES)])
+    return total.select(key, F.sha2(text, 256).alias("group_digest"))
+
+
 def table_digest(rows: DataFrame, *columns) -> DataFrame:
     """One order-free digest of a whole table and its row count, in one pass.
 
@@ -33,12 +46,9 @@ def table_digest(rows: DataFrame, *columns) -> DataFrame:
     """
     digest = row_digest(*sorted(columns or rows.columns))
     hashed = rows.select(digest.alias("digest"))
-    lanes = [
-        F.coalesce(F.sum(F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string").alias(f"lane{k}")
-        for k in range(_LANES)
-    ]
-    total = hashed.agg(F.count("*").alias("row_count"), *lanes)
-    text = F.concat_ws(":", F.col("row_count").cast("string"), *[f"lane{k}" for k in range(_LANES)])
+    total = hashed.agg(F.count("*").alias("row_count"), *_lane_sums())
+    lanes = [F.coalesce(F.col(f"lane{k}").cast("string"), F.lit("0")) for k in range(_LANES)]
+    text = F.concat_ws(":", F.col("row_count").cast("string"), *lanes)
     return total.select(F.sha2(text, 256).alias("table_sha256"), "row_count")
 
 

@@ -39,12 +39,13 @@ def course_evidence_violations(
     has_courses = owned.select("facility_id").distinct().withColumn("has_courses", F.lit(True))
     base = proposals.join(facility, "facility_id", "left").join(kept, "facility_id", "left").join(has_courses, "facility_id", "left")
 
-    # The whole inventory before the batch must be what the proposal saw: compare both ways,
-    # row against row, so that a facility with very many courses is never gathered.
-    extended = proposals.where("extended")
-    actual = extended.select("ordinal", "facility_id").join(owned, "facility_id").select("ordinal", "course_id", "digest")
-    both = seen.join(actual, ["ordinal", "course_id"], "full_outer")
-    inventory = both.where(~F.col("wanted").eqNullSafe(F.col("digest"))).select("ordinal", F.lit(True).alias("inventory_changed")).distinct()
+    # The whole inventory before the batch must be what the proposal saw. Each facility's and each
+    # proposal's inventory is summed up once, in one pass, so that no proposal meets every course.
+    extended = proposals.where("extended").select("ordinal", "facility_id")
+    actual = canon.group_digest(owned, "facility_id", "course_id", "digest").withColumnRenamed("group_digest", "now")
+    stated = canon.group_digest(seen, "ordinal", "course_id", F.col("wanted").alias("digest")).withColumnRenamed("group_digest", "then")
+    both = extended.join(actual, "facility_id", "left").join(stated, "ordinal", "left")
+    inventory = both.where(~F.col("now").eqNullSafe(F.col("then"))).select("ordinal", F.lit(True).alias("inventory_changed")).distinct()
 
     note_stale = _map_differences(proposals, "note_digests", notes, "note_stale")
     source_ids = sources.select(F.col("source_id").alias("id"), "digest")
