@@ -89,18 +89,26 @@ def _common(state, country, county, access, holes, bbox, center, radius_km, plac
     return clauses
 
 
-def page_of(rows: DataFrame, order, limit, offset):
+def page_of(rows: DataFrame, order, limit, offset, after=None):
     """(total, page): the count before paging, and the ordered slice with distance kept.
 
-    The slice is a top-k: no full sort, and at most offset + limit rows per task.
+    The slice is a top-k: no full sort, and at most offset + limit rows per task. Far pages are
+    better asked for by `after`, the order values of the last row seen: then it is `limit` rows.
+    `order` names columns, ascending with unknown first, the last one unique.
     """
     require(type(limit) is int and 1 <= limit <= 1000 and type(offset) is int and offset >= 0, "invalid pagination")
-    return rows.agg(F.count("*").alias("total")), rows.orderBy(*order).offset(offset).limit(limit)
+    total = rows.agg(F.count("*").alias("total"))
+    if after is not None:
+        require(offset == 0 and len(after) == len(order), "a page continues after one value per order column")
+        # Structs compare field by field, unknown first, as the order does.
+        last = F.struct(*[F.lit(v).cast(rows.schema[name].dataType).alias(name) for name, v in zip(order, after, strict=True)])
+        rows = rows.where(F.struct(*order) > last)
+    return total, rows.orderBy(*[F.asc_nulls_first(name) for name in order]).offset(offset).limit(limit)
 
 
 def query_facilities(
     bundle, *, limit=100, offset=0, state=None, country=None, county=None, access=None, holes=None,
-    search=None, bbox=None, center=None, radius_km=None,
+    search=None, bbox=None, center=None, radius_km=None, after=None,
 ):
     rows = bundle["facility"]
     place = F.col("latitude"), F.col("longitude")
@@ -110,13 +118,12 @@ def query_facilities(
         rows = matching_names(rows, "facility_id", bundle["alias"], search)
     if center is not None:
         rows = rows.withColumn("distance_km", geo.distance_km(F.lit(float(center[0])), F.lit(float(center[1])), *place))
-    order = [F.asc_nulls_first("name"), F.asc("facility_id")]
-    return page_of(rows, order, limit, offset)
+    return page_of(rows, ["name", "facility_id"], limit, offset, after)
 
 
 def query_courses(
     bundle, *, limit=100, offset=0, round_holes=None, plan=False, include_review=True, state=None,
-    country=None, county=None, access=None, style=None, holes=None, search=None, bbox=None, center=None, radius_km=None,
+    country=None, county=None, access=None, style=None, holes=None, search=None, bbox=None, center=None, radius_km=None, after=None,
 ):
     courses = bundle["course"]
     if plan:
@@ -141,8 +148,7 @@ def query_courses(
     if center is not None:
         point = F.col("map_location.latitude"), F.col("map_location.longitude")
         rows = rows.withColumn("distance_km", geo.distance_km(F.lit(float(center[0])), F.lit(float(center[1])), *point))
-    order = [F.asc_nulls_first("facility_name"), F.asc("facility_id"), F.asc_nulls_first("name"), F.asc("course_id")]
-    return page_of(rows, order, limit, offset)
+    return page_of(rows, ["facility_name", "facility_id", "name", "course_id"], limit, offset, after)
 
 
 def course_matches(state="all", access="all", holes="all", style="all", bounds=None) -> Column:

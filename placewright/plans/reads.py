@@ -486,6 +486,16 @@ def o01(spark, sf):
     return counted.withColumn("has_more", F.col("total") > 60)
 
 
+@query(
+    "o01_facility_page_after",
+    cte("f")
+    + """select facility_id, name, (select count(*) from f) as total from f where name > 'Customer#000000500' or (name = 'Customer#000000500' and facility_id > 'f-500') order by name, facility_id limit 100""",
+)
+def o01_after(spark, sf):
+    total, page = browse.query_facilities(bundle(spark, sf), limit=100, after=("Customer#000000500", "f-500"))
+    return page.select("facility_id", "name", total.scalar().alias("total"))
+
+
 SQL_ENTRIES = """select c.course_id as record_id, c.course_id, c.facility_id, coalesce(c.facility_id, c.course_id) as group_id,
  coalesce(c.name, f.name, 'Unnamed golf course · ' || coalesce(c.facility_id, c.course_id)) as label, c.physical_holes, c.access, f.state from c left join f on f.facility_id=c.facility_id
  union all select f.facility_id, null, f.facility_id, f.facility_id, f.name, f.physical_holes, f.access, f.state from f where f.facility_id not in (select facility_id from c where facility_id is not null)"""

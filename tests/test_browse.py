@@ -125,8 +125,8 @@ def test_paging_limits(spark):
     rows = spark.range(5)
     for limit, offset in ((0, 0), (1001, 0), (1, -1), (True, 0)):
         with pytest.raises(ValueError):
-            browse.page_of(rows, [F.col("id")], limit, offset)
-    total, page = browse.page_of(rows, [F.col("id")], 2, 3)
+            browse.page_of(rows, ["id"], limit, offset)
+    total, page = browse.page_of(rows, ["id"], 2, 3)
     assert total.first()["total"] == 5 and [r["id"] for r in page.collect()] == [3, 4]
 
 
@@ -165,3 +165,18 @@ def test_large_files_are_pinned_by_their_stream(spark, tmp_path):
     whole = sorted(map(tuple, jsonfiles.file_pins(spark, str(tmp_path)).collect()))
     assert whole == sorted(map(tuple, jsonfiles.file_pins(spark, str(tmp_path), whole_bytes=100).collect()))
     assert whole[0] == ("a.bin", 5000, hashlib.sha256(b"x" * 5000).hexdigest())
+
+
+def test_pages_continue_after_the_last_row(spark):
+    rows = spark.createDataFrame([(None if i % 5 == 0 else f"n{i % 7}", f"{i:02d}") for i in range(40)], "name string, id string")
+    _, whole = browse.page_of(rows, ["name", "id"], 1000, 0)
+    whole, seen, after = [tuple(r) for r in whole.collect()], [], None
+    while True:
+        total, page = browse.page_of(rows, ["name", "id"], 9, 0, after)
+        page = [tuple(r) for r in page.collect()]
+        if not page:
+            break
+        seen, after = seen + page, page[-1]
+    assert seen == whole and total.first()["total"] == 40
+    with pytest.raises(ValueError):
+        browse.page_of(rows, ["name", "id"], 9, 3, ("a", "b"))
