@@ -4,7 +4,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from .. import schemas
 from ..functions.canon import row_digest
 from ..session import settle
 from . import features as feature_ops
@@ -36,11 +38,28 @@ def _entity_citations(features: DataFrame, entities: DataFrame) -> DataFrame:
     return linked.groupBy("feature_id").agg(F.transform(listed, lambda x: x["c"]).alias("entity_citations"))
 
 
+def _rekeyed(rows: DataFrame, name: str, rename: DataFrame) -> DataFrame:
+    """A relation table with its catalog references under their new ids; other text stays."""
+    key = schemas.KEYS.get(name)
+    for column in schemas.REFERENCE_COLUMNS:
+        if column not in rows.columns or column == key:
+            continue
+        if isinstance(rows.schema[column].dataType, ArrayType):
+            rows = links.rekey_list(rows, [key], column, rename)
+        elif column == "destination_id" and "scope" in rows.columns:
+            rows = links.rekey(rows, column, rename, only=F.col("scope").isin("facility_estimate", "course_arrival"))
+        else:
+            rows = links.rekey(rows, column, rename)
+    return rows
+
+
 def rebuild(released: dict, features: DataFrame, entities: DataFrame, pairs: DataFrame) -> dict:
     """All tables of the rebuilt catalog.
 
-    `released` holds facilities and courses with fact_sources; `features` are feature records;
-    `entities` has entity_id, entity_url, entity_checked_on; `pairs` the binding candidates.
+    `released` holds facilities and courses with fact_sources, and any relation tables; `features`
+    are feature records; `entities` has entity_id, entity_url, entity_checked_on; `pairs` the
+    binding candidates. Relations come back with every declared reference rekeyed; `licenses` are
+    the released ones and those of the features and entities.
     """
     # Joined by everything below, so it is computed once and its lineage is cut.
     mapping = settle(links.one_to_one(pairs, features), "mapping")
@@ -89,6 +108,13 @@ def rebuild(released: dict, features: DataFrame, entities: DataFrame, pairs: Dat
                 F.size("fact_sources").alias("citation_count"),
             )
         )
+    for name, rows in released.items():
+        if name not in KINDS and name != "licenses":
+            result[name] = settle(_rekeyed(rows, name, rename), "relation")
+    spark = features.sparkSession
+    added = spark.createDataFrame(LICENSES, "source_id string, license string, license_url string")
+    kept = released.get("licenses")
+    result["licenses"] = added if kept is None else kept.unionByName(added.join(kept, "source_id", "left_anti"), allowMissingColumns=True)
     fills = [result[kind].where(F.col("released_id").isNotNull()).select("released_id", F.col(key).alias("record_id"), "filled_fields") for kind, key in KINDS.items()]
     receipt = reduce(DataFrame.unionByName, receipts)
     result["receipt"] = receipt.join(reduce(DataFrame.unionByName, fills), "released_id", "left")

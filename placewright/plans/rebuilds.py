@@ -256,6 +256,36 @@ def c06(spark, sf):
     return rebuilt_rows(rebuilt(spark, sf)[2])
 
 
+RELATIONS = {"component": ("p", "component_id"), "round_option": ("r", "round_id"), "tee_set": ("t", "tee_id"), "alias": ("al", "alias_id")}
+
+
+@query(
+    "c06_rebuilt_relations",
+    cte("f", "c", "p", "r", "t", "al", "feat", "bind", extra={"x": SQL_FEATURES, "pairs": SQL_PAIRS, "mp": SQL_MAP})
+    + " union all ".join(
+        f"""select '{name}' as entity, {key} as id, {"coalesce(mf.feature_id, z.facility_id)" if name in ("round_option", "alias") else "cast(null as varchar)"} as facility_id,
+ coalesce(mc.feature_id, z.course_id) as course_id, cast(null as varchar) as license from {short} z
+ {"left join mp mf on mf.released_id=z.facility_id" if name in ("round_option", "alias") else ""} left join mp mc on mc.released_id=z.course_id"""
+        for name, (short, key) in RELATIONS.items()
+    )
+    + " union all select 'licenses', x.id, null, null, x.l from (select 'map contributors' as id, 'ODbL-1.0' as l union all select 'linked knowledge base', 'CC0-1.0') x",
+)
+def c06_relations(spark, sf):
+    facilities, courses = released(spark, sf)
+    given = {"facilities": facilities.drop("osm_identity"), "courses": courses.drop("osm_identity")}
+    given |= {name: T(spark, sf, short) for name, (short, _) in RELATIONS.items()}
+    records = settle(features.records(tagged(spark, sf)), "features")
+    result = rebuild.rebuild(given, records, entity_table(spark, sf), all_pairs(spark, sf))
+    none = F.lit(None).cast("string")
+    shown = []
+    for name, (_, key) in RELATIONS.items():
+        rows = result[name]
+        place = F.col("facility_id") if "facility_id" in rows.columns else none.alias("facility_id")
+        shown.append(rows.select(F.lit(name).alias("entity"), F.col(key).alias("id"), place, "course_id", none.alias("license")))
+    licenses = result["licenses"].select(F.lit("licenses").alias("entity"), F.col("source_id").alias("id"), none.alias("facility_id"), none.alias("course_id"), "license")
+    return standin.union_all([*shown, licenses])
+
+
 @query(
     "c07_fill_unknown_only",
     cte("f", "feat", extra={"j": f"select f.facility_id, f.access as a0, f.physical_holes as h0, {SQL_ACCESS.replace('t_access', 'feat.t_access')} as va, {SQL_HOLES} as vh from f join feat on feat.k=f.k"})
