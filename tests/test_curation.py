@@ -262,7 +262,7 @@ def test_publisher_holds_cover_subdomains_and_hosts_do_not(spark):
 
 
 def test_csv_keeps_unknown_empty_and_odd_texts(spark, tmp_path):
-    odd = [None, "", " ", 'a"b', "a\\b", "x\r\ny", "\n", ",", "null", " lead", "trail ", "ü"]
+    odd = [None, "", "\u0001", "\u0001x", "\\N", " ", 'a"b', "a\\b", "x\r\ny", "\n", ",", "null", " lead", "trail ", "ü"]
     rows = spark.createDataFrame([(i, t, [t or "-"], i if i % 2 else None) for i, t in enumerate(odd)], "i int, t string, l array<string>, n int")
     kinds = csvfiles.write_rows(rows, str(tmp_path / "csv"))
     assert kinds == {"i": "json", "t": "text", "l": "json", "n": "json"}
