@@ -3,10 +3,10 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from placewright.plans import load
 from verify_local import TABLES, rows_of
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = load().QUERIES, load().ORACLES
 
 
 @pytest.fixture(scope="module")
