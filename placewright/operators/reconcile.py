@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import fixed
+from .. import fixed, schemas
 from ..functions import canon
 from ..session import settle
 from . import features as feature_ops
@@ -426,13 +426,33 @@ def keyed_destinations(destinations: DataFrame) -> DataFrame:
     return destinations.withColumn("destination_key", F.concat_ws("/", "scope", "id"))
 
 
-def apply(bundle: dict, decisions: DataFrame, sources: DataFrame, fields) -> dict:
+def _with_lists(merged: DataFrame, facilities: DataFrame, merging: DataFrame) -> DataFrame:
+    """Targets with the citations, and linked entities, of themselves and their sources in the row.
+
+    A list is what the plan's decisions for one target bring together, without repeats.
+    """
+    parts = {"fact_sources": (merge_citations, "citation")}
+    if "wikidata" in facilities.columns:
+        parts["wikidata"] = (merge_entities, "entity")
+    for column, (collect, item) in parts.items():
+        rows = collect(facilities, merging)
+        listed = F.array_sort(F.collect_list(F.struct("position", item)))
+        lists = rows.groupBy("facility_id").agg(listed.getField(item).alias("_list"))
+        merged = merged.join(lists, "facility_id", "left").withColumn(column, F.coalesce("_list", column)).drop("_list")
+    return merged.select(*facilities.columns)
+
+
+def apply(bundle: dict, decisions: DataFrame, sources: DataFrame, fields=None) -> dict:
     """Apply a valid plan. Returns the new tables, conflicts, and one receipt per table.
 
-    `bundle` has the tables of _KEYS and destination; facilities carry released_id, location and
+    `fields` are the scalars to merge; by default all mergeable ones and the address, as far as
+    facilities have them. `bundle` has the tables of _KEYS and destination; facilities carry released_id, location and
     fact_sources, with the merged feature's source_url, checked_on and credit; `sources` are
     feature records by source_id.
     """
+    if fields is None:
+        mergeable = [*fixed.MERGED_SCALARS, *schemas.ADDRESS_COLUMNS]
+        fields = [n for n in mergeable if n in bundle["facility"].columns]
     bundle = bundle | {"destination": keyed_destinations(bundle["destination"])}
     plan = settle(decisions, "decisions")
     merges = plan.where("action = 'merge_facility'")
@@ -444,7 +464,7 @@ def apply(bundle: dict, decisions: DataFrame, sources: DataFrame, fields) -> dic
     steps = settle(merge_steps(facilities, merging, fields), "steps")
 
     kept = facilities.join(removed, "facility_id", "left_anti")
-    merged = merge_scalars(kept, merging, fields)
+    merged = _with_lists(merge_scalars(kept, merging, fields), facilities, merging)
     relations = archive_relations(bundle, archived)
     for table in ("round_option", "alias"):
         relations[table] = links.rekey(relations[table], "facility_id", mapping).select(*bundle[table].columns)

@@ -113,7 +113,3 @@ def course_evidence_violations(
     )
     judged = joined.select("ordinal", rule.alias("rule"))
     return judged.where(F.col("rule").isNotNull())
-
-
-def inventory_digest(courses: DataFrame) -> DataFrame:
-    return courses.select("course_id", "facility_id", canon.row_digest(*sorted(courses.columns)).alias("digest"))

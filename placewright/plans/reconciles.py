@@ -355,12 +355,14 @@ def reconciled(spark, sf):
 @query(
     "c16_reconciled_facilities",
     cte("f", "c", extra={**MERGED, "cm": "select course_id, target_id from (select source_id as course_id, target_id from de where action='course' union all select target_course_id, target_id from de where action='match_course')",
+        "ct": """select facility_id, count(*) as citations from (select distinct target_id as facility_id, 'https://r.example.org/' || t.state as url from so join fa t on t.facility_id=so.target_id
+ union select target_id, 'https://r.example.org/' || state from so union select target_id, 'osm ' || facility_id from so) group by 1""",
         "n": "select p, count(*) as n from (select coalesce(cm.target_id, cr.parent) as p from cr left join cm on cm.course_id=cr.course_id union all select target_id from de where action='course') where p is not null group by 1"})
-    + "select mg.facility_id, name, access, physical_holes, latitude, case when mg.facility_id in (select target_id from de) then coalesce(n,0) else 0 end as course_count from mg left join n on n.p=mg.facility_id",
+    + "select mg.facility_id, name, access, physical_holes, latitude, case when mg.facility_id in (select target_id from de) then coalesce(n,0) else 0 end as course_count, coalesce(citations, 1) as citations from mg left join n on n.p=mg.facility_id left join ct on ct.facility_id=mg.facility_id",
 )
 def c16(spark, sf):
     _, result = reconciled(spark, sf)
-    return result["tables"]["facility"].select("facility_id", "name", "access", "physical_holes", "latitude", "course_count")
+    return result["tables"]["facility"].select("facility_id", "name", "access", "physical_holes", "latitude", "course_count", F.size("fact_sources").cast("long").alias("citations"))
 
 
 @query(
