@@ -4,6 +4,7 @@ import contextlib
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..session import new_folder, settle
@@ -16,7 +17,8 @@ _kept = {}
 def enter(owner, clear=None):
     """Begin a task of `owner` in this worker, which Spark may have used for other operators.
 
-    What those keep between tasks (`clear` empties it) is given back to the machine first.
+    What those keep between tasks (`clear` empties it) and what is free but still held is given
+    back to the machine first.
     """
     others = [name for name in _kept if name != owner]
     for name in others:
@@ -25,8 +27,9 @@ def enter(owner, clear=None):
         _kept[owner] = clear
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
-            ctypes.CDLL(None).malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of Linux has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def table(spark, folder, name):

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns, settle
+from .common import columns, enter, settle
 from .tokens import END, encoder
 
 CAPACITY = 2048
@@ -170,13 +170,8 @@ def assignment(patterns):
     return np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
 
 
-def place(pieces, capacity=CAPACITY, nodes=NODES):
-    """Give each row of `pieces` (column length: 1..capacity) its sequence_id and offset.
-
-    Rows are written once with their number within task and length; counts per task and length
-    make that a number within the length, and the plan says where that number goes.
-    """
-    kept = [f.name for f in pieces.schema.fields]
+def _number(capacity):
+    """Adds to batches of pieces (column length) the task and the rank within task and length."""
 
     def number(batches):
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -191,20 +186,40 @@ def place(pieces, capacity=CAPACITY, nodes=NODES):
             seen += np.bincount(lengths, minlength=capacity + 1)
             yield pa.record_batch([*batch.columns, pa.array([task] * len(lengths), pa.int64()), pa.array(ranks)], names=[*batch.schema.names, "_task", "_rank"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    numbered = settle(pieces.mapInArrow(number, fields + ", _task long, _rank long"), "pieces")
+    return number
+
+
+def _fields(schema):
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def place(pieces, capacity=CAPACITY, nodes=NODES):
+    """Give each row of `pieces` (column length: 1..capacity) its sequence_id and offset.
+
+    Rows are written once with their number within task and length; counts per task and length
+    make that a number within the length, and the plan says where that number goes.
+    """
+    numbered = pieces.mapInArrow(_number(capacity), _fields(pieces.schema) + ", _task long, _rank long")
+    return _place(settle(numbered, "pieces"), capacity, nodes)
+
+
+def _place(numbered, capacity, nodes):
+    kept = [f.name for f in numbered.schema.fields if f.name not in ("_task", "_rank")]
+    fields = _fields(numbered.select(*kept).schema)
     sizes = settle(numbered.groupBy("_task", "length").agg(F.count("*").alias("n")), "sizes")
     # At most `capacity` rows come to the driver.
     found = sizes.groupBy("length").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(capacity + 1, np.int64)
     counts[found["length"].to_numpy()] = found["n"].to_numpy()
     patterns, _ = plan(counts, capacity, nodes)
-    shared = pieces.sparkSession.sparkContext.broadcast(assignment(patterns))
+    shared = numbered.sparkSession.sparkContext.broadcast(assignment(patterns))
     earlier = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_task", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
-    ranked = numbered.join(starts, ["_task", "length"]).select(*kept, (F.col("_before") + F.col("_rank")).alias("_rank"))
+    # The starts grow with the tasks, so they are merged, not broadcast.
+    ranked = numbered.join(starts.hint("merge"), ["_task", "length"]).select(*kept, (F.col("_before") + F.col("_rank")).alias("_rank"))
 
     def assign(batches):
+        enter("packing")
         table = shared.value
         for batch in batches:
             lengths, ranks = batch.column("length").to_numpy().astype(np.int64), batch.column("_rank").to_numpy()
@@ -222,11 +237,12 @@ def place(pieces, capacity=CAPACITY, nodes=NODES):
     return ranked.mapInArrow(assign, fields + ", sequence_id long, offset long")
 
 
-def cut(docs, vocabulary, id="doc_id", text="text", capacity=CAPACITY, end=END, with_ids=False):
+def cut(docs, vocabulary, id="doc_id", text="text", capacity=CAPACITY, end=END, with_ids=False, then=None, more=""):
     """Pieces of whole documents: doc_id, piece, start, length, ids_crc32 (and ids).
 
     Only a document of over `capacity` ids is cut; its pieces hold `capacity` ids each, and the
-    first one holds what is over. A null text is empty: a piece of the end id alone.
+    first one holds what is over. A null text is empty: a piece of the end id alone. `then` goes on
+    with the batches in the same worker and adds the columns of `more`.
     """
     rows = columns(docs, doc_id=id, text=text)
 
@@ -247,7 +263,7 @@ def cut(docs, vocabulary, id="doc_id", text="text", capacity=CAPACITY, end=END,
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    return rows.mapInArrow(pieces, kind)
+    return rows.mapInArrow(pieces if then is None else lambda batches: then(pieces(batches)), kind + more)
 
 
 def pack(docs, vocabulary, id="doc_id", text="text", capacity=CAPACITY, end=END, with_ids=False):
@@ -256,7 +272,8 @@ def pack(docs, vocabulary, id="doc_id", text="text", capacity=CAPACITY, end=END,
     Repeated ids and rows are packed like any other; an empty table gives no rows; extra columns
     are ignored.
     """
-    return place(cut(docs, vocabulary, id, text, capacity, end, with_ids), capacity)
+    numbered = cut(docs, vocabulary, id, text, capacity, end, with_ids, _number(capacity), ", _task long, _rank long")
+    return _place(settle(numbered, "pieces"), capacity, NODES)
 
 
 def sequences(packed):

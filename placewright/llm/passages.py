@@ -389,6 +389,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
         return _rows(out, ["bucket", "block", "value"])
 
     def share(rows):
+        enter("passages")
         values = [_sorted_unpacked(v.as_py()) for v in rows["value"]]
         hashes = np.concatenate([v[0] for v in values])
         times = np.concatenate([v[1] for v in values]).astype(np.int64)
@@ -416,6 +417,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
     def send(key, rows, hashes):
         if not rows.num_rows or not hashes.num_rows:
             return _rows([], ["bucket", "block", "value"])
+        enter("passages")
         block = _Block(rows, bits)
         _, (keys, lengths, starts, low) = block.texts(*known(hashes))
         stops, at, out = _buckets(keys, bits, parts), 0, []
@@ -428,6 +430,7 @@ def find(docs, id="doc_id", text="text", block_bytes=BLOCK_BYTES, with_row=False
         return _rows(out, ["bucket", "block", "value"])
 
     def meet(rows):
+        enter("passages")
         values = [_sorted_unpacked(v.as_py()) for v in rows["value"]]
         keys, lengths, low, raw = (np.concatenate([v[k] for v in values]) for k in range(4))
         found, out, at = compare(raw, lengths, keys, low), [], 0
