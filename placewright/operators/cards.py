@@ -10,6 +10,7 @@ from ..functions.text import access_label, filled, lookup, record_label
 from .. import fixed
 from .ordering import number_rows
 
+# The parts of an address.
 ADDRESS_FIELDS = ["text", "purpose", "street_line1", "street_line2", "city", "region", "postal_code", "country"]
 PART_ROWS = 10_000
 

@@ -350,6 +350,7 @@ def refresh_parents(facilities: DataFrame, courses: DataFrame, affected: DataFra
     return fresh.select(*facilities.columns).unionByName(rest)
 
 
+# What a course shows of its facility.
 PARENT_FIELDS = ["name", "access", "operating_status", "physical_holes", "website"]
 
 

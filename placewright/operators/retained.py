@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import canon
 
+# The fields a retained course may bring.
 WRITABLE = ["facility_id", "name", "physical_holes", "identity_status", "game_kind", "address_mode"]
 
 

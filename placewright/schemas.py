@@ -80,7 +80,7 @@ CORE = {
 
 
 def _flags(names):
-    return dict.fromkeys(names.split(), "flag")
+    return dict.fromkeys(names, "flag")
 
 
 _MINUTE = ("whole", 0, 1439)
@@ -99,7 +99,9 @@ DOMAINS = {
         "conflict": "flag", "qualification": ("text", 4000), "retained_pointer": ("text", 2000),
     },
     "physical_characteristics": {
-        "acreage": ("real", 1e-06, 1e12), **_flags("acreage_approximate water_features wooded"),
+        "acreage": ("real", 1e-06, 1e12), **_flags([
+            "acreage_approximate", "water_features", "wooded",
+        ]),
         "landscape": ("one of", LANDSCAPE), "terrain": ("one of", ["flat", "rolling", "hilly", "mixed"]),
         "playing_surface": ("one of", ["natural_grass", "synthetic", "mixed"]),
         "greens_grass_name": ("text", 512), "mown_grass_name": ("text", 512), "tee_grass_name": ("text", 512), "rough_grass_name": ("text", 512),
@@ -113,32 +115,34 @@ DOMAINS = {
         "banquet_space_available": "flag", "parking_available": "flag",
     },
     "practice_observation": {
-        **_flags(
-            "driving_range_available driving_range_lighted driving_range_covered driving_range_heated"
-            " driving_range_double_sided range_grass_tees_available range_mat_tees_available"
-            " putting_green_available chipping_area_available short_game_area_available"
-            " practice_bunker_available indoor_simulator_available"
-        ),
+        **_flags([
+            "driving_range_available", "driving_range_lighted", "driving_range_covered", "driving_range_heated",
+            "driving_range_double_sided", "range_grass_tees_available", "range_mat_tees_available",
+            "putting_green_available", "chipping_area_available", "short_game_area_available",
+            "practice_bunker_available", "indoor_simulator_available",
+        ]),
         "driving_range_station_count": _COUNT, "driving_range_tier_count": ("whole", 1, 20),
         "driving_range_length": _MONEY, "driving_range_length_unit": ("one of", ["yards", "metres"]),
         "putting_green_count": _COUNT, "practice_bunker_count": _COUNT, "indoor_simulator_count": _COUNT,
         "range_technology_name": ("text", 512), "driving_range_details": ("text", 2000), "putting_green_details": ("text", 2000),
     },
     "service_observation": {
-        **_flags(
-            "pro_shop_available pro_shop_full_service pro_shop_stocked club_rental_available"
-            " push_cart_rental_available golf_cart_rental_available caddie_available forecaddie_available"
-            " instruction_available club_fitting_available club_repair_available golf_academy_available"
-            " golf_learning_center_available club_sales_available club_trade_ins_accepted memberships_available event_booking_available"
-        ),
+        **_flags([
+            "pro_shop_available", "pro_shop_full_service", "pro_shop_stocked", "club_rental_available",
+            "push_cart_rental_available", "golf_cart_rental_available", "caddie_available", "forecaddie_available",
+            "instruction_available", "club_fitting_available", "club_repair_available", "golf_academy_available",
+            "golf_learning_center_available", "club_sales_available", "club_trade_ins_accepted",
+            "memberships_available", "event_booking_available",
+        ]),
         "pro_shop_details": ("text", 2000), "rental_details": ("text", 2000),
     },
     "policy_observation": {
-        **_flags(
-            "ordinary_nonmember_allowed member_sponsor_required club_affiliation_required resort_stay_required"
-            " walk_in_play_allowed tee_time_reservations_accepted walking_allowed carts_required caddie_required"
-            " outside_food_allowed denim_allowed collared_shirt_required applies_on_holidays ends_next_day"
-        ),
+        **_flags([
+            "ordinary_nonmember_allowed", "member_sponsor_required", "club_affiliation_required",
+            "resort_stay_required", "walk_in_play_allowed", "tee_time_reservations_accepted", "walking_allowed",
+            "carts_required", "caddie_required", "outside_food_allowed", "denim_allowed", "collared_shirt_required",
+            "applies_on_holidays", "ends_next_day",
+        ]),
         "booking_window_days": ("whole", 0, 3650), "booking_opens_minute_of_day": _MINUTE,
         "minimum_cancellation_notice_hours": ("real", 0, 8760), "minimum_player_age": _AGE, "minimum_cart_driver_age": _AGE,
         "arrival_access_condition": ("one of", ["none", "photo_id", "visitor_pass", "military_id", "resort_check_in", "member_sponsor", "other_documented"]),
@@ -149,7 +153,9 @@ DOMAINS = {
     },
     "operating_period": {
         "period_kind": ("one of", ["regular_hours", "season", "maintenance", "closure", "planned_reopening"]),
-        **_flags("is_open closes_next_day year_round"), "date_from": "date", "date_to": "date",
+        **_flags([
+            "is_open", "closes_next_day", "year_round",
+        ]), "date_from": "date", "date_to": "date",
         "annual_start_month": ("whole", 1, 12), "annual_start_day": ("whole", 1, 31),
         "annual_end_month": ("whole", 1, 12), "annual_end_day": ("whole", 1, 31), "weekday_mask": _MASK,
         "opens_minute_of_day": _MINUTE, "closes_minute_of_day": _MINUTE,
@@ -159,10 +165,11 @@ DOMAINS = {
         "affected_area": ("one of", ["whole_facility", "whole_course", "selected_holes", "greens", "driving_range", "clubhouse", "other_documented"]),
     },
     "accessibility_observation": {
-        **_flags(
-            "wheelchair_accessible_clubhouse accessible_parking_available accessible_restroom_available adaptive_cart_available"
-            " accessible_cart_available accessible_practice_area_available step_free_clubhouse_access"
-        ),
+        **_flags([
+            "wheelchair_accessible_clubhouse", "accessible_parking_available", "accessible_restroom_available",
+            "adaptive_cart_available", "accessible_cart_available", "accessible_practice_area_available",
+            "step_free_clubhouse_access",
+        ]),
         "advance_notice_required_hours": ("real", 0, 8760), "advance_notice_recommended_hours": ("real", 0, 8760),
     },
     "price_observation": {
@@ -173,11 +180,12 @@ DOMAINS = {
         "round_holes": ("whole", 1, 1000), "quantity": _GROUP, "audience": ("one of", AUDIENCE),
         "residency": ("one of", ["resident", "nonresident", "all_eligible"]), "residency_area_name": ("text", 512),
         "minimum_age": _AGE, "maximum_age": _AGE, "weekday_mask": _MASK, "start_minute_of_day": _MINUTE, "end_minute_of_day": _MINUTE,
-        **_flags(
-            "applies_on_holidays ends_next_day cart_included tax_included practice_included resort_stay_required"
-            " member_sponsor_required club_affiliation_required historical dynamic_pricing unconditional prepayment_required"
-            " second_round_required same_day_second_round_required"
-        ),
+        **_flags([
+            "applies_on_holidays", "ends_next_day", "cart_included", "tax_included", "practice_included",
+            "resort_stay_required", "member_sponsor_required", "club_affiliation_required", "historical",
+            "dynamic_pricing", "unconditional", "prepayment_required", "second_round_required",
+            "same_day_second_round_required",
+        ]),
         "season": ("one of", SEASON), "discount_percent": ("real", 0, 100), "source_information_as_of": "date",
         "minimum_group_size": _GROUP, "maximum_group_size": _GROUP,
         "minimum_advance_purchase_days": ("real", 0, 3650), "maximum_advance_purchase_days": ("real", 0, 3650),

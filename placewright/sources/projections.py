@@ -85,6 +85,7 @@ _DISPLAY = [
     "course_id", "facility_name", "facility_website", "style", "game_kind", "identity_status", "nonmember_bookable",
     "booking_conditions", "plan_eligible", "planning_basis", "destination_id", "arrival",
 ]
+# What public details leave out.
 _HIDDEN = ["id", "observation_id", "facility_id", "course_id", "component_id", "round_id", "source_id", "source_url", "source_license", "source_attribution", "collected_on", "status"]
 
 
