@@ -309,7 +309,11 @@ def facility_inventory(facilities: DataFrame, courses: DataFrame, limit=PART_ROW
 
 
 def course_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
-    """Course cards with components, tees, aliases and rounds nested, one shuffle per child."""
+    """Course cards with components, tees, aliases and rounds nested.
+
+    What a course's rounds hold, members in playing order and tees, stands beside them under the
+    round's id, so that a crowded round comes in parts like any other list.
+    """
     listed = course_listing(bundle["course"], bundle["facility"], "left")
     belongs = membership(bundle["round_option"], bundle["round_component"], bundle["component"])
     rounds = bundle["round_option"].drop("course_id").join(belongs, "round_id")
@@ -332,6 +336,36 @@ def course_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
             ),
             "aliases": nest(bundle["alias"], "course_id", ["alias_id"], F.struct("alias_id", "name"), limit),
             "round_options": nest(rounds, "course_id", ["round_id"], shown_round, limit),
+            "round_members": nest(
+                bundle["round_component"].select("round_id", "member_id", "ordinal", "component_id", F.col("course_id").alias("member_course"), "repetitions").join(belongs, "round_id"),
+                "course_id", ["round_id", "ordinal", "member_id"],
+                F.struct("round_id", "ordinal", "member_id", "component_id", F.col("member_course").alias("course_id"), "repetitions"), limit,
+            ),
+            "round_tee_sets": nest(
+                bundle["tee_set"].where("round_id is not null").drop("course_id").join(belongs, "round_id"),
+                "course_id", ["round_id", "tee_id"], F.struct("round_id", "tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit,
+            ),
+        },
+    )
+
+
+def facility_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
+    """Facility cards with address, map point, inventory, own rounds and aliases nested."""
+    fields = ["course_id", "name", "physical_holes", "identity_status", "access", "nonmember_bookable"]
+    facilities = bundle["facility"]
+    missing = [n for n in ADDRESS_FIELDS if "address_" + n not in facilities.columns]
+    shown = facilities.withColumns({
+        "map_location": geo.point(F.col("latitude"), F.col("longitude"), F.col("location_kind")),
+        "address": address_block("facility", missing=missing),
+    })
+    rounds, aliases = bundle["round_option"], bundle["alias"]
+    return attach(
+        shown,
+        "facility_id",
+        {
+            "course_inventory": nest(bundle["course"], "facility_id", ["course_id"], F.struct(*fields), limit),
+            "round_options": nest(rounds, "facility_id", ["round_id"], F.struct("round_id", "name", "round_holes", "description"), limit),
+            "aliases": nest(aliases, "facility_id", ["alias_id"], F.struct("alias_id", "name"), limit),
         },
     )
 

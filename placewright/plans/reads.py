@@ -459,6 +459,45 @@ def a12(spark, sf):
     )
 
 
+@query(
+    "a12_facility_cards",
+    cte("f", "c", "r", "al", extra={
+        "ci": "select facility_id, string_agg(course_id, ',' order by course_id) as ids from c group by 1",
+        "ri": "select facility_id, string_agg(round_id || '/' || round_holes, ',' order by round_id) as ids from r where facility_id is not null group by 1",
+        "ai": "select facility_id, string_agg(alias_id || '=' || name, ',' order by alias_id) as ids from al where facility_id is not null group by 1",
+    })
+    + """select f.facility_id, 0 as part, f.name, f.latitude is not null as mapped, coalesce(ci.ids,'') as courses, coalesce(ri.ids,'') as rounds, coalesce(ai.ids,'') as aliases
+ from f left join ci on ci.facility_id=f.facility_id left join ri on ri.facility_id=f.facility_id left join ai on ai.facility_id=f.facility_id""",
+)
+def a12_facilities(spark, sf):
+    made = cards.facility_cards(bundle(spark, sf))
+    return made.select(
+        "facility_id", "part", "name", F.col("map_location").isNotNull().alias("mapped"),
+        F.array_join("course_inventory.course_id", ",").alias("courses"),
+        F.array_join(F.transform("round_options", lambda r: F.concat(r["round_id"], F.lit("/"), r["round_holes"].cast("string"))), ",").alias("rounds"),
+        F.array_join(F.transform("aliases", lambda a: F.concat(a["alias_id"], F.lit("="), a["name"])), ",").alias("aliases"),
+    )
+
+
+@query(
+    "a12_round_contents",
+    cte("c", "r", "m", "p", "t", extra={
+        "own": "select r.round_id, r.course_id from r where r.course_id is not null union select m.round_id, coalesce(m.course_id, p.course_id) from m left join p on p.component_id=m.component_id",
+        "o": "select distinct round_id, course_id from own where course_id is not null",
+        "mi": "select o.course_id, string_agg(m.round_id || '#' || m.ordinal || '=' || m.member_id, ',' order by m.round_id, m.ordinal, m.member_id) as ids from m join o on o.round_id=m.round_id group by 1",
+        "ti": "select o.course_id, string_agg(t.round_id || '=' || t.tee_id, ',' order by t.round_id, t.tee_id) as ids from t join o on o.round_id=t.round_id group by 1",
+    })
+    + "select c.course_id, 0 as part, coalesce(mi.ids,'') as members, coalesce(ti.ids,'') as tees from c left join mi on mi.course_id=c.course_id left join ti on ti.course_id=c.course_id",
+)
+def a12_contents(spark, sf):
+    made = cards.course_cards(bundle(spark, sf))
+    member = lambda m: F.concat(m["round_id"], F.lit("#"), m["ordinal"].cast("string"), F.lit("="), m["member_id"])
+    return made.select(
+        "course_id", "part", F.array_join(F.transform("round_members", member), ",").alias("members"),
+        F.array_join(F.transform("round_tee_sets", lambda t: F.concat(t["round_id"], F.lit("="), t["tee_id"])), ",").alias("tees"),
+    )
+
+
 @query(
     "a13_extent",
     cte("f") + "select min(latitude) as south, min(longitude) as west, max(latitude) as north, max(longitude) as east from f where state='NATION_4' and latitude is not null",

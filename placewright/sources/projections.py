@@ -146,9 +146,7 @@ def transport(bundle: dict, heavy=("fact_sources", "osm", "wikidata", "feature_t
     listed = cards.course_listing(bundle["course"], bundle["facility"], "left")
     places, conflicting = cards.destinations(listed)
     tables = {
-        "facilities": bundle["facility"].withColumn(
-            "map_location", point(F.col("latitude"), F.col("longitude"), F.col("location_kind"))
-        ),
+        "facilities": cards.facility_cards(bundle),
         "courses": cards.course_cards(bundle).drop("destination"),
         "destinations": places,
         "destination_conflicts": conflicting,
