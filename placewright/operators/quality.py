@@ -1,6 +1,7 @@
 """Row rules, key rules and reference rules; every check yields (rule, table, id, detail)."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,27 +114,27 @@ def check_present(rows: DataFrame, table: str, key: str) -> DataFrame:
 
 
 def check_references(bundle: dict, only: dict | None = None) -> DataFrame | None:
-    """Every reference of the layout that points nowhere; `only` limits the rows that refer."""
-    result, rows = None, bundle if only is None else only
+    """Every reference of the layout that points nowhere; `only` limits the rows that refer.
+
+    The references to one parent, from all tables and columns, are one list, which meets the
+    parent's keys in one join.
+    """
+    rows, by_parent = bundle if only is None else only, {}
     for child, columns in schemas.REFERENCES.items():
         if child not in rows:
             continue
         for column, parent in columns.items():
             if parent not in bundle or column not in rows[child].columns:
                 continue
-            key = schemas.KEYS[parent]
-            known = bundle[parent].select(F.col(key).alias(column))
-            lost = (
-                rows[child]
-                .where(F.col(column).isNotNull())
-                .select(F.col(schemas.KEYS[child]).alias("id"), column)
-                .join(known, column, "left_anti")
-                .select(
-                    F.lit(f"{column} in {parent}").alias("rule"), F.lit(child).alias("table"), "id", F.col(column).alias("detail")
-                )
+            stated = rows[child].where(F.col(column).isNotNull()).select(
+                F.lit(f"{column} in {parent}").alias("rule"), F.lit(child).alias("table"), F.col(schemas.KEYS[child]).alias("id"), F.col(column).alias("detail")
             )
-            result = lost if result is None else result.unionByName(lost)
-    return result
+            by_parent.setdefault(parent, []).append(stated)
+    found = []
+    for parent, parts in by_parent.items():
+        known = bundle[parent].select(F.col(schemas.KEYS[parent]).alias("detail"))
+        found.append(reduce(DataFrame.unionByName, parts).join(known, "detail", "left_anti").select("rule", "table", "id", "detail"))
+    return reduce(DataFrame.unionByName, found) if found else None
 
 
 def check_inventory(facilities: DataFrame, courses: DataFrame) -> DataFrame:
