@@ -273,6 +273,22 @@ def other_rounds(courses: DataFrame, rounds: DataFrame, belongs: DataFrame) -> D
     )
 
 
+def facility_rounds(courses: DataFrame, rounds: DataFrame, belongs: DataFrame, limit=PART_ROWS):
+    """A facility's rounds, listed once, and per course the ones among them that are its own.
+
+    A course's other rounds are the first list less the second, so a facility with many courses
+    and many rounds never forms pairs.
+    """
+    offered = rounds.where(F.col("facility_id").isNotNull())
+    listed = nest(offered, "facility_id", ["round_id"], F.struct("round_id", "name", "round_holes", "description"), limit)
+    own = (
+        belongs.join(offered.select("round_id", F.col("facility_id").alias("round_facility")), "round_id")
+        .join(courses, "course_id")
+        .where(F.col("round_facility") == F.col("facility_id"))
+    )
+    return listed, nest(own, "course_id", ["round_id"], F.col("round_id"), limit)
+
+
 def inventory(courses: DataFrame, limit=PART_ROWS) -> DataFrame:
     """Per facility the inventory array in parts; the course and documented counts stand on part 0."""
     fields = ["course_id", "name", "physical_holes", "identity_status", "access", "nonmember_bookable"]

@@ -578,6 +578,24 @@ def p27(spark, sf):
     )
 
 
+@query(
+    "p27_facility_rounds",
+    cte("c", "r", "m", "p", extra={
+        "own": "select r.round_id, r.course_id from r where r.course_id is not null union select m.round_id, coalesce(m.course_id, p.course_id) from m left join p on p.component_id=m.component_id",
+        "sh": "select distinct o.course_id, r.round_id from own o join r on r.round_id=o.round_id join c on c.course_id=o.course_id where r.facility_id=c.facility_id",
+    })
+    + """select 'facility' as kind, facility_id as id, 0 as part, string_agg(round_id || '/' || coalesce(name,'~') || '/' || round_holes, ',' order by round_id) as rounds from r where facility_id is not null group by facility_id
+ union all select 'own', course_id, 0, string_agg(round_id, ',' order by round_id) from sh group by course_id""",
+)
+def p27_rounds(spark, sf):
+    rounds, members, components = [T(spark, sf, n) for n in ["r", "m", "p"]]
+    courses = T(spark, sf, "c").select("course_id", "facility_id")
+    listed, own = cards.facility_rounds(courses, rounds, cards.membership(rounds, members, components))
+    shown = F.transform("items", lambda r: F.concat(r["round_id"], F.lit("/"), F.coalesce(r["name"], F.lit("~")), F.lit("/"), r["round_holes"].cast("string")))
+    whole = listed.select(F.lit("facility").alias("kind"), F.col("facility_id").alias("id"), "part", F.array_join(shown, ",").alias("rounds"))
+    return whole.unionByName(own.select(F.lit("own").alias("kind"), F.col("course_id").alias("id"), "part", F.array_join("items", ",").alias("rounds")))
+
+
 @query(
     "p28_facility_fact_list",
     cte("f")
