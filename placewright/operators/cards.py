@@ -324,7 +324,7 @@ def facility_inventory(facilities: DataFrame, courses: DataFrame, limit=PART_ROW
     return joined.withColumns(empty | zero)
 
 
-def course_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
+def course_cards(bundle: dict, limit=PART_ROWS, lists=None) -> DataFrame:
     """Course cards with components, tees, aliases and rounds nested.
 
     What a course's rounds hold, members in playing order and tees, stands beside them under the
@@ -340,29 +340,26 @@ def course_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
         "description",
         F.when(F.col("facility_id").isNotNull(), "facility").otherwise("course").alias("scope"),
     )
-    return attach(
-        listed,
-        "course_id",
-        {
-            "components": nest(
-                bundle["component"], "course_id", ["component_id"], F.struct("component_id", "name", "physical_holes"), limit
-            ),
-            "tee_sets": nest(
-                bundle["tee_set"], "course_id", ["tee_id"], F.struct("tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit
-            ),
-            "aliases": nest(bundle["alias"], "course_id", ["alias_id"], F.struct("alias_id", "name"), limit),
-            "round_options": nest(rounds, "course_id", ["round_id"], shown_round, limit),
-            "round_members": nest(
-                bundle["round_component"].select("round_id", "member_id", "ordinal", "component_id", F.col("course_id").alias("member_course"), "repetitions").join(belongs, "round_id"),
-                "course_id", ["round_id", "ordinal", "member_id"],
-                F.struct("round_id", "ordinal", "member_id", "component_id", F.col("member_course").alias("course_id"), "repetitions"), limit,
-            ),
-            "round_tee_sets": nest(
-                bundle["tee_set"].where("round_id is not null").drop("course_id").join(belongs, "round_id"),
-                "course_id", ["round_id", "tee_id"], F.struct("round_id", "tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit,
-            ),
-        },
-    )
+    children = {
+        "components": lambda: nest(
+            bundle["component"], "course_id", ["component_id"], F.struct("component_id", "name", "physical_holes"), limit
+        ),
+        "tee_sets": lambda: nest(
+            bundle["tee_set"], "course_id", ["tee_id"], F.struct("tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit
+        ),
+        "aliases": lambda: nest(bundle["alias"], "course_id", ["alias_id"], F.struct("alias_id", "name"), limit),
+        "round_options": lambda: nest(rounds, "course_id", ["round_id"], shown_round, limit),
+        "round_members": lambda: nest(
+            bundle["round_component"].select("round_id", "member_id", "ordinal", "component_id", F.col("course_id").alias("member_course"), "repetitions").join(belongs, "round_id"),
+            "course_id", ["round_id", "ordinal", "member_id"],
+            F.struct("round_id", "ordinal", "member_id", "component_id", F.col("member_course").alias("course_id"), "repetitions"), limit,
+        ),
+        "round_tee_sets": lambda: nest(
+            bundle["tee_set"].where("round_id is not null").drop("course_id").join(belongs, "round_id"),
+            "course_id", ["round_id", "tee_id"], F.struct("round_id", "tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit,
+        ),
+    }
+    return attach(listed, "course_id", {name: make() for name, make in children.items() if lists is None or name in lists})
 
 
 def facility_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:

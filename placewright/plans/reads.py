@@ -449,7 +449,7 @@ def a11(spark, sf):
  left join als on als.course_id=c.course_id left join rs on rs.course_id=c.course_id""",
 )
 def a12(spark, sf):
-    made = cards.course_cards(bundle(spark, sf))
+    made = cards.course_cards(bundle(spark, sf), lists=["components", "tee_sets", "aliases", "round_options"])
     pair = lambda column, a, b: F.array_join(F.transform(column, lambda x: F.concat_ws(":", x[a], x[b].cast("string"))), ",")
     one = lambda column, a: F.array_join(F.transform(column, lambda x: x[a]), ",")
     return made.select(
@@ -490,7 +490,7 @@ def a12_facilities(spark, sf):
     + "select c.course_id, 0 as part, coalesce(mi.ids,'') as members, coalesce(ti.ids,'') as tees from c left join mi on mi.course_id=c.course_id left join ti on ti.course_id=c.course_id",
 )
 def a12_contents(spark, sf):
-    made = cards.course_cards(bundle(spark, sf))
+    made = cards.course_cards(bundle(spark, sf), lists=["round_members", "round_tee_sets"])
     member = lambda m: F.concat(m["round_id"], F.lit("#"), m["ordinal"].cast("string"), F.lit("="), m["member_id"])
     return made.select(
         "course_id", "part", F.array_join(F.transform("round_members", member), ",").alias("members"),
