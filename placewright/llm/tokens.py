@@ -14,7 +14,7 @@ import numpy as np
 from .common import enter
 
 END = 0  # closes every document
-_UNITS = 600_000  # at so many units the memory becomes the older half, and the half before it goes
+_UNITS = 1_200_000  # at so many units the memory becomes the older half, and the half before it goes
 _NEWLINE = "\n"
 _MARKS = ".,;:!?"
 _ODD = re.compile(r"[^\S ]|\0|  |[^a] ")  # anything but one leading space per form, joined by a letter
