@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import columns, enter, settle
 
@@ -146,13 +147,13 @@ def _seeds(items, least):
     return items.mapInArrow(cut, "item_id long, words binary, size int, seed long, times long")
 
 
-def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", item_text="text", least=LEAST, coverage=COVERAGE):
+def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", item_text="text", least=LEAST, coverage=COVERAGE, with_row=False):
     """doc_id, contaminated, coverage (the largest of any item), item_id (that item; the smallest of
     equals), n_items (items at or above the limit), for every row.
 
     A null or empty text or item matches nothing; rows of equal ids are judged one by one; without
     items nothing is contaminated. Items need ids: rows of a null id are left out. Extra columns
-    are ignored.
+    are ignored; with_row adds the text as `text` and the row's other columns as struct `row`.
     """
     items = columns(benchmark, item_id=item, text=item_text).where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     seeds = settle(_seeds(items, least), "seeds")
@@ -173,7 +174,9 @@ def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", ite
     table[parts["part"].to_numpy()] = parts["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(table.view(np.uint8))
 
-    rows = columns(docs, doc_id=id, text=text)
+    whole = [F.struct(*[docs[c] for c in docs.columns if c != text]).alias("whole")] if with_row else []
+    rows = docs.select(docs[id].alias("doc_id"), docs[text].alias("text"), *whole)
+    carried = ["text", "whole"] if with_row else []
 
     def search(batches):
         enter("tiling", _hashes.clear)
@@ -204,9 +207,12 @@ def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", ite
             n = batch.num_rows
             names = pa.array(np.arange(task + number, task + number + n))
             number += n
-            yield pa.record_batch([names, batch[0], pa.array(stretches, pa.binary()), pa.array(hits, pa.list_(pa.int64()))], names=["row", "doc_id", "stretches", "hits"])
+            made = [names, batch[0], pa.array(stretches, pa.binary()), pa.array(hits, pa.list_(pa.int64()))]
+            yield pa.record_batch([*made, *batch.columns[1 : 1 + len(carried)]], names=["row", "doc_id", "stretches", "hits", *carried])
 
-    kind = f"row long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, stretches binary, hits array<long>"
+    kind = T.StructType().add("row", "long").add("doc_id", rows.schema["doc_id"].dataType).add("stretches", "binary").add("hits", T.ArrayType(T.LongType()))
+    if with_row:
+        kind = kind.add("text", "string").add("whole", rows.schema["whole"].dataType)
     found = settle(rows.mapInArrow(search, kind), "hits")
     sought = found.where("hits is not null")
     # Tiles of c words hold at least c / size of the item's seeds, so fewer can't reach the limit.
@@ -230,10 +236,11 @@ def contamination(docs, benchmark, id="doc_id", text="text", item="item_id", ite
         F.sum((F.col("share") >= coverage).cast("long")).alias("n_items"),
     )
     share = F.coalesce("best.share", F.lit(0.0))
-    return found.select("row", "doc_id").join(best, "row", "left").select(
+    return found.select("row", "doc_id", *carried).join(best, "row", "left").select(
         "doc_id",
         (share >= coverage).alias("contaminated"),
         share.alias("coverage"),
         F.when(share > 0, -F.col("best.item")).alias("item_id"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
+        *([F.col("text"), F.col("whole").alias("row")] if with_row else []),
     )
