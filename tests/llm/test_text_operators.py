@@ -1,10 +1,12 @@
 """Languages, compression bands, main text, archives."""
 
+import base64
 import hashlib
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -52,6 +54,27 @@ def test_bands_on_odd_rows(spark):
     assert not bands.verdict(raw, press)[4] and bands.verdict(noise.encode(), press)[0] < 1.3
 
 
+@pytest.mark.parametrize("n", [257, 384, 385, 500, 1024, 1025, 4096, 4097, 16384, 16385, 60000])
+def test_incompressible_text_is_rejected(n):
+    press, rng = bands.zstandard.ZstdCompressor(level=bands.LEVEL), np.random.default_rng(n)
+    lines = lambda raw: b"\n".join(raw[k : k + 76] for k in range(0, len(raw), 76))[:n]
+    found = {
+        "base64": lines(base64.b64encode(rng.bytes(n))),
+        "characters": b" ".join(bytes(rng.integers(33, 127, rng.integers(3, 10), dtype=np.uint8)) for _ in range(n // 3))[:n],
+    }
+    if n > 4096:  # shorter hex is as dense as prose
+        found["hex"] = lines(rng.bytes(n).hex().encode())
+    for name, raw in found.items():
+        assert len(raw) == n and not bands.verdict(raw, press)[4], name
+
+
+def test_prose_is_above_the_lowest_ratios(sf):
+    press = bands.zstandard.ZstdCompressor(level=bands.LEVEL)
+    texts = duckdb.sql(f"select text from '{sf}/documents.parquet' where text is not null").fetchall()
+    whole = [bands.verdict(t.encode(), press)[:2] for (t,) in texts if len(t.encode()) > 256]
+    assert len(whole) > 50 and all(ratio >= bands.BANDS[k][1] for ratio, k in whole)
+
+
 def test_held_out_languages(spark, sf):
     docs = table(spark, sf, "documents")
     found = languages.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where(languages.bucket() == 1).collect()
