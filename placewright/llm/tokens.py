@@ -2,7 +2,8 @@
 
 Most of a text is words seen before, so an encoder keeps the ids of space-delimited units. That is
 exact for byte-level BPE: its splitting pattern always starts a new piece at a single space or a
-single newline that has no white space beside it. Texts with other white space are encoded whole.
+single newline that has no white space beside it. Texts with other white space, or with the text of
+an added token in them, are encoded whole.
 """
 
 import os
@@ -17,18 +18,22 @@ END = 0  # closes every document
 _UNITS = 1_200_000  # at so many units the memory becomes the older half, and the half before it goes
 _NEWLINE = "\n"
 _MARKS = ".,;:!?"
-_ODD = re.compile(r"[^\S ]|\0|  |[^a] ")  # anything but one leading space per form, joined by a letter
+_ODD = re.compile(r"[^\S ]|  |[^a] ")  # anything but one leading space per form, joined by a letter
 
 
 class Encoder:
-    """Ids of texts. `path` names a byte-level BPE file of the tokenizers library."""
+    """Ids of texts, as the library gives them with add_special_tokens=False.
+
+    `path` names a byte-level BPE file of the tokenizers library.
+    """
 
     def __init__(self, path):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.spanning = [t for t in self.added if re.search(r"\s", t)]  # these are in no single unit
         self.newline = self._plain(_NEWLINE)
         self.separable = len(self.newline) == 1
         self.marks = {m: array("I", self._plain(m)).tobytes() for m in _MARKS}
@@ -39,10 +44,11 @@ class Encoder:
 
     def _learn(self, units):
         """Keep the ids of unseen units; False marks a unit that can't be encoded alone."""
-        # Three kinds of unit: after a space, after a newline, and (marked by NUL) first in its text.
-        forms = [u[1:] if u[:1] in ("\0", _NEWLINE) else " " + u for u in units]
-        if _ODD.search("a".join(forms)) or "" in forms or " " in forms:
-            good = [f.split() == [f.strip(" ")] and "\0" not in f for f in forms]
+        # Three kinds of unit: after a space, after a newline, and (a tuple) first in its text.
+        forms = [u[0] if isinstance(u, tuple) else u[1:] if u[:1] == _NEWLINE else " " + u for u in units]
+        joined = "a".join(forms)
+        if _ODD.search(joined) or "" in forms or " " in forms or any(t in joined for t in self.added):
+            good = [f.split() == [f.strip(" ")] and not any(t in f for t in self.added) for f in forms]
             self.seen.update((u, False) for u, g in zip(units, good, strict=True) if not g)
             units = [u for u, g in zip(units, good, strict=True) if g]
             forms = [f for f, g in zip(forms, good, strict=True) if g]
@@ -50,7 +56,7 @@ class Encoder:
         left = []
         for pair in zip(units, forms, strict=True):
             unit = pair[0]
-            stem = self.seen.get(unit[:-1]) if unit[-1] in _MARKS and unit[-2:-1].isalpha() else None
+            stem = self.seen.get(unit[:-1]) if unit[-1] in _MARKS and isinstance(unit, str) and unit[-2:-1].isalpha() else None
             if stem:
                 self.seen[unit] = stem + self.marks[unit[-1]]
             else:
@@ -68,9 +74,9 @@ class Encoder:
             self.before, self.seen = self.seen, {}
         seen, needed, found = self.seen, set(), []
         for text in texts:
-            parts = text.replace(_NEWLINE, " \n").split(" ") if text and self.separable else []
+            parts = text.replace(_NEWLINE, " \n").split(" ") if text and self.separable and not any(t in text for t in self.spanning) else []
             if parts:
-                parts[0] = "\0" + parts[0]
+                parts[0] = (parts[0],)
             known = list(map(seen.get, parts))
             holes = [k for k, v in enumerate(known) if v is None]
             needed.update([parts[k] for k in holes])
