@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, maintext, packing, passages, perspectives, planes, simhash, tiling
+from . import archives, bands, languages, maintext, packing, passages, perspectives, planes, resampling, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -73,4 +73,9 @@ def op7_perspective_rotation(spark, sf_dir):
     return perspectives.rotate(table(spark, sf_dir, "conversations"))
 
 
+@query
+def op11_line_resampling(spark, sf_dir):
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 ORACLES["op7_perspective_rotation"] = perspectives.SQL
