@@ -4,10 +4,11 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import archives, bands, languages, maintext, packing, passages, perspectives, planes, resampling, simhash, tiling
+from . import alignment, archives, bands, languages, maintext, packing, passages, perspectives, planes, resampling, simhash, tiling
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 QUERIES, ORACLES = {}, {}
 
 
@@ -78,4 +79,9 @@ def op11_line_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op13_run_skipping(spark, sf_dir):
+    return alignment.links(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
+
+
 ORACLES["op7_perspective_rotation"] = perspectives.SQL
