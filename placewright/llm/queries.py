@@ -4,7 +4,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from . import alignment, archives, bands, languages, maintext, packing, passages, perspectives, planes, resampling, simhash, tiling
+from . import alignment, archives, bands, languages, maintext, packing, passages, perspectives, planes, resampling, simhash, tiling, windows
 from .common import new_folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,11 @@ def op11_line_resampling(spark, sf_dir):
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_super_kmers(spark, sf_dir):
+    return windows.repeated(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_run_skipping(spark, sf_dir):
     return alignment.links(table(spark, sf_dir, "documents"), VOCABULARY, PIECES)
