@@ -25,17 +25,42 @@ def row_digest(*columns) -> Column:
 _LANES = 8
 
 
-def _lane_sums():
-    """Sums of the eight numbers of 32 bits in column digest; order-free, combined before a shuffle."""
-    return [F.sum(F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")).alias(f"lane{k}") for k in range(_LANES)]
+def _lane(k: int) -> Column:
+    """The k-th number of 32 bits in column digest."""
+    return F.conv(F.substring("digest", 1 + 8 * k, 8), 16, 10).cast("decimal(20,0)")
+
+
+def lane_sums(sign=None) -> list:
+    """Sums of the eight numbers of 32 bits in column digest, and the number of rows; order-free,
+    combined before a shuffle. With `sign` (1 or -1) rows are added or taken away, so that the sums
+    of a version are those of the one before and of what changed."""
+    factor = F.lit(1) if sign is None else sign
+    return [F.sum(factor.cast("long")).alias("n"), *[F.sum(_lane(k) * factor.cast("decimal(1,0)")).alias(f"lane{k}") for k in range(_LANES)]]
+
+
+LANES = ["n", *[f"lane{k}" for k in range(_LANES)]]
+
+
+def lanes_digest(prefix="") -> Column:
+    """The digest that columns n, lane0, lane1... of one row or group make."""
+    return F.sha2(F.concat_ws(":", *[F.coalesce(F.col(prefix + name).cast("decimal(38,0)").cast("string"), F.lit("0")) for name in LANES]), 256)
+
+
+def group_lanes(rows: DataFrame, key: str, *columns) -> DataFrame:
+    """key, n and lane sums of each group's rows, in one pass."""
+    return rows.select(key, row_digest(*columns).alias("digest")).groupBy(key).agg(*lane_sums())
 
 
 def group_digest(rows: DataFrame, key: str, *columns) -> DataFrame:
     """(key, group_digest): one order-free digest of each group's rows, in one pass."""
-    hashed = rows.select(key, row_digest(*columns).alias("digest"))
-    total = hashed.groupBy(key).agg(F.count("*").alias("n"), *_lane_sums())
-    text = F.concat_ws(":", F.col("n").cast("string"), *[F.col(f"lane{k}").cast("string") for k in range(_LANES)])
-    return total.select(key, F.sha2(text, 256).alias("group_digest"))
+    return group_lanes(rows, key, *columns).select(key, lanes_digest().alias("group_digest"))
+
+
+def table_lanes(rows: DataFrame, *columns) -> DataFrame:
+    """n and lane sums of a whole table, in one pass: one row."""
+    digest = row_digest(*sorted(columns or rows.columns))
+    total = rows.select(digest.alias("digest")).agg(*lane_sums())
+    return total.select(*[F.coalesce(name, F.lit(0)).alias(name) for name in LANES])
 
 
 def table_digest(rows: DataFrame, *columns) -> DataFrame:
@@ -44,12 +69,7 @@ def table_digest(rows: DataFrame, *columns) -> DataFrame:
     Each row's digest is read as numbers of 32 bits, and each number is summed over the table; the
     count and the sums make the table's digest. Sums combine before the shuffle, whatever the size.
     """
-    digest = row_digest(*sorted(columns or rows.columns))
-    hashed = rows.select(digest.alias("digest"))
-    total = hashed.agg(F.count("*").alias("row_count"), *_lane_sums())
-    lanes = [F.coalesce(F.col(f"lane{k}").cast("string"), F.lit("0")) for k in range(_LANES)]
-    text = F.concat_ws(":", F.col("row_count").cast("string"), *lanes)
-    return total.select(F.sha2(text, 256).alias("table_sha256"), "row_count")
+    return table_lanes(rows, *columns).select(lanes_digest().alias("table_sha256"), F.col("n").alias("row_count"))
 
 
 def strict_date(text: Column) -> Column:

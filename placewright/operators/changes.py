@@ -3,6 +3,7 @@
 A batch's changes are rows: ordinal, entity, id, expected (digest of the row being replaced, or
 NULL for an addition), values (a JSON object of the changed fields) and the evidence columns
 source_id, collected_on, status, observation_id, origin, observation_digest, review_reference.
+An optional column retained holds the evidence of a course added from what was kept (retained.py).
 """
 
 from functools import reduce
@@ -183,8 +184,11 @@ def evidence_violations(changes: DataFrame, sources: DataFrame, observations: Da
             differs = differs | ~F.get_json_object("values", "$." + name).eqNullSafe(F.col(name))
     same_observation = F.col("fact_observation_id").eqNullSafe(F.col("observation_id"))
     fixing = typed & correction
+    # Additions from retained evidence have rules of their own.
+    own_rules = F.col("retained").isNotNull() if "retained" in changes.columns else F.lit(False)
     rule = (
-        F.when(typed & ~correction & ~F.coalesce(fact_shape, F.lit(False)), "typed facts need one observation")
+        F.when(own_rules, None)
+        .when(typed & ~correction & ~F.coalesce(fact_shape, F.lit(False)), "typed facts need one observation")
         .when(fixing & ~F.coalesce(fix_shape, F.lit(False)), "invalid correction evidence")
         .when(~typed & ~F.coalesce(core_shape, F.lit(False)), "source, date and status required")
         .when(typed & ~same_observation, "evidence observation differs from fact")

@@ -285,6 +285,59 @@ def c04(spark, sf):
     return retained.course_evidence_violations(proposals, *tables)
 
 
+# Two courses are added to every facility in one batch; at three of four facilities with courses, an
+# update of their first course stands before, between or after these additions.
+_HC = "select facility_id, min(course_id) as course_id from c where facility_id is not null group by 1"
+
+
+@query(
+    "c04_retained_batch",
+    cte("f", "c", extra={"hc": _HC, "j": "select k, k%4 as m from f where facility_id in (select facility_id from hc)"})
+    + """select 10*k+1 as ordinal, 'complete inventory guard required' as rule from j where m=1 union all select 10*k+5, 'complete inventory guard required' from j where m in (1,2)
+ union all select distinct null, 'retained course inventory changed during the batch' from j where m>0""",
+)
+def c04_batch(spark, sf):
+    f = T(spark, sf, "f").select("k", "facility_id", "name", "physical_holes")
+    number = F.col("k").cast("string")
+    note, source = F.concat(F.lit("n-"), number), F.concat(F.lit("s-"), number)
+    support = F.array(F.struct(F.array(F.lit("physical_holes")).alias("fields"), source.alias("source"), F.array(note).alias("note")))
+    tables = {
+        "facility": f.drop("k"),
+        "course": T(spark, sf, "c").select("course_id", "facility_id", "name"),
+        "retained_evidence": f.select("facility_id", F.array(note).alias("notes"), support.alias("support"), F.array(source).alias("listed_sources")),
+        "note": f.select(note.alias("note_id"), F.concat(F.lit("says "), "name").alias("body")),
+        "source": f.select(source.alias("source_id"), F.lit("retained_only").alias("intake_policy")),
+    }
+    digests = lambda name, key, as_: changes.row_digests(tables[name], key).toDF(*as_)
+    kids = tables["course"].select("course_id", "facility_id").join(digests("course", "course_id", ["course_id", "digest"]), "course_id")
+    # One small map per facility, as a proposal states it.
+    stated = kids.where("facility_id is not null").groupBy("facility_id").agg(F.map_from_entries(F.collect_list(F.struct("course_id", "digest"))).alias("inventory"))
+    guards = (
+        f.join(digests("facility", "facility_id", ["facility_id", "f_digest"]), "facility_id").join(digests("retained_evidence", "facility_id", ["facility_id", "e_digest"]), "facility_id")
+        .join(digests("note", "note_id", ["note_id", "n_digest"]), F.col("note_id") == note).join(digests("source", "source_id", ["source_id", "s_digest"]), F.col("source_id") == source)
+        .join(stated, "facility_id", "left")
+        .select("k", "facility_id", F.struct(
+            "facility_id", F.col("f_digest").alias("facility_digest"), F.col("e_digest").alias("retained_evidence_digest"), F.create_map("note_id", "n_digest").alias("note_digests"),
+            F.array(F.lit(0)).alias("support_indexes"), F.create_map("source_id", "s_digest").alias("source_digests"), F.lit("review/1").alias("review_reference"),
+            F.coalesce("inventory", F.expr("cast(map() as map<string,string>)")).alias("course_inventory_digests"),
+        ).alias("retained"))
+    )
+    values = F.to_json(F.struct("facility_id", F.lit("operator_defined").alias("identity_status"), F.lit("golf").alias("game_kind")))
+    none = [F.lit(None).cast("string").alias(n) for n in changes.EVIDENCE]
+    added = guards.withColumn("place", F.explode(F.array(F.lit(1), F.lit(5)))).select(
+        (10 * F.col("k") + F.col("place")).alias("ordinal"), F.lit("course").alias("entity"), F.format_string("new-%d-%d", "k", "place").alias("id"),
+        F.lit(None).cast("string").alias("expected"), values.alias("values"), *none, "retained",
+    )
+    first = kids.groupBy("facility_id").agg(F.min_by(F.struct("course_id", "digest"), "course_id").alias("first"))
+    updated = f.where("k % 4 > 0").join(first, "facility_id").select(
+        (10 * F.col("k") + F.element_at(F.array(F.lit(0), F.lit(3), F.lit(7)), (F.col("k") % 4).cast("int"))).alias("ordinal"), F.lit("course").alias("entity"),
+        F.col("first.course_id").alias("id"), F.col("first.digest").alias("expected"), F.lit('{"name":"Changed"}').alias("values"), *none,
+    )
+    live = settle(added.unionByName(updated, allowMissingColumns=True), "batch")
+    after = {name: changes.post_state(tables[name], live.where(F.col("entity") == name), schemas.KEYS[name]) for name in ("facility", "course")}
+    return retained.batch_violations(live, tables, after, tables["source"].where("false").select("source_id"))
+
+
 def retained_inputs(spark, sf):
     rows = T(spark, sf, "f")
     own = rows.select("facility_id", "name", "physical_holes", canon.row_digest("facility_id", "name", "physical_holes").alias("digest"), "k")

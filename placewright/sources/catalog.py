@@ -13,10 +13,11 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed, schemas
 from ..functions import canon
-from ..operators import cards, changes, holds, quality
+from ..operators import cards, changes, holds, quality, retained
 from ..session import settle
 
 _MANIFEST = "table string, path string, version long, batch_id string, digest string, report string"
@@ -72,7 +73,13 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
 
 def complete(spark: SparkSession, tables: dict) -> dict:
     """All tables of the layout; those that the catalog has no row of yet are empty."""
-    return {name: empty_table(spark, name) for name in schemas.KEYS if name not in tables and name != "source"} | tables
+    kept = {name: spark.range(1).where("false").selectExpr(*_none(fields)) for name, fields in retained.TABLES.items() if name not in tables}
+    return {name: empty_table(spark, name) for name in schemas.KEYS if name not in tables and name != "source"} | kept | tables
+
+
+def _none(fields: str) -> list:
+    """Columns of these names and types without a value."""
+    return [f"cast(null as {f.dataType.simpleString()}) as {f.name}" for f in T.StructType.fromDDL(fields)]
 
 
 def create(spark: SparkSession, root: str, tables: dict) -> None:
@@ -153,6 +160,9 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
     # Only the observations and sources that the batch cites are read closely.
     observations = changes.cited_observations(live, tables["source_observation"])
     used = live.select("source_id").unionByName(observations.select("source_id"))
+    by_retained = "retained" in batch.columns
+    if by_retained:
+        used = used.unionByName(retained.cited_sources(live))
     sources = settle(tables["source"].join(used.distinct(), "source_id", "left_semi"), "used")
     held = holds.held(sources, hold_list)
     fact = changes.with_observations(live, tables)
@@ -175,6 +185,8 @@ def judge_batch(tables: dict, batch: DataFrame, hold_list: DataFrame):
             fresh = mine.where(F.col("current_digest").isNull())
             flagged, _ = changes.possible_duplicates(after[entity], fresh, key, [c for c in same if c in tables[entity].columns])
             flags.append(flagged.select(F.lit(entity).alias("entity"), F.col(key).alias("id"), F.lit("possible duplicate identity").alias("reason")))
+    if by_retained:
+        bad = bad.unionByName(retained.batch_violations(live, tables | {"source": sources}, after, held))
     conflicts = guarded.where("stale").select("entity", "id", F.lit("stale row or addition collision").alias("reason"))
     for part in flags:
         conflicts = conflicts.unionByName(part)
@@ -216,7 +228,8 @@ def apply_batch(
         report["sources_added"] = declared.count()
         tables = tables | registered
     guarded, bad, conflicts, after = judge_batch(tables, batch, hold_list)
-    first = bad.orderBy("ordinal", "rule").first()
+    # What only shows at the end of the batch has no ordinal.
+    first = bad.orderBy(F.col("ordinal").asc_nulls_last(), "rule").first()
     if first:
         return report | {"state": "rejected", "reason": first["rule"], "ordinal": first["ordinal"]}
     after = {name: settle(rows, "after") for name, rows in after.items()}
@@ -244,7 +257,11 @@ def apply_batch(
         report |= {"state": "applied", "committed": True, "revision_after": version + 1}
         # The ledger and the list of changes grow by a part per batch.
         seen = changes.cited_observations(live, tables["source_observation"])
-        appended = {"intake_evidence": changes.ledger(live, seen, batch_id)}
+        plain = live.where("retained is null") if "retained" in live.columns else live
+        evidence = changes.ledger(plain, seen, batch_id)
+        if "retained" in live.columns:
+            evidence = evidence.unionByName(retained.ledger(live, tables["retained_evidence"], batch_id))
+        appended = {"intake_evidence": evidence}
         if rows is not None:
             appended["batch_change"] = rows.select(F.lit(batch_id).alias("batch_id"), "*")
         after = registered | after
