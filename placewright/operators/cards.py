@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.text import access_label, filled, lookup, record_label
 from .. import fixed
+from ..session import settle
 from .ordering import number_rows
 
 # The parts of an address.
@@ -190,39 +191,83 @@ def facility_facts(facilities: DataFrame) -> DataFrame:
     return facilities.select("facility_id", F.inline(listed))
 
 
-def nest(children: DataFrame, key: str, order, item: Column, limit=PART_ROWS) -> DataFrame:
-    """Children as arrays (key, part, items), in `order` inside a part and from part to part.
-
-    Part n holds the children at positions n * limit and on, whatever the parent's size, so no
-    task and no row ever holds an unbounded group. `order` ends in a unique column.
+def _slots(columns, rows: DataFrame, width: int):
+    """Order columns as (text, number) slots, so that lists of different orders sort as one table."""
+    slots = []
+    for name in columns:
+        kind = rows.schema[name].dataType.typeName()
+        if kind not in ("string", "byte", "short", "integer", "long"):
+            raise ValueError(f"cannot order children by {name}: {kind}")
+        text, number = (F.col(name), F.lit(None)) if kind == "string" else (F.lit(None), F.col(name))
+        slots += [text.cast("string").alias(f"t{len(slots)}"), number.cast("long").alias(f"n{len(slots)}")]
+    while len(slots) < 2 * width:
+        slots += [F.lit(None).cast("string").alias(f"t{len(slots)}"), F.lit(None).cast("long").alias(f"n{len(slots)}")]
+    return F.struct(*slots)
+
+
+def nest_lists(key: str, lists: dict, limit=PART_ROWS) -> DataFrame:
+    """Several child lists as arrays (key, part, and a column per list), in one pass.
+
+    `lists` is name -> (children, order, item); `order` are the names of text or whole-number
+    columns and ends in a unique one. All lists are one tagged table, grouped once by parent and
+    part. Part n holds each list's children at positions n * limit and on: only the children of a
+    crowded (parent, list) are put into global order to find these, and all others are part 0, so
+    no task and no row ever holds an unbounded group.
     """
-    rows = children.where(F.col(key).isNotNull()).select(key, F.struct(*order).alias("at"), item.alias("item"))
-    placed = number_rows(rows, [F.col(key), F.col("at")])
-    # One narrow row per parent; a parent with very many children may be split by the join.
-    first = placed.groupBy(key).agg(F.min("position").alias("first"))
-    part = F.floor((F.col("position") - F.col("first")) / limit).cast("int").alias("part")
-    parts = placed.join(first, key).select(key, part, "position", "item")
-    grouped = parts.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
-    return grouped.select(key, "part", F.transform("items", lambda i: i["item"]).alias("items"))
+    width = max(len(order) for _, order, _ in lists.values())
+    tagged = []
+    for tag, (name, (children, order, item)) in enumerate(lists.items()):
+        rows = children.where(F.col(key).isNotNull())
+        tagged.append(rows.select(key, F.lit(tag).alias("tag"), _slots(order, rows, width).alias("at"), item.alias("i_" + name)))
+    rows = settle(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged), "children")
+    crowded = rows.groupBy(key, "tag").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, "tag")
+    placed = rows.withColumn("part", F.lit(0))
+    if crowded.limit(1).count():
+        crowded = settle(crowded, "crowded")
+        ordered = number_rows(rows.join(crowded, [key, "tag"], "left_semi"), [F.col(key), F.col("tag"), F.col("at")])
+        # One narrow row per parent and list; one with very many children may be split by the join.
+        first = ordered.groupBy(key, "tag").agg(F.min("position").alias("first"))
+        part = F.floor((F.col("position") - F.col("first")) / limit).cast("int")
+        parts = ordered.join(first, [key, "tag"]).withColumn("part", part).select(*placed.columns)
+        placed = rows.join(crowded, [key, "tag"], "left_anti").withColumn("part", F.lit(0)).select(*placed.columns).unionByName(parts)
+    items = ["i_" + name for name in lists]
+    grouped = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("tag", "at", *items))).alias("all"))
+
+    def own(tag, name):
+        mine = F.transform(F.filter("all", lambda x: x["tag"] == tag), lambda x: x["i_" + name])
+        return F.when(F.size(mine) > 0, mine).alias(name)
+
+    return grouped.select(key, "part", *[own(tag, name) for tag, name in enumerate(lists)])
+
+
+def nest(children: DataFrame, key: str, order, item: Column, limit=PART_ROWS) -> DataFrame:
+    """Children as arrays (key, part, items), in `order` inside a part and from part to part."""
+    return nest_lists(key, {"items": (children, order, item)}, limit)
 
 
 def attach(parents: DataFrame, key: str, nested: dict) -> DataFrame:
     """Cards with nested arrays: one row per parent, and a row per further part of its children.
 
     The parent's own columns are on part 0 only, a missing child list is an empty array; both hold
-    for every parent alike.
+    for every parent alike. `nested` is name -> a frame of `nest`.
     """
-    base = parents.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
     sides = [frame.withColumnRenamed("items", name) for name, frame in nested.items()]
-    joined = reduce(lambda left, right: left.join(right, [key, "part"], "full_outer"), sides, base)
-    # Children of an unknown parent are key violations, not cards.
-    kept = joined.where(F.col("own") | (F.col("part") > 0)).drop("own")
-    known = parents.select(key)
-    kept = kept.join(known, key, "left_semi")
-    types = {name: frame.schema["items"].dataType for name, frame in nested.items()}
-    return kept.withColumns(
-        {name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in types.items()}
-    )
+    return _attached(parents, key, reduce(lambda left, right: left.join(right, [key, "part"], "full_outer"), sides), list(nested))
+
+
+def attach_lists(parents: DataFrame, key: str, lists: dict, limit=PART_ROWS) -> DataFrame:
+    """As `attach`, for lists that are nested together (see nest_lists)."""
+    return _attached(parents, key, nest_lists(key, lists, limit), list(lists))
+
+
+def _attached(parents, key, children, names):
+    base = parents.withColumn("part", F.lit(0)).withColumn("own", F.lit(True))
+    # Children of an unknown parent are key violations, not cards; a parent's further parts are.
+    first = base.join(children, [key, "part"], "left")
+    more = children.where("part > 0").join(parents.select(key), key, "left_semi")
+    kept = first.drop("own").unionByName(more, allowMissingColumns=True)
+    kinds = {name: children.schema[name].dataType for name in names}
+    return kept.withColumns({name: F.coalesce(F.col(name), F.array().cast(kind)) for name, kind in kinds.items()})
 
 
 def membership(rounds: DataFrame, members: DataFrame, components: DataFrame) -> DataFrame:
@@ -341,25 +386,21 @@ def course_cards(bundle: dict, limit=PART_ROWS, lists=None) -> DataFrame:
         F.when(F.col("facility_id").isNotNull(), "facility").otherwise("course").alias("scope"),
     )
     children = {
-        "components": lambda: nest(
-            bundle["component"], "course_id", ["component_id"], F.struct("component_id", "name", "physical_holes"), limit
-        ),
-        "tee_sets": lambda: nest(
-            bundle["tee_set"], "course_id", ["tee_id"], F.struct("tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit
-        ),
-        "aliases": lambda: nest(bundle["alias"], "course_id", ["alias_id"], F.struct("alias_id", "name"), limit),
-        "round_options": lambda: nest(rounds, "course_id", ["round_id"], shown_round, limit),
-        "round_members": lambda: nest(
+        "components": (bundle["component"], ["component_id"], F.struct("component_id", "name", "physical_holes")),
+        "tee_sets": (bundle["tee_set"], ["tee_id"], F.struct("tee_id", "name", "yardage", "yardage_unit", "par", "slope")),
+        "aliases": (bundle["alias"], ["alias_id"], F.struct("alias_id", "name")),
+        "round_options": (rounds, ["round_id"], shown_round),
+        "round_members": (
             bundle["round_component"].select("round_id", "member_id", "ordinal", "component_id", F.col("course_id").alias("member_course"), "repetitions").join(belongs, "round_id"),
-            "course_id", ["round_id", "ordinal", "member_id"],
-            F.struct("round_id", "ordinal", "member_id", "component_id", F.col("member_course").alias("course_id"), "repetitions"), limit,
+            ["round_id", "ordinal", "member_id"],
+            F.struct("round_id", "ordinal", "member_id", "component_id", F.col("member_course").alias("course_id"), "repetitions"),
         ),
-        "round_tee_sets": lambda: nest(
+        "round_tee_sets": (
             bundle["tee_set"].where("round_id is not null").drop("course_id").join(belongs, "round_id"),
-            "course_id", ["round_id", "tee_id"], F.struct("round_id", "tee_id", "name", "yardage", "yardage_unit", "par", "slope"), limit,
+            ["round_id", "tee_id"], F.struct("round_id", "tee_id", "name", "yardage", "yardage_unit", "par", "slope"),
         ),
     }
-    return attach(listed, "course_id", {name: make() for name, make in children.items() if lists is None or name in lists})
+    return attach_lists(listed, "course_id", {name: made for name, made in children.items() if lists is None or name in lists}, limit)
 
 
 def facility_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
@@ -372,15 +413,12 @@ def facility_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
         "address": address_block("facility", missing=missing),
     })
     rounds, aliases = bundle["round_option"], bundle["alias"]
-    return attach(
-        shown,
-        "facility_id",
-        {
-            "course_inventory": nest(bundle["course"], "facility_id", ["course_id"], F.struct(*fields), limit),
-            "round_options": nest(rounds, "facility_id", ["round_id"], F.struct("round_id", "name", "round_holes", "description"), limit),
-            "aliases": nest(aliases, "facility_id", ["alias_id"], F.struct("alias_id", "name"), limit),
-        },
-    )
+    lists = {
+        "course_inventory": (bundle["course"], ["course_id"], F.struct(*fields)),
+        "round_options": (rounds, ["round_id"], F.struct("round_id", "name", "round_holes", "description")),
+        "aliases": (aliases, ["alias_id"], F.struct("alias_id", "name")),
+    }
+    return attach_lists(shown, "facility_id", lists, limit)
 
 
 def cards_of(bundle: dict, course_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
@@ -406,11 +444,8 @@ def round_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
         "scope", F.when(F.col("facility_id").isNotNull(), "facility").otherwise("course")
     )
     member = F.struct("member_id", "ordinal", "component_id", "course_id", "repetitions")
-    return attach(
-        rounds,
-        "round_id",
-        {
-            "members": nest(bundle["round_component"], "round_id", ["ordinal", "member_id"], member, limit),
-            "tee_sets": nest(bundle["tee_set"], "round_id", ["tee_id"], F.struct("tee_id", "name", "yardage"), limit),
-        },
-    )
+    lists = {
+        "members": (bundle["round_component"], ["ordinal", "member_id"], member),
+        "tee_sets": (bundle["tee_set"], ["tee_id"], F.struct("tee_id", "name", "yardage")),
+    }
+    return attach_lists(rounds, "round_id", lists, limit)

@@ -113,6 +113,22 @@ def test_crowded_parents_come_in_parts(spark):
     assert len([r for r in attached if r["parent"] == "hot" and r["own_value"] == 1]) == 1
 
 
+def test_lists_nested_together_are_as_nested_alone(spark):
+    one = spark.range(700).selectExpr("case when id < 500 then 'hot' else 'p' || (id % 7) end as parent", "'x' || (id % 100) as name", "id")
+    two = spark.range(300).selectExpr("case when id < 120 then 'hot' when id < 200 then 'warm' else 'p' || (id % 9) end as parent", "cast(id as int) as id", "'y' || id as said")
+    lists = {"ones": (one, ["name", "id"], F.struct("id", "name")), "twos": (two, ["id"], F.col("said"))}
+    parents = spark.createDataFrame([(p,) for p in ("hot", "warm", "p1", "p8", "empty")], "parent string")
+    both = cards.attach_lists(parents, "parent", lists, limit=50).collect()
+    alone = cards.attach(parents, "parent", {n: cards.nest(rows, "parent", order, item, limit=50) for n, (rows, order, item) in lists.items()}).collect()
+    shown = lambda rows: sorted((r["parent"], r["part"], str(r["ones"]), str(r["twos"])) for r in rows)
+    assert shown(both) == shown(alone) and len(both) == 15
+    hot = [r for r in sorted(both, key=lambda r: r["part"]) if r["parent"] == "hot"]
+    assert [(i["name"], i["id"]) for r in hot for i in r["ones"]] == sorted((f"x{k % 100}", k) for k in range(500))
+    assert [i for r in hot for i in r["twos"]] == [f"y{k}" for k in range(120)] and len(hot[3]["twos"]) == 0
+    with pytest.raises(ValueError):
+        cards.nest(one.selectExpr("parent", "id * 0.5 as half"), "parent", ["half"], F.col("half"))
+
+
 def test_row_numbers_are_total_even_for_one_crowded_value(spark):
     rows = spark.range(2000).selectExpr("case when id % 3 = 0 then 'same' else 'n' || id end as label", "id")
     numbered = ordering.number_rows(rows, [F.col("label"), F.col("id")], partitions=6).collect()
