@@ -438,6 +438,12 @@ def cards_of(bundle: dict, course_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
     return course_cards(part, limit).join(course_ids, "course_id", "left_semi")
 
 
+def facility_cards_of(bundle: dict, facility_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
+    """Cards of some facilities only, as after a change: every table is cut down before nesting."""
+    names = ("facility", "course", "round_option", "alias")
+    return facility_cards(bundle | {name: bundle[name].join(facility_ids, "facility_id", "left_semi") for name in names}, limit)
+
+
 def round_cards(bundle: dict, limit=PART_ROWS) -> DataFrame:
     """Rounds with their members in playing order and their tees."""
     rounds = bundle["round_option"].withColumn(

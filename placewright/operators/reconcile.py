@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from .. import fixed, schemas
 from ..functions import canon
 from ..session import settle
+from . import cards, links
 from . import features as feature_ops
-from . import links
 
 # Decisions of one target are scanned in blocks of this many plan positions.
 BLOCK = 100_000
@@ -376,6 +376,49 @@ def refresh_children(courses: DataFrame, facilities: DataFrame, affected: DataFr
     return fresh.select(*courses.columns).unionByName(rest)
 
 
+# --- cards -------------------------------------------------------------------------------------
+
+_REFERRING = ("component", "round_option", "round_component", "tee_set", "alias")
+
+
+def affected_cards(before: dict, after: dict, receipts: dict):
+    """(facility ids, course ids) whose cards a run may have changed, by following the references of
+    changed rows, as they were and as they are, to the cards that show them."""
+    versions = {}
+    for name, record in receipts.items():
+        if name in _KEYS and name != "destination":
+            keys = record.select(_KEYS[name])
+            versions[name] = [v[name].join(keys, _KEYS[name], "left_semi") for v in (before, after)]
+    pick = lambda names, column: [v.select(column) for n in names for v in versions[n] if column in v.columns]
+    rounds = reduce(DataFrame.unionByName, pick(("round_option", "round_component", "tee_set"), "round_id")).where("round_id is not null").distinct()
+    facilities = pick(("facility", "course", "round_option", "alias"), "facility_id")
+    courses = pick(("course", *_REFERRING), "course_id")
+    for version in (before, after):
+        owned = version["round_option"].join(rounds, "round_id", "left_semi")
+        facilities.append(owned.select("facility_id"))
+        members = version["round_component"].join(rounds, "round_id", "left_semi")
+        courses.append(cards.membership(owned, members, version["component"]).select("course_id"))
+        # A component shows in every round that has it as a member.
+        changed = reduce(DataFrame.unionByName, [v.select("component_id") for v in versions["component"]]).distinct()
+        by_part = version["round_component"].join(changed, "component_id", "left_semi").select("round_id").distinct()
+        courses.append(cards.membership(version["round_option"].join(by_part, "round_id", "left_semi"), version["round_component"].join(by_part, "round_id", "left_semi"), version["component"]).select("course_id"))
+    facility_ids = settle(reduce(DataFrame.unionByName, facilities).where("facility_id is not null").distinct(), "facilities")
+    # A course shows its facility's columns.
+    courses.append(after["course"].join(facility_ids, "facility_id", "left_semi").select("course_id"))
+    return facility_ids, settle(reduce(DataFrame.unionByName, courses).where("course_id is not null").distinct(), "courses")
+
+
+def refresh_cards(made: dict, before: dict, after: dict, receipts: dict, limit=cards.PART_ROWS) -> dict:
+    """The cards after a run: those it may have changed are nested anew, all others pass through.
+
+    `made` has the facility and course cards of the version before.
+    """
+    facility_ids, course_ids = affected_cards(before, after, receipts)
+    fresh = {"facility": cards.facility_cards_of(after, facility_ids, limit), "course": cards.cards_of(after, course_ids, limit)}
+    ids = {"facility": facility_ids, "course": course_ids}
+    return {kind: rows.join(ids[kind], kind + "_id", "left_anti").unionByName(fresh[kind].select(*rows.columns)) for kind, rows in made.items()}
+
+
 # --- receipts ----------------------------------------------------------------------------------
 
 
@@ -418,7 +461,7 @@ def restore(current: DataFrame, record: DataFrame, key: str) -> DataFrame:
 
 _KEYS = {
     "facility": "facility_id", "course": "course_id", "round_option": "round_id", "round_component": "member_id",
-    "component": "component_id", "tee_set": "tee_id", "alias": "alias_id", "destination": "destination_key",
+    "component": "component_id", "tee_set": "tee_id", "alias": "alias_id", "destination": "destination_key", "metadata": "key",
 }
 
 
@@ -491,23 +534,152 @@ def apply(bundle: dict, decisions: DataFrame, sources: DataFrame, fields=None) -
     merged = settle(refresh_parents(merged, courses, affected), "facilities")
     destinations = keyed_destinations(destinations).select(*bundle["destination"].columns)
     tables = relations | {"facility": merged, "course": courses, "destination": destinations}
-    receipts = {name: receipt(bundle[name], tables[name], key) for name, key in _KEYS.items()}
+    if "metadata" in bundle:
+        tables["metadata"] = refreshed_metadata(bundle["metadata"], tables)
+    receipts = receipts_of(bundle, tables)
+    conflicts = merge_conflicts(steps)
     return {
         "tables": tables,
         "receipts": receipts,
-        "conflicts": merge_conflicts(steps),
+        "conflicts": conflicts,
         "citations": merge_citations(facilities, merging),
+        "plan": plan,
+        "decisions": applied_decisions(plan, facilities, conflicts),
     }
 
 
+def receipts_of(before: dict, tables: dict) -> dict:
+    """A receipt per table; those that the run leaves alone are not compared and have an empty one."""
+    found = {}
+    for name, key in _keys(before).items():
+        sides = [before[name].where("false")] * 2 if tables[name] is before[name] else [before[name], tables[name]]
+        found[name] = receipt(*sides, key)
+    return found
+
+
+def written(before: dict, result: dict) -> dict:
+    """The run with its tables written once, and receipts taken from these and written too."""
+    before = before | {"destination": keyed_destinations(before["destination"])}
+    done = {name: rows if rows is before.get(name) else settle(rows, name) for name, rows in result["tables"].items()}
+    receipts = {name: settle(rows, "receipt") for name, rows in receipts_of(before, done).items()}
+    return result | {"tables": done, "receipts": receipts, "decisions": settle(result["decisions"], "applied")}
+
+
+def _keys(bundle: dict) -> dict:
+    return {name: key for name, key in _KEYS.items() if name in bundle}
+
+
+def refreshed_metadata(metadata: DataFrame, tables: dict) -> DataFrame:
+    """The catalog's own facts (key, value) after a run: the next revision, and the counts it keeps."""
+    counts = [
+        tables[name].agg(F.count("*").alias(plural), F.count_if(F.col("name").isNull()).alias("unnamed_" + plural))
+        for name, plural in (("facility", "facilities"), ("course", "courses"))
+    ]
+    fresh = reduce(DataFrame.unionByName, [c.select(F.inline(F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("fresh")) for n in c.columns]))) for c in counts])
+    value = F.when(F.col("key") == "revision", (F.col("value").cast("long") + 1).cast("string")).otherwise(F.coalesce("fresh", "value"))
+    return metadata.join(fresh, "key", "left").select("key", value.alias("value"))
+
+
+def applied_decisions(plan: DataFrame, facilities: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The plan's decisions with the source row as it was, its digest, and the digest of what disagreed."""
+    source = facilities.select(
+        F.col("facility_id").alias("source_id"), F.struct(*facilities.columns).alias("source_snapshot"), canon.row_digest(*sorted(facilities.columns)).alias("source_snapshot_sha256")
+    )
+    clashes = canon.group_digest(conflicts, "ordinal", *sorted(conflicts.columns)).withColumnRenamed("group_digest", "conflicts_sha256")
+    return plan.join(source, "source_id", "left").join(clashes, "ordinal", "left")
+
+
 def restored(result: dict) -> dict:
     """Every table as it was before `apply`."""
-    return {name: restore(result["tables"][name], result["receipts"][name], key) for name, key in _KEYS.items()}
+    return {name: restore(result["tables"][name], result["receipts"][name], key) for name, key in _keys(result["receipts"]).items()}
 
 
 def check_receipts(result: dict) -> DataFrame:
     found = [
         receipt_violations(result["tables"][name], result["receipts"][name], key).select(F.lit(name).alias("table"), F.col(key).alias("id"), "rule")
-        for name, key in _KEYS.items()
+        for name, key in _keys(result["receipts"]).items()
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+# --- the sealed receipt ------------------------------------------------------------------------
+
+
+def lanes_of(tables: dict) -> DataFrame:
+    """item, n and lane sums of each table: one scan of each."""
+    return reduce(DataFrame.unionByName, [canon.table_lanes(rows).select(F.lit(name).alias("item"), "*") for name, rows in tables.items()])
+
+
+def _change_lanes(receipts: dict) -> DataFrame:
+    """item, n and lane sums by which each table has changed, from the receipts alone."""
+    parts = []
+    for name, record in receipts.items():
+        rows = record.select(F.inline(F.array(F.struct(F.lit(-1).alias("sign"), F.col("before_sha256").alias("digest")), F.struct(F.lit(1).alias("sign"), F.col("after_sha256").alias("digest")))))
+        total = rows.where("digest is not null").agg(*canon.lane_sums(F.col("sign")))
+        parts.append(total.select(F.lit(name).alias("item"), *[F.coalesce(n, F.lit(0)).alias("c_" + n) for n in canon.LANES]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _fixed_parts(plan: DataFrame, decisions: DataFrame) -> DataFrame:
+    return lanes_of({"plan": plan, "decisions": decisions}).select("item", canon.lanes_digest().alias("sha256"))
+
+
+def whole_digest(rows: DataFrame, *columns) -> DataFrame:
+    """One row for the catalog: the digest of all its tables' digests."""
+    listed = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("item", F.lit("="), c))), ","), 256).alias(c)
+    return rows.agg(*[listed(c) for c in columns]).select(F.lit("catalog").alias("item"), *columns)
+
+
+def seal(before_lanes: DataFrame, receipts: dict, plan: DataFrame, decisions: DataFrame) -> DataFrame:
+    """item, before_sha256, after_sha256 of every table (with rows_before, rows_after), of the catalog,
+    the plan and the decisions.
+
+    `before_lanes` are lanes_of the tables before the run, kept from the version that made them. A
+    table's digest after the run is its lanes before it, less those of the rows that went and with
+    those of the rows that came: no table is read again.
+    """
+    both = before_lanes.join(_change_lanes(receipts), "item")
+    before = both.select("item", F.col("n").alias("rows_before"), canon.lanes_digest().alias("before_sha256"), *[(F.col(n) + F.col("c_" + n)).alias(n) for n in canon.LANES])
+    tables = settle(before.select("item", "rows_before", F.col("n").alias("rows_after"), "before_sha256", canon.lanes_digest().alias("after_sha256")), "sealed")
+    fixed_parts = _fixed_parts(plan, decisions).select("item", F.col("sha256").alias("before_sha256"), F.col("sha256").alias("after_sha256"))
+    return tables.unionByName(whole_digest(tables, "before_sha256", "after_sha256").unionByName(fixed_parts), allowMissingColumns=True)
+
+
+def seal_violations(result: dict, sealed: DataFrame) -> DataFrame:
+    """(item, id, rule): what is no longer as the receipt says, and what can't be taken back to the baseline.
+
+    All tables are read and digested, whether the run touched them or not, so tampering with any row of
+    any table is found. The baseline follows from these digests and the receipts by subtraction.
+    """
+    now = settle(lanes_of({name: result["tables"][name] for name in _keys(result["receipts"])}), "lanes")
+    both = now.join(_change_lanes(result["receipts"]), "item")
+    back = both.select("item", canon.lanes_digest().alias("now"), *[(F.col(n) - F.col("c_" + n)).alias(n) for n in canon.LANES])
+    back = settle(back.select("item", "now", canon.lanes_digest().alias("back")), "back")
+    parts = _fixed_parts(result["plan"], result["decisions"]).select("item", F.col("sha256").alias("now"), F.col("sha256").alias("back"))
+    found = back.unionByName(whole_digest(back, "now", "back")).unionByName(parts)
+    joined = sealed.join(found, "item", "full_outer")
+    rule = F.when(~F.col("now").eqNullSafe(F.col("after_sha256")), "digest after the run changed").when(
+        ~F.col("back").eqNullSafe(F.col("before_sha256")), "baseline digest not reached"
+    )
+    whole = joined.select("item", F.lit(None).cast("string").alias("id"), rule.alias("rule")).where("rule is not null")
+    kept = result["decisions"].where("source_snapshot is not null")
+    columns = sorted(f.name for f in result["decisions"].schema["source_snapshot"].dataType.fields)
+    snapshot = canon.row_digest(*[F.col("source_snapshot")[n].alias(n) for n in columns])
+    changed = kept.where(snapshot != F.col("source_snapshot_sha256")).select(F.lit("decisions").alias("item"), F.col("source_id").alias("id"), F.lit("source snapshot changed").alias("rule"))
+    return whole.unionByName(check_receipts(result).withColumnRenamed("table", "item")).unionByName(changed)
+
+
+def restore_proved(result: dict, sealed: DataFrame) -> dict:
+    """Every table as it was, read once more and compared with the sealed baseline by equality.
+
+    Raises ValueError naming the first item that is not as the receipt says.
+    """
+    broken = seal_violations(result, sealed).orderBy("item", "id").first()
+    if broken:
+        raise ValueError(f"{broken['item']}: {broken['rule']}" + (f" ({broken['id']})" if broken["id"] else ""))
+    tables = {name: settle(rows, "restored") for name, rows in restored(result).items()}
+    digests = lanes_of(tables).select("item", canon.lanes_digest().alias("found"))
+    wrong = digests.join(sealed, "item").where("found <> before_sha256").orderBy("item").first()
+    if wrong:
+        raise ValueError(f"{wrong['item']}: baseline not restored")
+    return tables

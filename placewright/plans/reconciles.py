@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from .. import standin
 from ..functions import canon
-from ..operators import features, reconcile
-from ..session import read
+from ..operators import cards, features, reconcile
+from ..session import read, settle
 from ..standin import cte
 from .rebuilds import CITATION
 from .registry import query
@@ -379,3 +379,102 @@ def c16_restored(spark, sf):
         "alias": ("alias_id", F.col("name")), "destination": ("destination_key", none),
     }
     return standin.union_all([back[t].select(F.lit(t).alias("entity"), F.col(key).alias("id"), value.alias("name")) for t, (key, value) in shown.items()])
+
+
+def whole_run(spark, sf):
+    """The tables before, with what cards show, and the run over them."""
+    b = bundle(spark, sf)
+    ours = courses(spark, sf).select("course_id", F.col("facility_id").alias("parent"), F.col("destination_id").alias("rests_on"), "fact_sources")
+    course = T(spark, sf, "c").join(ours, "course_id").withColumns({"facility_id": F.col("parent"), "destination_id": F.col("rests_on")}).drop("parent", "rests_on")
+    before = {n: b[n] for n in ("round_option", "round_component", "component", "tee_set", "alias")}
+    before |= {"facility": facilities(spark, sf), "course": course, "destination": reconcile.keyed_destinations(destinations(spark, sf))}
+    return before, reconcile.written(before, reconcile.apply(before, decisions(spark, sf), feature_records(spark, sf), FIELDS))
+
+
+# The tables after the run.
+AFTER = {
+    **STEPS, "cd": SQL_COURSE_DEC, "mm": "select source_id, target_id from de where action='merge_facility'", "gr": f"select round_id from r where facility_id in ({SQL_GONE})",
+    "ra": "select r.round_id, coalesce(mm.target_id, r.facility_id) as facility_id, r.course_id from r left join mm on mm.source_id=r.facility_id where r.round_id not in (select round_id from gr)",
+    "ma": "select * from m where round_id not in (select round_id from gr)",
+    "ta": "select * from t where round_id is null or round_id not in (select round_id from gr)",
+    "ca": "select cr.course_id, coalesce(cd.target_id, cr.parent) as facility_id from cr left join cd on cd.action='match_course' and cd.target_course_id=cr.course_id union all select source_id, target_id from cd where action='course'",
+    "ax": f"select alias_id, coalesce(mm.target_id, al.facility_id) as facility_id, al.course_id, al.name from al left join mm on mm.source_id=al.facility_id where al.facility_id is null or al.facility_id not in ({SQL_GONE})",
+    "an": """select distinct 'reconciliation-alias-' || substr(sha256('["facility","' || target_id || '","' || name || '"]'),1,24) as alias_id, target_id as facility_id, null as course_id, name
+ from (select target_id, after, unnest([before, value]) as name from sy where field='name') x where name<>after and not exists (select 1 from ax where ax.facility_id=target_id and ax.name=x.name)""",
+    "ac": """select distinct 'reconciliation-alias-' || substr(sha256('["course","' || cr.course_id || '","' || fname || '"]'),1,24) as alias_id, null as facility_id, cr.course_id, fname as name
+ from cd join cr on cr.course_id=cd.target_course_id where cd.action='match_course' and fname is not null and fname is distinct from cr.name""",
+    "aa": "select * from ax union all select * from an union all select * from ac",
+}
+
+
+@query(
+    "c13_refreshed_cards",
+    cte("f", "c", "r", "m", "t", "p", "al", "feat", extra={
+        **AFTER,
+        "own": "select round_id, course_id from ra where course_id is not null union select ma.round_id, coalesce(ma.course_id, p.course_id) from ma left join p on p.component_id=ma.component_id where coalesce(ma.course_id, p.course_id) is not null and ma.round_id in (select round_id from ra)",
+        "ci": "select facility_id, string_agg(course_id, ',' order by course_id) as v from ca where facility_id is not null group by 1",
+        "ri": "select facility_id, string_agg(round_id, ',' order by round_id) as v from ra where facility_id is not null group by 1",
+        "ai": "select facility_id, string_agg(name, ',' order by alias_id) as v from aa where facility_id is not null group by 1",
+        "pi": "select course_id, string_agg(component_id, ',' order by component_id) as v from p group by 1",
+        "ti": "select course_id, string_agg(tee_id, ',' order by tee_id) as v from ta where course_id is not null group by 1",
+        "oi": "select course_id, string_agg(round_id, ',' order by round_id) as v from own group by 1",
+        "li2": "select course_id, string_agg(name, ',' order by alias_id) as v from aa where course_id is not null group by 1",
+    })
+    + """select 'facility' as kind, mg.facility_id as id, mg.name, mg.latitude, coalesce(ci.v,'') as children, '' as tees, coalesce(ri.v,'') as rounds, coalesce(ai.v,'') as aliases
+ from mg left join ci on ci.facility_id=mg.facility_id left join ri on ri.facility_id=mg.facility_id left join ai on ai.facility_id=mg.facility_id
+ union all select 'course', ca.course_id, mg.name, mg.latitude, coalesce(pi.v,''), coalesce(ti.v,''), coalesce(oi.v,''), coalesce(li2.v,'')
+ from ca left join mg on mg.facility_id=ca.facility_id left join pi on pi.course_id=ca.course_id left join ti on ti.course_id=ca.course_id left join oi on oi.course_id=ca.course_id left join li2 on li2.course_id=ca.course_id""",
+)
+def c13_cards(spark, sf):
+    before, result = whole_run(spark, sf)
+    made = {"facility": cards.facility_cards(before), "course": cards.course_cards(before)}
+    fresh = reconcile.refresh_cards(made, before, result["tables"], result["receipts"])
+    joined = lambda column: F.array_join(column, ",")
+    facility = fresh["facility"].select(
+        F.lit("facility").alias("kind"), F.col("facility_id").alias("id"), "name", F.col("map_location.latitude").alias("latitude"), joined("course_inventory.course_id").alias("children"),
+        F.lit("").alias("tees"), joined("round_options.round_id").alias("rounds"), joined("aliases.name").alias("aliases"),
+    )
+    return facility.unionByName(fresh["course"].select(
+        F.lit("course").alias("kind"), F.col("course_id").alias("id"), F.col("facility_name").alias("name"), F.col("map_location.latitude").alias("latitude"), joined("components.component_id").alias("children"),
+        joined("tee_sets.tee_id").alias("tees"), joined("round_options.round_id").alias("rounds"), joined("aliases.name").alias("aliases"),
+    ))
+
+
+@query(
+    "c14_sealed_receipt",
+    cte("f", "c", "r", "m", "t", "p", "al", "feat", extra={**AFTER, "ds": SQL_DEST, "kp": SQL_KEPT})
+    + """select item, rows_before, rows_after, true as as_scanned from (select 'facility' as item, (select count(*) from f) as rows_before, (select count(*) from mg) as rows_after
+ union all select 'course', (select count(*) from c), (select count(*) from ca) union all select 'round_option', (select count(*) from r), (select count(*) from ra)
+ union all select 'round_component', (select count(*) from m), (select count(*) from ma) union all select 'tee_set', (select count(*) from t), (select count(*) from ta)
+ union all select 'component', (select count(*) from p), (select count(*) from p) union all select 'alias', (select count(*) from al), (select count(*) from aa)
+ union all select 'destination', (select count(*) from ds), (select count(*) from kp) union all select 'catalog', null, null)""",
+)
+def c14_sealed(spark, sf):
+    before, result = whole_run(spark, sf)
+    names = list(result["receipts"])
+    sealed = reconcile.seal(reconcile.lanes_of({n: before[n] for n in names}), result["receipts"], result["plan"], result["decisions"])
+    # Digests that were carried along must be those of the tables read anew.
+    read_anew = reconcile.lanes_of({n: result["tables"][n] for n in names}).select("item", canon.lanes_digest().alias("scanned"))
+    scanned = settle(read_anew, "scanned")
+    scanned = scanned.unionByName(reconcile.whole_digest(scanned, "scanned"))
+    both = sealed.join(scanned, "item")
+    return both.select("item", "rows_before", "rows_after", (F.col("scanned") == F.col("after_sha256")).alias("as_scanned"))
+
+
+@query(
+    "c15_seal_tampering",
+    cte("f", "c", "r", "m", "t", "p", "al", extra={"x": "select count(*) as n from t where t.tee_id in (select min(tee_id) from t)"})
+    + """select item, cast(null as varchar) as id, rule from (select unnest(['tee_set', 'destination', 'catalog', 'plan']) as item, 'digest after the run changed' as rule) where (select n from x) > 0""",
+)
+def c15_sealed(spark, sf):
+    before, result = whole_run(spark, sf)
+    sealed = settle(reconcile.seal(reconcile.lanes_of({n: before[n] for n in result["receipts"]}), result["receipts"], result["plan"], result["decisions"]), "seal")
+    tees, places = result["tables"]["tee_set"], result["tables"]["destination"]
+    first = tees.agg(F.min("tee_id").alias("tee_id")).withColumn("first", F.lit(True))
+    # One row of a table that was hardly touched, a row that the receipt does not know, and the plan.
+    forged = result["tables"] | {
+        "tee_set": tees.join(first, "tee_id", "left").withColumn("name", F.when(F.col("first"), F.lit("forged")).otherwise(F.col("name"))).select(*tees.columns),
+        "destination": places.unionByName(places.limit(1).withColumn("destination_key", F.lit("forged/1"))),
+    }
+    plan = result["plan"].withColumn("reason", F.when(F.col("ordinal") % 2 == 0, "other").otherwise(F.col("reason")))
+    return reconcile.seal_violations(result | {"tables": forged, "plan": plan}, sealed)
