@@ -195,6 +195,7 @@ def test_contamination(spark):
 def test_dialogues_match_their_sql(spark):
     rows = [(1, 0, "system", "Be <|im_end|> kind"), (1, 1, "ann", "hé"), (1, 2, "Bob B", None), (1, 3, "ann", ""), (1, 3, "ann", ""), (1, None, None, "first"), (2, 0, "system", "only"), (None, 1, "x", "a"), (None, 0, " ", "b")]
     rows += [(9, k, f"p{k % 3}", f"turn {k}") for k in range(150)]
+    rows += [(5, k, role, f"said {k}") for k, role in enumerate(["Анна", "Олег", "a b", "a_b", None, "unknown", "", "Анна", " system "])]
     turns = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, perspective string")
     frame = perspectives.rotate(turns)
     names = frame.columns
@@ -209,4 +210,9 @@ def test_dialogues_match_their_sql(spark):
         for span in filter(None, r["spans"].split(",")):
             start, size = map(int, span.split(":"))
             assert r["text"][start : start + size].endswith(perspectives.END) and r["text"][:start].endswith("assistant\n")
+    # Names that print alike are still speakers of their own.
+    five = {r["perspective"]: r for r in frame.where("conv_id = 5").collect()}
+    assert set(five) == {"____", "____#2", "a_b", "a_b#2", "unknown", "unknown#2", "unknown#3"}
+    assert {p: r["n_trained"] for p, r in five.items() if r["n_trained"] != 1} == {"____": 2}
+    assert all(r["text"].count("assistant\n") == r["n_trained"] and r["text"].count("|>system\n") == 1 for r in five.values())
     assert perspectives.rotate(turns.limit(0)).collect() == []
