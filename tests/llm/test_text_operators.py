@@ -40,7 +40,9 @@ def test_base_counts(text):
 
 
 def test_bands_on_odd_rows(spark):
-    good = " ".join(f"word{k * k % 977} and" for k in range(200))
+    rng = np.random.default_rng(7)
+    parts = "en the re on ea st in ing er th an ha ed ti nd of to".split()
+    good = " ".join("".join(rng.choice(parts, rng.integers(1, 5))) for _ in range(300))
     noise = "".join(chr(33 + b % 90) for b in np.random.default_rng(1).integers(0, 10_000, 9000)).replace("a", " ")
     rows = [(1, None), (2, ""), (3, good), (3, good), (4, "same words here again now " * 50), (5, good + " \0 " + "x" * 9000), (6, " ".join(f"{n:064x}" for n in range(3, 99)))]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, kept string")
@@ -68,11 +70,49 @@ def test_incompressible_text_is_rejected(n):
         assert len(raw) == n and not bands.verdict(raw, press)[4], name
 
 
-def test_prose_is_above_the_lowest_ratios(sf):
+def repeating(n):
+    """Texts that repeat themselves without an equal 5-word window: numbered lines, an edited sentence."""
+    lines = " \n".join(f"Entry {k} value {k * 7 % 1000} of item {k * 13 % 997} costs {k * 31 % 500} units" for k in range(1, n // 40 + 2))
+    words = "In the early morning all the boats of our harbour lay still".split()
+    edits = " ".join(str(k * (at + 3)) if at % 4 == 3 else w for k in range(1, n // 40 + 2) for at, w in enumerate(words))
+    return {"lines": lines[:n], "edits": edits[:n]}
+
+
+@pytest.mark.parametrize("n", [200, 256, 320, 384, 800, 1024, 2500, 4096, 10_000, 16384, 40_000])
+def test_text_that_repeats_itself_is_rejected(n):
+    press = bands.zstandard.ZstdCompressor(level=bands.LEVEL)
+    for name, text in repeating(n).items():
+        found = bands.base(text)
+        assert found[0] >= 10 and found[4] == 0, name  # the base rules keep it
+        ratio, k, _, _, kept = bands.verdict(text.encode(), press)
+        assert not kept and ratio > bands.BANDS[k][2], (name, ratio)
+
+
+def test_prose_is_inside_the_limits(sf):
     press = bands.zstandard.ZstdCompressor(level=bands.LEVEL)
     texts = duckdb.sql(f"select text from '{sf}/documents.parquet' where text is not null").fetchall()
-    whole = [bands.verdict(t.encode(), press)[:2] for (t,) in texts if len(t.encode()) > 256]
-    assert len(whole) > 50 and all(ratio >= bands.BANDS[k][1] for ratio, k in whole)
+    plain = [(t, bands.base(t)) for (t,) in texts]
+    found = [bands.verdict(t.encode(), press) for t, b in plain if len(t.encode()) > 256 and b[0] >= 10 and 100 * b[4] <= 20 * b[0]]
+    assert len(found) > 50 and all(kept for *_, kept in found)
+
+
+def test_the_method_rejects_rows_that_the_base_rules_keep(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    more = [(10**9 + k, text) for k, text in enumerate([*repeating(3000).values(), base64.b64encode(bytes(range(256)) * 9).decode()[:3000], *repeating(300).values()])]
+    rng = np.random.default_rng(1)
+    more.append((2 * 10**9, " ".join(rng.bytes(6).hex() for _ in range(400))))
+    found = bands.measure(docs.unionByName(spark.createDataFrame(more, docs.schema))).where("not base_failed").collect()
+    kept = {r["doc_id"]: r["kept"] for r in found}
+    assert len(found) > 100 and not any(k for d, k in kept.items() if d >= 10**9) and sum(d >= 10**9 for d in kept) >= 5
+    # Brute force: the ratios again, from one-shot compression.
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | dict(more)
+    for r in found:
+        raw = texts[r["doc_id"]].encode()
+        ratio = len(raw) / len(bands.zstandard.compress(raw, bands.LEVEL))
+        low, high = next((lo, hi) for most, lo, hi in bands.BANDS if most is None or len(raw) <= most)
+        parts = [2048 / len(bands.zstandard.compress(raw[a : a + 2048], bands.LEVEL)) for a in range(0, len(raw) - 2047, 2048)]
+        outside = sum(not 1.6 <= x <= 4.0 for x in parts)
+        assert r["kept"] == (low <= ratio <= high and outside <= 0.5 * len(parts)), r
 
 
 def test_held_out_languages(spark, sf):
