@@ -1,15 +1,19 @@
 """Best-fit packing by bin completion with branch and bound.
 
 Only how many pieces there are of each length matters for how many sequences are needed, so the
-search runs over counts of at most CAPACITY lengths, whatever the corpus's size. The largest piece
-left opens a sequence and is completed by an undominated filling: one that no other filling can
-replace piece by piece with larger ones. One choice is used as often as the counts allow. A branch
-ends when its waste so far leaves no room for fewer sequences than the best packing known, which at
-first is the best-fit descent; the search stops at the lower bound, or after NODES choices. The plan
-says for each length which ranks go where, and pieces are numbered within their length in Spark.
+search runs over counts of at most CAPACITY lengths, whatever the corpus's size. A best-fit packing
+comes first and is the one to beat. Then the largest piece left opens a sequence, and its undominated
+fillings, of any number of pieces, are tried in order of waste; a filling is dominated if other
+pieces at hand can take the place of some of its own without loss. A choice is used as often as the
+counts allow, and on the way back less often. A branch ends when its waste so far leaves no room for
+fewer sequences than the best packing known. The search stops at the lower bound, or where its
+stated amount of work is done: bin packing has no quick exact way. The plan says for each length
+which ranks go where, and pieces are numbered within their length in Spark.
 """
 
 import zlib
+from bisect import bisect_right
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +25,8 @@ from .common import columns, enter, settle
 from .tokens import END, encoder
 
 CAPACITY = 2048
-NODES = 20_000  # choices of the search; the packing is whole and valid wherever it stops
-BRANCHES = 4  # fillings tried at a node
+NODES = 5_000  # choices of the search; the packing is whole and valid wherever it stops
+STEPS = 1_000_000  # pieces looked at while fillings are enumerated, over the whole search
 
 
 def lower_bound(counts, capacity):
@@ -39,67 +43,126 @@ def lower_bound(counts, capacity):
     return best
 
 
-def fillings(counts, room, most=BRANCHES):
-    """Undominated fillings of `room` from the counted lengths, least waste first, as descending tuples.
+def best_fit(counts, capacity):
+    """Best-fit decreasing over counts: patterns (lengths of one sequence, times used)."""
+    rooms, done = {}, []  # room left -> {lengths: sequences}
+    for n in np.flatnonzero(counts)[::-1].tolist():
+        left = int(counts[n])
+        while left:
+            room = min((r for r in rooms if r >= n), default=None)
+            if room is None:
+                # Fresh sequences, each filled with pieces of this length before the next is opened.
+                most = capacity // n
+                for copies, times in ((most, left // most), (left % most, 1)):
+                    if copies and times:
+                        into = rooms.setdefault(capacity - copies * n, {})
+                        into[(n,) * copies] = into.get((n,) * copies, 0) + times
+                break
+            lengths, times = next(iter(rooms[room].items()))
+            used = min(left, times)
+            if used == times:
+                del rooms[room][lengths]
+                if not rooms[room]:
+                    del rooms[room]
+            else:
+                rooms[room][lengths] = times - used
+            into = rooms.setdefault(room - n, {})
+            into[(*lengths, n)] = into.get((*lengths, n), 0) + used
+            left -= used
+    for kinds in rooms.values():
+        done += kinds.items()
+    return done
+
+
+class _Work:
+    """What is left of the stated amount of work."""
+
+    def __init__(self, steps):
+        self.steps = steps
+
+
+def reachable(counts, capacity):
+    """Per length the sums that pieces of at most this length can make in any number, as bits."""
+    sums, reached, limit = {}, 1, (1 << (capacity + 1)) - 1
+    for n in np.flatnonzero(counts).tolist():
+        step = n
+        while step <= capacity:
+            reached |= (reached << step) & limit
+            step *= 2
+        sums[n] = reached
+    return sums
+
+
+def _spread(bits, more):
+    """Bits moved up by 0, 1, ... more places."""
+    covered = 0
+    while 2 * covered + 1 <= more:
+        bits |= bits << (covered + 1)
+        covered = 2 * covered + 1
+    return bits | bits << (more - covered)
+
 
-    A piece of exactly the room dominates all else. Otherwise: the largest single piece, the fullest
-    pairs, and the fullest filling of any number of pieces, larger pieces preferred at equal waste.
+def fillings(counts, room, work=None):
+    """Undominated fillings of `room` from the counted lengths, least waste first, one after the other.
+
+    A filling is dominated if a piece at hand fits where some of its pieces (or only room) are: with
+    waste w, a piece at hand of s to s + w tokens in place of pieces of s in all. A piece of exactly
+    the room dominates all others.
     """
-    if room <= 0:
-        return [()]
-    if counts[room]:
-        return [(room,)]
-    there = np.flatnonzero(counts[: room + 1])
-    if not len(there):
-        return [()]
-    found = {(int(there[-1]),)}
-    # Pairs: each x with the largest y <= x that fits.
-    left = np.minimum(room - there, there)
-    spot = np.searchsorted(there, left, side="right") - 1
-    x, y = there[spot >= 0], there[spot[spot >= 0]]
-    twice = (x == y) & (counts[x] < 2)
-    lower = np.searchsorted(there, y) - 1
-    y = np.where(twice, np.where(lower >= 0, there[lower], 0), y)
-    x, y = x[y > 0], y[y > 0]
-    if len(x):
-        order = np.lexsort((-x, -(x + y)))[:most]
-        found |= {(int(a), int(b)) for a, b in zip(x[order], y[order], strict=True)}
-    if max(map(sum, found)) < room:
-        found.add(_fullest(counts, there, room))
-    ranked = sorted(found, key=lambda f: (-sum(f), tuple(-n for n in f)))
-    kept = []
-    for f in ranked:
-        if not any(_dominates(g, f) for g in kept):
-            kept.append(f)
-    return kept[:most]
-
-
-def _dominates(a, b):
-    """Whether b's pieces fit piece by piece into a's, so that using a is never worse."""
-    return len(b) <= len(a) and all(x >= y for x, y in zip(a, b, strict=False))
-
-
-def _fullest(counts, there, room):
-    """The fullest filling: reachable sums as bits, then walked back from the largest pieces."""
-    steps, reached, limit = [], 1, (1 << (room + 1)) - 1
-    for n in there.tolist():  # ascending, so that the walk back meets large pieces first
-        copies, k = min(int(counts[n]), room // n), 1
-        while copies > 0:
-            take = min(k, copies)
-            steps.append((n, take, reached))
-            reached |= (reached << (n * take)) & limit
-            copies, k = copies - take, 2 * k
-        if reached >> room & 1:
-            break
-    total, out = reached.bit_length() - 1, []
-    for n, take, before in reversed(steps):
-        if not before >> total & 1:
-            out += [n] * take
-            total -= n * take
-    return tuple(sorted(out, reverse=True))
-
-
-def plan(counts, capacity=CAPACITY, nodes=NODES):
+    work = work or _Work(STEPS)
+    there = np.flatnonzero(counts[: room + 1]).tolist() if room > 0 else []
+    if not there:
+        yield ()
+        return
+    if there[-1] == room:
+        yield (room,)
+        return
+    sums = reachable(counts[: room + 1], room)  # of what is left now: used-up lengths would mislead
+    left = {n: int(counts[n]) for n in there}
+    at_hand = sum(1 << n for n in there)
+    chosen = []
+
+    def grow(rest, top, several, single, at_hand):
+        """Fillings of exactly `rest` more with pieces of there[: top + 1]; several and single are the
+        sums of two or more chosen pieces, and of one, as bits; at_hand the lengths left."""
+        if not rest:
+            yield several, single, at_hand
+            return
+        # A piece takes all of the rest, or leaves room for the smallest piece at least.
+        last = bisect_right(there, rest) - 1
+        whole = [last] if last <= top and there[last] == rest else []
+        for k in chain(whole, range(min(top, bisect_right(there, rest - there[0]) - 1), -1, -1)):
+            n = there[k]
+            if not sums[n] >> rest & 1:
+                return  # smaller pieces make even fewer sums
+            if not left[n]:
+                continue
+            work.steps -= 1
+            if work.steps < 0:
+                return
+            left[n] -= 1
+            hand = at_hand if left[n] else at_hand ^ 1 << n
+            more = several | (several | single) << n
+            # A piece at hand in place of several chosen ones: whatever follows is dominated.
+            if not more & hand:
+                chosen.append(n)
+                yield from grow(rest - n, k, more, single | 1 << n, hand)
+                chosen.pop()
+            left[n] += 1
+
+    for waste in range(room + 1):
+        if work.steps < 0:
+            return
+        if not sums[there[-1]] >> (room - waste) & 1:
+            continue
+        for several, single, hand in grow(room - waste, len(there) - 1, 0, 0, at_hand):
+            # Equal waste is no gain for a piece in place of one of its own length.
+            larger = _spread(several, waste) | (_spread(single << 1 | 2, waste - 1) if waste else 0)
+            if not larger & hand:
+                yield tuple(chosen)
+
+
+def plan(counts, capacity=CAPACITY, nodes=NODES, steps=STEPS):
     """(patterns, lower bound): patterns are (lengths of one sequence, times used), covering all counts.
 
     counts[n] is the number of pieces of n tokens, n = 0..capacity (0 pieces need no room).
@@ -109,38 +172,52 @@ def plan(counts, capacity=CAPACITY, nodes=NODES):
     counts[capacity] = counts[0] = 0
     total = int((counts * np.arange(capacity + 1)).sum())
     bound = lower_bound(counts, capacity)
-    best, fewest, used = None, None, 0
-    # Depth first; a frame holds the fillings still to try at its depth, and what its own choice took.
+    best = best_fit(counts, capacity)
+    fewest, used, work = sum(times for _, times in best), 0, _Work(steps)
+    # Depth first; a frame holds the choices still to try at its depth, and what its own choice took.
     stack, path, wasted, sequences = [], [], 0, 0
     state = counts
 
-    def open_frame():
-        top = int(np.flatnonzero(state)[-1])
+    def choices(top):
+        """(filling, times): every filling as often as it can be used; after these, less often."""
+        tried = []
         state[top] -= 1
-        options = fillings(state, capacity - top)
+        offered = fillings(state.copy(), capacity - top, work)
         state[top] += 1
-        stack.append((top, iter(options)))
+        for filling in offered:
+            # Fillings come in order of waste: if one use of this one is too much, so are all others.
+            if wasted + capacity - top - sum(filling) > (fewest - 1) * capacity - total:
+                break
+            kinds, uses = np.unique([top, *filling], return_counts=True)
+            times = int((state[kinds] // uses).min())
+            tried.append((filling, times))
+            yield filling, times
+        for filling, times in tried:
+            while times > 1:
+                times //= 2
+                yield filling, times
+
+    def open_frame():
+        top = int(np.flatnonzero(state)[-1])
+        stack.append((top, choices(top)))
 
-    if total:
+    if total and fewest > bound:
         open_frame()
-    else:
-        best, fewest = [], 0
     while stack:
         top, options = stack[-1]
         if len(path) == len(stack):  # back from below: undo this frame's choice
             filling, times, waste = path.pop()
             np.add.at(state, [top, *filling], times)
             wasted, sequences = wasted - waste, sequences - times
-        filling = next(options, None)
-        if filling is None or (best is not None and (fewest == bound or used >= nodes)):
+        done = fewest == bound or used >= nodes or work.steps < 0
+        filling, times = (None, 0) if done else next(options, (None, 0))
+        if filling is None:
             stack.pop()
             continue
         used += 1
-        kinds, uses = np.unique([top, *filling], return_counts=True)
-        times = int((state[kinds] // uses).min())
         waste = (capacity - top - sum(filling)) * times
         # With fewer sequences than the best known, so much may be wasted in all.
-        if fewest is not None and wasted + waste > (fewest - 1) * capacity - total:
+        if wasted + waste > (fewest - 1) * capacity - total:
             path.append((filling, 0, 0))
             continue
         np.subtract.at(state, [top, *filling], times)
@@ -148,7 +225,7 @@ def plan(counts, capacity=CAPACITY, nodes=NODES):
         wasted, sequences = wasted + waste, sequences + times
         if state.any():
             open_frame()
-        elif fewest is None or sequences < fewest:
+        elif sequences < fewest:
             fewest = sequences
             best = [((frame[0], *choice[0]), choice[1]) for frame, choice in zip(stack, path, strict=True)]
     return fixed + best, bound + (fixed[0][1] if fixed else 0)

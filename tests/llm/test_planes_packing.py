@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -118,3 +119,60 @@ def test_packing_places_every_token_once(spark, plain):
     assert len(pieces[pieces.doc_id.isna()]) == 1
     whole = packing.sequences(found).toPandas()
     assert sum(map(len, whole.ids)) == pieces.length.sum()
+
+
+def brute_fillings(counts, room):
+    """Maximal multisets that no exchange of some pieces for one piece at hand improves."""
+    kinds = [n for n in range(1, len(counts)) if counts[n]]
+    found = []
+
+    def grow(k, chosen, left):
+        if k < 0:
+            found.append(tuple(sorted(chosen, reverse=True)))
+            return
+        for times in range(min(counts[kinds[k]], left // kinds[k]) + 1):
+            grow(k - 1, chosen + [kinds[k]] * times, left - times * kinds[k])
+
+    grow(len(kinds) - 1, [], room)
+
+    def dominated(f):
+        waste = room - sum(f)
+        for size in range(len(f) + 1):
+            for part in combinations(range(len(f)), size):
+                s = sum(f[k] for k in part)
+                for y in range(max(s, 1), s + waste + 1):
+                    at_hand = y < len(counts) and counts[y] - f.count(y) > 0
+                    if at_hand and not (size == 1 and y == s):
+                        return True
+        return False
+
+    return {f for f in found if not dominated(f)}
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.lists(st.integers(1, 14), max_size=9), st.integers(1, 14))
+def test_fillings_are_the_undominated_ones_in_order_of_waste(items, room):
+    counts = np.bincount(items or [0], minlength=15)
+    counts[0] = 0
+    found = list(packing.fillings(counts, room))
+    assert len(found) == len(set(found)) and [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+    assert set(found) == brute_fillings(counts.tolist(), room)
+
+
+def test_packing_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(1)
+    mixes = {
+        "large": rng.integers(512, 1024, 600), "humps": np.where(rng.random(600) < 0.5, rng.integers(300, 421, 600), rng.integers(500, 641, 600)),
+        "five": rng.choice([377, 451, 523, 614, 701], 600), "middle": rng.integers(410, 741, 600), "any": rng.integers(1, 2049, 2000),
+    }
+    gained = 0
+    for name, lengths in mixes.items():
+        counts = np.bincount(lengths, minlength=2049)
+        patterns, bound = packing.plan(counts, nodes=1500, steps=200_000)
+        packed = np.bincount([n for p, times in patterns for n in p for _ in range(times)], minlength=2049)
+        assert (packed == counts).all() and all(sum(p) <= 2048 for p, _ in patterns), name
+        best_fit = sum(t for _, t in packing.best_fit(np.append(counts[:2048], 0), 2048)) + counts[2048]
+        used = sum(t for _, t in patterns)
+        assert bound <= used <= best_fit, name
+        gained += best_fit - used
+    assert gained > 5
