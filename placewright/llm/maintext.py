@@ -1,11 +1,12 @@
-"""Main text of web pages: structure where a page has it, a suffix array per host where it hasn't.
+"""Main text of web pages: a suffix array per host finds what its pages share; structure checks it.
 
-A page with an article (or main) element says itself what its text is: that element without the
-menus, headers, notices and so on inside it. On other pages every block outside such parts is open,
-and the host's other pages decide: all their token streams on end form the host's text, whose
-suffix array shows the long runs of tokens that stand on distinct pages. Covered tokens are
-boilerplate and go; unique runs stay. Streams are what a host frames its articles with and the open
-blocks, so an article's own paragraphs are never taken for boilerplate.
+All token streams of a host's pages on end form the host's text, whose suffix array shows the long
+runs of tokens that stand on distinct pages. What they cover is boilerplate and goes; unique runs
+stay. Structure says what is judged: on a page with an article (or main) element, the blocks in it,
+less the menus, headers, notices and so on inside it, and a block goes only whole, if different
+articles of the host have it, never the first one (the title), and only if most of the article
+stays, so that an article printed twice keeps its paragraphs. On other pages, and where the blocks outside outweigh the article
+elements (teasers), every block outside such parts is judged token by token.
 
 Large hosts are cut into slices of bounded size. Each slice sorts its own suffixes and tells each
 different leading run of RUN tokens once, with the lowest and highest page that has it; slices meet
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import columns, settle
 
 RUN = 8  # tokens of the shortest run that counts
+SHORT = 4  # words of the shortest block in an article that goes as a whole
 SLICE_TOKENS = 2_000_000
 
 # Element names of the HTML standard, and words that sites use for parts of a page.
@@ -46,6 +48,12 @@ PARTS = frozenset(
 HEADS = frozenset("header siteheader pageheader topbar site-header page-header main-header".split())
 TITLES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 
+# Words that only say where a part is or what holds it: `site-nav` and `share-buttons` are parts, `market-share` isn't.
+PLAIN = frozenset(
+    "site main page top bottom left right primary secondary global mobile desktop sticky fixed list bar box block wrap wrapper "
+    "container area inner outer slot unit zone module link links button buttons item items icon icons section group row holder panel form".split()
+)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>",
     re.S,
@@ -68,14 +76,17 @@ def _role(name, attributes, inside):
     if attributes:
         for key, *value in _ATTRIBUTE.findall(attributes):
             values.setdefault(key.lower(), entities.unescape("".join(value)).lower())
-    if name == "header" and inside and not values:
+    words = f"{values.get('class', '')} {values.get('id', '')}".split()
+    if name == "header" and inside and HEADS.isdisjoint(words):
         return "byline"
     if name in FRAMES or values.get("role") in ROLES:
         return "frame"
     if "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", ""):
         return "drop"
-    for word in f"{values.get('class', '')} {values.get('id', '')}".split():
-        if word in HEADS or (name not in ("html", "body", "article", "main") and not PARTS.isdisjoint(re.split(r"[-_]+", word))):
+    for word in words:
+        parts = re.split(r"[-_]+", word)
+        named = not PARTS.isdisjoint(parts) and all(p in PARTS or p in PLAIN for p in parts)
+        if word in HEADS or (name not in ("html", "body", "article", "main") and named):
             return "frame"
         if name in ("article",) and word.startswith("comment"):
             return "frame"
@@ -85,8 +96,22 @@ def _role(name, attributes, inside):
 
 
 def blocks(source):
-    """(text, kind) of each block with text, in page order; kind: inside a main element, open, or frame."""
+    """(text, kind) of each block with text, in page order; kind: inside a main element, open, or frame.
+
+    If all article and main elements stand in frames, what holds the first of them (a form round the
+    page, a menu that is never closed) is no frame.
+    """
+    found, holders = _blocks(source, frozenset())
+    if holders and not any(kind == _INSIDE for _, kind in found):
+        found, _ = _blocks(source, holders)
+    return found
+
+
+def _blocks(source, holders):
+    """The blocks, where the elements that begin at `holders` are no frames; and the beginnings of the
+    frames that hold the first article or main element."""
     out, words, stack, at = [], [], [], 0
+    held = None
     state = {"drop": 0, "frame": 0, "main": 0, "byline": 0, "title": 0}
 
     def flush():
@@ -138,54 +163,106 @@ def blocks(source):
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(source, at)
             at = end.start() if end else len(source)
-            stack.append((name, ("drop",)))
+            stack.append((name, ("drop",), found.start()))
             state["drop"] += 1
             continue
         role = _role(name, attributes, state["main"])
+        if role == "frame" and found.start() in holders:
+            role = ""
+        if role == "main" and held is None:
+            held = frozenset(start for _, roles, start in stack if "frame" in roles)
         roles = (*((role,) if role else ()), *(("title",) if name in TITLES else ()))
         if role == "main" and state["frame"]:
             roles = ()  # a teaser or a comment inside a frame
-        stack.append((name, roles))
+        stack.append((name, roles, found.start()))
         for r in roles:
             state[r] += 1
     say(source[at:])
     flush()
-    return out
+    return out, held or frozenset()
 
 
 def _hash(words):
     return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
-def _parse(pages):
-    """row, page_id, url, host, text (null: open), blocks of an open page, stream of token hashes, page mark."""
-    kind = f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, text string, open array<string>, stream binary, mark long"
+_PAD = np.uint64(0x9E3779B97F4A7C15)  # stands after a short block, which is a run of its own
+
+
+def judged(found):
+    """(blocks to judge, other blocks, whether they are an article's) of a page's blocks."""
+    inside, open_ = ([t for t, k in found if k == kind] for kind in (_INSIDE, _OPEN))
+    words = [sum(t.count(" ") + 1 for t in part) for part in (inside, open_)]
+    if inside and words[0] >= words[1]:
+        return inside, [t for t, k in found if k != _INSIDE], True
+    return [t for t, k in found if k != _FRAME], [t for t, k in found if k == _FRAME], False
+
+
+def stream_of(parts, others, article, run=RUN):
+    """Token hashes of a page: the judged blocks, then the others, then an article's short blocks again,
+    each filled up to a run. Also the mark by which pages are told apart: copies of a page, and pages of
+    one article (its longest block), count as one, so that they aren't each other's boilerplate."""
+    hashes = _hash([w for t in (*parts, *others) for w in t.split(" ")])
+    at, short = 0, []
+    for t in parts if article else ():
+        n = t.count(" ") + 1
+        if SHORT <= n < run:
+            short += [hashes[at : at + n], np.full(run - n, _PAD)]
+        at += n
+    identity = max(parts, key=len).encode("utf-8", "surrogatepass") if article else hashes.tobytes()
+    return np.concatenate([hashes, *short]), xxhash.xxh64_intdigest(identity) - (1 << 63)
+
+
+def left_of(parts, covered, others_words, article, run=RUN):
+    """The judged blocks less what covered runs (their first tokens) hold."""
+    if not covered:
+        return parts
+    gone = np.zeros(max(covered) + run, bool)
+    for at in covered:
+        gone[at : at + run] = True
+    sizes = [t.count(" ") + 1 for t in parts]
+    if not article:
+        kept, at = [], 0
+        for t, n in zip(parts, sizes, strict=True):
+            left = [w for k, w in enumerate(t.split(" ")) if at + k >= len(gone) or not gone[at + k]]
+            at += n
+            if left:
+                kept.append(" ".join(left))
+        return kept
+    at, begun, extra = 0, set(covered), sum(sizes) + others_words
+    whole = []
+    for n in sizes:
+        # A run within the block's own words, or a short block's own run.
+        whole.append(n >= SHORT and at + n <= len(gone) and bool(gone[at : at + n].all()))
+        if SHORT <= n < run:
+            whole[-1] |= extra in begun
+            extra += run
+        at += n
+    whole[0] = False  # the title, even if others have it
+    if 2 * sum(n for n, w in zip(sizes, whole, strict=True) if w) > sum(sizes):
+        return parts  # most of it stands elsewhere too: the article itself is printed again
+    return [t for t, w in zip(parts, whole, strict=True) if not w]
+
+
+def _parse(pages, run):
+    """row, page_id, url, host, blocks to judge, words of the others, whether an article's, stream of token hashes, page mark."""
+    kind = f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, parts array<string>, others long, article boolean, stream binary, mark long"
 
     def parse(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
             out = []
             for url, source in zip(batch[1].to_pylist(), batch[2], strict=True):
-                found = blocks(source.as_py() or "")
-                inside = [t for t, k in found if k == _INSIDE]
-                text, open_, stream = None, None, []
-                if inside or not any(k == _OPEN for _, k in found):
-                    text = "\n\n".join(inside)
-                    stream = [w for t, k in found if k != _INSIDE for w in t.split(" ")]
-                else:
-                    open_ = [t for t, k in found if k == _OPEN]
-                    stream = [w for t in open_ for w in t.split(" ")] + [w for t, k in found if k == _FRAME for w in t.split(" ")]
-                hashes = _hash(stream)
+                parts, others, article = judged(blocks(source.as_py() or ""))
+                stream, mark = stream_of(parts, others, article, run)
                 host = xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) - (1 << 63)
-                # Pages of the same stream count as one: copies of a page aren't each other's boilerplate.
-                mark = xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
-                out.append((host, text, open_, hashes.tobytes() if len(hashes) >= RUN else None, mark))
-            types = [pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.int64()]
-            found = list(zip(*out, strict=True)) if out else [()] * 5
+                out.append((host, parts, sum(t.count(" ") + 1 for t in others), article, stream.tobytes() if len(stream) >= run else None, mark))
+            types = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
+            found = list(zip(*out, strict=True)) if out else [()] * 6
             rows = pa.array(np.arange(task + number, task + number + batch.num_rows))
             number += batch.num_rows
             columns_ = [rows, batch[0], batch[1], *[pa.array(v, t) for v, t in zip(found, types, strict=True)]]
-            yield pa.record_batch(columns_, names=["row", "page_id", "url", "host", "text", "open", "stream", "mark"])
+            yield pa.record_batch(columns_, names=["row", "page_id", "url", "host", "parts", "others", "article", "stream", "mark"])
 
     return pages.mapInArrow(parse, kind)
 
@@ -266,42 +343,28 @@ def extract(pages, id="page_id", url="url", html="html", run=RUN):
     of one id are pages of their own. Blocks are joined by an empty line, white space inside a
     block is one space. Extra columns are ignored.
     """
-    parsed = settle(_parse(columns(pages, page_id=id, url=url, html=html)), "pages")
+    parsed = settle(_parse(columns(pages, page_id=id, url=url, html=html), run), "pages")
     streams = parsed.where("stream is not null")
     runs = _slice_runs(streams, run).groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = runs.where("low <> high").select("host", "key")
+    repeated = settle(runs.where("low <> high").select("host", "key"), "repeated")
 
-    def open_runs(batches):
+    def page_runs(batches):
         for batch in batches:
-            out = []
             for row, host, stream in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
                 tokens = np.frombuffer(stream.as_py(), np.uint64)
                 keys = _leading(tokens, np.arange(len(tokens) - run + 1), run)
-                out += [(row, host, k, at) for at, k in enumerate(keys.tolist())]
-            found = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.record_batch([pa.array(v, pa.int64()) for v in found], names=["row", "host", "key", "at"])
+                made = [np.full(len(keys), row), np.full(len(keys), host), keys, np.arange(len(keys))]
+                yield pa.record_batch([pa.array(v) for v in made], names=["row", "host", "key", "at"])
 
-    open_ = parsed.where("text is null")
-    places = open_.where("stream is not null").select("row", "host", "stream").mapInArrow(open_runs, "row long, host long, key long, at long")
     # A page's covered places: no more than its own tokens.
+    places = streams.select("row", "host", "stream").mapInArrow(page_runs, "row long, host long, key long, at long")
     covered = places.join(repeated, ["host", "key"], "left_semi").groupBy("row").agg(F.collect_list("at").alias("covered"))
 
     def keep(batches):
         for batch in batches:
-            texts = []
-            for parts, covered in zip(batch[2].to_pylist(), batch[3].to_pylist(), strict=True):
-                gone = {at + k for at in covered or [] for k in range(run)}
-                kept, at = [], 0
-                for part in parts:
-                    words = part.split(" ")
-                    left = [w for k, w in enumerate(words) if at + k not in gone]
-                    at += len(words)
-                    if left:
-                        kept.append(" ".join(left))
-                texts.append("\n\n".join(kept))
+            texts = ["\n\n".join(left_of(*found, run)) for found in zip(*[batch[k].to_pylist() for k in (2, 5, 3, 4)], strict=True)]
             yield pa.record_batch([batch[0], batch[1], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string"
-    judged = open_.join(covered, "row", "left").select("page_id", "url", "open", "covered").mapInArrow(keep, kind)
-    found = parsed.where("text is not null").select("page_id", "url", "text").unionByName(judged)
+    found = parsed.join(covered, "row", "left").select("page_id", "url", "parts", "others", "article", "covered").mapInArrow(keep, kind)
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -206,6 +206,74 @@ def test_suffix_groups(pages, run):
     assert len(runs) == sum(max(0, len(p) - run + 1) for p in pages)
 
 
+def inside(page):
+    return [t for t, k in maintext.blocks(page) if k == 2]
+
+
+def test_articles_in_common_wrappers():
+    story = "<article><header class='entry-header'><h1>Title</h1><p>By me</p></header><p>One</p><p class='market-share'>Two</p></article>"
+    for before, after in (
+        ('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"), ("<nav><a>Menu</a>", ""), ('<div class="modal-ready">', "</div>"),
+        ('<div class="cookie-banner"><p>Cookies</p></div><div id="share-buttons">Share</div>', '<section id="comments"><article><p>Nice</p></article></section>'),
+        ('<form><div class="sidebar">', '</div><div class="comments"><article>Late</article></div></form>'),
+    ):
+        assert inside(f"<body>{before}{story}{after}<footer>f</footer></body>") == ["Title", "One", "Two"], before
+    parts, others, article = maintext.judged(maintext.blocks('<article>Teaser</article><div class="post"><p>The whole story is told here</p></div>'))
+    assert (parts, others, article) == (["Teaser", "The whole story is told here"], [], False)
+
+
+def brute_extract(rows, run=maintext.RUN):
+    """Runs of tokens that pages of different marks of a host share, found by comparing all pages."""
+    pages = []
+    for d, url, html in rows:
+        parts, others, article = maintext.judged(maintext.blocks(html or ""))
+        mark = max(parts, key=len) if article else tuple(w for t in parts + others for w in t.split(" "))
+        streams = [[w for t in parts + others for w in t.split(" ")]]
+        short = [t.split(" ") + [None] * (run - t.count(" ") - 1) for t in parts if article and 4 <= t.count(" ") + 1 < run]
+        runs = {tuple(s[k : k + run]) for s in streams + short for k in range(len(s) - run + 1)}
+        pages.append((d, maintext.host_of(url), parts, article, mark, runs))
+    found = {}
+    for d, host, parts, article, mark, _ in pages:
+        shared = set().union(*(r for _, h, _, _, m, r in pages if h == host and m != mark))
+        words = [(k, w) for k, t in enumerate(parts) for w in t.split(" ")]
+        tail = [w for t in next(maintext.judged(maintext.blocks(h or ""))[1] for e, _, h in rows if e == d) for w in t.split(" ")]
+        stream = [w for _, w in words] + tail
+        gone = {j for k in range(len(stream) - run + 1) if tuple(stream[k : k + run]) in shared for j in range(k, k + run)}
+        left = {k: [w for j, (b, w) in enumerate(words) if b == k and j not in gone] for k in range(len(parts))}
+        if not article:
+            found[d] = "\n\n".join(" ".join(left[k]) for k in left if left[k])
+            continue
+        whole = [k > 0 and len(t.split(" ")) >= 4 and (not left[k] or tuple(t.split(" ") + [None] * (run - t.count(" ") - 1)) in shared) for k, t in enumerate(parts)]
+        sizes = [t.count(" ") + 1 for t in parts]
+        drop = 2 * sum(n for n, w in zip(sizes, whole, strict=True) if w) <= sum(sizes)
+        found[d] = "\n\n".join(t for t, w in zip(parts, whole, strict=True) if not (w and drop))
+    return found
+
+
+def test_main_text_against_brute_force(spark, sf):
+    rng = np.random.default_rng(3)
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    shared, notice, share = words(20), words(12), "Share this on X now"
+    rows = []
+    for k in range(40):
+        story = [f"<h1>{words(5)}</h1>", f"<p>{words(60)}</p>", f"<p>{words(30)}</p>"]
+        extra = rng.permutation([f"<p>{shared}</p>", f"<p>{share}</p>", "<p>Further reading</p>", f"<p>{words(9)}</p>"])[: rng.integers(0, 5)]
+        kind = k % 4
+        body = "".join([*story[:2], *extra, story[2]])
+        body = f"<article>{body}</article>" if kind < 2 else f"<div>{body}</div>" if kind == 2 else f"<article>{words(4)}</article><div class='post'>{body}</div>"
+        rows.append((k, f"http://h{k % 3 if kind > 1 else 0}.example/{k}", f"<body><nav>{notice}</nav>{body}<div>{notice}</div><script>x</script></body>"))
+    rows += [(100, rows[0][1], rows[0][2]), (101, "http://h0.example/again", rows[0][2].replace("</article>", f"<p>{words(25)}</p></article>")), (102, "http://h0.example/", None)]
+    rows += [(1000 + r["page_id"], r["url"], r["html"]) for r in table(spark, sf, "pages").limit(40).collect()]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, mark string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in maintext.extract(pages).collect()}
+    wanted = brute_extract(rows)
+    assert found == wanted
+    articles = [k for k in range(40) if k % 4 < 2]
+    assert all(share not in found[k] and shared not in found[k] for k in articles) and any("Further reading" in found[k] for k in articles)
+    # An article printed again with one more paragraph keeps all of its text.
+    assert rows[0][2].count("<p>") > 1 and found[101].startswith(found[0].split("\n\n")[0]) and found[0].split("\n\n")[1] in found[101]
+
+
 def test_main_text_by_repetition(spark):
     foot = "All rights reserved by the example company of nowhere today"
     page = lambda k: f"<body><div>word{k} starts the text of page number {k}</div><div>{foot}</div>"
