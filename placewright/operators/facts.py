@@ -1,8 +1,11 @@
 """Observed facts and their envelopes: views, subjects, owners, counts."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from . import cards
 
 
@@ -57,28 +60,41 @@ def subject_view(domains: dict, components: DataFrame) -> DataFrame:
     return result
 
 
-def owners(bundle: dict, tables) -> DataFrame:
-    """Each entity's facility, through its course, component or round."""
-    courses = bundle["course"].select("course_id", F.col("facility_id").alias("course_facility"))
-    rounds = (
-        bundle["round_option"]
-        .join(courses, "course_id", "left")
-        .select("round_id", F.coalesce("facility_id", "course_facility").alias("round_facility"))
-    )
-    parts = bundle["component"].join(courses, "course_id", "left").select("component_id", "course_facility")
-    resolved = {
-        "component": lambda: parts.select(F.col("component_id").alias("id"), F.col("course_facility").alias("facility_id")),
-        "round_option": lambda: rounds.select(F.col("round_id").alias("id"), F.col("round_facility").alias("facility_id")),
-        "tee_set": lambda: bundle["tee_set"]
-        .join(courses, "course_id", "left")
-        .join(rounds, "round_id", "left")
-        .select(F.col("tee_id").alias("id"), F.coalesce("course_facility", "round_facility").alias("facility_id")),
-    }
-    result = None
-    for table in tables:
-        rows = resolved[table]().select(F.lit(table).alias("entity"), "id", "facility_id")
-        result = rows if result is None else result.unionByName(rows)
-    return result
+# A row's subject, by the first of these columns that it states, and the table that has it.
+SUBJECT_ORDER = {"course_id": "course", "component_id": "component", "round_id": "round_option", "event_id": "architecture_event"}
+
+
+def owners(bundle: dict, tables=None) -> DataFrame:
+    """(entity, id, facility_id): each entity's facility, for every kind of entity in the bundle.
+
+    One rule for all kinds: a facility is its own; a row that states a facility has that one; else it
+    has the owner of its first stated subject, which may again be known by its subject only, or be
+    NULL. Kinds are resolved along these references, each once, by joins on the subject's id; a
+    subject that does not exist resolves to NULL (the reference rules report it).
+    """
+    resolved = {}
+
+    def of(kind):
+        if kind in resolved:
+            return resolved[kind]
+        rows, key = bundle[kind], schemas.KEYS[kind]
+        if kind == "facility":
+            resolved[kind] = rows.select(F.col(key).alias("id"), F.col(key).alias("facility_id"))
+            return resolved[kind]
+        none = F.lit(None).cast("string")
+        stated = F.col("facility_id") if "facility_id" in rows.columns else none
+        subjects = {c: parent for c, parent in SUBJECT_ORDER.items() if c in rows.columns and c != key and parent in bundle}
+        found = rows.select(F.col(key).alias("id"), stated.alias("_own"), *subjects)
+        owner = F.when(F.coalesce("_own", F.lit("")) != "", F.col("_own"))
+        for column, parent in subjects.items():
+            theirs = of(parent).select(F.col("id").alias(column), F.col("facility_id").alias("_of_" + column))
+            found = found.join(theirs, column, "left")
+            owner = owner.when(F.coalesce(column, F.lit("")) != "", F.col("_of_" + column))
+        resolved[kind] = found.select("id", owner.alias("facility_id"))
+        return resolved[kind]
+
+    named = tables or [t for t in bundle if t in schemas.KEYS and {"facility_id", *SUBJECT_ORDER} & set(bundle[t].columns)]
+    return reduce(DataFrame.unionByName, [of(t).select(F.lit(t).alias("entity"), "id", "facility_id") for t in named])
 
 
 def course_counts(facilities: DataFrame, courses: DataFrame) -> DataFrame:

@@ -323,17 +323,37 @@ def j11_table(spark, sf):
     return browse.near_table(places, origins, 450).select("course_id")
 
 
+# Events of a facility, a course or a component, and a credit for each.
+_EVENT = [
+    "'e-' || substr(course_id, 3) as event_id", "case when k%3=0 then facility_id end as facility_id", "case when k%3=1 then course_id end as course_id",
+    "case when k%3=2 then 'p-' || substr(course_id, 3) || '-1' end as component_id",
+]
+_EVENTS = f"select {', '.join(_EVENT)} from (select *, cast(substr(course_id, 3) as bigint) as k from c)"
+
+
 @query(
     "j17_owner_resolution",
-    cte("c", "p", "r", "t", extra={
-        "pc": "select p.component_id as id, 'component' as entity, c.facility_id from p left join c on c.course_id=p.course_id",
-        "rr": "select r.round_id, coalesce(r.facility_id, c.facility_id) as facility_id from r left join c on c.course_id=r.course_id",
+    cte("f", "c", "p", "r", "m", "t", "al", "obs", "price", extra={
+        "oc": "select course_id as id, facility_id from c", "op": "select p.component_id as id, oc.facility_id from p left join oc on oc.id=p.course_id",
+        "orr": "select r.round_id as id, coalesce(r.facility_id, oc.facility_id) as facility_id from r left join oc on oc.id=r.course_id",
+        "ev": _EVENTS,
+        "oe": "select ev.event_id as id, case when ev.facility_id is not null then ev.facility_id when ev.course_id is not null then oc.facility_id else op.facility_id end as facility_id from ev left join oc on oc.id=ev.course_id left join op on op.id=ev.component_id",
     })
-    + """select entity, id, facility_id from pc union all select 'round_option', round_id, facility_id from rr
- union all select 'tee_set', t.tee_id, coalesce(c.facility_id, rr.facility_id) from t left join c on c.course_id=t.course_id left join rr on rr.round_id=t.round_id""",
+    + """select 'facility' as entity, facility_id as id, facility_id from f union all select 'course', id, facility_id from oc union all select 'component', id, facility_id from op union all select 'round_option', id, facility_id from orr
+ union all select 'tee_set', t.tee_id, case when t.course_id is not null then oc.facility_id else orr.facility_id end from t left join oc on oc.id=t.course_id left join orr on orr.id=t.round_id
+ union all select 'round_component', m.member_id, case when m.course_id is not null then oc.facility_id when m.component_id is not null then op.facility_id else orr.facility_id end
+ from m left join oc on oc.id=m.course_id left join op on op.id=m.component_id left join orr on orr.id=m.round_id
+ union all select 'alias', al.alias_id, case when al.facility_id is not null then al.facility_id else oc.facility_id end from al left join oc on oc.id=al.course_id
+ union all select 'source_observation', observation_id, facility_id from obs
+ union all select 'price_observation', pr.price_id, case when pr.facility_id is not null then pr.facility_id when pr.course_id is not null then oc.facility_id else orr.facility_id end
+ from price pr left join oc on oc.id=pr.course_id left join orr on orr.id=pr.round_id
+ union all select 'architecture_event', id, facility_id from oe union all select 'architecture_credit', 'k-' || r.round_id, oe.facility_id from r left join oe on oe.id='e-' || substr(r.round_id, 3)""",
 )
 def j17(spark, sf):
-    return facts.owners(bundle(spark, sf), ["component", "round_option", "tee_set"])
+    b = bundle(spark, sf)
+    events = b["course"].withColumn("k", F.expr("cast(substr(course_id, 3) as bigint)")).selectExpr(*_EVENT)
+    credits = b["round_option"].selectExpr("'k-' || round_id as credit_id", "'e-' || substr(round_id, 3) as event_id")
+    return facts.owners(b | {"architecture_event": events, "architecture_credit": credits})
 
 
 @query(
