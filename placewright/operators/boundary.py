@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
 from ..functions.text import ascii_lower
@@ -172,3 +173,73 @@ def violations(records: DataFrame, key: str, value: str, root: str) -> DataFrame
     )
     judged = flat.select("id", "path", rule.alias("rule"))
     return judged.where(F.col("rule").isNotNull())
+
+
+# --- typed rows --------------------------------------------------------------------------------
+
+
+def _texts(value: Column, kind: T.DataType, path: Column):
+    """Every text inside a typed value, however nested, as (path, text); None where its type has none."""
+
+    def text(at, said, is_key=False):
+        return F.struct(at.alias("path"), said.cast("string").alias("text"), F.lit(is_key).alias("is_key"))
+
+    if isinstance(kind, T.StringType):
+        return F.array(text(path, value))
+    if isinstance(kind, T.StructType):
+        parts = [_texts(value[f.name], f.dataType, F.concat(path, F.lit("." + f.name.replace(".", "?").replace("#", "?")))) for f in kind]
+        parts = [p for p in parts if p is not None]
+        return F.concat(*parts) if parts else None
+    if isinstance(kind, T.ArrayType):
+        if _texts(F.lit(None), kind.elementType, path) is None:
+            return None
+        inside = F.flatten(F.transform(value, lambda v: _texts(v, kind.elementType, F.concat(path, F.lit("#")))))
+        return F.coalesce(inside, F.slice(F.array(text(F.lit(""), F.lit(""))), 1, 0))
+    if isinstance(kind, T.MapType):
+
+        def entry(e):
+            at = F.concat(path, F.lit("."), F.regexp_replace(e["key"].cast("string"), "[.#]", "?"))
+            more = _texts(e["value"], kind.valueType, at)
+            own = F.array(text(at, e["key"], True))
+            return own if more is None else F.concat(own, more)
+
+        inside = F.flatten(F.transform(F.map_entries(value), entry))
+        return F.coalesce(inside, F.slice(F.array(text(F.lit(""), F.lit(""))), 1, 0))
+    if isinstance(kind, T.VariantType):
+        raise ValueError("a variant is judged by `violations`")
+    return None
+
+
+def private_fields(kind: T.DataType, path="") -> list:
+    """Paths of a schema's fields whose names may not be published."""
+    if isinstance(kind, T.ArrayType):
+        return private_fields(kind.elementType, path + "#")
+    if isinstance(kind, T.MapType):
+        return private_fields(kind.valueType, path + ".*")
+    found = []
+    if isinstance(kind, T.StructType):
+        for f in kind:
+            at = f"{path}.{f.name}"
+            if f.name.lower() in fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS:
+                found.append(at)
+            found += private_fields(f.dataType, at)
+    return found
+
+
+def typed_violations(rows: DataFrame, key: str, root: str) -> DataFrame:
+    """(id, path, rule) of typed nested rows that may not be published, by a walk made from their schema.
+
+    The walk is one expression over each row, so nothing is parsed or shuffled; depth is the schema's.
+    A field whose name is private is named once, with a NULL id, whatever its values.
+    """
+    named = private_fields(rows.schema, root)
+    spark = rows.sparkSession
+    wrong = spark.createDataFrame([(None, path, "private key") for path in named], "id string, path string, rule string")
+    texts = _texts(F.struct(*[F.col(c) for c in rows.columns]), rows.schema, F.lit(root))
+    if texts is None:
+        return wrong
+    said = rows.select(F.col(key).cast("string").alias("id"), F.explode(texts).alias("t")).select("id", "t.*").where("text is not null")
+    bad_key = F.col("is_key") & scan_text(F.col("text")).isin(fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS)
+    public = public_text_path(F.col("path")) & ~F.col("is_key")
+    rule = F.when(bad_key, "private key").when(F.col("text").contains("\x00") | private_path(F.col("text"), public), "private text")
+    return said.select("id", "path", rule.alias("rule")).where("rule is not null").unionByName(wrong)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import standin
 from ..operators import cards, facts
-from ..session import new_folder, read
+from ..session import new_folder, read, settle
 from ..sources import csvfiles, jsonfiles, projections, releases
 from ..standin import cte
 from .reads import SQL_BELONGS, bundle
@@ -202,6 +202,56 @@ def s09(spark, sf):
     return standin.union_all([t.agg(F.lit(n).alias("table_name"), F.count("*").alias("row_count")) for n, t in tables.items()])
 
 
+def public_tables(spark, sf, alias_name):
+    """Facility and course cards, with this name for every alias."""
+    b = bundle(spark, sf)
+    b["alias"] = b["alias"].withColumn("name", F.expr(alias_name))
+    facility = cards.facility_cards(b).select("facility_id", "part", "name", "website", "address", "aliases", "course_inventory")
+    course = cards.course_cards(b, lists=["aliases", "components"]).select("course_id", "part", "name", "facility_name", "arrival", "aliases", "components")
+    return {"facilities": (facility, "facility_id"), "courses": (course, "course_id")}
+
+
+@query(
+    "s09_publication_gate",
+    cte("f", "c", "al", "src", extra={"bad": "select * from al where cast(substr(alias_id, 3) as bigint)%7=0"})
+    + """select 'facilities' as table_name, facility_id as id, '.facilities#.aliases#.name' as path, 'private text' as rule from bad where facility_id in (select facility_id from f)
+ union all select 'courses', course_id, '.courses#.aliases#.name', 'private text' from bad where course_id in (select course_id from c)
+ union all select 'source_licenses', source_id, 'capture_notes', 'unknown license field' from src where k%50=3""",
+)
+def s09_gate(spark, sf):
+    odd = F.map_from_arrays(F.array(F.lit("license"), F.lit("controls_reference"), F.lit("capture_notes")), F.array(F.lit("CC0"), F.lit("kept/1"), F.lit("x")))
+    plain = F.map_from_arrays(F.array(F.lit("license"), F.lit("controls_reference")), F.array(F.lit("CC0"), F.lit("kept/1")))
+    licenses = T(spark, sf, "src").select("source_id", F.when(F.col("k") % 50 == 3, odd).otherwise(plain).alias("license"))
+    tables = public_tables(spark, sf, "case when cast(substr(alias_id, 3) as bigint)%7=0 then 'see /home/op/' || alias_id else name end")
+    found, manifest = releases.publish(spark, tables, licenses, new_folder(spark, "gated"))
+    if manifest is not None:
+        raise ValueError("a release with private text was published")
+    return found.withColumnRenamed("table", "table_name")
+
+
+@query(
+    "s08_file_manifest",
+    cte("f", "c", "al", "src")
+    + """select 'facilities' as item, (select count(*) from f) as row_count, (select count(*) from al where facility_id in (select facility_id from f)) as aliases, cast(null as varchar) as rule
+ union all select 'courses', (select count(*) from c), (select count(*) from al where course_id in (select course_id from c)), null
+ union all select 'source_licenses', (select count(*) from src), null, null union all select 'courses', null, null, 'not pinned'""",
+)
+def s08_files(spark, sf):
+    path = new_folder(spark, "public")
+    licenses = T(spark, sf, "src").select("source_id", F.create_map(F.lit("license"), F.lit("CC0"), F.lit("controls_reference"), F.lit("kept/1")).alias("license"))
+    _, manifest = releases.publish(spark, public_tables(spark, sf, "name"), licenses, path)
+    if releases.file_violations(spark, path).limit(1).count():
+        raise ValueError("the files differ from their manifest")
+    counted = standin.union_all([
+        spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("item"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).alias("aliases")) for name in ("facilities", "courses")
+    ])
+    rows = settle(manifest.select(F.col("name").alias("item"), "row_count").join(counted, "item", "left").withColumn("rule", F.lit(None).cast("string")), "counted")
+    # One more file among the course cards.
+    spark.read.parquet(f"{path}/courses").limit(1).write.mode("append").parquet(f"{path}/courses")
+    wrong = releases.file_violations(spark, path).select(F.split("name", "/")[0].alias("item"), "rule")
+    return rows.unionByName(wrong, allowMissingColumns=True)
+
+
 @query(
     "s10_published_differences",
     cte("f")

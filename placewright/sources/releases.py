@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
-from . import csvfiles
+from ..operators import boundary
+from ..session import settle
+from . import csvfiles, jsonfiles
 
 _MANIFEST = "name string, row_count long, sha256 string, columns string"
 
@@ -55,6 +57,49 @@ def write_release(spark: SparkSession, tables: dict, path: str) -> DataFrame:
     return read_manifest(spark, path)
 
 
+def file_rows(spark: SparkSession, path: str, names) -> DataFrame:
+    """name (table/file), bytes, sha256 of every file of a release's tables, from the files themselves."""
+    parts = [jsonfiles.file_pins(spark, f"{path}/{name}/*.parquet").withColumn("name", F.concat(F.lit(name + "/"), "name")) for name in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def file_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rule) of files that are missing, extra, or not what the release's file manifest says."""
+    pinned = settle(spark.read.schema("name string, bytes long, sha256 string").json(f"{path}/files"), "pins")
+    names = [r["name"] for r in read_manifest(spark, path).select("name").collect()]
+    return jsonfiles.pin_violations(file_rows(spark, path, names), pinned)
+
+
+def publish(spark: SparkSession, tables: dict, licenses: DataFrame | None, path: str):
+    """Publish typed nested tables if nothing in them is private: (violations, manifest or None).
+
+    `tables` is name -> (rows, key); their walk begins at `.name#`. `licenses` are source_id and a
+    map of license fields: the public ones are published as source_licenses, private ones are left
+    out, and an unknown one is a violation. Everything is written to the shared folder and judged
+    there first; the release is copied from what was judged, file manifest and manifest last, so a
+    single violation publishes nothing.
+    """
+    staged = {name: (settle(rows, "staged"), key) for name, (rows, key) in tables.items()}
+    if licenses is not None:
+        public, unknown = boundary.license_fields(F.col("license"))
+        split = settle(licenses.select("source_id", public.alias("license"), unknown.alias("unknown")), "licenses")
+        staged["source_licenses"] = (split.select("source_id", "license"), "source_id")
+    found = [boundary.typed_violations(rows, key, f".{name}#").select(F.lit(name).alias("table"), "id", "path", "rule") for name, (rows, key) in staged.items()]
+    if licenses is not None:
+        odd = split.select(F.lit("source_licenses").alias("table"), F.col("source_id").cast("string").alias("id"), F.explode("unknown").alias("path"))
+        found.append(odd.withColumn("rule", F.lit("unknown license field")))
+    violations = settle(reduce(DataFrame.unionByName, found), "violations")
+    if violations.limit(1).count():
+        return violations, None
+    rows = {name: table for name, (table, _) in staged.items()}
+    for name, frame in rows.items():
+        frame.write.parquet(f"{path}/{name}")
+    file_rows(spark, path, rows).coalesce(1).write.json(f"{path}/files")
+    written = {name: spark.read.schema(frame.schema).parquet(f"{path}/{name}") for name, frame in rows.items()}
+    manifest_rows(written).coalesce(1).write.json(f"{path}/manifest")
+    return violations, read_manifest(spark, path)
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_MANIFEST).json(f"{path}/manifest")
 
