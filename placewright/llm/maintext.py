@@ -8,9 +8,13 @@ articles of the host have it, never the first one (the title), and only if most
 stays, so that an article printed twice keeps its paragraphs. On other pages, and where the blocks outside outweigh the article
 elements (teasers), every block outside such parts is judged token by token.
 
-Large hosts are cut into slices of bounded size. Each slice sorts its own suffixes and tells each
-different leading run of RUN tokens once, with the lowest and highest page that has it; slices meet
-in an aggregate over these runs, so neither a hot host nor a footer on all its pages is one group.
+Large hosts are cut into slices of bounded size. The suffix array of a slice tells its different
+leading runs of RUN tokens, each once; slices meet over these runs, so neither a hot host nor a
+footer on all its pages is one group. Most runs stand on one page only and need not travel: a run is
+named by the smallest hash of its pieces of GRAM tokens, slices send those names as sorted, packed
+numbers to the name's bucket, and only runs whose name is known to two slices, or that a slice has
+found on two of its own pages, are exchanged and compared in full. Runs of which no page is judged
+(menus and footers that no article holds) are left out there too.
 """
 
 import html as entities
@@ -19,14 +23,19 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from .common import columns, settle
+from .common import columns, new_folder, settle
 
 RUN = 8  # tokens of the shortest run that counts
 SHORT = 4  # words of the shortest block in an article that goes as a whole
+GRAM = 4  # tokens of the pieces whose smallest hash names a run
 SLICE_TOKENS = 2_000_000
+CHUNK_TOKENS = 500_000  # tokens whose runs are named at once
+BUCKET_TOKENS = 1 << 25  # tokens of the corpus for each bucket of names
+WORDS_KEPT = 1_000_000  # word hashes that a task keeps
 
 # Element names of the HTML standard, and words that sites use for parts of a page.
 BLOCKS = frozenset(
@@ -182,8 +191,18 @@ def _blocks(source, holders):
     return out, held or frozenset()
 
 
-def _hash(words):
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+class _Hashes(dict):
+    """Word hashes, kept while a task runs."""
+
+    def __missing__(self, word):
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def _hash(words, kept):
+    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
 
 
 _PAD = np.uint64(0x9E3779B97F4A7C15)  # stands after a short block, which is a run of its own
@@ -198,38 +217,36 @@ def judged(found):
     return [t for t, k in found if k != _FRAME], [t for t, k in found if k == _FRAME], False
 
 
-def stream_of(parts, others, article, run=RUN):
+def stream_of(parts, others, article, kept, run=RUN):
     """Token hashes of a page: the judged blocks, then the others, then an article's short blocks again,
-    each filled up to a run. Also the mark by which pages are told apart: copies of a page, and pages of
-    one article (its longest block), count as one, so that they aren't each other's boilerplate."""
-    hashes = _hash([w for t in (*parts, *others) for w in t.split(" ")])
+    each filled up to a run."""
+    hashes = _hash([w for t in (*parts, *others) for w in t.split(" ")], kept)
     at, short = 0, []
     for t in parts if article else ():
         n = t.count(" ") + 1
         if SHORT <= n < run:
             short += [hashes[at : at + n], np.full(run - n, _PAD)]
         at += n
-    identity = max(parts, key=len).encode("utf-8", "surrogatepass") if article else hashes.tobytes()
-    return np.concatenate([hashes, *short]), xxhash.xxh64_intdigest(identity) - (1 << 63)
+    return np.concatenate([hashes, *short])
+
+
+def mark_of(parts, others, article):
+    """By which pages are told apart: copies of a page, and pages of one article (its longest block),
+    count as one, so that they aren't each other's boilerplate."""
+    identity = max(parts, key=len) if article else " ".join((*parts, *others))
+    return xxhash.xxh64_intdigest(identity.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def left_of(parts, covered, others_words, article, run=RUN):
-    """The judged blocks less what covered runs (their first tokens) hold."""
-    if not covered:
-        return parts
-    gone = np.zeros(max(covered) + run, bool)
+def lost(sizes, covered, rest, article, run=RUN):
+    """What goes, by the words of each judged block, the first tokens of covered runs and the words of the
+    other blocks: numbers of whole blocks on a page with an article, else of words."""
+    gone = np.zeros(max(covered, default=0) + run, bool)
     for at in covered:
         gone[at : at + run] = True
-    sizes = [t.count(" ") + 1 for t in parts]
+    total = sum(sizes)
     if not article:
-        kept, at = [], 0
-        for t, n in zip(parts, sizes, strict=True):
-            left = [w for k, w in enumerate(t.split(" ")) if at + k >= len(gone) or not gone[at + k]]
-            at += n
-            if left:
-                kept.append(" ".join(left))
-        return kept
-    at, begun, extra = 0, set(covered), sum(sizes) + others_words
+        return np.flatnonzero(gone[:total]).tolist()
+    at, begun, extra = 0, set(covered), total + rest
     whole = []
     for n in sizes:
         # A run within the block's own words, or a short block's own run.
@@ -239,14 +256,35 @@ def left_of(parts, covered, others_words, article, run=RUN):
             extra += run
         at += n
     whole[0] = False  # the title, even if others have it
-    if 2 * sum(n for n, w in zip(sizes, whole, strict=True) if w) > sum(sizes):
-        return parts  # most of it stands elsewhere too: the article itself is printed again
-    return [t for t, w in zip(parts, whole, strict=True) if not w]
-
-
-def _parse(pages, run):
-    """row, page_id, url, host, blocks to judge, words of the others, whether an article's, stream of token hashes, page mark."""
-    kind = f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, parts array<string>, others long, article boolean, stream binary, mark long"
+    if 2 * sum(n for n, w in zip(sizes, whole, strict=True) if w) > total:
+        return []  # most of it stands elsewhere too: the article itself is printed again
+    return [k for k, w in enumerate(whole) if w]
+
+
+def without(parts, gone, article):
+    """The judged blocks less what goes."""
+    gone = set(gone or ())
+    if article or not gone:
+        return [t for k, t in enumerate(parts) if k not in gone]
+    kept, at = [], 0
+    for t in parts:
+        words = t.split(" ")
+        left = [w for k, w in enumerate(words, at) if k not in gone]
+        at += len(words)
+        if left:
+            kept.append(" ".join(left))
+    return kept
+
+
+def _parse(pages):
+    """Per page its number, host, mark, judged and other blocks, words of each judged block and of all
+    others, whether they are an article's, and the tokens of its stream."""
+    kind = (
+        f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, mark long, "
+        "parts array<string>, others array<string>, sizes array<int>, rest int, article boolean"
+    )
+    types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
+    names = ["row", "page_id", "url", "host", "mark", "parts", "others", "sizes", "rest", "article"]
 
     def parse(batches):
         task, number = TaskContext.get().partitionId() << 33, 0
@@ -254,19 +292,47 @@ def _parse(pages, run):
             out = []
             for url, source in zip(batch[1].to_pylist(), batch[2], strict=True):
                 parts, others, article = judged(blocks(source.as_py() or ""))
-                stream, mark = stream_of(parts, others, article, run)
                 host = xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) - (1 << 63)
-                out.append((host, parts, sum(t.count(" ") + 1 for t in others), article, stream.tobytes() if len(stream) >= run else None, mark))
-            types = [pa.int64(), pa.list_(pa.string()), pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
-            found = list(zip(*out, strict=True)) if out else [()] * 6
+                sizes, rest = [t.count(" ") + 1 for t in parts], sum(t.count(" ") + 1 for t in others)
+                out.append((host, mark_of(parts, others, article), parts, others, sizes, rest, article))
+            found = list(zip(*out, strict=True)) if out else [()] * len(types)
             rows = pa.array(np.arange(task + number, task + number + batch.num_rows))
             number += batch.num_rows
-            columns_ = [rows, batch[0], batch[1], *[pa.array(v, t) for v, t in zip(found, types, strict=True)]]
-            yield pa.record_batch(columns_, names=["row", "page_id", "url", "host", "parts", "others", "article", "stream", "mark"])
+            yield pa.record_batch([rows, batch[0], batch[1], *[pa.array(v, t) for v, t in zip(found, types, strict=True)]], names=names)
 
     return pages.mapInArrow(parse, kind)
 
 
+_STREAMED = ["row", "host", "mark", "parts", "others", "sizes", "rest", "article"]
+
+
+def _chunks(batches, most, run):
+    """Streams of some pages on end, up to `most` tokens or one page: row, host, mark, judged words and
+    first word past the others of each page, tokens, and the page of each token. The host is part of
+    every token, so that pages of two hosts never share a run."""
+    kept, pages, size = _Hashes(), [], 0
+
+    def close():
+        rows, hosts, marks, judged_, past, streams = zip(*pages, strict=True)
+        page = np.repeat(np.arange(len(pages)), [len(s) for s in streams])
+        hosts = np.array(hosts, np.int64)
+        tokens = np.concatenate(streams) ^ (hosts[page].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return np.array(rows), hosts, np.array(marks, np.int64), np.array(judged_), np.array(past), tokens, page
+
+    for batch in batches:
+        for row, host, mark, parts, others, sizes, rest, article in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            stream = stream_of(parts, others, article, kept, run)
+            if len(stream) < run:
+                continue
+            pages.append((row, host, mark, sum(sizes), sum(sizes) + rest, stream))
+            size += len(stream)
+            if size >= most:
+                yield close()
+                pages, size = [], 0
+    if pages:
+        yield close()
+
+
 def suffix_groups(tokens, page, run=RUN):
     """Groups of the suffixes of a slice by their first `run` tokens, by prefix doubling.
 
@@ -293,47 +359,116 @@ def suffix_groups(tokens, page, run=RUN):
     return order, first
 
 
-def _leading(tokens, at, run):
-    h = np.full(len(at), np.uint64(run))
+def _leading(tokens, run, spread=False):
+    """A number for each run of tokens, by its first place."""
+    h = np.full(max(0, len(tokens) - run + 1), np.uint64(run))
     for k in range(run):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[at + k]
-    return (h ^ (h >> np.uint64(31))).view(np.int64)
+        h = h * np.uint64(0x9E3779B97F4A7C15) + tokens[k : k + len(h)]
+    h ^= h >> np.uint64(31)
+    if spread:
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _names(tokens, run, bits):
+    """The name of each run, by its first place: the smallest hash of its pieces, cut to some bits."""
+    gram = min(GRAM, run)
+    pieces = _leading(tokens, gram, spread=True) >> np.uint64(64 - bits)
+    n = max(0, len(tokens) - run + 1)
+    return np.minimum.reduce([pieces[k : k + n] for k in range(run - gram + 1)]).view(np.int64)
+
+
+def _pack(numbers):
+    """Sorted different numbers as their differences, byte by byte, compressed."""
+    steps = np.diff(numbers, prepend=0).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
 
+def _unpack(packed):
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<u8").reshape(-1)).astype(np.int64)
 
-def _slice_runs(rows, run):
-    """host, key, low, high: each different leading run of a slice with its lowest and highest page mark."""
+
+_EVIDENCE, _JUDGED, _FOUND = 0, 1, 2
+
+
+def _slice_names(parsed, run, bits, shift):
+    """bucket, kind, packed: names of a slice's different runs; of runs outside judged blocks, of runs in
+    them, and of runs in them that pages of two marks in the slice share."""
 
     def tell(batches):
-        hosts, marks, streams, size = [], [], [], 0
+        for _, host, mark, judged_, past, tokens, page in _chunks(batches, SLICE_TOKENS, run):
+            # A host's streams stand on end.
+            order = np.argsort(host[page], kind="stable")
+            start = np.arange(len(page)) - np.searchsorted(page, page)
+            aim = (start < judged_[page]) | (start >= past[page])
+            names = np.append(_names(tokens, run, bits), np.zeros(run - 1, np.int64))
+            suffixes, first = suffix_groups(tokens[order], page[order], run)
+            if not len(first):
+                continue
+            suffixes = order[suffixes]
+            seen = mark[page[suffixes]]
+            aimed = np.logical_or.reduceat(aim[suffixes], first)
+            twice = np.minimum.reduceat(seen, first) != np.maximum.reduceat(seen, first)
+            kinds = np.where(aimed & twice, _FOUND, np.where(aimed, _JUDGED, _EVIDENCE))
+            pairs = np.unique(names[suffixes[first]] * 4 + kinds)  # by name, the strongest kind last
+            last = np.append(pairs[1:] >> 2 != pairs[:-1] >> 2, True)
+            name, kinds = pairs[last] >> 2, pairs[last] & 3
+            out = []
+            for kind in (_EVIDENCE, _JUDGED, _FOUND):
+                own = name[kinds == kind]
+                bucket = own >> shift
+                ends = [*np.flatnonzero(np.diff(bucket)) + 1, len(own)] if len(own) else []
+                out += [(int(bucket[a]), kind, _pack(own[a:b])) for a, b in zip([0, *ends[:-1]], ends)]  # noqa: B905
+            buckets, kinds, packed = zip(*out, strict=True)
+            yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(kinds, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "kind", "packed"])
+
+    return parsed.select(*_STREAMED).mapInArrow(tell, "bucket long, kind int, packed binary")
+
+
+def _shared_names(sent):
+    """Names that a run in two slices, or in two pages of one, may have, and a judged block's run among them."""
+
+    def merge(batches):
+        bucket, told = None, []
 
         def close():
-            lengths = np.array([len(s) for s in streams])
-            order = np.argsort(np.array(hosts), kind="stable")  # a host's streams stand on end
-            tokens = np.concatenate([streams[k] for k in order])
-            page = np.repeat(np.arange(len(order)), lengths[order])
-            host, mark = np.array(hosts)[order], np.array(marks)[order]
-            # The host is part of every token here, so that suffixes of two hosts never share a run.
-            own = tokens ^ (host[page].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            suffixes, first = suffix_groups(own, page, run)
-            at = suffixes[first]
-            seen = mark[page[suffixes]]
-            low, high = np.minimum.reduceat(seen, first), np.maximum.reduceat(seen, first)
-            return pa.record_batch([pa.array(host[page[at]]), pa.array(_leading(tokens, at, run)), pa.array(low), pa.array(high)], names=["host", "key", "low", "high"])
+            every = np.concatenate([n for _, n in told])
+            order = np.argsort(every, kind="stable")
+            every, kind = every[order], np.repeat([k for k, _ in told], [len(n) for _, n in told])[order]
+            first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            times, best = np.diff(np.append(first, len(every))), np.maximum.reduceat(kind, first)
+            return pa.record_batch([pa.array(every[first][(best == _FOUND) | ((times > 1) & (best == _JUDGED))])], names=["name"])
 
         for batch in batches:
-            for host, mark, stream in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-                stream = np.frombuffer(stream.as_py(), np.uint64)
-                hosts.append(host)
-                marks.append(mark)
-                streams.append(stream)
-                size += len(stream)
-                if size >= SLICE_TOKENS:
+            for b, kind, packed in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+                if b != bucket and told:
                     yield close()
-                    hosts, marks, streams, size = [], [], [], 0
-        if streams:
+                    told = []
+                bucket = b
+                told.append((kind, _unpack(packed.as_py())))
+        if told:
             yield close()
 
-    return rows.select("host", "mark", "stream").mapInArrow(tell, "host long, key long, low long, high long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "name long")
+
+
+def _page_runs(parsed, run, bits):
+    """name, row, mark, start, keys: stretches of runs of one name on a page, with a key for each run."""
+
+    def tell(batches):
+        for row, _, mark, _, _, tokens, page in _chunks(batches, CHUNK_TOKENS, run):
+            name, keys = _names(tokens, run, bits), _leading(tokens, run).view(np.int64)
+            at = np.flatnonzero(page[: len(keys)] == page[run - 1 :])
+            name, keys, page_ = name[at], keys[at], page[at]
+            begins = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (page_[1:] != page_[:-1])))
+            start = at[begins] - np.searchsorted(page, page_[begins])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), pa.array(keys))
+            made = [pa.array(v) for v in (name[begins], row[page_[begins]], mark[page_[begins]], start)]
+            yield pa.record_batch([*made, lists], names=["name", "row", "mark", "start", "keys"])
+
+    return parsed.select(*_STREAMED).mapInArrow(tell, "name long, row long, mark long, start long, keys array<long>")
 
 
 def extract(pages, id="page_id", url="url", html="html", run=RUN):
@@ -343,28 +478,36 @@ def extract(pages, id="page_id", url="url", html="html", run=RUN):
     of one id are pages of their own. Blocks are joined by an empty line, white space inside a
     block is one space. Extra columns are ignored.
     """
-    parsed = settle(_parse(columns(pages, page_id=id, url=url, html=html), run), "pages")
-    streams = parsed.where("stream is not null")
-    runs = _slice_runs(streams, run).groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    repeated = settle(runs.where("low <> high").select("host", "key"), "repeated")
+    spark = pages.sparkSession
+    path = new_folder(spark, "pages")
+    parsed = _parse(columns(pages, page_id=id, url=url, html=html))
+    parsed.write.option("compression", "zstd").parquet(path)
+    parsed = spark.read.schema(parsed.schema).parquet(path)
+    tokens = parsed.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n) + rest"))).first()[0] or 0
+    # Names are long enough for the corpus: one in some thousand is met by chance.
+    bits = min(61, max(32, int(tokens).bit_length() + 10))
+    buckets = max(6, (int(tokens) // BUCKET_TOKENS).bit_length())
+    shared = settle(_shared_names(_slice_names(parsed, run, bits, bits - buckets)), "shared")
+    met = settle(_page_runs(parsed, run, bits).join(shared, "name", "left_semi").drop("name"), "met")
+    places = met.select("row", "mark", "start", F.posexplode("keys").alias("on", "key"))
+    repeated = settle(places.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key"), "repeated")
+    # A page's covered places: no more than its own tokens.
+    covered = places.join(repeated, "key", "left_semi").groupBy("row").agg(F.collect_list(F.col("start") + F.col("on")).alias("covered"))
 
-    def page_runs(batches):
+    def judge(batches):
         for batch in batches:
-            for row, host, stream in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
-                tokens = np.frombuffer(stream.as_py(), np.uint64)
-                keys = _leading(tokens, np.arange(len(tokens) - run + 1), run)
-                made = [np.full(len(keys), row), np.full(len(keys), host), keys, np.arange(len(keys))]
-                yield pa.record_batch([pa.array(v) for v in made], names=["row", "host", "key", "at"])
+            found = [lost(*page, run) for page in zip(*[batch[k].to_pylist() for k in range(1, 5)], strict=True)]
+            took = pa.array([bool(f) for f in found], pa.bool_())
+            yield pa.record_batch([batch[0], pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"]).filter(took)
 
-    # A page's covered places: no more than its own tokens.
-    places = streams.select("row", "host", "stream").mapInArrow(page_runs, "row long, host long, key long, at long")
-    covered = places.join(repeated, ["host", "key"], "left_semi").groupBy("row").agg(F.collect_list("at").alias("covered"))
+    losses = covered.join(parsed.select("row", "sizes", "rest", "article"), "row").select("row", "sizes", "covered", "rest", "article")
+    losses = settle(losses.mapInArrow(judge, "row long, gone array<int>"), "losses")
 
     def keep(batches):
         for batch in batches:
-            texts = ["\n\n".join(left_of(*found, run)) for found in zip(*[batch[k].to_pylist() for k in (2, 5, 3, 4)], strict=True)]
+            texts = ["\n\n".join(without(*page)) for page in zip(*[batch[k].to_pylist() for k in (2, 4, 3)], strict=True)]
             yield pa.record_batch([batch[0], batch[1], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string"
-    found = parsed.join(covered, "row", "left").select("page_id", "url", "parts", "others", "article", "covered").mapInArrow(keep, kind)
+    found = parsed.join(losses, "row", "left").select("page_id", "url", "parts", "article", "gone").mapInArrow(keep, kind)
     return found.withColumn("n_chars", F.length("text").cast("long"))
