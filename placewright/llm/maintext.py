@@ -19,6 +19,7 @@ found on two of its own pages, are exchanged and compared in full. Runs of which
 
 import html as entities
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -277,50 +278,56 @@ def without(parts, gone, article):
 
 
 def _parse(pages):
-    """Per page its number, host, mark, judged and other blocks, words of each judged block and of all
-    others, whether they are an article's, and the tokens of its stream."""
+    """Per page its slice, number, host, mark, judged and other blocks, words of each judged block and of all
+    others, and whether they are an article's. A slice is some SLICE_TOKENS of one task's pages."""
     kind = (
-        f"row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, mark long, "
+        f"slice long, row long, page_id {pages.schema['page_id'].dataType.simpleString()}, url string, host long, mark long, "
         "parts array<string>, others array<string>, sizes array<int>, rest int, article boolean"
     )
     types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
-    names = ["row", "page_id", "url", "host", "mark", "parts", "others", "sizes", "rest", "article"]
+    names = ["slice", "row", "page_id", "url", "host", "mark", "parts", "others", "sizes", "rest", "article"]
 
     def parse(batches):
-        task, number = TaskContext.get().partitionId() << 33, 0
+        task, number, size = TaskContext.get().partitionId() << 33, 0, 0
         for batch in batches:
-            out = []
+            out, slices = [], []
             for url, source in zip(batch[1].to_pylist(), batch[2], strict=True):
                 parts, others, article = judged(blocks(source.as_py() or ""))
                 host = xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) - (1 << 63)
                 sizes, rest = [t.count(" ") + 1 for t in parts], sum(t.count(" ") + 1 for t in others)
+                slices.append(task + size // SLICE_TOKENS)
+                size += sum(sizes) + rest
                 out.append((host, mark_of(parts, others, article), parts, others, sizes, rest, article))
             found = list(zip(*out, strict=True)) if out else [()] * len(types)
             rows = pa.array(np.arange(task + number, task + number + batch.num_rows))
             number += batch.num_rows
-            yield pa.record_batch([rows, batch[0], batch[1], *[pa.array(v, t) for v, t in zip(found, types, strict=True)]], names=names)
+            yield pa.record_batch([pa.array(slices, pa.int64()), rows, batch[0], batch[1], *[pa.array(v, t) for v, t in zip(found, types, strict=True)]], names=names)
 
     return pages.mapInArrow(parse, kind)
 
 
-_STREAMED = ["row", "host", "mark", "parts", "others", "sizes", "rest", "article"]
+_STREAMED = ["slice", "row", "host", "mark", "parts", "others", "sizes", "rest", "article"]
 
 
 def _chunks(batches, most, run):
-    """Streams of some pages on end, up to `most` tokens or one page: row, host, mark, judged words and
-    first word past the others of each page, tokens, and the page of each token. The host is part of
-    every token, so that pages of two hosts never share a run."""
-    kept, pages, size = _Hashes(), [], 0
+    """Streams of some pages of a slice on end, up to `most` tokens or one page: slice, row, host, mark, judged
+    words and first word past the others of each page, tokens, and the page of each token. The host is
+    part of every token, so that pages of two hosts never share a run."""
+    kept, pages, size, last = _Hashes(), [], 0, None
 
     def close():
         rows, hosts, marks, judged_, past, streams = zip(*pages, strict=True)
         page = np.repeat(np.arange(len(pages)), [len(s) for s in streams])
         hosts = np.array(hosts, np.int64)
         tokens = np.concatenate(streams) ^ (hosts[page].view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        return np.array(rows), hosts, np.array(marks, np.int64), np.array(judged_), np.array(past), tokens, page
+        return last, np.array(rows), hosts, np.array(marks, np.int64), np.array(judged_), np.array(past), tokens, page
 
     for batch in batches:
-        for row, host, mark, parts, others, sizes, rest, article in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for slice_, row, host, mark, parts, others, sizes, rest, article in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if slice_ != last and pages:
+                yield close()
+                pages, size = [], 0
+            last = slice_
             stream = stream_of(parts, others, article, kept, run)
             if len(stream) < run:
                 continue
@@ -394,11 +401,11 @@ _EVIDENCE, _JUDGED, _FOUND = 0, 1, 2
 
 
 def _slice_names(parsed, run, bits, shift):
-    """bucket, kind, packed: names of a slice's different runs; of runs outside judged blocks, of runs in
+    """bucket, slice, kind, packed: names of a slice's different runs; of runs outside judged blocks, of runs in
     them, and of runs in them that pages of two marks in the slice share."""
 
     def tell(batches):
-        for _, host, mark, judged_, past, tokens, page in _chunks(batches, SLICE_TOKENS, run):
+        for slice_, _, host, mark, judged_, past, tokens, page in _chunks(batches, SLICE_TOKENS, run):
             # A host's streams stand on end.
             order = np.argsort(host[page], kind="stable")
             start = np.arange(len(page)) - np.searchsorted(page, page)
@@ -422,53 +429,84 @@ def _slice_names(parsed, run, bits, shift):
                 ends = [*np.flatnonzero(np.diff(bucket)) + 1, len(own)] if len(own) else []
                 out += [(int(bucket[a]), kind, _pack(own[a:b])) for a, b in zip([0, *ends[:-1]], ends)]  # noqa: B905
             buckets, kinds, packed = zip(*out, strict=True)
-            yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(kinds, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "kind", "packed"])
+            made = [pa.array(buckets, pa.int64()), pa.array([slice_] * len(buckets)), pa.array(kinds, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.record_batch(made, names=["bucket", "slice", "kind", "packed"])
 
-    return parsed.select(*_STREAMED).mapInArrow(tell, "bucket long, kind int, packed binary")
+    return parsed.select(*_STREAMED).mapInArrow(tell, "bucket long, slice long, kind int, packed binary")
 
 
 def _shared_names(sent):
-    """Names that a run in two slices, or in two pages of one, may have, and a judged block's run among them."""
+    """slice, packed: of the names that a slice has sent, those that a run in two slices, or in two pages of
+    one, may have, with a judged block's run among them."""
 
     def merge(batches):
         bucket, told = None, []
 
         def close():
-            every = np.concatenate([n for _, n in told])
+            own = [names for _, _, names in told]
+            every = np.concatenate(own)
             order = np.argsort(every, kind="stable")
-            every, kind = every[order], np.repeat([k for k, _ in told], [len(n) for _, n in told])[order]
+            every, kind = every[order], np.repeat([k for _, k, _ in told], [len(n) for n in own])[order]
             first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
             times, best = np.diff(np.append(first, len(every))), np.maximum.reduceat(kind, first)
-            return pa.record_batch([pa.array(every[first][(best == _FOUND) | ((times > 1) & (best == _JUDGED))])], names=["name"])
+            shared = every[first][(best == _FOUND) | ((times > 1) & (best == _JUDGED))]
+            both = [np.intersect1d(names, shared, assume_unique=True) for names in own]
+            back = [(t[0], _pack(n)) for t, n in zip(told, both, strict=True) if len(n)]
+            slices, packed = zip(*back, strict=True) if back else ((), ())
+            return pa.record_batch([pa.array(slices, pa.int64()), pa.array(packed, pa.binary())], names=["slice", "packed"])
 
         for batch in batches:
-            for b, kind, packed in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], strict=True):
+            for b, slice_, kind, packed in zip(*[batch[k].to_pylist() for k in range(3)], batch[3], strict=True):
                 if b != bucket and told:
                     yield close()
                     told = []
                 bucket = b
-                told.append((kind, _unpack(packed.as_py())))
+                told.append((slice_, kind, _unpack(packed.as_py())))
         if told:
             yield close()
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "name long")
-
-
-def _page_runs(parsed, run, bits):
-    """name, row, mark, start, keys: stretches of runs of one name on a page, with a key for each run."""
-
-    def tell(batches):
-        for row, _, mark, _, _, tokens, page in _chunks(batches, CHUNK_TOKENS, run):
-            name, keys = _names(tokens, run, bits), _leading(tokens, run).view(np.int64)
-            at = np.flatnonzero(page[: len(keys)] == page[run - 1 :])
-            name, keys, page_ = name[at], keys[at], page[at]
-            begins = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (page_[1:] != page_[:-1])))
-            start = at[begins] - np.searchsorted(page, page_[begins])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(keys)), pa.int32()), pa.array(keys))
-            made = [pa.array(v) for v in (name[begins], row[page_[begins]], mark[page_[begins]], start)]
-            yield pa.record_batch([*made, lists], names=["name", "row", "mark", "start", "keys"])
-
-    return parsed.select(*_STREAMED).mapInArrow(tell, "name long, row long, mark long, start long, keys array<long>")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "slice long, packed binary")
+
+
+def _met_runs(parsed, shared, run, bits):
+    """slice, row, mark, start, aim, keys: stretches of runs with shared names on a page, a key for each run,
+    and whether they are runs of judged blocks."""
+    names_ = ["slice", "row", "mark", "start", "aim", "keys"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+
+    def tell(pages, back):
+        found = [pa.table([pa.array([], t) for t in types], names=names_)]
+        if back.num_rows:
+            wanted = np.unique(np.concatenate([_unpack(v.as_py()) for v in back["packed"]]))
+            for slice_, row, _, mark, judged_, past, tokens, page in _chunks(pages.to_batches(), CHUNK_TOKENS, run):
+                name, keys = _names(tokens, run, bits), _leading(tokens, run).view(np.int64)
+                spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
+                at = np.flatnonzero((page[: len(keys)] == page[run - 1 :]) & (wanted[spot] == name))
+                if not len(at):
+                    continue
+                page_ = page[at]
+                start = at - np.searchsorted(page, page_)
+                aim = (start < judged_[page_]) | (start >= past[page_])
+                begins = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (page_[1:] != page_[:-1]) | (aim[1:] != aim[:-1])))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)), pa.int32()), pa.array(keys[at]))
+                made = [pa.array(v) for v in (np.full(len(begins), slice_), row[page_[begins]], mark[page_[begins]], start[begins], aim[begins])]
+                found.append(pa.table([*made, lists], names=names_))
+        return pa.concat_tables(found)
+
+    pages = parsed.select(*_STREAMED).groupBy("slice")
+    return pages.cogroup(shared.groupBy("slice")).applyInArrow(tell, "slice long, row long, mark long, start long, aim boolean, keys array<long>")
+
+
+def _by_slice(df, parts):
+    """Write a table in Spark's buckets by slice, so that what is known of a slice joins it where it lies.
+
+    The catalog names it only until its plan is made."""
+    spark = df.sparkSession
+    name, path = f"pages_{uuid.uuid4().hex}", new_folder(df.sparkSession, "pages")
+    df.write.bucketBy(parts, "slice").option("compression", "zstd").option("path", path).saveAsTable(name)
+    table = spark.table(name).select(*df.columns)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def extract(pages, id="page_id", url="url", html="html", run=RUN):
@@ -478,36 +516,29 @@ def extract(pages, id="page_id", url="url", html="html", run=RUN):
     of one id are pages of their own. Blocks are joined by an empty line, white space inside a
     block is one space. Extra columns are ignored.
     """
-    spark = pages.sparkSession
-    path = new_folder(spark, "pages")
-    parsed = _parse(columns(pages, page_id=id, url=url, html=html))
-    parsed.write.option("compression", "zstd").parquet(path)
-    parsed = spark.read.schema(parsed.schema).parquet(path)
-    tokens = parsed.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n) + rest"))).first()[0] or 0
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = _by_slice(_parse(columns(pages, page_id=id, url=url, html=html)), parts)
+    tokens = int(parsed.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, n) -> a + n) + rest"))).first()[0] or 0)
     # Names are long enough for the corpus: one in some thousand is met by chance.
-    bits = min(61, max(32, int(tokens).bit_length() + 10))
-    buckets = max(6, (int(tokens) // BUCKET_TOKENS).bit_length())
+    bits = min(61, max(32, tokens.bit_length() + 10))
+    buckets = max(6, (tokens // BUCKET_TOKENS).bit_length())
     shared = settle(_shared_names(_slice_names(parsed, run, bits, bits - buckets)), "shared")
-    met = settle(_page_runs(parsed, run, bits).join(shared, "name", "left_semi").drop("name"), "met")
-    places = met.select("row", "mark", "start", F.posexplode("keys").alias("on", "key"))
-    repeated = settle(places.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key"), "repeated")
+    met = settle(_met_runs(parsed, shared, run, bits), "met")
+    places = met.select("slice", "row", "mark", "start", "aim", F.posexplode("keys").alias("on", "key"))
+    repeated = places.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
     # A page's covered places: no more than its own tokens.
-    covered = places.join(repeated, "key", "left_semi").groupBy("row").agg(F.collect_list(F.col("start") + F.col("on")).alias("covered"))
-
-    def judge(batches):
-        for batch in batches:
-            found = [lost(*page, run) for page in zip(*[batch[k].to_pylist() for k in range(1, 5)], strict=True)]
-            took = pa.array([bool(f) for f in found], pa.bool_())
-            yield pa.record_batch([batch[0], pa.array(found, pa.list_(pa.int32()))], names=["row", "gone"]).filter(took)
-
-    losses = covered.join(parsed.select("row", "sizes", "rest", "article"), "row").select("row", "sizes", "covered", "rest", "article")
-    losses = settle(losses.mapInArrow(judge, "row long, gone array<int>"), "losses")
-
-    def keep(batches):
-        for batch in batches:
-            texts = ["\n\n".join(without(*page)) for page in zip(*[batch[k].to_pylist() for k in (2, 4, 3)], strict=True)]
-            yield pa.record_batch([batch[0], batch[1], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    kind = f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string"
-    found = parsed.join(losses, "row", "left").select("page_id", "url", "parts", "article", "gone").mapInArrow(keep, kind)
+    aimed = places.where("aim").select("slice", "row", "key", (F.col("start") + F.col("on")).cast("int").alias("at"))
+    covered = aimed.join(repeated, "key", "left_semi").groupBy("slice", "row").agg(F.collect_list("at").alias("covered"))
+    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema}
+
+    def keep(pages, covered):
+        places = dict(zip(covered["row"].to_pylist(), covered["covered"].to_pylist(), strict=True))
+        texts = []
+        for row, parts, sizes, rest, article in zip(*[pages[c].to_pylist() for c in ("row", "parts", "sizes", "rest", "article")], strict=True):
+            gone = lost(sizes, places[row], rest, article, run) if row in places else ()
+            texts.append("\n\n".join(without(parts, gone, article)))
+        return pages.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
+
+    whole = parsed.select("slice", "row", "page_id", "url", "parts", "sizes", "rest", "article").groupBy("slice")
+    found = whole.cogroup(covered.groupBy("slice")).applyInArrow(keep, f"page_id {kinds['page_id']}, url string, text string")
     return found.withColumn("n_chars", F.length("text").cast("long"))
