@@ -468,33 +468,34 @@ def _shared_names(sent):
     return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "slice long, packed binary")
 
 
+def _among(sorted_, values):
+    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values if len(sorted_) else np.zeros(len(values), bool)
+
+
 def _met_runs(parsed, shared, run, bits):
-    """slice, row, mark, start, aim, keys: stretches of runs with shared names on a page, a key for each run,
-    and whether they are runs of judged blocks."""
-    names_ = ["slice", "row", "mark", "start", "aim", "keys"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+    """slice, key, low, high, aim: a slice's different runs with shared names, the lowest and highest mark of
+    their pages, and whether a judged block has one."""
+    names_, kind = ["slice", "key", "low", "high", "aim"], "slice long, key long, low long, high long, aim boolean"
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def tell(pages, back):
-        found = [pa.table([pa.array([], t) for t in types], names=names_)]
-        if back.num_rows:
-            wanted = np.unique(np.concatenate([_unpack(v.as_py()) for v in back["packed"]]))
-            for slice_, row, _, mark, judged_, past, tokens, page in _chunks(pages.to_batches(), CHUNK_TOKENS, run):
-                name, keys = _names(tokens, run, bits), _leading(tokens, run).view(np.int64)
-                spot = np.minimum(np.searchsorted(wanted, name), len(wanted) - 1)
-                at = np.flatnonzero((page[: len(keys)] == page[run - 1 :]) & (wanted[spot] == name))
-                if not len(at):
-                    continue
-                page_ = page[at]
-                start = at - np.searchsorted(page, page_)
-                aim = (start < judged_[page_]) | (start >= past[page_])
-                begins = np.flatnonzero(np.append(True, (np.diff(at) > 1) | (page_[1:] != page_[:-1]) | (aim[1:] != aim[:-1])))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(begins, len(at)), pa.int32()), pa.array(keys[at]))
-                made = [pa.array(v) for v in (np.full(len(begins), slice_), row[page_[begins]], mark[page_[begins]], start[begins], aim[begins])]
-                found.append(pa.table([*made, lists], names=names_))
-        return pa.concat_tables(found)
-
-    pages = parsed.select(*_STREAMED).groupBy("slice")
-    return pages.cogroup(shared.groupBy("slice")).applyInArrow(tell, "slice long, row long, mark long, start long, aim boolean, keys array<long>")
+        wanted = np.unique(np.concatenate([_unpack(v.as_py()) for v in back["packed"]])) if back.num_rows else np.zeros(0, np.int64)
+        found = []
+        for slice_, _, _, mark, judged_, past, tokens, page in _chunks(pages.to_batches(), CHUNK_TOKENS, run) if len(wanted) else ():
+            at = np.flatnonzero(_among(wanted, _names(tokens, run, bits)) & (page[: len(page) - run + 1] == page[run - 1 :]))
+            page_ = page[at]
+            start = at - np.searchsorted(page, page_)
+            found.append((_leading(tokens, run).view(np.int64)[at], mark[page_], (start < judged_[page_]) | (start >= past[page_])))
+        key, mark, aim = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(key, kind="stable")
+        key, mark, aim = key[order], mark[order], aim[order]
+        if not len(key):
+            return pa.table([pa.array([], t) for t in types], names=names_)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        made = [np.full(len(first), slice_), key[first], np.minimum.reduceat(mark, first), np.maximum.reduceat(mark, first), np.logical_or.reduceat(aim, first)]
+        return pa.table([pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names_)
+
+    return parsed.select(*_STREAMED).groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(tell, kind)
 
 
 def _by_slice(df, parts):
@@ -524,21 +525,25 @@ def extract(pages, id="page_id", url="url", html="html", run=RUN):
     buckets = max(6, (tokens // BUCKET_TOKENS).bit_length())
     shared = settle(_shared_names(_slice_names(parsed, run, bits, bits - buckets)), "shared")
     met = settle(_met_runs(parsed, shared, run, bits), "met")
-    places = met.select("slice", "row", "mark", "start", "aim", F.posexplode("keys").alias("on", "key"))
-    repeated = places.groupBy("key").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high").select("key")
-    # A page's covered places: no more than its own tokens.
-    aimed = places.where("aim").select("slice", "row", "key", (F.col("start") + F.col("on")).cast("int").alias("at"))
-    covered = aimed.join(repeated, "key", "left_semi").groupBy("slice", "row").agg(F.collect_list("at").alias("covered"))
-    kinds = {f.name: f.dataType.simpleString() for f in parsed.schema}
-
-    def keep(pages, covered):
-        places = dict(zip(covered["row"].to_pylist(), covered["covered"].to_pylist(), strict=True))
+    repeated = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
+    # Each different run of a slice once; its places are found again where its pages lie.
+    back = met.where("aim").select("slice", "key").join(repeated, "key", "left_semi")
+
+    def keep(pages, back):
+        wanted, covered = np.sort(back["key"].to_numpy()), {}
+        for _, row, _, _, judged_, past, tokens, page in _chunks(pages.select(_STREAMED).to_batches(), CHUNK_TOKENS, run) if len(wanted) else ():
+            at = np.flatnonzero(_among(wanted, _leading(tokens, run).view(np.int64)) & (page[: len(page) - run + 1] == page[run - 1 :]))
+            start = at - np.searchsorted(page, page[at])
+            aim = (start < judged_[page[at]]) | (start >= past[page[at]])
+            start, page_ = start[aim], page[at][aim]
+            ends = np.searchsorted(page_, np.arange(len(row) + 1))
+            covered |= {int(row[k]): start[ends[k] : ends[k + 1]].tolist() for k in np.unique(page_).tolist()}
         texts = []
         for row, parts, sizes, rest, article in zip(*[pages[c].to_pylist() for c in ("row", "parts", "sizes", "rest", "article")], strict=True):
-            gone = lost(sizes, places[row], rest, article, run) if row in places else ()
+            gone = lost(sizes, covered[row], rest, article, run) if row in covered else ()
             texts.append("\n\n".join(without(parts, gone, article)))
         return pages.select(["page_id", "url"]).append_column("text", pa.array(texts, pa.string()))
 
-    whole = parsed.select("slice", "row", "page_id", "url", "parts", "sizes", "rest", "article").groupBy("slice")
-    found = whole.cogroup(covered.groupBy("slice")).applyInArrow(keep, f"page_id {kinds['page_id']}, url string, text string")
+    kind = f"page_id {parsed.schema['page_id'].dataType.simpleString()}, url string, text string"
+    found = parsed.groupBy("slice").cogroup(back.groupBy("slice")).applyInArrow(keep, kind)
     return found.withColumn("n_chars", F.length("text").cast("long"))
