@@ -472,14 +472,18 @@ def _among(sorted_, values):
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values if len(sorted_) else np.zeros(len(values), bool)
 
 
-def _met_runs(parsed, shared, run, bits):
-    """slice, key, low, high, aim: a slice's different runs with shared names, the lowest and highest mark of
-    their pages, and whether a judged block has one."""
-    names_, kind = ["slice", "key", "low", "high", "aim"], "slice long, key long, low long, high long, aim boolean"
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+def _known(back):
+    return np.unique(np.concatenate([_unpack(v.as_py()) for v in back["packed"]])) if back.num_rows else np.zeros(0, np.int64)
+
+
+def _met_runs(parsed, shared, run, bits, buckets):
+    """bucket, slice, packed, rest: by bucket, keys of a slice's different runs with shared names, the lowest
+    and highest mark of their pages, and whether a judged block has one."""
+    names_, kind = ["bucket", "slice", "packed", "rest"], "bucket long, slice long, packed binary, rest binary"
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 
     def tell(pages, back):
-        wanted = np.unique(np.concatenate([_unpack(v.as_py()) for v in back["packed"]])) if back.num_rows else np.zeros(0, np.int64)
+        wanted = _known(back)
         found = []
         for slice_, _, _, mark, judged_, past, tokens, page in _chunks(pages.to_batches(), CHUNK_TOKENS, run) if len(wanted) else ():
             at = np.flatnonzero(_among(wanted, _names(tokens, run, bits)) & (page[: len(page) - run + 1] == page[run - 1 :]))
@@ -492,12 +496,39 @@ def _met_runs(parsed, shared, run, bits):
         if not len(key):
             return pa.table([pa.array([], t) for t in types], names=names_)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        made = [np.full(len(first), slice_), key[first], np.minimum.reduceat(mark, first), np.maximum.reduceat(mark, first), np.logical_or.reduceat(aim, first)]
-        return pa.table([pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names_)
+        key, press, out = key[first], zstandard.ZstdCompressor(level=1), []
+        low, high, aim = np.minimum.reduceat(mark, first), np.maximum.reduceat(mark, first), np.logical_or.reduceat(aim, first)
+        bucket = key >> (64 - buckets)
+        ends = [*np.flatnonzero(np.diff(bucket)) + 1, len(key)]
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            told = low[a:b].tobytes() + (low[a:b] ^ high[a:b]).tobytes() + aim[a:b].tobytes()
+            out.append((int(bucket[a]), slice_, _pack(key[a:b]), press.compress(told)))
+        return pa.table([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names_)
 
     return parsed.select(*_STREAMED).groupBy("slice").cogroup(shared.groupBy("slice")).applyInArrow(tell, kind)
 
 
+def _repeated_runs(sent):
+    """slice, packed: keys of a slice's runs in judged blocks that pages of two marks have, wherever they lie."""
+
+    def merge(rows):
+        told, press = [], zstandard.ZstdDecompressor()
+        for slice_, packed, rest in zip(rows["slice"].to_pylist(), rows["packed"], rows["rest"], strict=True):
+            key, rest = _unpack(packed.as_py()), press.decompress(rest.as_py())
+            low, apart = np.frombuffer(rest, np.int64, 2 * len(key)).reshape(2, -1)
+            told.append((slice_, key, low, low ^ apart, np.frombuffer(rest, bool, offset=16 * len(key))))
+        key, low, high = (np.concatenate([t[k] for t in told]) for k in (1, 2, 3))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        repeated = key[first][np.minimum.reduceat(low[order], first) != np.maximum.reduceat(high[order], first)]
+        both = [(slice_, own[aim & _among(repeated, own)]) for slice_, own, _, _, aim in told]
+        back = [(slice_, _pack(own)) for slice_, own in both if len(own)]
+        return pa.table([pa.array([v[0] for v in back], pa.int64()), pa.array([v[1] for v in back], pa.binary())], names=["slice", "packed"])
+
+    return sent.groupBy("bucket").applyInArrow(merge, "slice long, packed binary")
+
+
 def _by_slice(df, parts):
     """Write a table in Spark's buckets by slice, so that what is known of a slice joins it where it lies.
 
@@ -524,13 +555,11 @@ def extract(pages, id="page_id", url="url", html="html", run=RUN):
     bits = min(61, max(32, tokens.bit_length() + 10))
     buckets = max(6, (tokens // BUCKET_TOKENS).bit_length())
     shared = settle(_shared_names(_slice_names(parsed, run, bits, bits - buckets)), "shared")
-    met = settle(_met_runs(parsed, shared, run, bits), "met")
-    repeated = met.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key")
     # Each different run of a slice once; its places are found again where its pages lie.
-    back = met.where("aim").select("slice", "key").join(repeated, "key", "left_semi")
+    back = _repeated_runs(_met_runs(parsed, shared, run, bits, buckets + 2))
 
     def keep(pages, back):
-        wanted, covered = np.sort(back["key"].to_numpy()), {}
+        wanted, covered = _known(back), {}
         for _, row, _, _, judged_, past, tokens, page in _chunks(pages.select(_STREAMED).to_batches(), CHUNK_TOKENS, run) if len(wanted) else ():
             at = np.flatnonzero(_among(wanted, _leading(tokens, run).view(np.int64)) & (page[: len(page) - run + 1] == page[run - 1 :]))
             start = at - np.searchsorted(page, page[at])
