@@ -9,6 +9,7 @@ from .. import fixed
 from ..functions import geo
 from ..functions.text import ascii_lower, filled, record_label
 from . import cards
+from .joins import join_known
 
 
 def require(condition, message):
@@ -193,7 +194,7 @@ def entries(facilities: DataFrame, courses: DataFrame) -> DataFrame:
     held = courses.where(F.col("facility_id").isNotNull()).select("facility_id").distinct()
     parents = facilities.select("facility_id", F.col("name").alias("facility_name"), "state", "latitude", "longitude")
     identity = F.coalesce("facility_id", "course_id")
-    shown = courses.join(parents, "facility_id", "left").select(
+    shown = join_known(courses, parents, "facility_id").select(
         "course_id",
         "facility_id",
         F.col("course_id").alias("record_id"),

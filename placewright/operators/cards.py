@@ -9,6 +9,7 @@ from ..functions import geo
 from ..functions.text import access_label, filled, lookup, record_label
 from .. import fixed
 from ..session import settle
+from .joins import join_known
 from .ordering import number_rows
 
 # The parts of an address.
@@ -62,7 +63,7 @@ def course_listing(courses: DataFrame, facilities: DataFrame, how="inner") -> Da
         geo.point(F.col("latitude"), F.col("longitude"), F.col("location_kind")).alias("map_location"),
         address_block("facility").alias("facility_address"),
     )
-    listed = courses.join(parents, "facility_id", how)
+    listed = join_known(courses, parents, "facility_id") if how == "left" else courses.join(parents, "facility_id", how)
     missing = [n for n in ADDRESS_FIELDS if "address_" + n not in courses.columns]
     address = F.when(F.col("address_mode") == "inherit", F.col("facility_address")).when(
         F.col("address_mode") == "override", address_block("course", missing=missing)
@@ -274,7 +275,7 @@ def membership(rounds: DataFrame, members: DataFrame, components: DataFrame) ->
     """Distinct (round, course): owner, member course, or the course of a member component."""
     owned = rounds.where(F.col("course_id").isNotNull()).select("round_id", "course_id")
     part = components.select("component_id", F.col("course_id").alias("part_course"))
-    played = members.join(part, "component_id", "left").select(
+    played = join_known(members, part, "component_id").select(
         "round_id", F.coalesce("course_id", "part_course").alias("course_id")
     )
     return owned.unionByName(played.where(F.col("course_id").isNotNull())).distinct()

@@ -15,6 +15,7 @@ from .. import fixed, schemas
 from ..functions import canon
 from ..functions.text import ascii_lower
 from . import quality
+from .joins import join_known
 
 SUBJECT_COLUMNS = ["facility_id", "course_id", "round_id", "component_id", "event_id", "party_id"]
 EVIDENCE = ["source_id", "collected_on", "status", "observation_id", "origin", "observation_digest", "review_reference"]
@@ -105,7 +106,7 @@ def with_observations(live: DataFrame, tables: dict) -> DataFrame:
         stored = tables["architecture_event"].join(wanted, "event_id", "left_semi")
         stored = stored.select(F.col("event_id").alias("_event"), F.col("observation_id").alias("_of_event"))
         events = events.unionByName(stored.join(events, "_event", "left_anti"))
-    joined = merged.join(events, "_event", "left")
+    joined = join_known(merged, events, "_event")
     return joined.withColumns({
         "fact_observation_id": F.when(is_credit, F.col("_of_event")).otherwise(F.col("_own")),
         "before_observation_id": F.when(~is_credit, F.col("_former")),
@@ -131,7 +132,7 @@ def ledger(live: DataFrame, observations: DataFrame, batch_id: str) -> DataFrame
     cited = observations.select(
         "observation_id", F.col("source_id").alias("o_source_id"), F.col("collected_on").alias("o_collected_on"), F.col("status").alias("o_status")
     )
-    joined = live.join(cited, "observation_id", "left")
+    joined = join_known(live, cited, "observation_id")
     typed, fixing = _typed(F.col("entity")), F.coalesce(F.col("origin") == "retained_normalization", F.lit(False))
     known = F.when(F.col("o_status").isin("extracted", "confirmed"), F.col("o_status")).otherwise("extracted")
     review = F.struct("origin", "observation_id", "observation_digest", "review_reference", F.col("o_status").alias("original_status"))
@@ -158,7 +159,7 @@ def evidence_violations(changes: DataFrame, sources: DataFrame, observations: Da
         F.col("observation_id"), F.col("source_id").alias("o_source_id"), F.col("collected_on").cast("string").alias("o_collected_on"),
         F.col("status").alias("o_status"), F.col("origin").alias("o_origin"), F.col("digest").alias("o_digest"),
     )
-    joined = changes.join(cited, "observation_id", "left")
+    joined = join_known(changes, cited, "observation_id")
     typed = _typed(F.col("entity"))
     correction = F.coalesce(F.col("origin") == "retained_normalization", F.lit(False))
     core_shape = (

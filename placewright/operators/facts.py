@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from . import cards
+from .joins import join_known
 
 
 def fact_view(domain: DataFrame, observations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -43,7 +44,7 @@ def subject_view(domains: dict, components: DataFrame) -> DataFrame:
     for rows in domains.values():
         course = F.col("course_id")
         if "component_id" in rows.columns:
-            rows = rows.join(part, "component_id", "left")
+            rows = join_known(rows, part, "component_id")
             course = F.coalesce("course_id", "part_course")
         views.append(
             rows.select(
@@ -88,7 +89,7 @@ def owners(bundle: dict, tables=None) -> DataFrame:
         owner = F.when(F.coalesce("_own", F.lit("")) != "", F.col("_own"))
         for column, parent in subjects.items():
             theirs = of(parent).select(F.col("id").alias(column), F.col("facility_id").alias("_of_" + column))
-            found = found.join(theirs, column, "left")
+            found = join_known(found, theirs, column)
             owner = owner.when(F.coalesce(column, F.lit("")) != "", F.col("_of_" + column))
         resolved[kind] = found.select("id", owner.alias("facility_id"))
         return resolved[kind]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed, schemas
 from ..functions.canon import strict_date, valid_url
+from .joins import join_known
 
 
 def _window(names):
@@ -156,16 +157,15 @@ def check_round_scope(bundle: dict) -> DataFrame:
     """Members outside their round's facility, or outside the round's own course."""
     courses = bundle["course"].select("course_id", F.col("facility_id").alias("course_facility"))
     rounds = (
-        bundle["round_option"]
-        .join(courses, "course_id", "left")
+        join_known(bundle["round_option"], courses, "course_id")
         .select("round_id", F.col("course_id").alias("round_course"), F.coalesce("facility_id", "course_facility").alias("round_facility"))
     )
     part = bundle["component"].select("component_id", F.col("course_id").alias("part_course"))
-    members = bundle["round_component"].join(part, "component_id", "left").withColumn(
+    members = join_known(bundle["round_component"], part, "component_id").withColumn(
         "played", F.coalesce("course_id", "part_course")
     )
     owner = courses.select(F.col("course_id").alias("played"), F.col("course_facility").alias("member_facility"))
-    placed = members.join(owner, "played", "left").join(rounds, "round_id")
+    placed = join_known(members, owner, "played").join(rounds, "round_id")
     wrong = (F.col("member_facility") != F.col("round_facility")) | (F.col("played") != F.col("round_course"))
     return placed.where(wrong).select(
         F.lit("round scope").alias("rule"), F.lit("round_component").alias("table"), F.col("member_id").alias("id"), F.lit(None).cast("string").alias("detail")
@@ -175,7 +175,7 @@ def check_round_scope(bundle: dict) -> DataFrame:
 def _round_owner(bundle):
     courses = bundle["course"].select(F.col("course_id").alias("round_course"), F.col("facility_id").alias("via_course"))
     rounds = bundle["round_option"].select("round_id", F.col("course_id").alias("round_course"), F.col("facility_id").alias("round_facility"))
-    return rounds.join(courses, "round_course", "left").select(
+    return join_known(rounds, courses, "round_course").select(
         "round_id", "round_course", F.coalesce("round_facility", "via_course").alias("round_facility")
     )
 
@@ -186,21 +186,17 @@ def check_observation_scope(subjects: DataFrame, bundle: dict, belongs: DataFram
     `subjects` is the union of the domains; `belongs` is (round, course) membership.
     """
     courses = bundle["course"].select("course_id", F.col("facility_id").alias("course_facility"))
-    groups = bundle["fact_group"].join(courses, "course_id", "left").select(
+    groups = join_known(bundle["fact_group"], courses, "course_id").select(
         F.col("group_id").alias("retained_group_id"),
         F.col("course_id").alias("group_course"),
         F.coalesce("facility_id", "course_facility").alias("group_facility"),
     )
     evidence = bundle["source_observation"].select("observation_id", "retained_group_id", "retained_facility_id")
-    placed = (
-        subjects.join(evidence, "observation_id")
-        .join(groups, "retained_group_id", "left")
-        .join(courses, "course_id", "left")
-        .join(_round_owner(bundle), "round_id", "left")
-        .withColumn("owner", F.coalesce("facility_id", "course_facility", "round_facility"))
-    )
+    placed = join_known(subjects.join(evidence, "observation_id"), groups, "retained_group_id")
+    placed = join_known(join_known(placed, courses, "course_id"), _round_owner(bundle), "round_id")
+    placed = placed.withColumn("owner", F.coalesce("facility_id", "course_facility", "round_facility"))
     support = belongs.select("round_id", F.col("course_id").alias("group_course"), F.lit(True).alias("supported"))
-    judged = placed.join(support, ["round_id", "group_course"], "left")
+    judged = join_known(placed, support, ["round_id", "group_course"])
     other_facility = (F.col("owner") != F.col("retained_facility_id")) | (F.col("owner") != F.col("group_facility"))
     by_round = F.col("round_id").isNotNull() & ~F.coalesce(F.col("round_course") == F.col("group_course"), F.lit(False)) & F.col("supported").isNull()
     other_course = F.col("group_course").isNotNull() & (
@@ -220,12 +216,8 @@ def check_price_bundle(prices: DataFrame, bundle: dict) -> DataFrame:
     owners = _round_owner(bundle)
     prior = owners.select(F.col("round_id").alias("qualifying_prior_round_id"), F.col("round_facility").alias("prior_facility"))
     own = owners.select("round_id", "round_facility")
-    placed = (
-        prices.where(F.col("qualifying_prior_round_id").isNotNull())
-        .join(prior, "qualifying_prior_round_id")
-        .join(courses, "course_id", "left")
-        .join(own, "round_id", "left")
-    )
+    bundled = prices.where(F.col("qualifying_prior_round_id").isNotNull()).join(prior, "qualifying_prior_round_id")
+    placed = join_known(join_known(bundled, courses, "course_id"), own, "round_id")
     owner = F.coalesce("facility_id", "course_facility", "round_facility")
     return placed.where(owner != F.col("prior_facility")).select(
         F.lit("price bundle scope").alias("rule"), F.lit("price_observation").alias("table"), F.col("price_id").alias("id"), F.lit(None).cast("string").alias("detail")
@@ -235,7 +227,7 @@ def check_price_bundle(prices: DataFrame, bundle: dict) -> DataFrame:
 def check_observation_references(bundle: dict) -> DataFrame:
     """Observations whose retained group and retained facility disagree."""
     courses = bundle["course"].select("course_id", F.col("facility_id").alias("course_facility"))
-    groups = bundle["fact_group"].join(courses, "course_id", "left").select(
+    groups = join_known(bundle["fact_group"], courses, "course_id").select(
         F.col("group_id").alias("retained_group_id"), F.coalesce("facility_id", "course_facility").alias("group_facility")
     )
     both = bundle["source_observation"].join(groups, "retained_group_id")

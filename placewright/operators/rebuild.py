@@ -12,6 +12,7 @@ from ..session import settle
 from . import features as feature_ops
 from . import links
 from .entities import linked_entities
+from .joins import join_known
 
 KINDS = {"facilities": "facility_id", "courses": "course_id"}
 
@@ -88,8 +89,8 @@ def rebuild(released: dict, features: DataFrame, entities: DataFrame, pairs: Dat
             .withColumn("osm_identity", F.col(key))
             .withColumn("catalog_origin", F.lit("osm"))
         )
-        together = current.unionByName(new, allowMissingColumns=True).join(source, "osm_identity", "left")
-        filled = feature_ops.fill_unknown(together).join(entity_lists, "osm_identity", "left")
+        together = join_known(current.unionByName(new, allowMissingColumns=True), source, "osm_identity")
+        filled = join_known(feature_ops.fill_unknown(together), entity_lists, "osm_identity")
         own = F.when(
             F.col("source_url").isNotNull(),
             F.array(feature_ops.citation(F.array(F.lit("osm"), F.lit("osm_identity")), "osm_snapshot")),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .joins import join_known
 
 _REFERENCES = ["facility_id", "course_id", "component_id", "round_id", "destination_id"]
 _KEYS = {
@@ -50,7 +51,7 @@ def withhold(bundle: dict, reviewed: DataFrame) -> dict:
 
     result = dict(bundle)
     result["facility"] = facilities.join(_named(removed, "facility_id"), "facility_id", "left_anti")
-    result["course"] = courses.join(_named(removed, "facility_id"), "facility_id", "left_anti")
+    result["course"] = join_known(courses, _named(removed, "facility_id"), "facility_id", "left_anti")
     for table, key in _KEYS.items():
         gone = second
         if table not in ("component", "round_option"):
