@@ -31,6 +31,8 @@ def identify_languages(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """Keep of every group of near copies (5-word similarity of 0.8 or more) the row of the smallest id.
 
+    SimHash links texts by the index of positional bytes; so does an index of smallest hashes, which also
+    meets those of 0.8 whose SimHashes are farther apart. Whole sets of shingles decide what is a copy.
     Rows are judged, not ids: rows of one id with different texts are documents of their own.
     """
     _short_batches(spark)

@@ -1,8 +1,9 @@
-"""Near copies by 5-word similarity, through an inverted index of byte positions with count filtering.
+"""Near copies by 5-word similarity, through inverted indexes of byte positions with count filtering.
 
-Bits of a SimHash can't promise shared bytes at similarity 0.8: the fingerprints of such texts differ
+Two indexes link texts. The first is that of simhash.py over the SimHash of a text's 5-word shingles: all
+texts within two bits meet there. Bits of a SimHash can't promise shared bytes at similarity 0.8: the fingerprints of such texts differ
 in some 15 % of their bits at any length, which is more than one bit per byte. The positional bytes
-here are of smallest hashes instead (MinHash): two texts agree in a byte with a chance of their
+of the second index are of smallest hashes (MinHash): two texts agree in a byte with a chance of their
 similarity, so a pair of 0.8 shares some 140 of 175 bytes. The index is keyed by runs of five
 bytes; a pair of 0.8 misses all 35 with a chance of 1e-6 (of 0.85: 4e-10). A pair that meets counts if it shares
 LEAST_SHARED bytes (a pair of 0.8 has fewer with a chance below 1e-8). Links so found only say which
@@ -20,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import enter, settle
 from .components import components
 
@@ -36,13 +38,7 @@ _TIMES = _draw.integers(0, 1 << 32, RUN * RUNS, dtype=np.uint32) | np.uint32(1)
 
 def shingles(text):
     """Sorted different hashes of a text's 5-word shingles; of all its words if it has fewer."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
-    if len(words) < SHINGLE:
-        parts = [b" ".join(words)] if words else []
-    else:
-        parts = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(p, SEED) for p in parts), dtype=np.uint64))
+    return np.unique(simhash.hashes(text, SHINGLE))
 
 
 def positional(hashes):
@@ -127,6 +123,15 @@ def _linked(rows, group, value, read, find):
     return rows.select(group, "node", value).repartition(group).sortWithinPartitions(group).mapInArrow(link, "a long, b long")
 
 
+def by_bits(rows):
+    """Links (a, b) of the nodes of rows (node, fp) whose SimHashes are within simhash.BITS of each other."""
+    first = settle(rows.groupBy("fp").agg(F.min("node").alias("first")), "prints")
+    equal = rows.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    named = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias("of_" + end))
+    near = simhash.links(first).join(named("a"), "a").join(named("b"), "b")
+    return equal.unionByName(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
 def unlike(docs, id="doc_id", text="text"):
     """The rows of docs that are no near copy of a row kept: of every connected set of similarity 0.8
     or more one row, that of the smallest id (a row without id only where none has one; of equal
@@ -138,17 +143,19 @@ def unlike(docs, id="doc_id", text="text"):
         enter("copies")
         task, number = TaskContext.get().partitionId() << 33, 0
         for batch in batches:
-            nodes, prints = [], []
+            nodes, prints, bits = [], [], []
             for said in batch[1]:
-                hashes = shingles(said.as_py())
+                every = simhash.hashes(said.as_py(), SHINGLE)
+                bits.append(simhash.print_of(every))
+                hashes = np.unique(every)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED))
                 prints.append(positional(hashes).tobytes() if len(hashes) else None)
             numbers = np.arange(task + number, task + number + batch.num_rows)
             number += batch.num_rows
-            made = [pa.array(numbers), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary())]
-            yield pa.record_batch([*made, *batch.columns], names=["number", "node", "print", "id", "said", "row"])
+            made = [pa.array(numbers), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(np.array(bits, np.uint64).view(np.int64))]
+            yield pa.record_batch([*made, *batch.columns], names=["number", "node", "print", "fp", "id", "said", "row"])
 
-    kind = T.StructType([*T.StructType().add("number", "long").add("node", "long").add("print", "binary"), *taken.schema])
+    kind = T.StructType([*T.StructType().add("number", "long").add("node", "long").add("print", "binary").add("fp", "long"), *taken.schema])
     made = settle(taken.mapInArrow(read, kind), "shingles")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", F.md5(F.coalesce("said", F.lit(""))).alias("digest"), "number")
     sets = settle(made.groupBy("node").agg(F.min(rank).alias("best"), F.min("print").alias("print")), "sets")
@@ -164,7 +171,7 @@ def unlike(docs, id="doc_id", text="text"):
     shared = postings.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     met = postings.join(shared, "key", "left_semi").join(sets.select("node", "print"), "node")
     near = _linked(met, "key", "print", lambda v: np.frombuffer(v, np.uint8), lambda v: by_bytes(np.array(v)))
-    roots = components(near)
+    roots = components(near.unionByName(by_bits(made.where("print is not null"))))
     texts = roots.join(sets.select("node", F.col("best.number").alias("number")), "node").join(made.select("number", "said"), "number")
     copies = settle(_linked(texts, "root", "said", shingles, by_sets), "copies")
     groups = sets.join(copies.withColumnRenamed("a", "node"), "node", "left").groupBy(F.coalesce("b", "node").alias("root"))

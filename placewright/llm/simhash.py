@@ -26,17 +26,21 @@ BITS = 2
 SEED = 42
 
 
-def fingerprint(text, shingle=SHINGLE):
-    """64-bit fingerprint of a text; 0 for none or no words."""
+def hashes(text, shingle=SHINGLE):
+    """The hash of every shingle of a text, repeats included; none for no words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     if len(words) < shingle:
         parts = [b" ".join(words)]
     else:
         parts = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(p, SEED) for p in parts), dtype=np.uint64, count=max(1, len(words) - shingle + 1))
+    return np.fromiter((digest(p, SEED) for p in parts), dtype=np.uint64, count=max(1, len(words) - shingle + 1))
+
+
+def print_of(hashes):
+    """64-bit fingerprint of shingles' hashes; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         block = hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8)
@@ -44,6 +48,11 @@ def fingerprint(text, shingle=SHINGLE):
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text, shingle=SHINGLE):
+    """64-bit fingerprint of a text; 0 for none or no words."""
+    return print_of(hashes(text, shingle))
+
+
 def fingerprints(docs, id="doc_id", text="text", shingle=SHINGLE):
     """doc_id, fp (the fingerprint as a signed long) of every row; extra columns are ignored."""
     rows = columns(docs, doc_id=id, text=text)

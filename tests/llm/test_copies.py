@@ -73,3 +73,21 @@ def test_leaks_go_by_row(spark, tmp_path):
     docs = spark.createDataFrame([(None, "so " + item), (None, clean), (3, item + " so"), (3, clean)], "doc_id long, text string")
     found = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in found.collect()) == [(0, clean), (3, clean)]
+
+
+def test_texts_whose_simhashes_are_near_are_linked(spark):
+    rng = random.Random(8)
+    prints = [rng.getrandbits(63) for _ in range(12)]
+    prints += [p ^ 1 << rng.randrange(60) ^ 1 << rng.randrange(60) for p in prints[:6]] + prints[:3]
+    rows = list(enumerate(prints))
+    want = brute_roots([(a, b) for a, p in rows for b, q in rows if a < b and (p ^ q).bit_count() <= 2])
+    found = brute_roots([(r["a"], r["b"]) for r in copies.by_bits(spark.createDataFrame(rows, "node long, fp long")).collect()])
+    assert [found.get(k, k) for k in range(len(rows))] == [want.get(k, k) for k in range(len(rows))] and len(want) >= 9
+
+
+def test_the_stage_reads_simhashes(spark):
+    base = " ".join(f"w{k}" for k in range(900))
+    docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, "another text with words of its own")], "doc_id long, text string")
+    prints = [copies.simhash.fingerprint(t, copies.SHINGLE) for t in (base, base + " end")]
+    assert (prints[0] ^ prints[1]).bit_count() <= 2
+    assert sorted(r["doc_id"] for r in copies.unlike(docs).collect()) == [1, 3]
