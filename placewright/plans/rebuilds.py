@@ -295,7 +295,8 @@ def c06_relations(spark, sf):
 def c07(spark, sf):
     rows = T(spark, sf, "f").select("k", "facility_id", "access", "physical_holes")
     source = tagged(spark, sf).select("k", F.col("tags").alias("feature_tags"), "source_url", "checked_on", "credit")
-    joined = rows.join(source, "k").withColumn("fact_sources", F.array().cast(f"array<{CITATION}>"))
+    # Tags are far larger than the files they come from, so neither side is sent whole to all tasks.
+    joined = rows.join(source.hint("merge"), "k").withColumn("fact_sources", F.array().cast(f"array<{CITATION}>"))
     filled = features.fill_unknown(joined)
     return filled.select("facility_id", "access", "physical_holes", F.array_join("filled_fields", ",").alias("filled"), F.size("fact_sources").alias("citations"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from placewright.operators import links
 from placewright.operators.joins import join_known
 
@@ -37,3 +38,8 @@ def test_rows_without_a_reference_are_not_one_task(spark, rows):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert {r["own"] for r in renamed.select("own").distinct().collect()} == {"g0", "f4", None}
+
+
+def test_tags_are_not_sent_whole_to_all_tasks(spark, sf):
+    plan = entry.queries()["c07_fill_unknown_only"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
