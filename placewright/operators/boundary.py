@@ -76,6 +76,10 @@ def credential_syntax(text: Column) -> Column:
     return _let(one_space(text), _credential_in) | _joined_credential(text)
 
 
+# Whatever is searched for holds one of these, so a text without any is done with after one look.
+_TELLING = r"[@%=/\\:]"
+
+
 def private_path(text: Column, operational: Column) -> Column:
     """Credentials or a local path in a text; public text fields may use plain slashes."""
 
@@ -92,7 +96,14 @@ def private_path(text: Column, operational: Column) -> Column:
         unlinked = F.when(spaced.contains("://"), linked).otherwise(spaced)
         return _credential_in(spaced) | _let(unlinked, path_in)
 
-    return _let(one_space(text), in_scan) | _joined_credential(text)
+    return F.when(~text.rlike(_TELLING), False).otherwise(_let(one_space(text), in_scan) | _joined_credential(text))
+
+
+def _once(rows: DataFrame, *shown, rule: Column) -> DataFrame:
+    """Rows that a rule names, the rule evaluated once. As a plain filter it is evaluated once more
+    below the columns it is made from, and these with it each time they are used."""
+    judged = rows.select(*shown, F.explode(F.array(rule)).alias("rule"))
+    return judged.where(F.col("rule").isNotNull())
 
 
 def _any(names):
@@ -171,8 +182,7 @@ def violations(records: DataFrame, key: str, value: str, root: str) -> DataFrame
         .when(bad_key_text, "private text in key")
         .when(bad_text, "private text")
     )
-    judged = flat.select("id", "path", rule.alias("rule"))
-    return judged.where(F.col("rule").isNotNull())
+    return _once(flat, "id", "path", rule=rule)
 
 
 # --- typed rows --------------------------------------------------------------------------------
@@ -242,4 +252,4 @@ def typed_violations(rows: DataFrame, key: str, root: str) -> DataFrame:
     bad_key = F.col("is_key") & scan_text(F.col("text")).isin(fixed.PRIVATE_KEYS + fixed.CREDENTIAL_KEYS)
     public = public_text_path(F.col("path")) & ~F.col("is_key")
     rule = F.when(bad_key, "private key").when(F.col("text").contains("\x00") | private_path(F.col("text"), public), "private text")
-    return said.select("id", "path", rule.alias("rule")).where("rule is not null").unionByName(wrong)
+    return _once(said, "id", "path", rule=rule).unionByName(wrong)
