@@ -23,6 +23,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -36,7 +37,6 @@ GRAM = 4  # tokens of the pieces whose smallest hash names a run
 SLICE_TOKENS = 2_000_000
 CHUNK_TOKENS = 500_000  # tokens whose runs are named at once
 BUCKET_TOKENS = 1 << 25  # tokens of the corpus for each bucket of names
-WORDS_KEPT = 1_000_000  # word hashes that a task keeps
 
 # Element names of the HTML standard, and words that sites use for parts of a page.
 BLOCKS = frozenset(
@@ -192,18 +192,11 @@ def _blocks(source, holders):
     return out, held or frozenset()
 
 
-class _Hashes(dict):
-    """Word hashes, kept while a task runs."""
-
-    def __missing__(self, word):
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-
-def _hash(words, kept):
-    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+def _hash(texts):
+    """Word hashes of an array of texts, on end; each different word is hashed once."""
+    words = pc.split_pattern(texts, " ").flatten().dictionary_encode()
+    known = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh64_intdigest, known), np.uint64, len(known))[words.indices.to_numpy()]
 
 
 _PAD = np.uint64(0x9E3779B97F4A7C15)  # stands after a short block, which is a run of its own
@@ -218,17 +211,22 @@ def judged(found):
     return [t for t, k in found if k != _FRAME], [t for t, k in found if k == _FRAME], False
 
 
-def stream_of(parts, others, article, kept, run=RUN):
-    """Token hashes of a page: the judged blocks, then the others, then an article's short blocks again,
-    each filled up to a run."""
-    hashes = _hash([w for t in (*parts, *others) for w in t.split(" ")], kept)
-    at, short = 0, []
-    for t in parts if article else ():
-        n = t.count(" ") + 1
-        if SHORT <= n < run:
-            short += [hashes[at : at + n], np.full(run - n, _PAD)]
-        at += n
-    return np.concatenate([hashes, *short])
+def streams_of(parts, others, sizes, rest, article, run=RUN):
+    """Token hashes of each page of some columns: the judged blocks, then the others, then an article's short
+    blocks again, each filled up to a run."""
+    own, more = _hash(parts.flatten()), _hash(others.flatten())
+    sizes_ = sizes.flatten().to_numpy()
+    place = np.append(0, np.cumsum(sizes_)).tolist()
+    first = np.append(0, np.cumsum(pc.list_value_length(sizes).to_numpy())).tolist()
+    past = np.append(0, np.cumsum(rest.to_numpy())).tolist()
+    sizes_ = sizes_.tolist()
+    for k, whole in enumerate(article.to_pylist()):
+        a, b = first[k], first[k + 1]
+        short = []
+        for at, n in zip(place[a:b], sizes_[a:b], strict=True) if whole else ():
+            if SHORT <= n < run:
+                short += [own[at : at + n], np.full(run - n, _PAD)]
+        yield np.concatenate([own[place[a] : place[b]], more[past[k] : past[k + 1]], *short])
 
 
 def mark_of(parts, others, article):
@@ -313,7 +311,7 @@ def _chunks(batches, most, run):
     """Streams of some pages of a slice on end, up to `most` tokens or one page: slice, row, host, mark, judged
     words and first word past the others of each page, tokens, and the page of each token. The host is
     part of every token, so that pages of two hosts never share a run."""
-    kept, pages, size, last = _Hashes(), [], 0, None
+    pages, size, last = [], 0, None
 
     def close():
         rows, hosts, marks, judged_, past, streams = zip(*pages, strict=True)
@@ -323,15 +321,17 @@ def _chunks(batches, most, run):
         return last, np.array(rows), hosts, np.array(marks, np.int64), np.array(judged_), np.array(past), tokens, page
 
     for batch in batches:
-        for slice_, row, host, mark, parts, others, sizes, rest, article in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        judged_ = [sum(sizes) for sizes in batch["sizes"].to_pylist()]
+        kept = [batch[name].to_pylist() for name in ("slice", "row", "host", "mark", "rest")]
+        streams = streams_of(*[batch[name] for name in ("parts", "others", "sizes", "rest", "article")], run)
+        for slice_, row, host, mark, rest, words, stream in zip(*kept, judged_, streams, strict=True):
             if slice_ != last and pages:
                 yield close()
                 pages, size = [], 0
             last = slice_
-            stream = stream_of(parts, others, article, kept, run)
             if len(stream) < run:
                 continue
-            pages.append((row, host, mark, sum(sizes), sum(sizes) + rest, stream))
+            pages.append((row, host, mark, words, words + rest, stream))
             size += len(stream)
             if size >= most:
                 yield close()

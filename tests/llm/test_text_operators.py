@@ -8,7 +8,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -287,3 +289,18 @@ def test_main_text_by_repetition(spark):
     assert by[10].endswith(foot) and by[11].endswith(foot) and by[12] == foot and by[13] == ""
     assert by[14].endswith(foot)  # two copies of one page don't make it boilerplate
     assert maintext.extract(pages.limit(0)).collect() == []
+
+
+def test_page_streams_by_column():
+    rows = [(["One two three four five", "a b c d", "x"], ["Menu Öl"], True), ([], [], False), (["a b c d", "two"], ["x y"], False)]
+    count = [[t.count(" ") + 1 for t in parts] for parts, _, _ in rows]
+    kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.int32(), pa.bool_()]
+    values = [[r[0] for r in rows], [r[1] for r in rows], count, [sum(t.count(" ") + 1 for t in r[1]) for r in rows], [r[2] for r in rows]]
+    hashed = lambda text: [xxhash.xxh64_intdigest(w.encode()) for w in text.split()]
+    pad = int(maintext._PAD)
+    short = [*hashed("One two three four five"), *[pad] * 3, *hashed("a b c d"), *[pad] * 4]
+    expected = [hashed("One two three four five a b c d x Menu Öl") + short, [], hashed("a b c d two x y")]
+    columns = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+    assert [s.tolist() for s in maintext.streams_of(*columns)] == expected
+    # A part of a column is read as its own rows only.
+    assert [s.tolist() for s in maintext.streams_of(*[c.slice(1) for c in columns])] == expected[1:]
