@@ -222,23 +222,25 @@ def nest_lists(key: str, lists: dict, limit=PART_ROWS) -> DataFrame:
         tagged.append(rows.select(key, F.lit(tag).alias("tag"), _slots(order, rows, width).alias("at"), item.alias("i_" + name)))
     rows = settle(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tagged), "children")
     crowded = rows.groupBy(key, "tag").agg(F.count("*").alias("n")).where(F.col("n") > limit).select(key, "tag")
-    placed = rows.withColumn("part", F.lit(0))
+    # Without a crowded list all is part 0, and grouped by the key alone: joins on it find the rows where they are.
+    placed, by, part = rows.withColumn("part", F.lit(0)), [key], F.lit(0).alias("part")
     if crowded.limit(1).count():
+        by, part = [key, "part"], F.col("part")
         crowded = settle(crowded, "crowded")
         ordered = number_rows(rows.join(crowded, [key, "tag"], "left_semi"), [F.col(key), F.col("tag"), F.col("at")])
         # One narrow row per parent and list; one with very many children may be split by the join.
         first = ordered.groupBy(key, "tag").agg(F.min("position").alias("first"))
-        part = F.floor((F.col("position") - F.col("first")) / limit).cast("int")
-        parts = ordered.join(first, [key, "tag"]).withColumn("part", part).select(*placed.columns)
+        at = F.floor((F.col("position") - F.col("first")) / limit).cast("int")
+        parts = ordered.join(first, [key, "tag"]).withColumn("part", at).select(*placed.columns)
         placed = rows.join(crowded, [key, "tag"], "left_anti").withColumn("part", F.lit(0)).select(*placed.columns).unionByName(parts)
     items = ["i_" + name for name in lists]
-    grouped = placed.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("tag", "at", *items))).alias("all"))
+    grouped = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tag", "at", *items))).alias("all"))
 
     def own(tag, name):
         mine = F.transform(F.filter("all", lambda x: x["tag"] == tag), lambda x: x["i_" + name])
         return F.when(F.size(mine) > 0, mine).alias(name)
 
-    return grouped.select(key, "part", *[own(tag, name) for tag, name in enumerate(lists)])
+    return grouped.select(key, part, *[own(tag, name) for tag, name in enumerate(lists)])
 
 
 def nest(children: DataFrame, key: str, order, item: Column, limit=PART_ROWS) -> DataFrame:

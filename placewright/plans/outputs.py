@@ -7,7 +7,7 @@ from ..operators import cards, facts
 from ..session import new_folder, read, settle
 from ..sources import csvfiles, jsonfiles, projections, releases
 from ..standin import cte
-from .reads import SQL_BELONGS, bundle
+from .reads import SQL_BELONGS, bundle, lined_bundle
 from .registry import query
 from .scalars import SQL_JSON, FACT_COLUMNS
 
@@ -319,7 +319,7 @@ def s14(spark, sf):
  left join ps on ps.course_id=c.course_id left join rs on rs.course_id=c.course_id left join ts on ts.course_id=c.course_id""",
 )
 def s13(spark, sf):
-    made = projections.display_details(cards.course_cards(bundle(spark, sf), lists=["components", "tee_sets", "round_options"]))
+    made = projections.display_details(cards.course_cards(lined_bundle(spark, sf), lists=["components", "tee_sets", "round_options"]))
     schema = "name string, facility_name string, access string, address struct<city:string>, arrival struct<kind:string>, components array<struct<name:string>>, round_options array<struct<name:string>>, tee_sets array<struct<name:string>>"
     x = made.select("course_id", "details", F.from_json("details", schema).alias("x"))
     leaks = F.col("details").rlike('"(tee_id|component_id|county|purpose)"|:null')

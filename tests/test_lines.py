@@ -2,7 +2,10 @@
 
 import datetime
 
+from pyspark.sql import functions as F
+
 from placewright import standin
+from placewright.operators import cards
 
 SCHEMA = (
     "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double,"
@@ -35,3 +38,27 @@ def test_lines_are_dealt_before_they_are_grouped(spark, tmp_path):
     plan = plan_of(rows)
     # The rows are dealt below the aggregate, so that none of it runs over a split of the file.
     assert plan.index("Aggregate") < plan.index("RepartitionByExpression") < plan.index("Relation")
+
+
+def test_tables_of_one_written_copy(spark, tmp_path):
+    sf = write(spark, tmp_path, [line(1, 1, 9), line(1, 1, 7), line(1, 2, 50), line(None, 3, 4)])
+    made = standin.line_tables(spark, sf, "p", "m", "t")
+    for name, rows in made.items():
+        assert "Aggregate" not in plan_of(rows)
+        one = standin.table(spark, sf, name)
+        assert rows.columns == one.columns
+        assert sorted(map(str, rows.collect())) == sorted(map(str, one.collect()))
+
+
+def test_nested_lists_join_their_parents_where_they_are(spark):
+    children = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "key string, id long")
+    parents = spark.createDataFrame([("a",), ("c",)], "key string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        nested = cards.nest(children, "key", ["id"], F.col("id"))
+        made = cards.attach(parents, "key", {"ids": nested})
+        assert sorted((r.key, r.part, tuple(r.ids)) for r in made.collect()) == [("a", 0, (1, 2)), ("c", 0, ())]
+        plan = parents.join(nested, "key")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the children by key, once, and the parents
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
