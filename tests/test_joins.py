@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from placewright.operators import links
+from placewright.operators import links, reconcile
 from placewright.operators.joins import join_known
 
 
@@ -40,6 +40,26 @@ def test_rows_without_a_reference_are_not_one_task(spark, rows):
     assert {r["own"] for r in renamed.select("own").distinct().collect()} == {"g0", "f4", None}
 
 
+def test_courses_without_a_destination_are_not_one_task(spark):
+    courses = spark.createDataFrame([(f"c{k}", None if k % 4 else f"f{k % 8}") for k in range(4000)], "course_id string, destination_id string")
+    destinations = spark.createDataFrame([("f0",)], "id string")
+    removed = spark.createDataFrame([("f0",), ("f4",)], "facility_id string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        cleared = reconcile.clear_dangling(courses, destinations, removed)
+        # Destinations are read too, or else both joins would be dropped.
+        sizes = cleared.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count("destination_id")).collect()
+        assert max(r["n"] for r in sizes) < 2200  # 3000 of 4000 courses have none, over 4 partitions
+        found = {r["destination_id"]: r["count"] for r in cleared.groupBy("destination_id").count().collect()}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert found == {"f0": 500, None: 3500}
+
+
 def test_tags_are_not_sent_whole_to_all_tasks(spark, sf):
     plan = entry.queries()["c07_fill_unknown_only"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
