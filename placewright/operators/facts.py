@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import settle
 from . import cards
-from .joins import join_known
+from .joins import join_known, join_stored
 
 
 def fact_view(domain: DataFrame, observations: DataFrame, sources: DataFrame) -> DataFrame:
@@ -71,7 +72,8 @@ def owners(bundle: dict, tables=None) -> DataFrame:
     One rule for all kinds: a facility is its own; a row that states a facility has that one; else it
     has the owner of its first stated subject, which may again be known by its subject only, or be
     NULL. Kinds are resolved along these references, each once, by joins on the subject's id; a
-    subject that does not exist resolves to NULL (the reference rules report it).
+    subject that does not exist resolves to NULL (the reference rules report it). Each join's result is
+    written, and only rows that state the subject are dealt, so that disks hold the shuffle of one join.
     """
     resolved = {}
 
@@ -82,16 +84,18 @@ def owners(bundle: dict, tables=None) -> DataFrame:
         if kind == "facility":
             resolved[kind] = rows.select(F.col(key).alias("id"), F.col(key).alias("facility_id"))
             return resolved[kind]
-        none = F.lit(None).cast("string")
-        stated = F.col("facility_id") if "facility_id" in rows.columns else none
+        own = F.col("facility_id") if "facility_id" in rows.columns else F.lit(None).cast("string")
         subjects = {c: parent for c, parent in SUBJECT_ORDER.items() if c in rows.columns and c != key and parent in bundle}
-        found = rows.select(F.col(key).alias("id"), stated.alias("_own"), *subjects)
-        owner = F.when(F.coalesce("_own", F.lit("")) != "", F.col("_own"))
+        stated = lambda column: F.coalesce(column, F.lit("")) != ""
+        found = rows.select(F.col(key).alias("id"), F.when(stated(own), own).alias("_owner"), stated(own).alias("_done"), *subjects)
+        left = list(subjects)
         for column, parent in subjects.items():
-            theirs = of(parent).select(F.col("id").alias(column), F.col("facility_id").alias("_of_" + column))
-            found = join_known(found, theirs, column)
-            owner = owner.when(F.coalesce(column, F.lit("")) != "", F.col("_of_" + column))
-        resolved[kind] = found.select("id", owner.alias("facility_id"))
+            left.remove(column)
+            theirs = of(parent).select(F.col("id").alias(column), F.col("facility_id").alias("_theirs"))
+            here = F.when(~F.col("_done") & stated(F.col(column)), F.col("_theirs")).otherwise(F.col("_owner"))
+            found = join_stored(found, theirs, column).select("id", here.alias("_owner"), (F.col("_done") | stated(F.col(column))).alias("_done"), *left)
+            found = settle(found, "owners")
+        resolved[kind] = found.select("id", F.col("_owner").alias("facility_id"))
         return resolved[kind]
 
     named = tables or [t for t in bundle if t in schemas.KEYS and {"facility_id", *SUBJECT_ORDER} & set(bundle[t].columns)]

@@ -357,7 +357,11 @@ _EVENTS = f"select {', '.join(_EVENT)} from (select *, cast(substr(course_id, 3)
  union all select 'architecture_event', id, facility_id from oe union all select 'architecture_credit', 'k-' || r.round_id, oe.facility_id from r left join oe on oe.id='e-' || substr(r.round_id, 3)""",
 )
 def j17(spark, sf):
-    b = bundle(spark, sf)
+    lines = standin.line_tables(
+        spark, sf, p=("component_id", "course_id"), m=("member_id", "round_id", "component_id", "course_id"), t=("tee_id", "course_id", "round_id"),
+        price=("price_id", "facility_id", "course_id", "round_id"),
+    )
+    b = bundle(spark, sf) | {"component": lines["p"], "round_component": lines["m"], "tee_set": lines["t"], "price_observation": lines["price"]}
     events = b["course"].withColumn("k", F.expr("cast(substr(course_id, 3) as bigint)")).selectExpr(*_EVENT)
     credits = b["round_option"].selectExpr("'k-' || round_id as credit_id", "'e-' || substr(round_id, 3) as event_id")
     return facts.owners(b | {"architecture_event": events, "architecture_credit": credits})
@@ -705,10 +709,10 @@ def u01(spark, sf):
     return facts.subject_view(domains(spark, sf), T(spark, sf, "p"))
 
 
-def domains(spark, sf):
-    """Three observation domains over the stand-ins."""
-    price = T(spark, sf, "price").withColumnRenamed("price_id", "id")
-    physical = T(spark, sf, "li").selectExpr(
+def domains(spark, sf, price=None, lines=None):
+    """Three observation domains over the stand-ins, of which some may be at hand."""
+    price = (T(spark, sf, "price") if price is None else price).withColumnRenamed("price_id", "id")
+    physical = (T(spark, sf, "li") if lines is None else lines).selectExpr(
         "'ph-' || l_orderkey || '-' || l_linenumber as id", "'o-' || l_suppkey as observation_id",
         "cast(null as string) as facility_id", "cast(null as string) as course_id", "'p-' || l_orderkey || '-' || l_linenumber as component_id",
     )

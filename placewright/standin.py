@@ -263,16 +263,21 @@ _LINE_REST = [
 ]
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, said=None):
     """One row per (order, line number): the raw pair repeats, so keep the smallest row.
 
+    `said` is text that names the columns that are used. Rows are compared column by column, so the first
+    columns of the smallest row are the smallest first columns, and those after the last one used stay unread.
     Rows are dealt by the pair before they are grouped: most pairs stand once in a split of the file, so grouping
     them there too would sort or hash the whole split in one task's memory and combine next to nothing.
     """
+    used = [at for at, c in enumerate(_LINE_REST, 1) if said is None or c in said]
     lines = read(spark, sf_dir, "lineitem").repartition(*_LINE_KEY)
+    if not used:
+        return lines.select(*_LINE_KEY).distinct()
     return (
         lines.groupBy(*_LINE_KEY)
-        .agg(F.min(F.struct(*_LINE_REST)).alias("row"))
+        .agg(F.min(F.struct(*_LINE_REST[: used[-1]])).alias("row"))
         .select(*_LINE_KEY, "row.*")
     )
 
@@ -288,21 +293,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             .join(read(spark, sf_dir, "region"), F.expr("n_regionkey=r_regionkey"))
         )
     elif origin == "li":
-        base = _lines(spark, sf_dir)
+        base = _lines(spark, sf_dir, _said(columns))
     else:
         base = read(spark, sf_dir, origin)
     return _described(base, columns)
 
 
+def _said(columns):
+    return " ".join(columns.values())
+
+
 def _described(base, columns):
     return base.selectExpr(*[f"{expression} as {column}" for column, expression in columns.items()])
 
 
-def line_tables(spark: SparkSession, sf_dir: str, *names: str) -> dict:
-    """Several tables over the order lines, of one written copy of what they use, so that the lines are dealt once."""
-    said = " ".join(expression for name in names for expression in _SOURCES[name][0].values())
-    lines = settle(_lines(spark, sf_dir).select(*[c for c in _LINE_KEY + _LINE_REST if c in said]), "lines")
-    return {name: _described(lines, _SOURCES[name][0]) for name in names}
+def line_tables(spark: SparkSession, sf_dir: str, *names: str, **parts) -> dict:
+    """Several tables over the order lines, of one written copy of what they use, so that the lines are dealt once.
+
+    `parts` names the columns that are used of tables that are not used whole; li has the lines themselves.
+    """
+    tables = {name: _SOURCES[name][0] for name in names}
+    tables |= {name: {c: c if name == "li" else _SOURCES[name][0][c] for c in columns} for name, columns in parts.items()}
+    said = " ".join(_said(columns) for columns in tables.values())
+    lines = settle(_lines(spark, sf_dir, said).select(*[c for c in _LINE_KEY + _LINE_REST if c in said]), "lines")
+    return {name: _described(lines, columns) for name, columns in tables.items()}
 
 
 def with_tags(features: DataFrame) -> DataFrame:
