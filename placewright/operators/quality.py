@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed, schemas
 from ..functions.canon import strict_date, valid_url
-from .joins import join_known
+from ..session import settle
+from .joins import join_known, join_stored
 
 
 def _window(names):
@@ -175,7 +176,7 @@ def check_round_scope(bundle: dict) -> DataFrame:
 def _round_owner(bundle):
     courses = bundle["course"].select(F.col("course_id").alias("round_course"), F.col("facility_id").alias("via_course"))
     rounds = bundle["round_option"].select("round_id", F.col("course_id").alias("round_course"), F.col("facility_id").alias("round_facility"))
-    return join_known(rounds, courses, "round_course").select(
+    return join_stored(rounds, courses, "round_course").select(
         "round_id", "round_course", F.coalesce("round_facility", "via_course").alias("round_facility")
     )
 
@@ -183,29 +184,34 @@ def _round_owner(bundle):
 def check_observation_scope(subjects: DataFrame, bundle: dict, belongs: DataFrame) -> DataFrame:
     """Facts whose subject lies outside what their evidence is about.
 
-    `subjects` is the union of the domains; `belongs` is (round, course) membership.
+    `subjects` is the union of the domains; `belongs` is (round, course) membership, each pair once. Evidence is
+    placed before it meets the facts, and facts whose evidence is about nothing can't contradict it. What each
+    step leaves is written, so that disks hold the shuffles of one step and only rows still in question travel.
     """
     courses = bundle["course"].select("course_id", F.col("facility_id").alias("course_facility"))
-    groups = join_known(bundle["fact_group"], courses, "course_id").select(
+    groups = join_stored(bundle["fact_group"], courses, "course_id").select(
         F.col("group_id").alias("retained_group_id"),
         F.col("course_id").alias("group_course"),
         F.coalesce("facility_id", "course_facility").alias("group_facility"),
     )
     evidence = bundle["source_observation"].select("observation_id", "retained_group_id", "retained_facility_id")
-    placed = join_known(subjects.join(evidence, "observation_id"), groups, "retained_group_id")
-    placed = join_known(join_known(placed, courses, "course_id"), _round_owner(bundle), "round_id")
-    placed = placed.withColumn("owner", F.coalesce("facility_id", "course_facility", "round_facility"))
-    support = belongs.select("round_id", F.col("course_id").alias("group_course"), F.lit(True).alias("supported"))
-    judged = join_known(placed, support, ["round_id", "group_course"])
-    other_facility = (F.col("owner") != F.col("retained_facility_id")) | (F.col("owner") != F.col("group_facility"))
-    by_round = F.col("round_id").isNotNull() & ~F.coalesce(F.col("round_course") == F.col("group_course"), F.lit(False)) & F.col("supported").isNull()
+    about = join_stored(evidence, groups, "retained_group_id").where(F.coalesce("retained_facility_id", "group_course", "group_facility").isNotNull())
+    about = about.select("observation_id", "retained_facility_id", "group_course", "group_facility")
+    stated = subjects.select("observation_id", "id", "facility_id", "course_id", "round_id")
+    placed = settle(stated.join(about, "observation_id").drop("observation_id"), "placed")
+    placed = join_stored(join_stored(placed, courses, "course_id"), _round_owner(bundle), "round_id")
+    owner = F.coalesce("facility_id", "course_facility", "round_facility")
+    no = F.lit(False)
+    other_facility = F.coalesce((owner != F.col("retained_facility_id")) | (owner != F.col("group_facility")), no)
     other_course = F.col("group_course").isNotNull() & (
-        F.coalesce(F.col("course_id") != F.col("group_course"), F.lit(False))
-        | (F.col("course_id").isNull() & F.col("round_id").isNull())
-        | by_round
+        F.coalesce(F.col("course_id") != F.col("group_course"), no) | (F.col("course_id").isNull() & F.col("round_id").isNull())
     )
-    wrong = F.coalesce(other_facility, F.lit(False)) | other_course
-    return judged.where(wrong).select(
+    by_round = F.col("group_course").isNotNull() & F.col("round_id").isNotNull() & ~F.coalesce(F.col("round_course") == F.col("group_course"), no)
+    judged = placed.select("id", "round_id", "group_course", (other_facility | other_course).alias("wrong"), by_round.alias("by_round"))
+    judged = settle(judged.where(F.col("wrong") | F.col("by_round")), "judged")
+    support = belongs.select("round_id", F.col("course_id").alias("group_course"))
+    unsupported = judged.where(~F.col("wrong")).join(support, ["round_id", "group_course"], "left_anti")
+    return judged.where("wrong").select("id").unionByName(unsupported.select("id")).select(
         F.lit("observation scope").alias("rule"), F.lit("subject").alias("table"), "id", F.lit(None).cast("string").alias("detail")
     )
 

@@ -167,8 +167,13 @@ def evidence(spark, sf):
 )
 def q04(spark, sf):
     b = evidence(spark, sf)
-    subjects = facts.subject_view(domains(spark, sf), b["component"])
-    belongs = cards.membership(b["round_option"], b["round_component"], b["component"])
+    # Of the tables over order lines, what the scope needs, from one written copy.
+    lines = standin.line_tables(
+        spark, sf, "m", p=("component_id", "course_id"), li=("l_orderkey", "l_linenumber", "l_suppkey"),
+        price=("price_id", "observation_id", "facility_id", "course_id", "round_id"),
+    )
+    subjects = facts.subject_view(domains(spark, sf, lines["price"], lines["li"]), lines["p"])
+    belongs = cards.membership(b["round_option"], lines["m"], lines["p"])
     return quality.check_observation_scope(subjects, b, belongs).select("id")
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from placewright.operators import facts, joins
+from placewright.operators import facts, joins, quality
 from placewright.session import settle
 
 
@@ -60,3 +60,24 @@ def test_owner_by_the_first_stated_subject(spark, unbroadcast):
     assert {(r.id, r.facility_id) for r in found.collect()} == want and found.count() == len(want)
     # Each kind is written as it is resolved; nothing is left to deal.
     assert "Exchange" not in plan_of(found)
+
+
+def test_only_facts_in_question_meet_the_membership(spark, unbroadcast):
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    bundle = {
+        "course": frame([("c1", "f1"), ("c2", "f2"), ("c3", "f1")], "course_id string, facility_id string"),
+        "round_option": frame([("r1", "f1", None), ("r2", None, "c3")], "round_id string, facility_id string, course_id string"),
+        "fact_group": frame([("g1", None, "c1"), ("g2", "f2", None)], "group_id string, facility_id string, course_id string"),
+        "source_observation": frame([("o1", "g1", None), ("o2", "g2", None), ("o3", None, "f1"), ("o4", None, None)], "observation_id string, retained_group_id string, retained_facility_id string"),
+    }
+    belongs = frame([("r1", "c1"), ("r2", "c3")], "round_id string, course_id string")
+    facts_of = [
+        ("own", "o1", None, "c1", None), ("other course", "o1", None, "c3", None), ("no course", "o1", "f1", None, None), ("its round", "o1", None, None, "r1"),
+        ("another round", "o1", None, None, "r2"), ("group", "o2", "f2", None, None), ("group of another", "o2", None, "c1", None), ("retained", "o3", "f1", None, None),
+        ("retained of another", "o3", "f2", None, None), ("about nothing", "o4", "f9", None, None), ("no observation", None, "f9", None, None),
+    ]
+    subjects = frame(facts_of, "id string, observation_id string, facility_id string, course_id string, round_id string")
+    found = quality.check_observation_scope(subjects, bundle, belongs)
+    assert {r.id for r in found.collect()} == {"other course", "no course", "another round", "group of another", "retained of another"}
+    # Two tables of ids are left to join.
+    assert plan_of(found).count("SortMergeJoin") == 1
