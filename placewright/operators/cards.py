@@ -233,14 +233,11 @@ def nest_lists(key: str, lists: dict, limit=PART_ROWS) -> DataFrame:
         at = F.floor((F.col("position") - F.col("first")) / limit).cast("int")
         parts = ordered.join(first, [key, "tag"]).withColumn("part", at).select(*placed.columns)
         placed = rows.join(crowded, [key, "tag"], "left_anti").withColumn("part", F.lit(0)).select(*placed.columns).unionByName(parts)
-    items = ["i_" + name for name in lists]
-    grouped = placed.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tag", "at", *items))).alias("all"))
-
-    def own(tag, name):
-        mine = F.transform(F.filter("all", lambda x: x["tag"] == tag), lambda x: x["i_" + name])
-        return F.when(F.size(mine) > 0, mine).alias(name)
-
-    return grouped.select(key, part, *[own(tag, name) for tag, name in enumerate(lists)])
+    # Each list is gathered on its own, so that one nobody looks at isn't, and sorted by the order Spark gives its rows.
+    own = [F.collect_list(F.when(F.col("tag") == tag, F.struct("at", "i_" + name))).alias("l_" + name) for tag, name in enumerate(lists)]
+    grouped = placed.groupBy(*by).agg(*own)
+    sorted_items = {name: F.sort_array("l_" + name).getField("i_" + name) for name in lists}
+    return grouped.select(key, part, *[F.when(F.size("l_" + name) > 0, items).alias(name) for name, items in sorted_items.items()])
 
 
 def nest(children: DataFrame, key: str, order, item: Column, limit=PART_ROWS) -> DataFrame:
@@ -372,14 +369,17 @@ def facility_inventory(facilities: DataFrame, courses: DataFrame, limit=PART_ROW
     return joined.withColumns(empty | zero)
 
 
-def course_cards(bundle: dict, limit=PART_ROWS, lists=None) -> DataFrame:
+def course_cards(bundle: dict, limit=PART_ROWS, lists=None, belongs=None) -> DataFrame:
     """Course cards with components, tees, aliases and rounds nested.
 
+    `belongs` is the membership of the courses, where it is known already.
+
     What a course's rounds hold, members in playing order and tees, stands beside them under the
     round's id, so that a crowded round comes in parts like any other list.
     """
     listed = course_listing(bundle["course"], bundle["facility"], "left")
-    belongs = membership(bundle["round_option"], bundle["round_component"], bundle["component"])
+    if belongs is None:
+        belongs = membership(bundle["round_option"], bundle["round_component"], bundle["component"])
     rounds = bundle["round_option"].drop("course_id").join(belongs, "round_id")
     shown_round = F.struct(
         "round_id",
@@ -430,15 +430,12 @@ def cards_of(bundle: dict, course_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
     for name in ("course", "component", "alias"):
         part[name] = bundle[name].join(course_ids, "course_id", "left_semi")
     part["tee_set"] = bundle["tee_set"].join(course_ids, "course_id", "left_semi")
+    # A member component may belong to a course that is not asked for, so membership is that of the whole tables,
+    # found once; what it says of other courses is no card's.
     belongs = membership(bundle["round_option"], bundle["round_component"], bundle["component"])
-    rounds = belongs.join(course_ids, "course_id", "left_semi").select("round_id").distinct()
-    part["round_option"] = bundle["round_option"].join(rounds, "round_id", "left_semi")
-    part["round_component"] = bundle["round_component"].join(rounds, "round_id", "left_semi")
-    # A member component may belong to a course that is not asked for, so all of these stay.
-    played = part["round_component"].select("component_id").distinct()
-    kept = bundle["component"].join(played, "component_id", "left_semi").unionByName(part["component"])
-    part["component"] = kept.dropDuplicates(["component_id"])
-    return course_cards(part, limit).join(course_ids, "course_id", "left_semi")
+    belongs = settle(belongs.join(course_ids, "course_id", "left_semi"), "belongs")
+    part["component"] = part["component"].dropDuplicates(["component_id"])
+    return course_cards(part, limit, belongs=belongs).join(course_ids, "course_id", "left_semi")
 
 
 def facility_cards_of(bundle: dict, facility_ids: DataFrame, limit=PART_ROWS) -> DataFrame:
