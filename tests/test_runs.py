@@ -28,6 +28,24 @@ def rows_of(df):
 VERSION = "id string, n long, name string"
 
 
+def test_lines_of_a_whole_run_are_dealt_once(spark, sf, monkeypatch):
+    plans = []
+    monkeypatch.setattr(reconciles, "settle", lambda rows, label: plans.append(plan_of(rows)) or rows)
+    monkeypatch.setattr(reconciles.reconcile, "apply", lambda *a, **k: None)
+    monkeypatch.setattr(reconciles.reconcile, "written", lambda before, result: before)
+    tables, _ = reconciles.whole_run(spark, sf)
+    for name, short in (("component", "p"), ("round_component", "m"), ("tee_set", "t")):
+        assert tables[name].columns == standin.table(spark, sf, short).columns
+        assert "Exchange" not in plans[list(tables).index(name)]
+
+
+def test_first_columns_of_the_smallest_line(spark, sf):
+    whole = standin._lines(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    assert rows_of(standin._lines(spark, sf, "l_suppkey")) == rows_of(whole)
+    assert rows_of(standin._lines(spark, sf, "")) == rows_of(whole.select("l_orderkey", "l_linenumber"))
+    assert "l_shipdate" not in plan_of(standin.table(spark, sf, "m"))
+
+
 def test_lists_that_nobody_looks_at_are_not_gathered(spark):
     children = spark.createDataFrame([("a", 2, None), ("a", 1, "x"), ("b", 3, "y")], "key string, id long, name string")
     lists = {"ids": (children, ["id"], F.struct("id", "name")), "names": (children.where("id < 3"), ["id"], F.col("name"))}
@@ -36,3 +54,10 @@ def test_lists_that_nobody_looks_at_are_not_gathered(spark):
     assert found == {"a": ([(1, "x"), (2, None)], ["x", None]), "b": ([(3, "y")], None)}
     read = plan_of(nested.select("key", "names")).split("ReadSchema:")[1]
     assert "i_names" in read and "i_ids" not in read
+
+
+def test_lanes_are_the_numbers_of_the_digests(spark):
+    rows = spark.range(300).select("id", F.concat(F.lit("n"), "id").alias("name"))
+    digests = [r.d for r in rows.select(canon.rows_digest(rows).alias("d")).collect()]
+    lanes = [sum(int(d[8 * k : 8 * k + 8], 16) for d in digests) for k in range(8)]
+    assert [int(x) for x in canon.table_lanes(rows).first()] == [300, *lanes]
