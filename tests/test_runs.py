@@ -61,3 +61,11 @@ def test_lanes_are_the_numbers_of_the_digests(spark):
     digests = [r.d for r in rows.select(canon.rows_digest(rows).alias("d")).collect()]
     lanes = [sum(int(d[8 * k : 8 * k + 8], 16) for d in digests) for k in range(8)]
     assert [int(x) for x in canon.table_lanes(rows).first()] == [300, *lanes]
+
+
+def test_a_run_broadcasts_no_table(spark, sf):
+    _, result = reconciles.reconciled(spark, sf)
+    back = reconcile.restored(result)
+    for name in ("course", "alias", "round_option"):
+        assert "BroadcastHashJoin" not in plan_of(result["tables"][name])
+        assert "BroadcastHashJoin" not in plan_of(back[name])
