@@ -28,6 +28,21 @@ def rows_of(df):
 VERSION = "id string, n long, name string"
 
 
+def test_receipt_deals_each_version_once(spark, unbroadcast, tmp_path):
+    before = [("a", 1, "x"), ("b", 2, "y"), ("b", 3, "z"), ("c", 4, None), (None, 5, "u"), (None, 6, "v")]
+    after = [("a", 1, "x"), ("b", 2, "y"), ("c", 4, "new"), ("d", 7, "w"), (None, 5, "u")]
+    sides = []
+    for name, rows in (("before", before), ("after", after)):
+        spark.createDataFrame(rows, VERSION).write.parquet(f"{tmp_path}/{name}")
+        sides.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    record = reconcile.receipt(*sides, "id")
+    # As by changed_rows and a join to the rows as they were, repeated and unknown keys included.
+    kept = sides[0].select("id", F.struct(*sides[0].columns).alias("before_row"))
+    assert rows_of(record) == rows_of(reconcile.changed_rows(*sides, "id").join(kept, "id", "left"))
+    assert {(r.id, r.change) for r in record.collect()} == {("b", "changed"), ("c", "changed"), ("d", "added"), (None, "removed"), (None, "added")}
+    assert plan_of(record).count("Exchange hashpartitioning") == 2
+
+
 def test_lines_of_a_whole_run_are_dealt_once(spark, sf, monkeypatch):
     plans = []
     monkeypatch.setattr(reconciles, "settle", lambda rows, label: plans.append(plan_of(rows)) or rows)
@@ -56,6 +71,15 @@ def test_lists_that_nobody_looks_at_are_not_gathered(spark):
     assert "i_names" in read and "i_ids" not in read
 
 
+def test_courses_meet_affected_facilities_in_one_join(spark, unbroadcast):
+    courses = spark.createDataFrame([("c1", "f1", "old"), ("c2", "f2", "old"), ("c3", None, "old"), ("c4", "f9", "old")], "course_id string, facility_id string, facility_name string")
+    facilities = spark.createDataFrame([("f1", "One"), ("f2", "Two")], "facility_id string, name string")
+    affected = spark.createDataFrame([("f1",), ("f9",)], "facility_id string")
+    found = reconcile.refresh_children(courses, facilities, affected)
+    assert {r.course_id: r.facility_name for r in found.collect()} == {"c1": "One", "c2": "old", "c3": "old", "c4": None}
+    assert plan_of(found).count("SortMergeJoin") == 2  # what the affected show, and the courses
+
+
 def test_lanes_are_the_numbers_of_the_digests(spark):
     rows = spark.range(300).select("id", F.concat(F.lit("n"), "id").alias("name"))
     digests = [r.d for r in rows.select(canon.rows_digest(rows).alias("d")).collect()]
